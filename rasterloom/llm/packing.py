@@ -27,7 +27,7 @@ from . import common
 
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids one Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 #: Plans of up to so many rows are broadcast, larger ones joined by a shuffle.
 BROADCAST_ROWS = 200_000
 

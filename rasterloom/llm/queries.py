@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from .packing import op7_best_fit_packing
+from .quality import op5_quality_classifier
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
 
