@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .ngram_join import ORACLE_OP2, op2_ngram_jaccard_join
 from .packing import op7_best_fit_packing
 from .quality import op5_quality_classifier
 from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": ORACLE_OP2,
+}
