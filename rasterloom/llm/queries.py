@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op6_benchmark_decontamination
 from .ngram_join import ORACLE_OP2, op2_ngram_jaccard_join
 from .packing import op7_best_fit_packing
 from .quality import op5_quality_classifier
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
 
