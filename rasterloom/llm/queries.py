@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op6_benchmark_decontamination
+from .line_dedup import ORACLE_OP9, op9_line_dedup
 from .ngram_join import ORACLE_OP2, op2_ngram_jaccard_join
 from .packing import op7_best_fit_packing
 from .quality import op5_quality_classifier
@@ -14,8 +15,10 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": ORACLE_OP2,
+    "op9_line_dedup": ORACLE_OP9,
 }
