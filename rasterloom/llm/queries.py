@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op6_benchmark_decontamination
 from .line_dedup import ORACLE_OP9, op9_line_dedup
+from .neighbours import op10_nn_descent
 from .ngram_join import ORACLE_OP2, op2_ngram_jaccard_join
 from .packing import op7_best_fit_packing
 from .quality import op5_quality_classifier
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
+    "op10_nn_descent": op10_nn_descent,
 }
 
 ORACLE_SQL: dict[str, str] = {
