@@ -8,6 +8,7 @@ from .neighbours import op10_nn_descent
 from .ngram_join import ORACLE_OP2, op2_ngram_jaccard_join
 from .packing import op7_best_fit_packing
 from .quality import op5_quality_classifier
+from .secrets import op8_secret_scan
 from .toxicity import op1_toxicity
 from .url_filters import ORACLE_OP3, op3_url_filters
 from .warc import ORACLE_OP4, op4_warc
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_nn_descent": op10_nn_descent,
 }
