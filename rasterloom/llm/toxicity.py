@@ -32,7 +32,7 @@ ORDER, DECAY, SHARE, FLOOR = 4, 0.65, 0.75, 0.35
 START = "^"
 #: Prefixes of so many letters and more may be landmarks, besides whole words.
 STEM = 4
-TOXIC_LANDMARKS, PLAIN_LANDMARKS = 72, 8
+TOXIC_LANDMARKS, PLAIN_LANDMARKS = 52, 4
 #: Longer words are cut into overlapping windows of this length, so that no letter is left out.
 WINDOW = 24
 #: Of a labelled document so many sentences, those that respond most, are learnt from.
@@ -95,7 +95,14 @@ class Landmarks:
             source, words = np.array([i for i, _ in cut]), [w for _, w in cut]
         points, offsets = letters_of(words)
         bags, size = bag(points, offsets), np.diff(offsets)
-        hits = [np.flatnonzero(np.minimum(bags, self.bags[j]).sum(1, dtype=np.int64) >= max(ORDER, SHARE * self.size[j])) for j in range(len(self.words))]
+        columns = np.ascontiguousarray(bags.T)
+        hits = []
+        for own, n in zip(self.bags, self.size, strict=True):
+            letters = np.flatnonzero(own)
+            shared = np.zeros(len(words), np.uint8)
+            for x in letters.tolist():
+                shared += np.minimum(columns[x], own[x])
+            hits.append(np.flatnonzero(shared >= max(ORDER, SHARE * n)))
         w = np.concatenate(hits)
         m = np.repeat(np.arange(len(self.words)), [len(h) for h in hits])
         if len(w) == 0:
@@ -253,7 +260,7 @@ def landmarks(texts: list[str], y: np.ndarray) -> Landmarks:
     ranked = sorted((s for s in seen if seen[s] > 0), key=lambda s: (-seen[s], -len(s), s))
     plain = [names[i] for i in np.lexsort((np.arange(len(names)), -c0))[:400].tolist() if ORDER <= len(names[i]) <= WINDOW and c0[i] / n0 > c1[i] / n1]
     chosen: list[str] = []
-    for group, most, near in ((ranked[:600], TOXIC_LANDMARKS, 0.8), (plain, TOXIC_LANDMARKS + PLAIN_LANDMARKS, 0.6)):
+    for group, most, near in ((ranked[:600], TOXIC_LANDMARKS, 0.75), (plain, TOXIC_LANDMARKS + PLAIN_LANDMARKS, 0.6)):
         for s in group:
             if len(chosen) >= most:
                 break
