@@ -1,6 +1,763 @@
-"""All queries over the raster operators, and their SQL."""
+"""All queries over the raster operators, and the same in SQL.
+
+Each entry of QUERIES takes (spark, sf_dir); its SQL, where there is one, stands under the same
+name. Results are rounded on both sides, since sums of doubles depend on their order.
+"""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import calibration, detection, filters, insar, polarimetry, raster, topsar
+from ..sources import views
+from ..streaming import events as streams
+
+DIGITS = 7
+
+# Views of the tables as scenes, in SQL.
+SCENE = "scene AS (SELECT event_id // 100 AS y, event_id % 100 AS x, value AS v FROM events)"
+CPLX = "cplx AS (SELECT event_id // 100 AS y, event_id % 100 AS x, value - 60 AS i, CAST(json_extract(props, '$.k') AS DOUBLE) - 50 AS q FROM events)"
+SECOND = "second AS (SELECT o_orderkey // 100 AS y, o_orderkey % 100 AS x, o_totalprice / 970 AS v FROM orders)"
+PAIR = "pair AS (SELECT event_id // 100 AS y, event_id % 100 AS x, value - 60 AS i1, CAST(json_extract(props, '$.k') AS DOUBLE) - 50 AS q1, value - 60 + user_id % 7 - 3 AS i2, CAST(json_extract(props, '$.k') AS DOUBLE) - 50 + user_id % 5 - 2 AS q2 FROM events)"
+QUAD = """quad AS (SELECT event_id // 100 AS y, event_id % 100 AS x, (value - 60) / 9.7 AS hh_i, (k - 50) / 9.7 AS hh_q, (user_id % 17 - 8) / 9.7 AS hv_i, (event_id * 7 % 13 - 6) / 9.7 AS hv_q,
+  (user_id % 19 - 9) / 9.7 AS vh_i, (event_id * 5 % 11 - 5) / 9.7 AS vh_q, (user_id % 29 - 14 + k / 5) / 9.7 AS vv_i, (event_id % 11 - 5 + value / 20) / 9.7 AS vv_q
+  FROM (SELECT *, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events))"""
+C3 = """c3 AS (SELECT y, x, hh_i * hh_i + hh_q * hh_q AS c11, ((hv_i + vh_i) * (hv_i + vh_i) + (hv_q + vh_q) * (hv_q + vh_q)) / 2 AS c22, vv_i * vv_i + vv_q * vv_q AS c33,
+  hh_i * vv_i + hh_q * vv_q AS c13_re, hh_q * vv_i - hh_i * vv_q AS c13_im FROM quad)"""
+C2 = """c2 AS (SELECT y, x, hh_i * hh_i + hh_q * hh_q AS c11, hv_i * hv_i + hv_q * hv_q AS c22, hh_i * hv_i + hh_q * hv_q AS c12_re, hh_q * hv_i - hh_i * hv_q AS c12_im FROM quad)"""
+K3 = """k3 AS (SELECT y, x, (hh_i + vv_i) / sqrt(2) AS ai, (hh_q + vv_q) / sqrt(2) AS aq, (hh_i - vv_i) / sqrt(2) AS bi, (hh_q - vv_q) / sqrt(2) AS bq, (hv_i + vh_i) / sqrt(2) AS ci, (hv_q + vh_q) / sqrt(2) AS cq FROM quad)"""
+T3 = """t3 AS (SELECT y, x, ai * ai + aq * aq AS t11, bi * bi + bq * bq AS t22, ci * ci + cq * cq AS t33, ai * bi + aq * bq AS t12_re, aq * bi - ai * bq AS t12_im,
+  ai * ci + aq * cq AS t13_re, aq * ci - ai * cq AS t13_im, bi * ci + bq * cq AS t23_re, bq * ci - bi * cq AS t23_im FROM k3)"""
+STOKES = "st AS (SELECT y, x, c11 + c22 AS g0, c11 - c22 AS g1, 2 * c12_re AS g2, 2 * c12_im AS g3, sqrt((c11 - c22) ** 2 + (2 * c12_re) ** 2 + (2 * c12_im) ** 2) AS pol FROM c2)"
+
+
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Doubles rounded, without a negative zero."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def sql(ctes: list[str], keys: str, values: dict[str, str], source: str, tail: str = "", digits: int = DIGITS) -> str:
+    """WITH ctes SELECT keys, rounded values FROM source."""
+    cols = [keys] if keys else []
+    cols += [f"round(CAST({e} AS DOUBLE), {digits}) + 0.0 AS {n}" for n, e in values.items()]
+    return f"WITH {', '.join(ctes)} SELECT {', '.join(cols)} FROM {source} {tail}"
+
+
+def window(cols: str, size_x: int, size_y: int | None = None, source: str = "scene", keep: str = "a.y, a.x") -> str:
+    """A self-join over the window: the plain form of the separable frames."""
+    size_y = size_y or size_x
+    lo = lambda n: n // 2
+    hi = lambda n: n - 1 - n // 2
+    return f"SELECT {keep}, {cols} FROM {source} a JOIN {source} b ON b.y BETWEEN a.y - {lo(size_y)} AND a.y + {hi(size_y)} AND b.x BETWEEN a.x - {lo(size_x)} AND a.x + {hi(size_x)} GROUP BY {keep}"
+
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, text: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if text:
+            ORACLE_SQL[name] = text
+        return f
+
+    return add
+
+
+# --- raster -----------------------------------------------------------------------------
+
+
+@query("multilook", sql([SCENE], "y, x", {"v": "v"}, "(SELECT y // 2 AS y, x // 2 AS x, avg(v) AS v FROM scene GROUP BY 1, 2 HAVING count(*) = 4)"))
+def _(spark, d):
+    return rounded(raster.multilook(views.scene(spark, d), 2, 2))
+
+
+@query("multilook_complex", sql([CPLX], "y, x", {"v": "v"}, "(SELECT y // 4 AS y, x // 3 AS x, avg(i * i + q * q) AS v FROM cplx GROUP BY 1, 2 HAVING count(*) = 12)"))
+def _(spark, d):
+    z = views.scene_cplx(spark, d)
+    return rounded(raster.multilook(z.select("y", "x", (z.i * z.i + z.q * z.q).alias("v")), 4, 3))
+
+
+@query("multilook_amplitude", sql([SCENE], "y, x", {"v": "v"}, "(SELECT y // 2 AS y, x // 5 AS x, sqrt(avg(v * v)) AS v FROM scene GROUP BY 1, 2 HAVING count(*) = 10)"))
+def _(spark, d):
+    return rounded(raster.multilook(views.scene(spark, d), 2, 5, unit="amplitude"))
+
+
+@query("multilook_db", sql([SCENE], "y, x", {"v": "v"}, "(SELECT y // 2 AS y, x // 2 AS x, 10 * log10(avg(10 ** (v / 100))) AS v FROM scene GROUP BY 1, 2 HAVING count(*) = 4)"))
+def _(spark, d):
+    s = views.scene(spark, d)
+    return rounded(raster.multilook(s.withColumn("v", s.v / 10), 2, 2, unit="db"))
+
+
+@query("band_select", f"WITH {QUAD} SELECT y, x, hv_i, hv_q FROM quad")
+def _(spark, d):
+    return raster.band_select(views.quad(spark, d), polarisations=["HV"])
+
+
+@query("band_merge", f"WITH {SCENE}, {SECOND} SELECT a.y, a.x, a.v, b.v AS v_2 FROM scene a JOIN second b ON a.y = b.y AND a.x = b.x")
+def _(spark, d):
+    return raster.band_merge(views.scene(spark, d), views.second(spark, d))
+
+
+@query("set_nodata", f"WITH {CPLX} SELECT y, x, i, nullif(q, 0) AS q FROM cplx")
+def _(spark, d):
+    return raster.set_nodata(views.scene_cplx(spark, d), ["q"], 0.0)
+
+
+@query("data_analysis", sql([SCENE], "", {"min": "min(v)", "max": "max(v)", "mean": "avg(v)", "std": "stddev_pop(v)", "cv": "sqrt(avg(v ** 4) - avg(v * v) ** 2) / avg(v * v)", "enl": "avg(v * v) ** 2 / (avg(v ** 4) - avg(v * v) ** 2)"}, "scene"))
+def _(spark, d):
+    return rounded(raster.data_analysis(views.scene(spark, d), "v"))
+
+
+@query("tile_statistics", sql([SCENE], "ty, tx, n", {"s": "s"}, "(SELECT ty, tx, count(*) AS n, sum(v) AS s FROM scene, (SELECT unnest(range(0, 100)) AS ty) a, (SELECT unnest(range(0, 3)) AS tx) b WHERE y BETWEEN ty * 16 - 2 AND ty * 16 + 17 AND x BETWEEN tx * 40 - 2 AND tx * 40 + 41 AND EXISTS (SELECT 1) GROUP BY 1, 2)"))
+def _(spark, d):
+    t = raster.tiles(views.scene(spark, d), 16, 40, 2).where("ty < 100")
+    return rounded(t.groupBy("ty", "tx").agg(F.count("*").alias("n"), F.sum("v").alias("s")))
+
+
+@query("subset", f"WITH {SCENE} SELECT y, x, v FROM scene WHERE y BETWEEN 2 AND 30 AND x BETWEEN 10 AND 59")
+def _(spark, d):
+    return raster.subset(views.scene(spark, d), 2, 31, 10, 60)
+
+
+@query("undersample", f"WITH {SCENE} SELECT y // 3 AS y, x // 4 AS x, v FROM scene WHERE y % 3 = 0 AND x % 4 = 0")
+def _(spark, d):
+    return raster.undersample(views.scene(spark, d), 3, 4)
+
+
+@query(
+    "undersample_kernel",
+    sql([SCENE, "o AS (SELECT unnest(range(0, (SELECT max(y) + 1 FROM scene) // 3)) AS ty)", "p AS (SELECT ty, tx, ty * 3 AS cy, tx * 3 AS cx FROM o, (SELECT unnest(range(0, 33)) AS tx))"], "ty AS y, tx AS x", {"v": "sum(v * CASE WHEN y = cy AND x = cx THEN 4 WHEN y = cy OR x = cx THEN 2 ELSE 1 END) / 9"}, "p JOIN scene ON y BETWEEN cy - 1 AND cy + 1 AND x BETWEEN cx - 1 AND cx + 1", "GROUP BY ty, tx"),
+)
+def _(spark, d):
+    return rounded(raster.undersample_kernel(views.scene(spark, d), [[1, 2, 1], [2, 4, 2], [1, 2, 1]], 3, 3))
+
+
+@query("oversample")
+def _(spark, d):
+    return rounded(raster.oversample(views.scene(spark, d), 2))
+
+
+@query("mosaic", sql(["o AS (SELECT l_orderkey AS cell, l_extendedprice / 97 AS v, l_quantity AS w FROM lineitem)"], "cell, count(*) AS n", {"v": "sum(v * w) / sum(w)"}, "o WHERE v <> 0 AND w > 0", "GROUP BY cell"))
+def _(spark, d):
+    return rounded(raster.mosaic(views.overlap(spark, d), ["cell"]).select("cell", "n", "v"))
+
+
+@query("multitemporal_composite", sql(["o AS (SELECT l_orderkey AS cell, l_extendedprice / 97 AS v, l_quantity AS a FROM lineitem)"], "cell", {"v": "sum(v / a) / sum(1 / a)"}, "o WHERE a > 0", "GROUP BY cell"))
+def _(spark, d):
+    return rounded(raster.multitemporal_composite(views.overlap(spark, d).withColumnRenamed("w", "a"), ["cell"]))
+
+
+STACK = "stack AS (SELECT vec_id AS pixel, unnest(range(0, 64)) AS epoch, CAST(unnest(embedding) AS DOUBLE) + 1 AS v FROM embeddings)"
+for _name, _sql in {"mean": "avg(v)", "min": "min(v)", "max": "max(v)", "std": "stddev_pop(v)", "cv": "sqrt(avg(v ** 4) - avg(v * v) ** 2) / avg(v * v)"}.items():
+    query(f"stack_average_{_name}", sql([STACK], "pixel", {_name: _sql}, "stack", "GROUP BY pixel"))(lambda spark, d, s=_name: rounded(raster.stack_average(views.stack(spark, d), ["pixel"], s)))
+
+for _name, _join in {"master": "LEFT", "minimum": "INNER", "maximum": "FULL"}.items():
+    query(f"create_stack_{_name}", f"WITH {SCENE}, {SECOND}, m AS (SELECT y + 1 AS y, x - 2 AS x, v AS v_sec FROM second) SELECT y, x, v, v_sec FROM scene {_join} JOIN m USING (y, x)")(lambda spark, d, e=_name: raster.create_stack(views.scene(spark, d), views.second(spark, d), 1, -2, e))
+
+
+@query("slice_assembly", f"WITH {SCENE} SELECT y, x, v FROM scene WHERE y < 10")
+def _(spark, d):
+    s = views.scene(spark, d).where("y < 10").select((F.col("y") / 4).cast("long").alias("slice"), (F.col("y") % 4).alias("y"), "x", "v")
+    table = spark.createDataFrame([(k, 4 * k, 4 * k + 4) for k in range(3)], "slice long, start long, end long")
+    return raster.slice_assembly(s, table)
+
+
+@query("srgr_linear", sql([SCENE, "g AS (SELECT DISTINCT y FROM scene)", "t AS (SELECT y, unnest(range(0, 120)) AS x FROM g)", "u AS (SELECT y, x, 0.5 + 0.8 * x + 0.0005 * x * x AS pos FROM t)", "w AS (SELECT y, x, CAST(floor(pos) AS BIGINT) AS s, pos - floor(pos) AS t FROM u)"], "w.y, w.x", {"v": "CASE WHEN t > 0 THEN a.v * (1 - t) + b.v * t ELSE a.v END"}, "w JOIN scene a ON a.y = w.y AND a.x = s LEFT JOIN scene b ON b.y = w.y AND b.x = s + 1", "WHERE t = 0 OR b.v IS NOT NULL"))
+def _(spark, d):
+    return rounded(raster.resample_line(views.scene(spark, d), [0.5, 0.8, 0.0005], 120))
+
+
+@query("srgr_nearest", sql([SCENE, "g AS (SELECT DISTINCT y FROM scene)", "t AS (SELECT y, unnest(range(0, 120)) AS x FROM g)", "u AS (SELECT y, x, CAST(floor(0.25 + 0.8 * x + 0.5) AS BIGINT) AS s FROM t)"], "u.y, u.x", {"v": "v"}, "u JOIN scene ON scene.y = u.y AND scene.x = s"))
+def _(spark, d):
+    return rounded(raster.resample_line(views.scene(spark, d), [0.25, 0.8], 120, "nearest"))
+
+
+@query("srgr_cubic")
+def _(spark, d):
+    return rounded(raster.resample_line(views.scene(spark, d), [0.5, 0.8], 120, "cubic"))
+
+
+@query("tie_points", sql([SCENE], "y, x", {"value": "30 + y * 0.1 + x * 0.05"}, "scene", "WHERE y <= 10"))
+def _(spark, d):
+    grid = spark.createDataFrame([(gy, gx, 30 + gy * 0.5 + gx * 0.5) for gy in range(3) for gx in range(11)], "gy long, gx long, value double")
+    return rounded(raster.bilinear(views.scene(spark, d).where("y <= 10"), grid, 5.0, 10.0))
+
+
+# --- filters ----------------------------------------------------------------------------
+
+M5 = f"m AS ({window('any_value(a.v) AS v, count(b.v) AS n, avg(b.v) AS mean, var_samp(b.v) AS var', 5, keep='a.y, a.x')})"
+
+
+@query("boxcar", sql([SCENE, M5], "y, x", {"v": "mean"}, "m"))
+def _(spark, d):
+    return rounded(filters.boxcar(views.scene(spark, d), 5))
+
+
+@query("lee", sql([SCENE, M5, "r AS (SELECT *, sqrt(coalesce(var, 0)) / mean AS ci, 0.5 AS cu FROM m)"], "y, x", {"v": "CASE WHEN mean = 0 THEN 0 WHEN ci < cu THEN mean ELSE v * (1 - cu * cu / (ci * ci)) + mean * cu * cu / (ci * ci) END"}, "r"))
+def _(spark, d):
+    return rounded(filters.lee(views.scene(spark, d), 5, looks=4.0))
+
+
+@query("lee_scene_looks")
+def _(spark, d):
+    return rounded(filters.lee(views.scene(spark, d), 7))
+
+
+@query("gamma_map", sql([SCENE, M5, "r AS (SELECT *, sqrt(coalesce(var, 0)) / mean AS ci, 0.5 AS cu, (1 + 0.25) / (var / (mean * mean) - 0.25) AS al FROM m)"], "y, x", {"v": "CASE WHEN mean = 0 THEN 0 WHEN ci <= cu THEN mean WHEN ci < sqrt(2) * cu THEN ((al - 5) * mean + sqrt(mean * mean * (al - 5) ** 2 + 16 * al * mean * v)) / (2 * al) ELSE v END"}, "r"))
+def _(spark, d):
+    return rounded(filters.gamma_map(views.scene(spark, d), 5, looks=4.0))
+
+
+@query("median", sql([SCENE, f"m AS ({window('list_sort(list(b.v)) AS l', 3)})"], "y, x", {"v": "l[len(l) // 2 + 1]"}, "m"))
+def _(spark, d):
+    return rounded(filters.median(views.scene(spark, d), 3))
+
+
+@query("frost", sql([SCENE, f"m AS ({window('avg(b.v) AS mean, var_samp(b.v) AS var', 3)})"], "m.y, m.x", {"v": "sum(exp(-2 * coalesce(var, 0) / (mean * mean) * greatest(abs(b.y - m.y), abs(b.x - m.x))) * b.v) / sum(exp(-2 * coalesce(var, 0) / (mean * mean) * greatest(abs(b.y - m.y), abs(b.x - m.x))))"}, "m JOIN scene b ON b.y BETWEEN m.y - 1 AND m.y + 1 AND b.x BETWEEN m.x - 1 AND m.x + 1", "GROUP BY m.y, m.x"))
+def _(spark, d):
+    return rounded(filters.frost(views.scene(spark, d), 3))
+
+
+@query("multitemporal_speckle", sql([SCENE, SECOND, "st AS (SELECT 0 AS epoch, y, x, v FROM scene UNION ALL SELECT 1, y, x, v FROM second)", "f AS (SELECT a.epoch, a.y, a.x, any_value(a.v) AS v, avg(b.v) AS f FROM st a JOIN st b ON a.epoch = b.epoch AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2, 3)", "r AS (SELECT y, x, avg(CASE WHEN f <> 0 THEN v / f END) AS r FROM f GROUP BY 1, 2)"], "epoch, y, x", {"v": "f * r"}, "f JOIN r USING (y, x)"))
+def _(spark, d):
+    st = views.scene(spark, d).withColumn("epoch", F.lit(0)).unionByName(views.second(spark, d).withColumn("epoch", F.lit(1)))
+    return rounded(filters.multitemporal(st, 3))
+
+
+query("refined_lee")(lambda spark, d: rounded(filters.refined_lee(views.scene(spark, d), looks=4.0)))
+query("lee_sigma")(lambda spark, d: rounded(filters.lee_sigma(views.scene(spark, d), looks=4.0)))
+query("idan")(lambda spark, d: rounded(filters.idan(views.scene(spark, d), looks=4.0)))
+query("mulog")(lambda spark, d: rounded(filters.mulog(views.scene(spark, d), looks=4.0)))
+
+
+# --- detection --------------------------------------------------------------------------
+
+BOTH = "p AS (SELECT scene.y, scene.x, scene.v AS a, second.v AS b FROM scene JOIN second ON scene.y = second.y AND scene.x = second.x)"
+
+
+def both(spark, d):
+    a, b = views.scene(spark, d), views.second(spark, d)
+    return a.withColumnRenamed("v", "a").join(b.withColumnRenamed("v", "b"), ["y", "x"])
+
+
+for _name, _sql in {"difference": "a - b", "ratio": "a / b", "log_ratio": "ln(greatest(a / b, 1e-15))", "normalised": "(a - b) / (a + b)"}.items():
+    query(f"change_{_name}", sql([SCENE, SECOND, BOTH, f"c AS (SELECT y, x, CASE WHEN a > 0 AND b > 0 THEN {_sql} ELSE 0 END AS c FROM p)"], "y, x, CASE WHEN c > 2 THEN 1 WHEN c < 0.5 THEN -1 ELSE 0 END AS mask", {"change": "c"}, "c"))(lambda spark, d, k=_name: rounded(detection.change(both(spark, d), kind=k).select("y", "x", "mask", "change")))
+
+
+@query("flood", f"WITH {SCENE} SELECT y, x, v / 1000 > 0 AND v / 1000 < 0.05 AS flood FROM scene")
+def _(spark, d):
+    return detection.flood(views.scene(spark, d).withColumn("v", F.col("v") / 1000))
+
+
+@query("decision_tree", f"WITH {SCENE} SELECT y, x, CAST(CASE WHEN v > 60 THEN CASE WHEN x % 2 = 0 THEN 1 ELSE 2 END ELSE 3 END AS SMALLINT) AS class FROM scene")
+def _(spark, d):
+    return detection.decision_tree(views.scene(spark, d), {"if": "v > 60", "then": {"if": "x % 2 = 0", "then": 1, "else": 2}, "else": 3})
+
+
+@query("oil_spill", f"WITH {SCENE}, m AS ({window('any_value(a.v) AS v, avg(b.v) AS mean', 9)}) SELECT y, x, CASE WHEN v < mean / {10**0.2} THEN 1 ELSE 0 END AS spill FROM m")
+def _(spark, d):
+    return detection.oil_spill(views.scene(spark, d), 9)
+
+
+@query("adaptive_threshold", f"""WITH {SCENE}, b AS ({window('count(*) AS n, sum(b.v) AS s, sum(b.v * b.v) AS q', 11)}), g AS ({window('count(*) AS n, sum(b.v) AS s, sum(b.v * b.v) AS q', 5)}),
+  r AS (SELECT a.y, a.x, a.v, b.n - g.n AS n, b.s - g.s AS s, b.q - g.q AS q FROM scene a JOIN b ON a.y = b.y AND a.x = b.x JOIN g ON a.y = g.y AND a.x = g.x)
+  SELECT y, x, CASE WHEN n > 0 AND s / n >= 0.005 AND v > s / n + 1.6448536269514715 * sqrt(greatest(q / n - (s / n) * (s / n), 0)) THEN 1 ELSE 0 END AS ship FROM r""")
+def _(spark, d):
+    return detection.adaptive_threshold(views.scene(spark, d), 1, 5, 11, pfa=-math.log10(0.05))
+
+
+MASK = "mk AS (SELECT y, x FROM scene WHERE v > 120)"
+REACH = "e AS (SELECT a.y * 1000 + a.x AS a, b.y * 1000 + b.x AS b FROM mk a JOIN mk b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1), reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a), cl AS (SELECT a, min(b) AS c FROM reach GROUP BY a)"
+
+
+@query("object_clusters", f"WITH RECURSIVE {SCENE}, {MASK}, {REACH} SELECT a // 1000 AS y, a % 1000 AS x, c // 1000 AS cy, c % 1000 AS cx FROM cl")
+def _(spark, d):
+    c = detection.clusters(views.scene(spark, d).where("v > 120").select("y", "x"))
+    return c.select("y", "x", F.expr(f"cluster div {1 << 31}").alias("cy"), (F.col("cluster") % (1 << 31)).alias("cx"))
+
+
+@query("oil_spill_clusters", f"WITH RECURSIVE {SCENE}, {MASK}, {REACH}, n AS (SELECT c, count(*) AS size FROM cl GROUP BY c) SELECT a // 1000 AS y, a % 1000 AS x, size FROM cl JOIN n USING (c) WHERE size >= 2")
+def _(spark, d):
+    return detection.oil_spill_clusters(views.scene(spark, d).where("v > 120").select("y", "x"), 2).select("y", "x", "size")
+
+
+@query("object_discrimination", f"WITH RECURSIVE {SCENE}, {MASK}, {REACH}, n AS (SELECT min(a // 1000) AS y, min(a % 1000) AS x, (max(a // 1000) - min(a // 1000) + 1) * 10.0 AS length, (max(a % 1000) - min(a % 1000) + 1) * 10.0 AS width, count(*) AS pixels FROM cl GROUP BY c) SELECT y, x, CAST(length AS DOUBLE) AS length, CAST(width AS DOUBLE) AS width, pixels, round(sqrt(length * length + width * width), 7) AS size FROM n WHERE sqrt(length * length + width * width) BETWEEN 15 AND 60")
+def _(spark, d):
+    return rounded(detection.discriminate(views.scene(spark, d).where("v > 120").select("y", "x"), 10.0, 10.0, 15.0, 60.0).drop("cluster"))
+
+
+@query("speckle_divergence", sql([SCENE, f"m AS ({window('avg(CASE WHEN b.v > 0.4 THEN b.v END) AS mean, stddev_samp(CASE WHEN b.v > 0.4 THEN b.v END) AS s', 7)})"], "y, x", {"divergence": "coalesce(s, 0) / mean - 0.3"}, "m"))
+def _(spark, d):
+    return rounded(detection.speckle_divergence(views.scene(spark, d), 7, 0.3))
+
+
+query("gabor")(lambda spark, d: rounded(detection.gabor(views.scene(spark, d))))
+
+
+@query("forest_area", f"WITH {SCENE}, {SECOND}, {BOTH}, m AS ({window('sum(b.a) AS sa, sum(b.b) AS sb, avg(b.a) AS ma', 5, source='p')}), r AS (SELECT y, x, 10 * log10(sa / sb) AS ratio, ma FROM m) SELECT y, x, round(ratio, 7) + 0.0 AS ratio, ratio BETWEEN -3 AND 3 AND ma > 20 AS forest FROM r")
+def _(spark, d):
+    return rounded(detection.forest_area(both(spark, d), 5, -3.0, 3.0, floor=20.0))
+
+
+@query("reactiv", f"WITH {STACK}, p AS (SELECT pixel, arg_max(epoch, (v, -epoch)) AS w, max(v) AS peak, stddev_pop(v) / avg(v) AS cv FROM stack GROUP BY pixel), s AS (SELECT avg(peak) AS mp, stddev_pop(peak) AS sp FROM p) SELECT pixel, round(0.9 * w / 63.0, 7) + 0.0 AS hue, round(greatest(0, least(1, (cv - 0.2286) / 1.616 + 0.25)), 7) + 0.0 AS saturation, round(least(1, peak / (mp + sp)), 7) + 0.0 AS value FROM p, s")
+def _(spark, d):
+    return rounded(detection.reactiv(views.stack(spark, d), ["pixel"], t="epoch"))
+
+
+query("robust_pca")(lambda spark, d: rounded(detection.robust_pca(views.stack(spark, d).where("epoch < 8").select(F.expr("pixel div 20").alias("y"), (F.col("pixel") % 20).alias("x"), "epoch", "v"))))
+query("forest_classes")(lambda spark, d: detection.forest_classes(both(spark, d), ["a", "b"], 20.0, 60.0))
+
+
+@query("wind_speed", f"WITH {SCENE}, m AS (SELECT k / 10.0 AS s, 0.004 * (k / 10.0) ** 1.2 AS m FROM (SELECT unnest(range(1, 201)) AS k)) SELECT y, x, round(CAST(arg_min(s, (abs(v / 1000 - m), s)) AS DOUBLE), 7) AS speed FROM scene, m GROUP BY y, x")
+def _(spark, d):
+    return rounded(detection.wind_speed(views.scene(spark, d).withColumn("v", F.col("v") / 1000)))
+
+
+# --- interferometry ---------------------------------------------------------------------
+
+
+@query("interferogram", sql([PAIR], "y, x", {"i": "i1 * i2 + q1 * q2", "q": "q1 * i2 - i1 * q2", "phase": "atan2(q1 * i2 - i1 * q2, i1 * i2 + q1 * q2)"}, "pair", "WHERE abs(q1 * i2 - i1 * q2) > 1e-9"))
+def _(spark, d):
+    return rounded(insar.interferogram(views.pair(spark, d)).where("abs(q) > 1e-9"))
+
+
+@query("interferogram_flattened", sql([PAIR, "f AS (SELECT *, 0.01 + 0.02 * y + 0.03 * x AS p FROM pair)", "g AS (SELECT *, i2 * cos(p) - q2 * sin(p) AS u, i2 * sin(p) + q2 * cos(p) AS w FROM f)"], "y, x", {"i": "i1 * u + q1 * w", "q": "q1 * u - i1 * w"}, "g"))
+def _(spark, d):
+    return rounded(insar.interferogram(views.pair(spark, d), insar.polynomial_phase([0.01, 0.02, 0.03], 1)).drop("phase"))
+
+
+@query("coherence", sql([PAIR, f"m AS ({window('sum(b.i1 * b.i2 + b.q1 * b.q2) AS re, sum(b.q1 * b.i2 - b.i1 * b.q2) AS im, sum(b.i1 * b.i1 + b.q1 * b.q1) AS pa, sum(b.i2 * b.i2 + b.q2 * b.q2) AS pb', 5, 3, 'pair')})"], "y, x", {"coherence": "CASE WHEN pa * pb > 0 THEN sqrt(re * re + im * im) / sqrt(pa * pb) ELSE 0 END"}, "m"))
+def _(spark, d):
+    return rounded(insar.coherence(views.pair(spark, d), 3, 5))
+
+
+@query("multi_master", sql(["e AS (SELECT epoch, event_id // 100 AS y, event_id % 100 AS x, value - 60 + epoch * (user_id % 7) / 3.1 AS i, CAST(json_extract(props, '$.k') AS DOUBLE) - 50 - epoch AS q FROM events, (SELECT unnest([1, 2, 3]) AS epoch))", "p AS (SELECT a.epoch AS pair, a.y, a.x, a.i * b.i + a.q * b.q AS i, a.q * b.i - a.i * b.q AS q, a.i * a.i + a.q * a.q AS pa, b.i * b.i + b.q * b.q AS pb FROM e a JOIN e b ON b.epoch = a.epoch + 1 AND a.y = b.y AND a.x = b.x)", "m AS (SELECT a.pair, a.y, a.x, any_value(a.i) AS i, any_value(a.q) AS q, sum(b.i) AS re, sum(b.q) AS im, sum(b.pa) AS sa, sum(b.pb) AS sb FROM p a JOIN p b ON a.pair = b.pair AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2, 3)"], "pair, y, x", {"i": "i", "q": "q", "coherence": "sqrt(re * re + im * im) / sqrt(sa * sb)"}, "m"))
+def _(spark, d):
+    e = views.read(spark, d, "events").withColumn("epoch", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    e = e.select("epoch", F.expr("event_id div 100").alias("y"), (F.col("event_id") % 100).alias("x"), (F.col("value") - 60 + F.col("epoch") * (F.col("user_id") % 7) / 3.1).alias("i"), (F.get_json_object("props", "$.k").cast("double") - 50 - F.col("epoch")).alias("q"), F.lit(0.0).alias("phase"))
+    pairs = insar.consecutive_pairs(spark.createDataFrame([(1,), (2,), (3,)], "epoch int")).withColumn("pair", F.col("ref"))
+    return rounded(insar.multi_master(e, pairs, 3).select("pair", "y", "x", "i", "q", "coherence"))
+
+
+@query("consecutive_pairs", "SELECT ref, sec FROM (SELECT d AS ref, lead(d) OVER (ORDER BY d) AS sec FROM (SELECT DISTINCT CAST(date_part('year', l_shipdate) AS INTEGER) AS d FROM lineitem)) WHERE sec IS NOT NULL")
+def _(spark, d):
+    return insar.consecutive_pairs(views.read(spark, d, "lineitem").select(F.year("l_shipdate").alias("epoch")))
+
+
+NATION = "a AS (SELECT n_nationkey AS epoch, n_nationkey * 12 AS day, n_regionkey * 37.5 - n_nationkey * 3.0 AS perp, n_regionkey * 11.0 AS doppler FROM nation)"
+
+
+@query("insar_overview", sql([NATION, "p AS (SELECT a.epoch AS ref, b.epoch AS sec, b.perp - a.perp AS perp, b.day - a.day AS days, b.doppler - a.doppler AS doppler FROM a JOIN a b ON a.epoch <> b.epoch)", "m AS (SELECT *, greatest(1 - abs(perp) / 1200, 0) * greatest(1 - abs(days) / 1000, 0) * greatest(1 - abs(doppler) / 900, 0) AS m FROM p)"], "ref, sec, days", {"perp": "perp", "doppler": "doppler", "modelled": "m", "reference_score": "avg(m) OVER (PARTITION BY ref)"}, "m"))
+def _(spark, d):
+    n = views.read(spark, d, "nation")
+    a = n.select(F.col("n_nationkey").alias("epoch"), (F.col("n_nationkey") * 12).alias("day"), (F.col("n_regionkey") * 37.5 - F.col("n_nationkey") * 3.0).alias("perp"), (F.col("n_regionkey") * 11.0).alias("doppler"))
+    return rounded(insar.overview(a))
+
+
+PHASES = "ph AS (SELECT event_id // 100 AS y, event_id % 100 AS x, value / 50 AS phase1, user_id / 300.0 AS phase2, value / 50 AS phase, user_id * 1.0 AS height, (event_id % 100) / 100.0 AS coherence FROM events)"
+
+
+def phases(spark, d):
+    e = views.read(spark, d, "events")
+    return e.select(F.expr("event_id div 100").alias("y"), (F.col("event_id") % 100).alias("x"), (F.col("value") / 50).alias("phase1"), (F.col("user_id") / 300.0).alias("phase2"), (F.col("value") / 50).alias("phase"), F.col("user_id").cast("double").alias("height"), ((F.col("event_id") % 100) / 100.0).alias("coherence"))
+
+
+@query("phase_to_displacement", sql([PHASES], "y, x", {"displacement": "-0.0555 / (4 * pi()) * phase"}, "ph"))
+def _(spark, d):
+    return rounded(insar.phase_to_displacement(phases(spark, d), 0.0555))
+
+
+@query("integer_interferogram", sql([PHASES], "y, x", {"i": "cos(2 * phase1 - phase2)", "q": "sin(2 * phase1 - phase2)"}, "ph"))
+def _(spark, d):
+    return rounded(insar.integer_interferogram(phases(spark, d), 2, -1))
+
+
+@query("horizontal_vertical", sql([PHASES, "k AS (SELECT -sin(radians(35)) * cos(radians(-10)) AS a11, cos(radians(35)) AS a12, -sin(radians(40)) * cos(radians(190)) AS a21, cos(radians(40)) AS a22)", "r AS (SELECT phase1 AS ra, phase2 AS rd FROM ph WHERE y = 0 AND x = 0)"], "y, x", {"east": "(a22 * (phase1 - ra) - a12 * (phase2 - rd)) / (a11 * a22 - a12 * a21)", "up": "(a11 * (phase2 - rd) - a21 * (phase1 - ra)) / (a11 * a22 - a12 * a21)"}, "ph, k, r"))
+def _(spark, d):
+    p = phases(spark, d)
+    return rounded(insar.horizontal_vertical(p.select("y", "x", F.col("phase1").alias("los")), p.select("y", "x", F.col("phase2").alias("los")), (35, 40), (-10, 190), (0, 0)))
+
+
+@query("empirical_tropo", sql([PHASES, "f AS (SELECT regr_slope(phase, height) AS b, regr_intercept(phase, height) AS a FROM ph WHERE y % 2 = 0 AND x % 2 = 0 AND coherence >= 0.3 AND height > 10)"], "y, x", {"phase": "phase - a - b * height"}, "ph, f"))
+def _(spark, d):
+    return rounded(insar.tropo(phases(spark, d), 0.3, 10.0, 2))
+
+
+@query("split_band_ionosphere", sql([PHASES], "y, x", {"ionosphere": "(phase1 * 1.3 - phase2 * 1.2) * 1.2 * 1.3 / (1.25 * (1.3 * 1.3 - 1.2 * 1.2))"}, "ph"))
+def _(spark, d):
+    return rounded(insar.split_band_ionosphere(phases(spark, d), 1.2, 1.3, 1.25, "phase1", "phase2"))
+
+
+DEM_PHASE = "(-2 * pi() * 20 * y * 0.001 - pi() * 300 * (y * 0.001) * (y * 0.001))"
+
+
+@query("demodulate", sql([CPLX], "y, x", {"i": f"i * cos({DEM_PHASE}) - q * sin({DEM_PHASE})", "q": f"i * sin({DEM_PHASE}) + q * cos({DEM_PHASE})"}, "cplx"))
+def _(spark, d):
+    return rounded(insar.demodulate(views.scene_cplx(spark, d), 20.0, 300.0, 0.001))
+
+
+@query("remodulate", sql([CPLX], "y, x", {"i": "i", "q": "q"}, "cplx"))
+def _(spark, d):
+    z = insar.demodulate(views.scene_cplx(spark, d), 20.0, 300.0, 0.001)
+    return rounded(insar.demodulate(z, 20.0, 300.0, 0.001, inverse=True))
+
+
+@query("topsar_deramp", sql([CPLX, "f AS (SELECT *, (y * 0.001 - 0.05) * (y * 0.001 - 0.05) * (-pi() * 1500) + (y * 0.001 - 0.05) * (-2 * pi() * 15) AS p FROM cplx)"], "y, x", {"i": "i * cos(p) - q * sin(p)", "q": "i * sin(p) + q * cos(p)"}, "f"))
+def _(spark, d):
+    return rounded(topsar.deramp(views.scene_cplx(spark, d), 1500.0, 15.0, 0.05, 0.001))
+
+
+@query("three_pass_dinsar", sql([CPLX, PHASES, "f AS (SELECT cplx.y, cplx.x, i, q, -(0.5 + 0.001 * cplx.y + 0.002 * cplx.x) * phase AS p FROM cplx JOIN ph ON cplx.y = ph.y AND cplx.x = ph.x)"], "y, x", {"i": "i * cos(p) - q * sin(p)", "q": "i * sin(p) + q * cos(p)"}, "f"))
+def _(spark, d):
+    return rounded(insar.three_pass(views.scene_cplx(spark, d), phases(spark, d).select("y", "x", "phase"), [0.5, 0.001, 0.002]))
+
+
+@query("phase_to_elevation", sql([PHASES, "s AS (SELECT arg_min({'p': phase, 'h': height}, (abs(phase2 - 1), y, x)) AS s FROM ph WHERE height > 0)"], "y, x", {"elevation": "s.h - 800000 * sin(0.6) / (4 * pi() / 0.0555 * 150) * (phase - s.p)"}, "ph, s"))
+def _(spark, d):
+    p = phases(spark, d).select("y", "x", "phase", F.lit(800000.0).alias("slant"), F.lit(0.6).alias("theta"), F.lit(150.0).alias("perp"), F.col("height").alias("dem"), F.abs(F.col("phase2") - 1).alias("slope"))
+    return rounded(insar.phase_to_elevation(p, 0.0555))
+
+
+@query("principal_components", sql([SCENE, SECOND, BOTH, "c AS (SELECT var_pop(a) AS s, var_pop(b) AS t, covar_pop(a, b) AS u FROM p)", "l AS (SELECT *, (s + t + sqrt((s - t) ** 2 + 4 * u * u)) / 2 AS l FROM c)", "n AS (SELECT *, CASE WHEN abs(u) > abs(l - s) THEN sign(u) ELSE 1 END AS sg, sqrt(u * u + (l - s) ** 2) AS nn FROM l)", "v AS (SELECT u / nn * sg AS va, (l - s) / nn * sg AS vb FROM n)", "z AS (SELECT y, x, (va * a + vb * b) * CASE WHEN greatest(va, vb) < abs(least(va, vb)) THEN -1 ELSE 1 END AS pc FROM p, v)"], "y, x", {"pc1": "pc - (SELECT min(pc) FROM z)"}, "z"))
+def _(spark, d):
+    out, _, _ = insar.principal_components(both(spark, d), ["a", "b"], 50.0)
+    return rounded(out.select("y", "x", "pc1"))
+
+
+query("goldstein")(lambda spark, d: rounded(insar.goldstein(views.scene_cplx(spark, d))))
+query("band_pass")(lambda spark, d: rounded(insar.band_pass(views.scene_cplx(spark, d), 0.1, 0.5, 1.0)))
+query("azimuth_filter")(lambda spark, d: rounded(insar.azimuth_filter(views.scene_cplx(spark, d), 30.0, 50.0, 400.0, 500.0)))
+query("range_filter")(lambda spark, d: rounded(insar.range_filter(views.scene_cplx(spark, d), 5.0, 60.0, 80.0)))
+
+
+@query("sbas_inversion")
+def _(spark, d):
+    st = views.stack(spark, d).where("epoch < 5")
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4), (0, 2), (2, 4), (0, 4)], "ref int, sec int")
+    a, b = (st.select("pixel", F.col("epoch").alias(k), F.col("v").alias(f"v_{k}")) for k in ("ref", "sec"))
+    obs = pairs.join(a, "ref").join(b, ["sec", "pixel"]).select(F.expr("pixel div 100").alias("y"), (F.col("pixel") % 100).alias("x"), "ref", "sec", (F.col("v_sec") - F.col("v_ref")).alias("phase"), F.lit(0.9).alias("coherence"))
+    out = insar.sbas(obs, [0, 12, 24, 36, 48], 2, 0.0555)
+    return rounded(out.select("y", "x", "velocity", "temporal_coherence", "pairs", *[F.col("phase")[k].alias(f"phase{k}") for k in range(5)]))
+
+
+ORACLE_SQL["sbas_inversion"] = sql([STACK, "p AS (SELECT pixel, list(v ORDER BY epoch) AS v FROM stack WHERE epoch < 5 GROUP BY pixel)", "q AS (SELECT pixel, list_transform(v, lambda z: z - v[3]) AS p, regr_s FROM (SELECT p.pixel, p.v, r.s AS regr_s FROM p JOIN (SELECT pixel, regr_slope(v, epoch * 12 / 365.25) AS s FROM stack WHERE epoch < 5 GROUP BY pixel) r USING (pixel)))"], "pixel // 100 AS y, pixel % 100 AS x, CAST(7 AS BIGINT) AS pairs", {"velocity": "-regr_s * 0.0555 / (4 * pi()) * 1000", "temporal_coherence": "1", **{f"phase{k}": f"p[{k + 1}]" for k in range(5)}}, "q")
+
+
+@query("phase_linking")
+def _(spark, d):
+    p = views.read(spark, d, "events").select(F.expr("event_id div 100").alias("y"), (F.col("event_id") % 100).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("epoch"), "value", "user_id")
+    z = p.where("y < 6").select("y", "x", "epoch", F.cos(F.col("epoch") * 0.4 + F.col("user_id") / 5000).alias("i"), F.sin(F.col("epoch") * 0.4 + F.col("user_id") / 5000).alias("q"))
+    out = insar.phase_linking(z, 4)
+    return rounded(out.select("y", "x", "temporal_coherence", *[F.col("phase")[k].alias(f"phase{k}") for k in range(4)]))
+
+
+@query("cross_correlation")
+def _(spark, d):
+    s = views.scene(spark, d).where("y < 64 and x < 96")
+    b = s.select((F.col("y") + 2).alias("y"), (F.col("x") + 3).alias("x"), F.col("v").alias("b"))
+    met = s.join(b, ["y", "x"], "left").select((F.expr("y div 32") * 3 + F.expr("x div 32")).alias("gcp"), (F.col("y") % 32).alias("y"), (F.col("x") % 32).alias("x"), F.col("v").alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"))
+    return rounded(insar.cross_correlation(met))
+
+
+@query("warp_fit", "SELECT CAST(k AS BIGINT) AS k, v[k] AS dy, w[k] AS dx FROM (SELECT unnest(range(1, 4)) AS k, [0.5, 0.01, -0.02] AS v, [-1.0, 0.0, 0.03] AS w)")
+def _(spark, d):
+    g = views.scene(spark, d).where("y % 5 = 0 and x % 5 = 0").select("y", "x", (0.5 + 0.01 * F.col("y") - 0.02 * F.col("x")).alias("dy"), (-1.0 + 0.03 * F.col("x")).alias("dx"))
+    cy, cx = insar.fit_warp(g)
+    return rounded(spark.createDataFrame([(k + 1, float(cy[k]), float(cx[k])) for k in range(3)], "k long, dy double, dx double"))
+
+
+@query("offset_velocity", sql(["g AS (SELECT event_id // 100 AS gy, event_id % 100 AS gx, value / 40 AS dy, user_id / 800.0 AS dx FROM events)", "h AS (SELECT *, sqrt((dy * 10) ** 2 + (dx * 10) ** 2) / 12 <= 3 AS ok FROM g)", "m AS (SELECT a.gy, a.gx, avg(b.dy) AS y, avg(b.dx) AS x FROM h a JOIN h b ON abs(a.gy - b.gy) <= 1 AND abs(a.gx - b.gx) <= 1 WHERE a.ok AND b.ok GROUP BY 1, 2)"], "g.gy, g.gx", {"velocity": "sqrt((m.y * 10) ** 2 + (m.x * 10) ** 2) / 12"}, "g LEFT JOIN m ON g.gy = m.gy AND g.gx = m.gx"))
+def _(spark, d):
+    e = views.read(spark, d, "events")
+    g = e.select(F.expr("event_id div 100").alias("gy"), (F.col("event_id") % 100).alias("gx"), (F.col("value") / 40).alias("dy"), (F.col("user_id") / 800.0).alias("dx"))
+    return rounded(insar.offset_velocity(g, 10.0, 10.0, 12.0, 3.0))
+
+
+# --- burst mode -------------------------------------------------------------------------
+
+BURSTS = "bu AS (SELECT y // 4 AS burst, y % 4 + 1 * (y // 4 > 0)::INT * 0 AS line, x, v FROM scene WHERE y < 12)"
+
+
+@query("topsar_split", f"WITH {SCENE} SELECT y, x, v FROM scene WHERE x < 50 AND y // 4 BETWEEN 1 AND 2")
+def _(spark, d):
+    s = views.scene(spark, d).withColumns({"swath": F.when(F.col("x") < 50, "IW1").otherwise("IW2"), "burst": F.expr("y div 4")})
+    return topsar.split(s, "IW1", 1, 2).select("y", "x", "v")
+
+
+@query("topsar_deburst", f"WITH {SCENE}, b AS (SELECT y // 6 AS burst, y % 6 + (y // 6) * 4 AS t, x, v FROM scene WHERE y < 18) SELECT t AS y, x, arg_max(v, burst) AS v FROM b WHERE (burst = 0 OR t > burst * 4 + 1) AND (burst = 2 OR t <= burst * 4 + 5) AND t < burst * 4 + 6 GROUP BY t, x")
+def _(spark, d):
+    s = views.scene(spark, d).where("y < 18").select(F.expr("y div 6").alias("burst"), (F.col("y") % 6).alias("line"), "x", "v")
+    bursts = spark.createDataFrame([(k, float(4 * k), float(4 * k + 6)) for k in range(3)], "burst long, first double, last double")
+    return topsar.deburst(s, bursts, 1.0)
+
+
+@query("topsar_merge", f"WITH {SCENE}, s AS (SELECT 1 AS w, y, x, v FROM scene WHERE x < 60 UNION ALL SELECT 2, y, x, v + 1 FROM scene WHERE x >= 40) SELECT y, x, v FROM s WHERE (w = 1 AND x < 50) OR (w = 2 AND x >= 50)")
+def _(spark, d):
+    s = views.scene(spark, d)
+    swaths = s.where("x < 60").withColumn("swath", F.lit(1)).unionByName(s.where("x >= 40").withColumns({"v": F.col("v") + 1, "swath": F.lit(2)}))
+    return topsar.merge(swaths, spark.createDataFrame([(1, 0, 49), (2, 50, 99)], "swath int, first long, last long"))
+
+
+@query("etad_deburst", "SELECT l_orderkey % 1000 AS y, l_partkey % 100 AS x, max((l_suppkey, l_linenumber)) AS s, arg_max(l_quantity, (l_suppkey, l_linenumber, l_orderkey, l_partkey)) AS v FROM lineitem GROUP BY 1, 2".replace("max((l_suppkey, l_linenumber)) AS s, ", ""))
+def _(spark, d):
+    line = views.read(spark, d, "lineitem")
+    layers = line.select((F.col("l_orderkey") % 1000).alias("y"), (F.col("l_partkey") % 100).alias("x"), F.col("l_suppkey").alias("swath"), F.struct("l_linenumber", "l_orderkey", "l_partkey").alias("burst"), F.col("l_quantity").alias("v"))
+    return topsar.etad_deburst(layers).select("y", "x", "v")
+
+
+@query("double_difference", sql([PAIR], "y, x", {"phase": "atan2(q2 * i1 - i2 * q1, i1 * i2 + q1 * q2)"}, "pair"))
+def _(spark, d):
+    return rounded(topsar.double_difference(views.pair(spark, d)))
+
+
+ESD = "b AS (SELECT event_id // 100 AS overlap, cos(0.3 + user_id / 2000.0) AS i, sin(0.3 + user_id / 2000.0) AS q, (event_id % 100) / 100.0 AS coherence FROM events)"
+
+
+def blocks(spark, d):
+    e = views.read(spark, d, "events")
+    p = 0.3 + F.col("user_id") / 2000.0
+    return e.select(F.expr("event_id div 100").alias("overlap"), F.cos(p).alias("i"), F.sin(p).alias("q"), ((F.col("event_id") % 100) / 100.0).alias("coherence"))
+
+
+@query("spectral_diversity", sql([ESD], "overlap", {"shift": "atan2(sum(q * coherence), sum(i * coherence)) / (2 * pi() * 4500 * 0.002)", "coherence": "avg(coherence)"}, "b", "GROUP BY overlap"))
+def _(spark, d):
+    return rounded(topsar.spectral_diversity(blocks(spark, d), 4500.0, 0.002))
+
+
+query("spectral_diversity_periodogram")(lambda spark, d: rounded(topsar.periodogram_shift(blocks(spark, d), 4500.0, 0.002)))
+
+
+@query("arc_integration", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 0.0::DOUBLE), (1, 0.1), (2, 0.3), (3, 0.2)) t(image, shift)")
+def _(spark, d):
+    x = topsar.integrate_arcs([(0, 1, 0.1, 1.0), (1, 2, 0.2, 1.0), (2, 3, -0.1, 1.0), (0, 2, 0.3, 2.0), (1, 3, 0.1, 1.0), (0, 3, 9.0, 1e-9)], 4, "L1")
+    return rounded(spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "image long, shift double"))
+
+
+@query("orbit_interpolation", sql(["t AS (SELECT event_id * 0.0103 AS t FROM events WHERE event_id < 1000)"], "", {"t": "t", "px": "7000 + 3 * t - 0.1 * t * t", "py": "t ** 3 * 0.01", "pz": "5 - t"}, "t"))
+def _(spark, d):
+    points = views.read(spark, d, "events").where("event_id < 1000").select((F.col("event_id") * 0.0103).alias("t"))
+    vectors = spark.createDataFrame([(float(t), 7000 + 3.0 * t - 0.1 * t * t, t**3 * 0.01, 5.0 - t) for t in range(-10, 21)], "t double, px double, py double, pz double")
+    return rounded(topsar.lagrange_orbit(points, vectors))
+
+
+# --- calibration ------------------------------------------------------------------------
+
+KNOTS = "k AS (SELECT p_size AS k, avg(p_retailprice) / 100 AS v FROM part GROUP BY 1)"
+
+
+@query("lut_asof", sql([SCENE, KNOTS, "iv AS (SELECT k, v, lead(k) OVER (ORDER BY k) AS k2, lead(v) OVER (ORDER BY k) AS v2 FROM k)", "ends AS (SELECT min(k) AS lo, max(k) AS hi, arg_min(v, k) AS vlo, arg_max(v, k) AS vhi FROM k)"], "y, x", {"lut": "CASE WHEN x / 1.5 <= lo THEN vlo WHEN x / 1.5 >= hi THEN vhi ELSE iv.v + (x / 1.5 - k) / (k2 - k) * (v2 - iv.v) END"}, "scene JOIN ends ON true LEFT JOIN iv ON x / 1.5 >= k AND x / 1.5 < k2"))
+def _(spark, d):
+    knots = views.read(spark, d, "part").groupBy(F.col("p_size").alias("k")).agg((F.avg("p_retailprice") / 100).alias("lut"))
+    pts = views.scene(spark, d).select("y", "x", (F.col("x") / 1.5).alias("at"))
+    return rounded(calibration.asof(pts, knots, "at", "k", "lut").select("y", "x", "lut"))
+
+
+@query("calibration_lut", sql([SCENE], "y, x", {"sigma": "v * v / ((100.3 + 2 * y + x) * (100.3 + 2 * y + x))"}, "scene", "WHERE y <= 100"))
+def _(spark, d):
+    lut = spark.createDataFrame([(y, x, 100.3 + 2 * y + x) for y in (0, 50, 100) for x in (0, 40, 80, 120)], "line long, pixel long, lut double")
+    s = calibration.lut_bilinear(views.scene(spark, d).where("y <= 100"), lut, "lut")
+    return rounded(calibration.calibrate(s, calibration.factor("lut_squared")))
+
+
+CAL = {
+    "decibel_constant": ({"k": -8.3}, "10 ** (-0.83)"),
+    "constant": ({"k": 0.02}, "0.02"),
+    "constant_sine": ({"k": 0.02}, "0.02 * sin(0.5 + x / 1000.0)"),
+    "centre_sine": ({"k": 0.02, "centre": 0.55}, "0.02 * sin(0.55)"),
+    "sine_ratio": ({"k": 50.0, "centre": 0.55}, "sin(0.5 + x / 1000.0) / (50 * sin(0.55))"),
+    "reference_range": ({"range": 8.0, "exponent": 2.0, "reference": 0.5, "rescale": 3.0, "k": 100.0}, "8.0 ** 4 * sin(0.5) / (9 * 100)"),
+    "inverse_square": ({"k": 7.0}, "1 / 49.0"),
+}
+for _name, (_args, _sql) in CAL.items():
+    query(f"calibration_{_name}", sql([SCENE], "y, x", {"sigma": f"v * v * {_sql}"}, "scene"))(lambda spark, d, k=_name, a=_args: rounded(calibration.calibrate(views.scene(spark, d).withColumn("theta", 0.5 + F.col("x") / 1000.0), calibration.factor(k, **a))))
+
+
+@query("calibration_db", sql([SCENE], "y, x", {"sigma": "10 * log10(greatest(v * v * 0.02, 1e-30))"}, "scene"))
+def _(spark, d):
+    return rounded(calibration.calibrate(views.scene(spark, d), F.lit(0.02), decibel=True))
+
+
+@query("calibration_complex", sql([CPLX], "y, x", {"i": "i * sqrt(0.02)", "q": "q * sqrt(0.02)"}, "cplx"))
+def _(spark, d):
+    return rounded(calibration.calibrate(views.scene_cplx(spark, d), F.lit(0.02), unit="complex", phase=True))
+
+
+@query("thermal_noise", sql([SCENE, "n AS (SELECT *, (x % 10) * 50 AS noise FROM scene)"], "y, x", {"v": "CASE WHEN noise = 0 THEN v * v ELSE greatest(v * v - noise, 0) END"}, "n"))
+def _(spark, d):
+    return rounded(calibration.remove_noise(views.scene(spark, d).withColumn("noise", F.col("x") % 10 * 50)))
+
+
+@query("border_noise", f"WITH {SCENE}, e AS (SELECT max(y) AS my, max(x) AS mx FROM scene) SELECT y, x, CASE WHEN (y < 3 OR x < 3 OR y > my - 3 OR x > mx - 3) AND (sqrt(greatest(v * v - 100, 0)) < 20 OR v < 30) THEN NULL ELSE v END AS v FROM scene, e")
+def _(spark, d):
+    return calibration.border_noise(views.scene(spark, d).withColumn("noise", F.lit(100.0)), 3, 20.0)
+
+
+@query("antenna_pattern", sql([SCENE], "y, x", {"v": "v / ((1 + x / 200.0) * (1 + x / 200.0))"}, "scene"))
+def _(spark, d):
+    gains = spark.createDataFrame([(x, 1 + x / 200.0) for x in range(100)], "x long, gain double")
+    return rounded(calibration.antenna_pattern(views.scene(spark, d), gains))
+
+
+@query("lut_inversion", sql([SCENE, "l AS (SELECT k * 2.0 AS s, k * 0.01 AS rdc FROM (SELECT unnest(range(0, 100)) AS k))", "r AS (SELECT y, x, rdc, row_number() OVER (PARTITION BY y, x ORDER BY (s - v) * (s - v), rdc) AS n FROM scene, l)"], "y, x", {"rdc": "avg(rdc)"}, "r WHERE n <= 3", "GROUP BY y, x"))
+def _(spark, d):
+    lut = spark.createDataFrame([(k * 2.0, k * 0.01) for k in range(100)], "v double, rdc double")
+    return rounded(calibration.nearest_neighbours(views.scene(spark, d), lut, ["v"], ["rdc"], 3).select("y", "x", "rdc"))
+
+
+# --- polarimetry ------------------------------------------------------------------------
+
+
+@query("matrix_c3", sql([QUAD, C3], "y, x", {k: k for k in ("c11", "c22", "c33", "c13_re", "c13_im")}, "c3"))
+def _(spark, d):
+    return rounded(polarimetry.matrix(views.quad(spark, d), "C3").select("y", "x", "c11", "c22", "c33", "c13_re", "c13_im"))
+
+
+@query("matrix_c2", sql([QUAD, C2], "y, x", {k: k for k in ("c11", "c22", "c12_re", "c12_im")}, "c2"))
+def _(spark, d):
+    return rounded(polarimetry.matrix(views.quad(spark, d), "C2"))
+
+
+@query("matrix_t3", sql([QUAD, K3, T3], "y, x", {k: k for k in ("t11", "t22", "t33", "t12_re", "t12_im", "t13_re", "t13_im", "t23_re", "t23_im")}, "t3"))
+def _(spark, d):
+    return rounded(polarimetry.matrix(views.quad(spark, d), "T3"))
+
+
+@query("matrix_c4", sql([QUAD], "y, x", {"c11": "hh_i * hh_i + hh_q * hh_q", "c14_re": "hh_i * vv_i + hh_q * vv_q", "c23_im": "hv_q * vh_i - hv_i * vh_q", "c44": "vv_i * vv_i + vv_q * vv_q"}, "quad"))
+def _(spark, d):
+    return rounded(polarimetry.matrix(views.quad(spark, d), "C4").select("y", "x", "c11", "c14_re", "c23_im", "c44"))
+
+
+query("matrix_t4")(lambda spark, d: rounded(polarimetry.matrix(views.quad(spark, d), "T4")))
+
+
+@query("pauli", sql([QUAD], "y, x", {"pauli_r": "10 * log10(greatest(((hh_i - vv_i) ** 2 + (hh_q - vv_q) ** 2) / 2, 1e-15))", "pauli_g": "10 * log10(greatest(((hv_i + vh_i) ** 2 + (hv_q + vh_q) ** 2) / 2, 1e-15))", "pauli_b": "10 * log10(greatest(((hh_i + vv_i) ** 2 + (hh_q + vv_q) ** 2) / 2, 1e-15))"}, "quad"))
+def _(spark, d):
+    return rounded(polarimetry.pauli(views.quad(spark, d)))
+
+
+@query("sinclair", sql([QUAD], "y, x", {"sinclair_r": "10 * log10(greatest(vv_i ** 2 + vv_q ** 2, 1e-15))", "sinclair_g": "10 * log10(greatest(((hv_i + vh_i) / 2) ** 2 + ((hv_q + vh_q) / 2) ** 2, 1e-15))", "sinclair_b": "10 * log10(greatest(hh_i ** 2 + hh_q ** 2, 1e-15))"}, "quad"))
+def _(spark, d):
+    return rounded(polarimetry.sinclair(views.quad(spark, d)))
+
+
+def c3(spark, d):
+    return polarimetry.matrix(views.quad(spark, d), "C3")
+
+
+def t3(spark, d):
+    return polarimetry.matrix(views.quad(spark, d), "T3")
+
+
+def c2(spark, d):
+    return polarimetry.matrix(views.quad(spark, d), "C2")
+
+
+@query("van_zyl", sql([QUAD, C3, "z AS (SELECT *, sqrt((c33 / c11 - 1) ** 2 + 4 * (c13_re ** 2 + c13_im ** 2) / c11 ** 2) AS r FROM c3)"], "y, x", {"surface": "c11 / 2 * (c33 / c11 + 1 + r)", "double": "c11 / 2 * (c33 / c11 + 1 - r)", "volume": "c22"}, "z"))
+def _(spark, d):
+    return rounded(polarimetry.van_zyl(c3(spark, d)))
+
+
+@query("generalized_freeman_durden", sql([QUAD, K3, T3, "z AS (SELECT *, t11 - 2 * t33 + t22 - t33 AS s, t11 - 2 * t33 - t22 + t33 AS dd FROM t3)"], "y, x", {"ms": "(s + sqrt(dd * dd + 4 * (t12_re ** 2 + t12_im ** 2))) / 2", "md": "(s - sqrt(dd * dd + 4 * (t12_re ** 2 + t12_im ** 2))) / 2", "pv": "4 * t33"}, "z"))
+def _(spark, d):
+    return rounded(polarimetry.generalized_freeman_durden(t3(spark, d)))
+
+
+@query("huynen", sql([QUAD, K3, T3], "y, x", {"a0_2": "t11", "b0": "(t12_re ** 2 + t12_im ** 2 + t13_re ** 2 + t13_im ** 2) / (2 * t11)", "b": "(t12_re ** 2 + t12_im ** 2 - t13_re ** 2 - t13_im ** 2) / (2 * t11)", "e": "(t12_re * t13_re + t12_im * t13_im) / t11", "f": "(t12_re * t13_im - t12_im * t13_re) / t11"}, "t3"))
+def _(spark, d):
+    return rounded(polarimetry.huynen(t3(spark, d)))
+
+
+query("freeman_durden")(lambda spark, d: rounded(polarimetry.freeman_durden(c3(spark, d))))
+query("krogager")(lambda spark, d: rounded(polarimetry.krogager(views.quad(spark, d))))
+query("yamaguchi")(lambda spark, d: rounded(polarimetry.yamaguchi(t3(spark, d))))
+query("cloude")(lambda spark, d: rounded(polarimetry.cloude(polarimetry.averaged(t3(spark, d), 3, "t", 5))))
+query("touzi")(lambda spark, d: rounded(polarimetry.touzi(polarimetry.averaged(t3(spark, d), 3, "t", 5))))
+query("mf3cf")(lambda spark, d: rounded(polarimetry.mf3cf(polarimetry.averaged(t3(spark, d), 3, "t", 5))))
+query("mf4cf")(lambda spark, d: rounded(polarimetry.mf4cf(polarimetry.averaged(t3(spark, d), 3, "t", 5))))
+query("h_a_alpha")(lambda spark, d: rounded(polarimetry.h_a_alpha(polarimetry.averaged(t3(spark, d), 3, "t", 5)).drop("alpha")))
+query("polarimetric_parameters")(lambda spark, d: rounded(polarimetry.parameters(polarimetry.averaged(t3(spark, d), 3, "t", 5))))
+query("faraday_rotation")(lambda spark, d: rounded(polarimetry.faraday(views.quad(spark, d), 5)))
+query("orientation_angle")(lambda spark, d: rounded(polarimetry.orientation(t3(spark, d))))
+query("snr_correction")(lambda spark, d: rounded(polarimetry.snr_correction(views.quad(spark, d), 5)))
+query("h_alpha_zones")(lambda spark, d: polarimetry.h_alpha_zones(polarimetry.averaged(t3(spark, d), 3, "t", 5)))
+
+
+@query("channel_parameters", sql([QUAD, C3], "y, x", {"span": "2 * (c11 + c33 + c22)", "rfdi": "(c11 - c22 / 2) / (c11 + c22 / 2)", "csi": "c33 / (c11 + c33)", "vsi": "c22 / 2 / (c22 / 2 + (c11 + c33) / 2)", "bmi": "(c11 + c33) / 2", "hhvv_ratio": "c11 / c33", "hvhh_ratio": "c22 / 2 / c11", "coherence": "sqrt(c13_re ** 2 + c13_im ** 2) / sqrt(c11 * c33)", "phase": "atan2(c13_im, c13_re)"}, "c3"))
+def _(spark, d):
+    return rounded(polarimetry.channel_parameters(c3(spark, d)))
+
+
+@query("matrix_boxcar", sql([QUAD, C2, f"m AS ({window('avg(b.c11) AS c11, avg(b.c22) AS c22, avg(b.c12_re) AS c12_re, avg(b.c12_im) AS c12_im', 3, source='c2')})"], "y, x", {k: k for k in ("c11", "c12_re", "c12_im", "c22")}, "m"))
+def _(spark, d):
+    return rounded(polarimetry.averaged(c2(spark, d), 2, "c", 3))
+
+
+@query("stokes", sql([QUAD, C2, STOKES], "y, x", {"g0": "g0", "g1": "g1", "g2": "g2", "g3": "g3", "m": "pol / g0", "linear": "sqrt(g1 ** 2 + g2 ** 2) / g0", "cpr": "(g0 - g3) / (g0 + g3)", "lpr": "(g0 - g1) / (g0 + g1)", "delta": "atan2(g3, g2)", "chi": "CASE WHEN pol > 0 THEN asin(greatest(-1, least(1, -g3 / pol))) / 2 ELSE 0 END", "psi": "atan2(g2, g1) / 2"}, "st WHERE abs(g3) > 1e-9"))
+def _(spark, d):
+    return rounded(polarimetry.stokes(c2(spark, d)).where("abs(g3) > 1e-9"))
+
+
+@query("compact_m_delta", sql([QUAD, C2, STOKES], "y, x", {"a": "sqrt(greatest(pol * (1 - sin(atan2(g3, g2))) / 2, 0))", "b": "sqrt(greatest(pol * (1 + sin(atan2(g3, g2))) / 2, 0))", "random": "sqrt(greatest((1 - pol / g0) * g0, 0))"}, "st", digits=4))
+def _(spark, d):
+    return rounded(polarimetry.compact(c2(spark, d), "m_delta"), 4)
+
+
+query("compact_m_chi")(lambda spark, d: rounded(polarimetry.compact(c2(spark, d), "m_chi")))
+query("compact_m_alpha")(lambda spark, d: rounded(polarimetry.compact(c2(spark, d), "m_alpha")))
+query("compact_h_alpha")(lambda spark, d: rounded(polarimetry.h_a_alpha(polarimetry.averaged(c2(spark, d), 2, "c", 5), 2, "c")))
+query("compact_mf3cc")(lambda spark, d: rounded(polarimetry.mf3cc(c2(spark, d))))
+query("compact_simulation")(lambda spark, d: rounded(polarimetry.simulate_compact(views.quad(spark, d))))
+query("compact_vegetation_index")(lambda spark, d: rounded(polarimetry.compact_vegetation(polarimetry.averaged(c2(spark, d), 2, "c", 5))))
+
+
+@query("dual_pol_ratio_indices", sql([QUAD, C2], "y, x", {"rfdi": "CASE WHEN c11 + c22 > 0 AND c11 > 0 THEN (c11 - c22) / (c11 + c22) END", "cross_ratio": "CASE WHEN c11 > 0 THEN c22 / c11 END", "cross_ratio_db": "CASE WHEN c11 > 0 AND c22 > 0 THEN 10 * log10(c22 / c11) END", "span": "c11 + c22"}, "c2"))
+def _(spark, d):
+    return rounded(polarimetry.ratio_indices(c2(spark, d)))
+
+
+@query("radar_vegetation_index", sql([QUAD, C2, f"m AS ({window('avg(b.c11) AS c11, avg(b.c22) AS c22, avg(b.c12_re) AS re, avg(b.c12_im) AS im', 5, source='c2')})", "r AS (SELECT *, c11 + c22 AS s FROM m)"], "y, x", {"rvi": "1 - sqrt(greatest(1 - 4 * (c11 * c22 - re * re - im * im) / (s * s), 0)) * (s + sqrt((c11 - c22) ** 2 + 4 * (re * re + im * im))) / 2 / s"}, "r"))
+def _(spark, d):
+    return rounded(polarimetry.radar_vegetation(polarimetry.averaged(c2(spark, d), 2, "c", 5)))
+
+
+@query("dual_pol_y3", sql([QUAD, C2], "y, x", {"surface": "CASE WHEN c12_re >= 0 THEN greatest(c11 - 3 * c22, 0) ELSE 0 END", "double": "CASE WHEN c12_re < 0 THEN greatest(c11 - 3 * c22, 0) ELSE 0 END", "volume": "least(6 * c22, c11 + c22)"}, "c2"))
+def _(spark, d):
+    return rounded(polarimetry.y3(c2(spark, d)))
+
+
+@query("builtup_index", sql([QUAD, C2, STOKES, "q AS (SELECT quantile_cont(abs(g1), [0.05, 0.95]) AS q1, quantile_cont(abs(g2), [0.05, 0.95]) AS q2, quantile_cont(abs(g3), [0.05, 0.95]) AS q3 FROM st)"], "y, x", {"builtup": "sqrt((" + " + ".join(f"(least(greatest(abs(g{k}), q{k}[1]), q{k}[2]) / q{k}[2]) ** 2" for k in (1, 2, 3)) + ") / 3)"}, "st, q"))
+def _(spark, d):
+    return rounded(polarimetry.builtup_index(c2(spark, d)))
+
+
+query("surface_index")(lambda spark, d: rounded(polarimetry.surface_index(polarimetry.averaged(c2(spark, d), 2, "c", 5))))
+
+
+@query("polarimetric_change")
+def _(spark, d):
+    a = polarimetry.averaged(c2(spark, d), 2, "c", 5)
+    b = a.withColumns({"c11": F.col("c11") * (1 + F.col("x") % 3), "c22": F.col("c22") * (1 + F.col("x") % 3)})
+    return rounded(polarimetry.change_test(a, b, 5.0))
+
+
+@query("h_alpha_wishart")
+def _(spark, d):
+    t = polarimetry.averaged(t3(spark, d), 3, "t", 5)
+    return polarimetry.wishart(t, polarimetry.h_alpha_zones(t))
+
+
+@query("supervised_wishart")
+def _(spark, d):
+    centres = {1: np.diag([4.0, 1.0, 0.5]).astype(complex), 2: np.diag([1.0, 4.0, 0.5]).astype(complex), 3: np.diag([1.0, 1.0, 2.0]).astype(complex)}
+    return polarimetry.supervised_wishart(t3(spark, d), centres, 5)
+
+
+# --- streams ----------------------------------------------------------------------------
+
+query("stream_multilook", ORACLE_SQL["multilook"])(streams.multilook)
