@@ -449,3 +449,32 @@ def supervised_wishart(t3: DataFrame, centres: dict[int, np.ndarray], size: int)
     cost = F.array(*[_wishart(c) for c in centres.values()])
     at = (F.array_position(cost, F.array_min(cost)) - 1).cast("int")
     return df.select("y", "x", F.get(F.array(*[F.lit(k) for k in centres]), at).alias("class"))
+
+
+def dual_pol_powers(df: DataFrame, factorised: bool = False) -> DataFrame:
+    """Surface, dihedral and diffuse power from g0, the degree of polarisation, and the built-up (rbi) and surface (rsi) indices.
+
+    Decomposed, the polarised power is shared by the angle midway between those of the two indices;
+    factorised, the larger index takes its share of the power first.
+    """
+    g0, rbi, rsi = F.col("g0"), F.col("rbi"), F.col("rsi")
+    if factorised:
+        ps = F.when(rsi > rbi, g0 * rsi).otherwise(g0 * (1 - rbi) * rsi)
+        pd_ = F.when(rsi > rbi, g0 * (1 - rsi) * rbi).otherwise(g0 * rbi)
+        return df.select("y", "x", ps.alias("surface"), pd_.alias("double"), (g0 - ps - pd_).alias("rest"))
+    angle = F.atan2(rbi, 1 - rbi) + F.atan2(1 - rsi, rsi)
+    half = F.col("dop") * g0 / 2
+    return df.select("y", "x", (half * (1 + F.cos(angle))).alias("surface"), (half * (1 - F.cos(angle))).alias("double"), ((1 - F.col("dop")) * g0).alias("rest"))
+
+
+def cameron(df: DataFrame) -> DataFrame:
+    """Degree of symmetry (radians) and orientation of the largest symmetric part of the scattering matrix."""
+    hh, hv, vh, vv = (_s(p) for p in POLS)
+    r = math.sqrt(0.5)
+    a, b, c = (hh + vv) * r, (hh - vv) * r, (hv + vh) * r
+    re = (b * c.conj()).re * 2
+    chi = 0.5 * F.atan2(re, b.power() - c.power())
+    sym = b * F.cos(chi) + c * F.sin(chi)
+    size = F.sqrt(a.power() + b.power() + c.power())
+    share = F.when(size > 0, F.sqrt(a.power() + sym.power()) / size).otherwise(0.0)
+    return df.select("y", "x", F.acos(F.least(share, F.lit(1.0))).alias("tau"), (-0.5 * chi).alias("psi"))

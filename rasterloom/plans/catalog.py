@@ -12,8 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import calibration, detection, filters, insar, polarimetry, raster, topsar
-from ..sources import views
+from ..operators import calibration, detection, filters, geometry, insar, polarimetry, raster, topsar
+from ..sources import formats, views
 from ..streaming import events as streams
 
 DIGITS = 7
@@ -758,6 +758,71 @@ def _(spark, d):
     return polarimetry.supervised_wishart(t3(spark, d), centres, 5)
 
 
+query("cameron")(lambda spark, d: rounded(polarimetry.cameron(views.quad(spark, d)), 4))
+
+DPX = "dp AS (SELECT event_id // 100 AS y, event_id % 100 AS x, value AS g0, user_id / 1600.0 AS rbi, (event_id % 97) / 97.0 AS rsi, (event_id % 89) / 89.0 AS dop FROM events)"
+
+
+def dp(spark, d):
+    e = views.read(spark, d, "events")
+    return e.select(F.expr("event_id div 100").alias("y"), (F.col("event_id") % 100).alias("x"), F.col("value").alias("g0"), (F.col("user_id") / 1600.0).alias("rbi"), (F.col("event_id") % 97 / 97.0).alias("rsi"), (F.col("event_id") % 89 / 89.0).alias("dop"))
+
+
+@query("dual_pol_decomposition", sql([DPX, "a AS (SELECT *, atan2(rbi, 1 - rbi) + atan2(1 - rsi, rsi) AS an FROM dp)"], "y, x", {"surface": "dop * g0 / 2 * (1 + cos(an))", "double": "dop * g0 / 2 * (1 - cos(an))", "rest": "(1 - dop) * g0"}, "a"))
+def _(spark, d):
+    return rounded(polarimetry.dual_pol_powers(dp(spark, d)))
+
+
+@query("dual_pol_factorization", sql([DPX, "a AS (SELECT *, CASE WHEN rsi > rbi THEN g0 * rsi ELSE g0 * (1 - rbi) * rsi END AS ps, CASE WHEN rsi > rbi THEN g0 * (1 - rsi) * rbi ELSE g0 * rbi END AS pd FROM dp)"], "y, x", {"surface": "ps", "double": "pd", "rest": "g0 - ps - pd"}, "a"))
+def _(spark, d):
+    return rounded(polarimetry.dual_pol_powers(dp(spark, d), factorised=True))
+
+
+# --- geometry ---------------------------------------------------------------------------
+
+SENSOR = geometry.Sensor(0.0, 0.0148, 761_577.0, 31.0)
+
+
+def orbit(spark, east=-300_000.0):
+    """A straight pass to the north, west of 45 N 7 E."""
+    g = geometry.ecef(np.array([45.0]), np.array([7.0]), np.array([0.0]))[0]
+    up = g / np.linalg.norm(g)
+    east_ = np.array([-math.sin(math.radians(7)), math.cos(math.radians(7)), 0.0])
+    north = np.cross(up, east_)
+    rows = [(float(t), *(float(v) for v in g + 700_000 * up + east * east_ + 7500 * t * north)) for t in range(-10, 31)]
+    return spark.createDataFrame(rows, "t double, px double, py double, pz double")
+
+
+def terrain(spark, d):
+    return views.scene(spark, d).select("y", "x", (45 + F.col("y") * 0.001).alias("lat"), (7 + F.col("x") * 0.001).alias("lon"), F.col("v").alias("h"))
+
+
+query("terrain_correction")(lambda spark, d: rounded(geometry.terrain_correction(terrain(spark, d), views.scene(spark, d), orbit(spark), SENSOR).select("y", "x", "line", "sample", "v"), 3))
+query("ellipsoid_correction")(lambda spark, d: rounded(geometry.ellipsoid_correction(terrain(spark, d), views.scene(spark, d), orbit(spark), SENSOR).select("y", "x", "line", "sample", "v"), 3))
+query("dem_coregistration")(lambda spark, d: rounded(geometry.coregister(terrain(spark, d), views.scene(spark, d), orbit(spark), orbit(spark, -300_200.0), SENSOR, SENSOR).select("y", "x", "dy", "dx", "v"), 3))
+query("sar_simulation")(lambda spark, d: rounded(geometry.simulate(terrain(spark, d), orbit(spark), SENSOR, 8700.0), 3))
+query("terrain_flattening")(lambda spark, d: rounded(geometry.terrain_flattening(views.scene(spark, d), terrain(spark, d), orbit(spark), SENSOR, 8700.0, 8700.0), 3))
+query("update_geo_reference")(lambda spark, d: rounded(geometry.geo_reference(terrain(spark, d), orbit(spark), SENSOR), 6))
+
+
+@query("deskew", f"WITH {SCENE} SELECT y + CAST(floor(0.5 + 0.03 * x + 0.5) AS BIGINT) AS y, x, v FROM scene")
+def _(spark, d):
+    return geometry.deskew(views.scene(spark, d), (0.5, 0.03))
+
+
+@query("deburst_scan", sql([SCENE, "l AS (SELECT y AS line, x, v, CASE WHEN y % 3 = 2 THEN y - 1.9 ELSE y * 1.0 END AS t FROM scene)"], "CAST(floor(t / 0.5 + 0.5) AS BIGINT) AS y, x", {"v": "avg(v)"}, "l WHERE v <> 0", "GROUP BY 1, 2"))
+def _(spark, d):
+    s = views.scene(spark, d)
+    times = s.select(F.col("y").alias("line")).distinct().withColumn("t", F.when(F.col("line") % 3 == 2, F.col("line") - 1.9).otherwise(F.col("line") * 1.0))
+    return rounded(geometry.deburst_scan(s.withColumnRenamed("y", "line"), times, 0.5))
+
+
+@query("bsq_encode")
+def _(spark, d):
+    tiles = formats.encode_bsq(views.scene(spark, d), ["v"], 64)
+    return tiles.select("ty", "tx", F.length("content").alias("bytes"), F.crc32("content").alias("crc"))
+
+
 # --- streams ----------------------------------------------------------------------------
 
 query("stream_multilook", ORACLE_SQL["multilook"])(streams.multilook)

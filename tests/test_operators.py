@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import calibration, detection, filters, insar, polarimetry, raster, topsar
+from rasterloom.operators import calibration, detection, filters, geometry, insar, polarimetry, raster, topsar
+from rasterloom.plans import catalog
+from rasterloom.sources import formats
 
 
 def ramp(spark, height=4, width=16):
@@ -116,3 +118,29 @@ def test_empty_scene(spark):
     assert raster.multilook(empty, 2, 2).count() == 0
     assert filters.boxcar(empty, 3).count() == 0
     assert detection.clusters(empty.select("y", "x")).count() == 0
+
+
+def test_zero_doppler_of_a_straight_pass(spark):
+    o = geometry.orbit_of(catalog.orbit(spark))
+    g = geometry.ecef(np.array([45.0, 45.2, 45.4]), np.array([7.0, 7.1, 7.3]), np.array([0.0, 500.0, 1000.0]))
+    t, r = o.zero_doppler(g)
+    p0, v = o.at(np.zeros(1))
+    want = ((g - p0) * v).sum(-1) / (v * v).sum(-1)
+    assert t == pytest.approx(want, abs=1e-6)
+    assert r == pytest.approx(np.linalg.norm(g - p0 - want[:, None] * v, axis=-1), abs=1e-3)
+    assert np.isnan(o.zero_doppler(geometry.ecef(np.array([-45.0]), np.array([7.0]), np.array([0.0])))[0]).all()
+
+
+def test_resampling_reproduces_a_plane(spark):
+    image = ramp(spark, 6, 6).withColumn("v", F.col("y") * 10.0 + F.col("x"))
+    places = spark.createDataFrame([(0, 0, 1.25, 2.5), (0, 1, 4.0, 5.0), (0, 2, 5.5, 1.0), (0, 3, None, None)], "y long, x long, line double, sample double")
+    got = {r["x"]: r["v"] for r in geometry.resample(places, image).collect()}
+    assert got[0] == pytest.approx(15.0) and got[1] == pytest.approx(45.0) and got[2] is None and got[3] is None
+
+
+def test_binary_rasters_round_trip(spark, tmp_path):
+    tile = formats.encode_bsq(ramp(spark, 4, 4), ["v"], 4).first()
+    (tmp_path / "a.img").write_bytes(tile["content"])
+    meta = formats.header(tile["header"])
+    got = {(r["y"], r["x"]): r["v"] for r in formats.read_bsq(spark, str(tmp_path / "a.img"), meta, ["v"]).collect()}
+    assert got == {(r["y"], r["x"]): r["v"] for r in ramp(spark, 4, 4).collect()}
