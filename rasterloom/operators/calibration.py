@@ -96,3 +96,18 @@ def nearest_neighbours(df: DataFrame, table: DataFrame, columns: Sequence[str],
         return F.aggregate("_n", F.lit(0.0), lambda a, r: a + r[v]) / F.size("_n")
 
     return df.select("*", near.alias("_n")).select(*df.columns, *[mean(v).alias(v) for v in values])
+
+
+def soil_moisture(df: DataFrame, coefficients: Sequence[float], low: float = 0.0, high: float = 0.55) -> DataFrame:
+    """Volumetric moisture from a real dielectric constant (rdc) by a quadratic soil model with clay and sand shares.
+
+    The model is rdc = a + b m + c m², each of a, b, c linear in sand and clay (nine coefficients); the root
+    within [low, high] is taken. quality: 0 found, 1 no constant, 2 no soil, 3 no root in the range.
+    """
+    k = [float(v) for v in coefficients]
+    term = lambda i: k[i] + k[i + 1] * F.col("sand") + k[i + 2] * F.col("clay")
+    a, b, c = term(0) - F.col("rdc"), term(3), term(6)
+    root = (-b + F.sqrt(F.greatest(b * b - 4 * a * c, F.lit(0.0)))) / (2 * c)
+    ok = root.between(low, high) & (b * b - 4 * a * c >= 0)
+    quality = F.when(F.col("rdc").isNull(), 1).when(F.col("sand").isNull() | F.col("clay").isNull(), 2).when(~ok, 3).otherwise(0)
+    return df.select("y", "x", F.when(quality == 0, root).alias("moisture"), quality.alias("quality"))

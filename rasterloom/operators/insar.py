@@ -373,3 +373,43 @@ def offset_velocity(gcps: DataFrame, spacing_y: float, spacing_x: float, days: f
     s = box_sums(grid, {"sy": F.col("dy"), "sx": F.col("dx"), "n": F.when(F.col("ok"), 1.0)}, size).where("ok")
     mean = s.select(F.col("y").alias("gy"), F.col("x").alias("gx"), (F.col("sy") / F.col("n")).alias("my"), (F.col("sx") / F.col("n")).alias("mx"))
     return gcps.select("gy", "gx").join(mean, ["gy", "gx"], "left").select("gy", "gx", v(F.col("my"), F.col("mx")).alias("velocity"))
+
+
+def topo_phase_removal(ifg: DataFrame, located: DataFrame, wavelength: float) -> DataFrame:
+    """Turn an interferogram back by the phase of the terrain's range difference.
+
+    located: y, x, range1, range2: slant ranges of each pixel's terrain point in both acquisitions.
+    """
+    met = ifg.join(located, ["y", "x"])
+    phase = 4 * math.pi / wavelength * (F.col("range1") - F.col("range2"))
+    z = Cx.of("i", "q") * Cx.turn(phase)
+    return met.select("y", "x", z.re.alias("i"), z.im.alias("q"))
+
+
+def cross_resample(df: DataFrame, line: Sequence[float], sample: Sequence[float]) -> DataFrame:
+    """Nearest-sample resampling by degree-one polynomials of (y, x) for source line and sample."""
+    at = lambda c: F.floor(float(c[0]) + float(c[1]) * F.col("y") + float(c[2]) * F.col("x") + 0.5).cast("long")
+    places = df.select("y", "x", at(line).alias("sy"), at(sample).alias("sx"))
+    return places.join(df.select(F.col("y").alias("sy"), F.col("x").alias("sx"), "v"), ["sy", "sx"]).select("y", "x", "v")
+
+
+def unwrapping_export(df: DataFrame, coherence_: DataFrame) -> DataFrame:
+    """What an external unwrapper needs: wrapped phase and coherence per pixel of one grid."""
+    return df.select("y", "x", F.atan2("q", "i").alias("phase")).join(coherence_.select("y", "x", "coherence"), ["y", "x"])
+
+
+def unwrapping_import(wrapped: DataFrame, unwrapped: DataFrame) -> DataFrame:
+    """Unwrapped phase back on the interferogram's grid, with the whole turns it adds."""
+    met = wrapped.select("y", "x", F.col("phase").alias("wrapped")).join(unwrapped.select("y", "x", F.col("phase").alias("unwrapped")), ["y", "x"])
+    return met.withColumn("turns", F.round((F.col("unwrapped") - F.col("wrapped")) / (2 * math.pi)).cast("long"))
+
+
+def smooth_gaussian(df: DataFrame, sigma: float, value: str = "v", weight: str = "w") -> DataFrame:
+    """Weighted Gaussian mean over a window of three sigmas, in two passes: the dispersive phase's smoothing."""
+    h = max(1, int(math.ceil(3 * sigma)))
+    kernel = df.sparkSession.createDataFrame([(k, math.exp(-k * k / (2 * sigma * sigma))) for k in range(-h, h + 1)], "d long, g double")
+    out = df.select("y", "x", (F.col(value) * F.col(weight)).alias("n"), F.col(weight).alias("m"))
+    for axis in ("x", "y"):
+        spread = out.join(F.broadcast(kernel)).withColumn(axis, F.col(axis) + F.col("d"))
+        out = spread.groupBy("y", "x").agg(F.sum(F.col("n") * F.col("g")).alias("n"), F.sum(F.col("m") * F.col("g")).alias("m"))
+    return df.select("y", "x").join(out, ["y", "x"]).select("y", "x", (F.col("n") / F.col("m")).alias(value))

@@ -135,3 +135,23 @@ def etad_deburst(layers: DataFrame) -> DataFrame:
     """Layers of all bursts on one grid; where bursts overlap the later sub-swath and burst holds."""
     w = Window.partitionBy("y", "x").orderBy(F.col("swath").desc(), F.col("burst").desc())
     return layers.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def antenna_phase(df: DataFrame, table: DataFrame, interval: float, rate: float) -> DataFrame:
+    """Turn each sample by the antenna pattern's phase at its elevation angle, the roll changing along the burst.
+
+    df: y, x, i, q, elevation; table: angle (whole hundredths of a degree), phase.
+    """
+    key = F.floor((F.col("elevation") + F.col("y") * interval * rate) * 100 + 0.5).cast("long")
+    met = df.withColumn("angle", key).join(table, "angle", "left")
+    z = Cx.of("i", "q") * Cx.turn(-F.coalesce("phase", F.lit(0.0)))
+    return met.select("y", "x", z.re.alias("i"), z.im.alias("q"))
+
+
+def timing_correction(df: DataFrame, layers: DataFrame, azimuth_interval: float, range_interval: float) -> DataFrame:
+    """Move samples by azimuth and range timing layers (y, x, azimuth, range in seconds), to the nearest pixel."""
+    met = df.join(layers, ["y", "x"])
+    sy = (F.col("y") + F.floor(F.col("azimuth") / azimuth_interval + 0.5)).cast("long")
+    sx = (F.col("x") + F.floor(F.col("range") / range_interval + 0.5)).cast("long")
+    places = met.select("y", "x", sy.alias("sy"), sx.alias("sx"))
+    return places.join(df.select(F.col("y").alias("sy"), F.col("x").alias("sx"), "v"), ["sy", "sx"]).select("y", "x", "v")

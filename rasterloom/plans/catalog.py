@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import calibration, detection, filters, geometry, insar, polarimetry, raster, topsar
 from ..sources import formats, views
 from ..streaming import events as streams
+from .graph import chain
 
 DIGITS = 7
 
@@ -823,6 +824,59 @@ def _(spark, d):
     return tiles.select("ty", "tx", F.length("content").alias("bytes"), F.crc32("content").alias("crc"))
 
 
+@query("topo_phase_removal", sql([CPLX, "f AS (SELECT *, 4 * pi() / 0.0555 * (y * 0.001 - x * 0.0007) AS p FROM cplx)"], "y, x", {"i": "i * cos(p) - q * sin(p)", "q": "i * sin(p) + q * cos(p)"}, "f"))
+def _(spark, d):
+    z = views.scene_cplx(spark, d)
+    located = z.select("y", "x", (F.col("y") * 0.001).alias("range1"), (F.col("x") * 0.0007).alias("range2"))
+    return rounded(insar.topo_phase_removal(z, located, 0.0555))
+
+
+@query("cross_resample", f"WITH {SCENE}, p AS (SELECT y, x, CAST(floor(1.3 + 0.99 * y + 0.5) AS BIGINT) AS sy, CAST(floor(-2.2 + 1.01 * x + 0.5) AS BIGINT) AS sx FROM scene) SELECT p.y, p.x, v FROM p JOIN scene ON scene.y = sy AND scene.x = sx")
+def _(spark, d):
+    return insar.cross_resample(views.scene(spark, d), [1.3, 0.99, 0.0], [-2.2, 0.0, 1.01])
+
+
+@query("unwrapping_export", sql([CPLX, PHASES], "cplx.y, cplx.x", {"phase": "atan2(q, i)", "coherence": "coherence"}, "cplx JOIN ph ON cplx.y = ph.y AND cplx.x = ph.x WHERE abs(q) > 1e-9"))
+def _(spark, d):
+    return rounded(insar.unwrapping_export(views.scene_cplx(spark, d).where("abs(q) > 1e-9"), phases(spark, d)))
+
+
+@query("unwrapping_import", sql([PHASES], "y, x, user_turns AS turns", {"wrapped": "phase", "unwrapped": "phase + 2 * pi() * user_turns"}, "(SELECT *, CAST(x % 5 - 2 AS BIGINT) AS user_turns FROM ph)"))
+def _(spark, d):
+    p = phases(spark, d)
+    return rounded(insar.unwrapping_import(p, p.withColumn("phase", F.col("phase") + 2 * math.pi * (F.col("x") % 5 - 2))))
+
+
+@query("ionosphere_smoothing", sql([SCENE], "a.y, a.x", {"v": "sum(b.v * (1 + b.x % 3) * exp(-((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 2.0)) / sum((1 + b.x % 3) * exp(-((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 2.0))"}, "scene a JOIN scene b ON abs(a.y - b.y) <= 3 AND abs(a.x - b.x) <= 3", "GROUP BY a.y, a.x"))
+def _(spark, d):
+    return rounded(insar.smooth_gaussian(views.scene(spark, d).withColumn("w", 1.0 + F.col("x") % 3), 1.0))
+
+
+@query("soil_moisture", sql([SCENE, "r AS (SELECT y, x, 3 + v / 10 AS rdc, 30 + x * 0.3 AS sand, 20 + y % 10 AS clay FROM scene)", "k AS (SELECT *, 2.0 + 0.01 * sand + 0.005 * clay - rdc AS a, 10 + 0.1 * sand + 0.05 * clay AS b, 60 - 0.1 * sand + 0.02 * clay AS c FROM r)", "m AS (SELECT *, (-b + sqrt(greatest(b * b - 4 * a * c, 0))) / (2 * c) AS m FROM k)"], "y, x, CASE WHEN m BETWEEN 0 AND 0.55 AND b * b - 4 * a * c >= 0 THEN 0 ELSE 3 END AS quality", {"moisture": "CASE WHEN m BETWEEN 0 AND 0.55 AND b * b - 4 * a * c >= 0 THEN m END"}, "m"))
+def _(spark, d):
+    s = views.scene(spark, d).select("y", "x", (3 + F.col("v") / 10).alias("rdc"), (30 + F.col("x") * 0.3).alias("sand"), (20 + F.col("y") % 10).cast("double").alias("clay"))
+    return rounded(calibration.soil_moisture(s, [2.0, 0.01, 0.005, 10, 0.1, 0.05, 60, -0.1, 0.02]))
+
+
+@query("antenna_phase", sql([CPLX, "f AS (SELECT *, CAST(floor((30 + x * 0.0131371 + y * 0.001 * 2) * 100 + 0.5) AS BIGINT) AS an FROM cplx)", "g AS (SELECT *, CASE WHEN an BETWEEN 2900 AND 3099 THEN -(an * 0.0007) ELSE 0 END AS p FROM f)"], "y, x", {"i": "i * cos(p) - q * sin(p)", "q": "i * sin(p) + q * cos(p)"}, "g"))
+def _(spark, d):
+    table = spark.createDataFrame([(k, k * 0.0007) for k in range(2900, 3100)], "angle long, phase double")
+    return rounded(topsar.antenna_phase(views.scene_cplx(spark, d).withColumn("elevation", 30 + F.col("x") * 0.0131371), table, 0.001, 2.0))
+
+
+@query("timing_correction", f"WITH {SCENE}, p AS (SELECT y, x, y + CAST(floor(y * 0.002 / 0.01 + 0.5) AS BIGINT) AS sy, x + CAST(floor(x * 0.003 / 0.07 + 0.5) AS BIGINT) AS sx FROM scene) SELECT p.y, p.x, v FROM p JOIN scene ON scene.y = sy AND scene.x = sx")
+def _(spark, d):
+    s = views.scene(spark, d)
+    layers = s.select("y", "x", (F.col("y") * 0.002).alias("azimuth"), (F.col("x") * 0.003).alias("range"))
+    return topsar.timing_correction(s, layers, 0.01, 0.07)
+
+
+@query("graph_of_operators", sql([SCENE, "m AS (SELECT y // 2 AS y, x // 2 AS x, avg(v) AS v FROM scene GROUP BY 1, 2 HAVING count(*) = 4)"], "y, x", {"v": "avg(v) OVER (PARTITION BY y, x)"}, "m", "WHERE x >= 10 AND x < 30 AND y < 100"))
+def _(spark, d):
+    steps = chain(lambda df: raster.multilook(df, 2, 2), lambda df: raster.subset(df, 0, 100, 10, 30), rounded)
+    return steps(views.scene(spark, d))
+
+
 # --- streams ----------------------------------------------------------------------------
 
 query("stream_multilook", ORACLE_SQL["multilook"])(streams.multilook)

@@ -36,3 +36,14 @@ def connected(edges: DataFrame) -> DataFrame:
         before = now
     ends = cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(ends)
+
+
+def chain(*steps):
+    """A graph of operators as one operator: each step takes the DataFrame of the one before."""
+
+    def run(df: DataFrame) -> DataFrame:
+        for step in steps:
+            df = step(df)
+        return df
+
+    return run
