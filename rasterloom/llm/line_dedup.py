@@ -57,9 +57,9 @@ def line_keys(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     own = common.mix(forward[b] - forward[a] + n.astype(np.uint64))
     keys = np.zeros((len(n), 4), np.uint64)
     near = n >= NEAR_WORDS
-    for k, half in enumerate(((n - 1) // 2, np.maximum(n - 2, 0) // 2)):
-        keys[:, k] = np.where(near & ((k == 0) | (half != (n - 1) // 2)), common.mix(forward[a + half] - forward[a] + half.astype(np.uint64)), 0)
-        keys[:, 2 + k] = np.where(near & ((k == 0) | (half != (n - 1) // 2)), common.mix(reverse[b] - reverse[b - half] + half.astype(np.uint64) + GAP), 0)
+    for k, half in enumerate((np.maximum(n - 1, 0) // 2, np.maximum(n - 2, 0) // 2)):
+        keys[:, k] = np.where(near & ((k == 0) | (half != np.maximum(n - 1, 0) // 2)), common.mix(forward[a + half] - forward[a] + half.astype(np.uint64)), 0)
+        keys[:, 2 + k] = np.where(near & ((k == 0) | (half != np.maximum(n - 1, 0) // 2)), common.mix(reverse[b] - reverse[b - half] + half.astype(np.uint64) + GAP), 0)
     return n, own, keys
 
 

@@ -236,6 +236,9 @@ def plan_of(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[i
         for length in p:
             left[length] -= r
     layout += best_fit(left, capacity)
+    alone = best_fit(counts, capacity)  # few documents make few patterns, which may cost more than they save
+    if sum(r for _, r in alone) < sum(r for _, r in layout):
+        layout = alone
     rows, rank, sequence = [], [0] * (capacity + 1), 0
     for p, r in layout:
         offset = 0

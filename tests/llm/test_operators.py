@@ -1,0 +1,328 @@
+"""Training-data operators against brute force, planted cases and awkward input."""
+
+import itertools
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from rasterloom.llm import common, decontamination, line_dedup, neighbours, ngram_join, packing, quality, secrets, toxicity, url_filters, warc
+
+DATA = "/root/testdata/sf0.001"
+WORDS = [a + b for a in ("ba", "ke", "li", "mo", "nu", "ra", "se", "ti") for b in ("ban", "der", "fix", "gol", "hup", "jam", "kot")]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS, n).tolist())
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+
+
+# ------------------------------------------------------------------ n-gram join
+
+
+def brute(rows, n=5):
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+        k = min(n, len(w))
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set()
+
+    s = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if s[i] and s[j] and 100 * len(s[i] & s[j]) >= 75 * len(s[i] | s[j]):
+            group[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), d), d)
+    return {(d, len(s[i]), least[root(i)]) for i, (d, _) in enumerate(rows)}
+
+
+def near_copies(rng, base, n, edits):
+    out = []
+    for _ in range(n):
+        w = base.split()
+        for k in rng.choice(len(w), edits, replace=False):
+            w[k] = "x" + str(rng.integers(1e9))
+        out.append(" ".join(w))
+    return out
+
+
+def test_join_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    passage = prose(rng, 60)
+    texts = [None, "", " \n\t", "one two", "One  two", "one two three"]
+    for size in (40, 80, 200):
+        base = prose(rng, size)
+        texts += [base, base, base.upper(), *near_copies(rng, base, 30, 1), *near_copies(rng, base, 10, 3), *near_copies(rng, base, 5, size // 8)]
+    texts += [passage + " " + prose(rng, k) for k in (5, 8, 10, 12, 15, 18, 20, 25, 30, 40, 60) for _ in range(5)]
+    rows = list(enumerate(rng.permutation(np.array(texts, object)).tolist()))
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.similar(documents(spark, rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_large_group_of_near_copies_is_one_class(spark):
+    rng = np.random.default_rng(5)
+    rows = list(enumerate(near_copies(rng, prose(rng, 120), 400, 2) + [prose(rng, 120) for _ in range(50)]))
+    got = ngram_join.similar(documents(spark, rows)).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute(rows)
+
+
+def test_join_extra_columns_null_ids_and_empty_table(spark):
+    df = spark.createDataFrame([(None, "a b c d e f", 1), (7, "a b c d e f", 2), (7, "a b c d e f", 2)], "doc_id long, text string, component_id int")
+    assert sorted((r["doc_id"] or 0, r["component_id"], r["class_size"]) for r in ngram_join.similar(df).collect()) == [(0, 7, 3), (7, 7, 3), (7, 7, 3)]
+    assert ngram_join.similar(df.where("doc_id = 0")).count() == 0
+
+
+# ------------------------------------------------------------------ line dedup
+
+
+def test_line_dedup_edits_and_edges(spark):
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    other = base.replace("delta", "DELTA")
+    shorter = base.replace(" kappa", "")
+    far = base.replace("alpha", "a").replace("theta", "t")
+    rows = [(1, f"{base}\nshort line\nshort line"), (2, f"{other}\n{far}"), (3, shorter), (4, None), (5, ""), (6, f"new words stand in this line here\n{base}  "), (6, f"new words stand in this line here\n{base}  ")]
+    got = {(r["doc_id"], r["text"]) for r in line_dedup.dedup(documents(spark, rows)).collect()}
+    assert got == {(1, f"{base}\nshort line\nshort line"), (2, far), (3, ""), (4, None), (5, ""), (6, "new words stand in this line here")}
+
+
+def test_line_dedup_keeps_columns(spark):
+    df = spark.createDataFrame([("x", 1, "a b c d e f", 3), ("y", 2, "a b c d e f", 4)], "n_lines string, doc_id long, text string, _kept int")
+    out = line_dedup.dedup(df)
+    assert out.columns == ["n_lines", "doc_id", "text", "_kept", "dedup_n_lines", "n_removed"]
+    assert [(r["n_lines"], r["text"], r["n_removed"]) for r in out.orderBy("doc_id").collect()] == [("x", "a b c d e f", 0), ("y", "", 1)]
+    assert line_dedup.dedup(df.limit(0)).count() == 0
+
+
+def test_one_edit():
+    rng = np.random.default_rng(0)
+
+    def distance(a, b):
+        d = np.arange(len(b) + 1)
+        for i, x in enumerate(a, 1):
+            p, d = d, np.empty(len(b) + 1, int)
+            d[0] = i
+            for j, y in enumerate(b, 1):
+                d[j] = min(p[j] + 1, d[j - 1] + 1, p[j - 1] + (x != y))
+        return d[-1]
+
+    for _ in range(500):
+        a = rng.integers(0, 3, rng.integers(1, 7))
+        b = rng.integers(0, 3, rng.integers(1, 7))
+        assert line_dedup.one_edit(a, b) == (distance(a, b) <= 1)
+
+
+# ------------------------------------------------------------------ packing
+
+
+def test_packing_is_gapless_and_round_trips(spark):
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(6)
+    rows = [(1, None), (2, ""), (3, "It's <|endoftext|> ÀÉ ß 4,5 日本 don't!"), (3, "again"), (4, prose(rng, 7000)), *((k, prose(rng, int(rng.integers(1, 900)))) for k in range(10, 60))]
+    out = [r.asDict() for r in packing.pack(documents(spark, rows)).collect()]
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    want = sorted((d, t.encode(x or "", add_special_tokens=False).ids + [0]) for d, x in rows)
+    docs = {}
+    for r in sorted(out, key=lambda r: (r["doc_id"], r["piece"])):
+        docs.setdefault(r["doc_id"], []).append(r)
+        assert zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
+        assert r["length"] == 2048 or r["length"] < 2048
+    for d, ids in want:
+        if d != 3:
+            assert np.frombuffer(b"".join(bytes(r["ids"]) for r in docs[d]), "<u4").tolist() == ids
+            assert [r["start"] for r in docs[d]] == list(range(0, len(ids), 2048))
+    places = {}
+    for r in out:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in places.values():
+        end = 0
+        for offset, length in sorted(own):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    total = sum(r["length"] for r in out)
+    assert len(places) <= 1.1 * (-(-total // 2048)) + 1
+
+
+def test_packing_of_nothing(spark):
+    assert packing.pack(documents(spark, [(1, "x")]).limit(0)).count() == 0
+
+
+def test_plan_covers_every_rank():
+    rng = np.random.default_rng(7)
+    histogram = {int(k): int(v) for k, v in zip(rng.integers(1, 101, 40), rng.integers(1, 500, 40), strict=True)}
+    plan = packing.plan_of(histogram, 100)
+    for length, n in histogram.items():
+        spans = sorted((r0, r0 + c) for k, r0, c, _, _ in plan if k == length)
+        assert spans[0][0] == 0 and spans[-1][1] == n and all(a[1] == b[0] for a, b in itertools.pairwise(spans))
+
+
+# ------------------------------------------------------------------ decontamination
+
+
+def test_leaks_are_found_and_clean_documents_left(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = np.array([f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("n", "r", "st", "l", "nd")])
+    say = lambda n: " ".join(rng.choice(vocabulary, n).tolist())
+    items = [(k, f"{say(int(rng.integers(15, 90)))}. {say(6)}.") for k in range(40)]
+    docs, want = [(900, None), (901, "")], set()
+    for k, (item, text) in enumerate(items[:20]):
+        docs.append((k, f"{say(150)} {text.replace(' ', chr(10), 3)} {say(int(rng.integers(0, 300)))}"))
+        want.add((k, item))
+    docs += [(100 + k, say(int(rng.integers(1, 500)))) for k in range(60)]
+    got = decontamination.contaminated(documents(spark, docs), spark.createDataFrame([*items, (99, None)], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
+def test_index_finds_all_above_the_threshold():
+    rng = np.random.default_rng(9)
+    vocabulary = np.array([f"w{k}" for k in range(60)])
+    items = [(k, rng.choice(vocabulary, 12).tolist()) for k in range(50)]
+    index = decontamination.indexes(items)[0]
+    text = rng.choice(vocabulary, 400).tolist()
+    codes, offsets, names = common.words_of(pa.array([" ".join(text)]))
+    got = {(a, i) for _, a, _, i, _ in index.search(codes, offsets, names.to_pylist(), 0.5)}
+    want = set()
+    weights = {}
+    for k, block in enumerate(index.blocks):
+        for c, i in enumerate(block):
+            weights[index.ids[i]] = {t: index.tables[k][r, c] for r, t in enumerate(index.rows[k])}
+    segments = -(-400 // index.segment)
+    for s in range(segments):
+        window = {index.terms[w] for w in text[s * index.segment : (s + 2) * index.segment] if w in index.terms}
+        for i, w in weights.items():
+            if sum(w.get(t, 0) for t in window) >= 0.5:
+                want.add((s * index.segment, i))
+    assert got == want and got
+
+
+# ------------------------------------------------------------------ classifiers
+
+
+def accuracy(spark, query, label):
+    got = query(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").toPandas()
+    assert got.score.between(0, 1).all()
+    return (got.predicted == got[label]).mean()
+
+
+def test_quality_learns(spark):
+    assert accuracy(spark, quality.op5_quality_classifier, "quality") > 0.9
+
+
+def test_toxicity_learns_gaps_and_insertions(spark):
+    rng = np.random.default_rng(10)
+    rows = [(k, prose(rng, 30) + (f". {prose(rng, 4)} grumpfel {prose(rng, 3)}" if k % 4 == 0 else "")) for k in range(400)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
+    machine = toxicity.train(documents(spark, rows), labels)
+    score = lambda *t: machine.scores(pa.array(t, pa.string()))
+    assert score("you grumpfel").min() > 0.5 and score("g.r.u.m.p.f.e.l", "g r u m p f e l", "grumpxfel", "grummpfel").min() > 0.4
+    assert score(prose(rng, 200), "", None).max() < 0.5
+    out = toxicity.score(spark.createDataFrame([(None, "grumpfel", 1), (2, None, 2)], "doc_id long, text string, score int"), machine)
+    assert out.columns == ["doc_id", "score"] and out.count() == 2
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1), (2, 1)]])
+def test_classifiers_without_two_classes(spark, labels):
+    docs = documents(spark, [(1, "a b"), (2, None), (3, "c")])
+    known = spark.createDataFrame(labels, "doc_id long, quality int") if labels else spark.createDataFrame([(1, 1)], "doc_id long, quality int").limit(0)
+    model = quality.train(docs, known)
+    assert quality.score(docs, model).count() == 3
+    assert len(toxicity.train(docs, known, "quality").scores(pa.array(["x", None]))) == 2
+
+
+def test_quality_keeps_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 5, "n")], "doc_id long, text string, n_words int, score string")
+    out = quality.score(df, quality.RuleEnsemble(0.0, [], np.empty(0)))
+    assert out.columns == ["doc_id", "text", "n_words", "score", "quality_score"] and out.first()["n_words"] == 5
+
+
+# ------------------------------------------------------------------ neighbours
+
+
+def exact(vectors, query, k=10):
+    d = sorted((float(np.sqrt(((np.array(v) - np.array(query[1])) ** 2).sum())), i) for i, v in vectors if i != query[0])
+    return [i for _, i in d[:k]]
+
+
+def test_recall_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(20, 16))
+    vectors = [(k, (centres[k % 20] + 0.4 * rng.normal(size=16)).tolist()) for k in range(6000)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = neighbours.search(neighbours.build(df), df.where("vec_id % 300 = 0")).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = sum(len(set(by[q]) & set(exact(vectors, vectors[q]))) for q in by)
+    assert len(by) == 20 and hits >= 0.9 * 200
+
+
+def test_copies_ties_and_useless_vectors(spark):
+    same = [(k, [1.0, 0.0]) for k in range(100, 140)]
+    rows = [*same, (1, [0.0, 1.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [1.0]), (6, [float("inf"), 0.0]), (7, [None, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(neighbours.build(df), df.where("vec_id in (100, 105, 1, 2, 3)")).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 9)))
+    assert by[100] == [(k, 0.0) for k in range(101, 111)]
+    assert by[105] == [(k, 0.0) for k in [100, 101, 102, 103, 104, 106, 107, 108, 109, 110]]
+    assert by[1] == [(k, round(2**0.5, 9)) for k in range(100, 110)] and set(by) == {100, 105, 1}
+    assert neighbours.search(neighbours.build(df.limit(0)), df.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------ archives, lists, secrets
+
+
+def test_archive_round_trip(spark):
+    rows = [(5, "http://a.com/x", "z" * 200), (3, "http://www.a.com/x#t", "z" * 200), (7, None, None), (None, "u", "z" * 200), (8, "http://b/ü?q\r\nX: y", "kurz"), (9, "http://b/", "kurz")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archive = warc.write(df)
+    got = {r["page_id"]: r for r in warc.fetch(archive, archive.captures).collect()}
+    assert len(got) == 6 and got[5]["record_type"] == "revisit" and got[5]["refers_to"] == 3 and got[5]["payload"] is None
+    assert bytes(got[3]["payload"]) == b"z" * 200 and bytes(got[7]["payload"]) == b"" and got[9]["record_type"] == "response"
+    one = warc.fetch(archive, spark.createDataFrame([("com,a)/x",), ("nowhere)/",)], "key string")).collect()
+    assert sorted(r["page_id"] for r in one) == [3, 5]
+    empty = warc.write(df.limit(0))
+    assert warc.fetch(empty, empty.captures).count() == 0
+
+
+def test_many_captures_of_one_key(spark):
+    df = spark.range(1500).select(F.col("id").alias("page_id"), F.lit("http://one.example/").alias("url"), F.concat(F.lit("page "), F.col("id").cast("string")).alias("html"))
+    archive = warc.write(df)
+    got = warc.fetch(archive, archive.captures)
+    assert got.count() == 1500 and got.select("page_id").distinct().count() == 1500
+
+
+def test_list_history(spark):
+    t = lambda day: f"2024-01-{day:02d} 00:00:00"
+    entries = spark.createDataFrame([("l", "domain", "Bad.org", "add", t(2)), ("l", "domain", "bad.org", "add", t(3)), ("l", "domain", "bad.org", "remove", t(5)), ("l", "domain", "bad.org", "add", t(8)), ("l", "host", "x.net", "add", t(1)), ("l", "host", "x.net", "remove", t(1)), ("l", "prefix", "y.net/a/", "add", t(1)), (None, "host", "q", "add", t(1))], "list string, kind string, value string, action string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    captures = [("http://www.bad.org/p", 1, False), ("https://u@sub.bad.org:80/?q", 2, True), ("bad.org", 4, True), ("bad.org", 5, False), ("bad.org", 9, True), ("notbad.org", 9, False), ("x.net", 2, False), ("http://y.net/a/b", 2, True), ("http://y.net/b", 2, False), (None, 2, False), ("", 2, False), ("bad.org", None, False)]
+    df = spark.createDataFrame([(u, d and t(d), w) for u, d, w in captures], "url string, fetched string, blocked boolean").withColumn("fetched", F.col("fetched").cast("timestamp"))
+    out = url_filters.judge(df, url_filters.intervals(entries))
+    assert "url_blocked" in out.columns and all(r["blocked"] == r["url_blocked"] for r in out.collect()) and out.count() == len(captures)
+
+
+def test_secrets_on_unseen_findings(spark):
+    forest = secrets.train(spark)
+    lines = secrets.findings(400, seed=77)
+    df = documents(spark, [*((k, t) for k, (t, _) in enumerate(lines)), (1000, None), (1001, "")])
+    found = secrets.scan(df, forest).toPandas()
+    hit = set(found[found.is_secret].doc_id)
+    assert np.mean([(k in hit) == bool(y) for k, (_, y) in enumerate(lines)]) > 0.97
+    for r in found.itertuples():
+        assert lines[r.doc_id][0][r.start : r.start + r.length] == r.candidate
+    assert secrets.scan(df.limit(0), forest).count() == 0
