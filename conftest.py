@@ -1,7 +1,12 @@
 """One local session for all tests."""
 
+import os
+from pathlib import Path
+
 import pytest
 
+os.environ["PYTHONPATH"] = ":".join(filter(None, [str(Path(__file__).parent), os.environ.get("PYTHONPATH")]))
+
 
 @pytest.fixture(scope="session")
 def spark():
