@@ -116,9 +116,12 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def components(edges: DataFrame, tag: str) -> DataFrame:
+def components(edges: DataFrame, tag: str, whole: bool = True) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, component = smallest node).
 
+    Without `whole` a single round is made: each node has a node it is connected with, not yet the
+    smallest one, and the rows as edges have the same components.
+
     Alternating large-star and small-star rounds; every round is aggregated before it is
     shuffled and written to the shared folder, and the loop ends when a round changes nothing.
     """
@@ -132,6 +135,8 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         cur = materialize(small.where("a <> b").distinct(), tag)
+        if not whole:
+            break
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -1,14 +1,14 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-Equal shingle sets are one row of the matrix (a node). Only the columns of a node that the
-size-derived bound leaves are multiplied: two sets that reach the similarity share one of
-their first ``n - ceil(t n) + 1`` shingles in any fixed order. Incidences travel as packed
-blocks, one per mapper and target. A column with few rows gives its pairs at once. Columns
-with many rows are never multiplied out: their nodes are taken up again in a second product,
-in which common shingles come last, and what is still common then is compared with leaders,
-so that a group of near copies costs a comparison per member and not per pair. Overlaps of
-candidate pairs are counted exactly on the whole sets; pairs within one component are not
-counted again.
+Equal shingle sets are one row of the matrix (a node). A first pass counts all shingles and
+so finds the common ones; then only the columns of a node that the size-derived bound leaves
+are multiplied: two sets that reach the similarity share one of their first
+``n - ceil(t n) + 1`` shingles in any fixed order, here rare shingles first. Counts and
+incidences travel as packed blocks, one per mapper and target. A column with few rows gives
+its pairs at once. A column of a common shingle is never multiplied out: its nodes are
+compared with leaders, so that a group of near copies costs a comparison per member and not
+per pair. Overlaps of candidate pairs are counted exactly on the whole sets; pairs within
+one component are not counted again.
 """
 
 from __future__ import annotations
@@ -28,14 +28,19 @@ N, PERCENT = 5, 75
 DENSE = 16
 #: Incidences that a mapper holds before it sends its blocks on.
 HELD = 2_000_000
-#: Common shingles whose frequency orders the second product; beyond so many, only the most common.
+#: Common shingles whose frequency orders the columns; beyond so many, only the most common.
 ORDERED = 500_000
+#: Ids of up to so many documents are broadcast, more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Leader comparisons before what is left of dense columns is multiplied out under the bounds.
-LEADER_ROUNDS = 4
-
-ENTRY = np.dtype([("h", "<u8"), ("v", "<u8")])
-PLACED = np.dtype([("h", "<u8"), ("v", "<u8"), ("pos", "<u4"), ("n", "<u4")])
-DOC, DENSE_NODE, PAIR, DENSE_ENTRY = 0, 1, 2, 3
+LEADER_ROUNDS = 3
+LEADERS = 8
+#: Pairs an entry of dense columns that are formed without leaders.
+PER_ENTRY = 32
+
+#: An incidence: column, node, size of the node's set, and its place among the set's shingles in 256ths, rounded down.
+ENTRY = np.dtype([("q", "<u4"), ("v", "<u8"), ("n", "<u4"), ("p", "u1")])
+DOC, PAIR, DENSE_ENTRY = 0, 2, 3
 ROWS = "key long, kind int, doc_id long, a long, b long, n long, pos long, block binary"
 FIELDS = ["key", "kind", "doc_id", "a", "b", "n", "pos", "block"]
 TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -70,31 +75,59 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def columns_of(h: np.ndarray, targets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Target and 32-bit column of each shingle; two shingles in one column only make a candidate more."""
+    return ((h & np.uint64(0xFFFFFFFF)) % np.uint64(targets)).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32)
+
+
 class Blocks:
-    """Incidences of one mapper, sent as one packed block per target."""
+    """Entries of one mapper, sent as one packed block per target."""
 
-    def __init__(self, keys: list[int], kind: np.dtype):
-        self.keys, self.kind, self.parts, self.held = keys, kind, [], 0
+    def __init__(self, keys: list[int], kind: np.dtype, most: int = HELD):
+        self.keys, self.kind, self.most, self.parts, self.held = keys, kind, most, [], 0
 
     def add(self, entries: np.ndarray) -> bool:
         self.parts.append(entries)
         self.held += len(entries)
-        return self.held >= HELD
+        return self.held >= self.most
 
     def take(self) -> np.ndarray:
         all_ = np.concatenate(self.parts) if self.parts else np.empty(0, self.kind)
         self.parts, self.held = [], 0
         return all_
 
-    def send(self, entries: np.ndarray) -> Iterator[pa.RecordBatch]:
-        target = (entries["h"] % np.uint64(len(self.keys))).astype(np.int64)
+    def send(self, entries: np.ndarray, target: np.ndarray | None = None, pack=lambda x: x.tobytes()) -> Iterator[pa.RecordBatch]:
+        """One row per target; target is that of each entry, by its field h unless given."""
+        if target is None:
+            target = (entries["h"] % np.uint64(len(self.keys))).astype(np.int64)
         order = np.argsort(target, kind="stable")
         entries, target = entries[order], target[order]
         cuts = np.flatnonzero(np.diff(target)) + 1
         starts = np.concatenate([[0], cuts])
         ends = np.concatenate([cuts, [len(entries)]])
         if len(entries):
-            yield rows(len(starts), key=[self.keys[t] for t in target[starts].tolist()], block=[entries[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+            yield rows(len(starts), key=[self.keys[t] for t in target[starts].tolist()], n=target[starts], block=[pack(entries[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+
+
+TAGGED = np.dtype([("q", "<u4"), ("t", "u1")])
+
+
+def packed(entries: np.ndarray) -> bytes:
+    """Entries sorted by column: columns as 16-bit steps, longer steps apart, then the tags."""
+    entries = entries[np.argsort(entries["q"], kind="stable")]
+    step = np.diff(entries["q"], prepend=np.uint32(0))
+    long = step >= 0xFFFF
+    return np.uint32(len(step)).tobytes() + np.where(long, 0xFFFF, step).astype("<u2").tobytes() + entries["t"].tobytes() + step[long].astype("<u4").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    step = np.frombuffer(data, "<u2", n, 4).astype(np.uint32)
+    out = np.empty(n, TAGGED)
+    out["t"] = np.frombuffer(data, "u1", n, 4 + 2 * n)
+    step[step == 0xFFFF] = np.frombuffer(data, "<u4", -1, 4 + 3 * n)
+    out["q"] = np.cumsum(step, dtype=np.uint32)
+    return out
 
 
 def runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,63 +148,6 @@ def products(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(left), np.concatenate(right)
 
 
-def first_product(docs: DataFrame, n: int, percent: int, keys: list[int]) -> DataFrame:
-    """Rows of kind DOC for every document, PAIR for candidates, DENSE_NODE for nodes of dense columns."""
-
-    def mapper(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, seen, turn = Blocks(keys, ENTRY), set(), 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            entries = blocks.take()
-            entries = entries[np.argsort(entries["h"], kind="stable")]
-            starts, lengths = runs(entries["h"])
-            dense = np.repeat(lengths > DENSE, lengths)
-            nodes = np.unique(entries["v"][dense])
-            if len(nodes):
-                yield rows(len(nodes), key=[keys[i % len(keys)] for i in range(len(nodes))], kind=np.full(len(nodes), DENSE_NODE), a=signed(nodes))
-            marks = np.zeros(int((lengths > DENSE).sum()), ENTRY)
-            marks["h"] = entries["h"][starts[lengths > DENSE]]
-            yield from blocks.send(np.concatenate([entries[~dense], marks]))
-            seen.clear()
-
-        for batch in it:
-            for part in common.batches([batch], "text"):
-                doc_ids, nodes, sizes = part.column("doc_id"), [], []
-                full = False
-                for _, own, node in sets(part, n):
-                    nodes.append(node)
-                    sizes.append(len(own))
-                    if node and node not in seen:
-                        seen.add(node)
-                        entries = np.empty(prefix(len(own), percent), ENTRY)
-                        entries["h"], entries["v"] = own[: len(entries)], node
-                        full = blocks.add(entries)
-                yield rows(len(nodes), key=[keys[(turn + i) % len(keys)] for i in range(len(nodes))], kind=np.full(len(nodes), DOC), doc_id=doc_ids, a=signed(np.array(nodes, np.uint64)), n=sizes)
-                turn += len(nodes)
-                if full:
-                    yield from flush()
-        yield from flush()
-
-    def reducer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in it:
-            is_block = batch.column("block").is_valid()
-            held += [np.frombuffer(b, ENTRY) for b in batch.column("block").filter(is_block).to_pylist()]
-            yield batch.filter(pc.invert(is_block))
-        entries = np.unique(np.concatenate(held)) if held else np.empty(0, ENTRY)
-        starts, lengths = runs(entries["h"])
-        marked = np.zeros(len(starts), bool)
-        marked[:] = entries["v"][starts] == 0 if len(starts) else False
-        dense = np.repeat(marked | (lengths > DENSE), lengths) & (entries["v"] != 0)
-        nodes = np.unique(entries["v"][dense])
-        yield rows(len(nodes), kind=np.full(len(nodes), DENSE_NODE), a=signed(nodes))
-        i, j = products(starts[~marked], lengths[~marked])
-        pairs = np.unique(np.stack([entries["v"][i], entries["v"][j]], 1), axis=0) if len(i) else np.empty((0, 2), np.uint64)
-        yield rows(len(pairs), kind=np.full(len(pairs), PAIR), a=signed(pairs[:, 0].copy()), b=signed(pairs[:, 1].copy()))
-
-    return docs.mapInArrow(mapper, ROWS).repartition(len(keys), "key").mapInArrow(reducer, ROWS).drop("key", "block")
-
-
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
     """(v, shingles) of each document with words."""
 
@@ -186,97 +162,185 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "v long, s array<long>")
 
 
+def bits_of(own: np.ndarray) -> bytes:
+    """Which of 4 to 8 times as many places as the set has members are taken by one."""
+    size = 1 << max(6, int(4 * len(own) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(own & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def marks_of(docs: DataFrame, n: int) -> DataFrame:
+    """(v, n, marks) of each document with words: the taken places of its set."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.batches(it, "text"):
+            got = [(node, len(own), bits_of(own)) for _, own, node in sets(batch, n) if node]
+            v, sizes, marks = zip(*got, strict=True) if got else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(v, np.uint64))), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())], ["v", "n", "marks"])
+
+    return docs.mapInArrow(run, "v long, n long, marks binary")
+
+
+def unmatched(x: np.ndarray, y: np.ndarray) -> int:
+    """Members of x at least that y lacks: places taken by x alone, folded to the shorter marks."""
+    size = min(len(x), len(y))
+    fold = lambda z: np.bitwise_or.reduce(z.reshape(-1, size), 0)
+    return int(np.unpackbits(fold(x) & ~fold(y)).sum())
+
+
+def hopeful(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose marks leave the similarity possible: an exact bound that spares most whole sets the way."""
+    left, right = (marks.select(F.col("v").alias(e), F.col("n").alias(f"n{e}"), F.col("marks").alias(f"m{e}")) for e in ("a", "b"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            keep = []
+            for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ma", "mb")), strict=True):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                both = min(na - unmatched(x, y), nb - unmatched(y, x))
+                keep.append(both * (100 + percent) >= percent * (na + nb))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long")
+
+
 def lists(column: pa.Array) -> Iterator[np.ndarray]:
     offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         yield values[a:b].view(np.uint64)
 
 
-def common_shingles(own: DataFrame, keys: list[int]) -> dict[int, int]:
-    """Shingles in more than DENSE of the sets, with their number of sets; ORDERED of them at most."""
-    counted = np.dtype([("h", "<u8"), ("c", "<u8")])
+def common_shingles(docs: DataFrame, n: int, keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of more than DENSE nodes (target << 32 | column, sorted) and their counts; ORDERED at most.
+
+    A node counts by one byte of it, so that copies of a text count once wherever they lie; counts end at 256.
+    """
+    tagged = np.dtype([("h", "<u8"), ("t", "u1")])
 
     def mapper(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = Blocks(keys, counted)
+        blocks, seen = Blocks(keys, tagged, 2 * HELD), set()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, c = np.unique(blocks.take()["h"], return_counts=True)
-            out = np.empty(len(h), counted)
-            out["h"], out["c"] = h, c
-            yield from blocks.send(out)
+            held = blocks.take()
+            target, q = columns_of(held["h"], len(keys))
+            out = np.empty(len(q), TAGGED)
+            out["q"], out["t"] = q, held["t"]
+            yield from blocks.send(out, target, packed)
+            seen.clear()
 
         for batch in it:
-            for s in lists(batch.column("s")):
-                entries = np.empty(len(s), counted)
-                entries["h"] = s
-                if blocks.add(entries):
+            for part in common.batches([batch], "text"):
+                full = False
+                for _, own, node in sets(part, n):
+                    if node and node not in seen:
+                        seen.add(node)
+                        entries = np.empty(len(own), tagged)
+                        entries["h"], entries["t"] = own, node >> 8 & 0xFF
+                        full = blocks.add(entries)
+                if full:
                     yield from flush()
         yield from flush()
 
     def reducer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(b, counted) for batch in it for b in batch.column("block").to_pylist()]
-        entries = np.concatenate(held) if held else np.empty(0, counted)
-        entries = entries[np.argsort(entries["h"], kind="stable")]
-        starts, _ = runs(entries["h"])
-        c = np.add.reduceat(entries["c"], starts) if len(starts) else np.empty(0, np.uint64)
-        often = c > DENSE
-        yield rows(int(often.sum()), a=signed(entries["h"][starts[often]]), n=c[often].astype(np.int64))
-
-    found = own.select("s").mapInArrow(mapper, ROWS).repartition(len(keys), "key").mapInArrow(reducer, ROWS).select("a", "n")
-    return {r["a"] & (2**64 - 1): r["n"] for r in found.orderBy(F.desc("n"), "a").limit(ORDERED).collect()}
-
-
-def bounded(nx, ny, px, py, percent: int):
-    """Whether sets of sizes nx and ny whose first common shingle is at px and py can reach the similarity."""
-    rest = F.least(nx - px, ny - py)
-    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (rest * (100 + percent) >= percent * (nx + ny))
-
-
-def second_product(own: DataFrame, often: dict[int, int], percent: int, keys: list[int]) -> DataFrame:
-    """As first_product over the nodes of dense columns, common shingles last; DENSE_ENTRY rows for common ones."""
-    sc = own.sparkSession.sparkContext
-    h = np.array(sorted(often), np.uint64)
-    table = sc.broadcast((h, np.array([often[x] for x in h.tolist()], np.int64)))  # ORDERED entries at most
+        held: dict[int, list] = {}
+        for batch in it:
+            for target, data in zip(batch.column("n").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                held.setdefault(target, []).append(unpacked(data))
+        for target, parts in held.items():
+            e = np.concatenate(parts)
+            q = np.unique(e["q"].astype(np.uint64) << np.uint64(8) | e["t"]) >> np.uint64(8)
+            starts, lengths = runs(q)
+            often = lengths > DENSE
+            yield rows(int(often.sum()), a=(target << 32) + q[starts[often]].astype(np.int64), n=lengths[often])
+
+    found = docs.mapInArrow(mapper, ROWS).repartition(len(keys), "key").mapInArrow(reducer, ROWS).select("a", "n")
+    got = found.orderBy(F.desc("n"), "a").limit(ORDERED).toArrow()
+    a, c = got.column("a").to_numpy(), got.column("n").to_numpy()
+    order = np.argsort(a)
+    return a[order], c[order]
+
+
+def product(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], n: int, percent: int, keys: list[int]) -> DataFrame:
+    """Rows of kind DOC for every document, PAIR for candidates, DENSE_ENTRY for a node's columns of common shingles."""
+    table = docs.sparkSession.sparkContext.broadcast(often)  # ORDERED entries at most
 
     def mapper(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = table.value
-        blocks, turn = Blocks(keys, PLACED), 0
+        blocks, targets, seen, turn = Blocks(keys, ENTRY), Blocks(keys, np.dtype(np.int64)), set(), 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            yield from blocks.send(blocks.take(), targets.take())
+            seen.clear()
+
         for batch in it:
-            dense = []
-            for v, s in zip(batch.column("v").to_pylist(), lists(batch.column("s")), strict=True):
-                at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
-                df = np.where(known[at] == s, counts[at], 0) if len(known) else np.zeros(len(s), np.int64)
-                first = np.lexsort((s, df))[: prefix(len(s), percent)]
-                entries = np.empty(len(first), PLACED)
-                entries["h"], entries["v"], entries["pos"], entries["n"] = s[first], v & (2**64 - 1), np.arange(len(first)), len(s)
-                dense.append(entries[df[first] > 0])
-                if blocks.add(entries[df[first] == 0]):
-                    yield from blocks.send(blocks.take())
-            if dense:
-                e = np.concatenate(dense)
-                yield rows(len(e), key=[keys[(turn + i) % len(keys)] for i in range(len(e))], kind=np.full(len(e), DENSE_ENTRY), a=signed(e["h"]), b=signed(e["v"]), n=e["n"].astype(np.int64), pos=e["pos"].astype(np.int64))
-                turn += len(e)
-        yield from blocks.send(blocks.take())
+            for part in common.batches([batch], "text"):
+                nodes, sizes, dense, full = [], [], [], False
+                for _, own, node in sets(part, n):
+                    nodes.append(node)
+                    sizes.append(len(own))
+                    if node and node not in seen:
+                        seen.add(node)
+                        target, q = columns_of(own, len(keys))
+                        column = (target << 32) + q
+                        df = np.zeros(len(own), np.int64)
+                        if len(known):
+                            at = np.minimum(np.searchsorted(known, column), len(known) - 1)
+                            df = np.where(known[at] == column, counts[at], 0)
+                        first = np.argsort(df, kind="stable")[: prefix(len(own), percent)]
+                        rare = first[df[first] == 0]
+                        entries = np.empty(len(rare), ENTRY)
+                        entries["q"], entries["v"], entries["n"] = q[rare], node, len(own)
+                        entries["p"] = np.arange(len(rare)) * 256 // len(own)
+                        targets.add(target[rare])
+                        full = blocks.add(entries)
+                        often_ = first[len(rare) :]
+                        if len(often_):
+                            dense.append((column[often_], np.full(len(often_), node, np.uint64), np.arange(len(rare), len(first)), np.full(len(often_), len(own))))
+                yield rows(len(nodes), key=[keys[(turn + i) % len(keys)] for i in range(len(nodes))], kind=np.full(len(nodes), DOC), doc_id=part.column("doc_id"), a=signed(np.array(nodes, np.uint64)), n=sizes)
+                if dense:
+                    h, v, pos, size = (np.concatenate(x) for x in zip(*dense, strict=True))
+                    yield rows(len(h), key=[keys[(turn + i) % len(keys)] for i in range(len(h))], kind=np.full(len(h), DENSE_ENTRY), a=h, b=signed(v), n=size, pos=pos)
+                turn += len(nodes)
+                if full:
+                    yield from flush()
+        yield from flush()
 
     def reducer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held: dict[int, list] = {}
         for batch in it:
             is_block = batch.column("block").is_valid()
-            held += [np.frombuffer(b, PLACED) for b in batch.column("block").filter(is_block).to_pylist()]
+            blocks = batch.filter(is_block)
+            for target, data in zip(blocks.column("n").to_pylist(), blocks.column("block").to_pylist(), strict=True):
+                held.setdefault(target, []).append(np.frombuffer(data, ENTRY))
             yield batch.filter(pc.invert(is_block))
-        e = np.unique(np.concatenate(held)) if held else np.empty(0, PLACED)
-        starts, lengths = runs(e["h"])
-        over = np.repeat(lengths > DENSE, lengths)  # a shingle beyond the ORDERED most common
-        d = e[over]
-        yield rows(len(d), kind=np.full(len(d), DENSE_ENTRY), a=signed(d["h"]), b=signed(d["v"]), n=d["n"].astype(np.int64), pos=d["pos"].astype(np.int64))
-        i, j = products(starts, lengths)
-        nx, ny = e["n"][i].astype(np.int64), e["n"][j].astype(np.int64)
-        rest = np.minimum(nx - e["pos"][i], ny - e["pos"][j])
-        ok = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (rest * (100 + percent) >= percent * (nx + ny))
-        pairs = np.unique(np.stack([e["v"][i[ok]], e["v"][j[ok]]], 1), axis=0) if ok.any() else np.empty((0, 2), np.uint64)
-        yield rows(len(pairs), kind=np.full(len(pairs), PAIR), a=signed(pairs[:, 0].copy()), b=signed(pairs[:, 1].copy()))
+        for parts in held.values():
+            e = np.concatenate(parts)
+            e = e[np.argsort(e["q"], kind="stable")]
+            starts, lengths = runs(e["q"])
+            shared = np.repeat(lengths > 1, lengths)
+            e = np.unique(e[shared])  # copies of one text in several mappers are one node
+            starts, lengths = runs(e["q"])
+            i, j = products(starts, lengths)
+            size = e["n"].astype(np.int64)
+            rest = size * (256 - e["p"].astype(np.int64))
+            ok = (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])) & (np.minimum(rest[i], rest[j]) * (100 + percent) >= percent * (size[i] + size[j]) * 256)
+            i, j = i[ok], j[ok]
+            x, y = np.minimum(e["v"][i], e["v"][j]), np.maximum(e["v"][i], e["v"][j])
+            pairs = np.unique(np.stack([x, y], 1), axis=0) if len(i) else np.empty((0, 2), np.uint64)
+            yield rows(len(pairs), kind=np.full(len(pairs), PAIR), a=signed(pairs[:, 0].copy()), b=signed(pairs[:, 1].copy()))
+            # beyond the ORDERED most common: compared with leaders, whatever their place
+            over = e[np.repeat(lengths > DENSE, lengths)]
+            yield rows(len(over), kind=np.full(len(over), DENSE_ENTRY), a=over["q"].astype(np.int64) - (1 << 33), b=signed(over["v"].copy()), n=over["n"].astype(np.int64), pos=over["n"].astype(np.int64) * over["p"] // 256)
 
-    return own.mapInArrow(mapper, ROWS).repartition(len(keys), "key").mapInArrow(reducer, ROWS).drop("key", "block")
+    return docs.mapInArrow(mapper, ROWS).repartition(len(keys), "key").mapInArrow(reducer, ROWS).drop("key", "block")
+
+
+def bounded(nx, ny, px, py, percent: int):
+    """Whether sets of sizes nx and ny whose first common shingle is at px and py can reach the similarity."""
+    rest = F.least(nx - px, ny - py)
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (rest * (100 + percent) >= percent * (nx + ny))
 
 
 def verified(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
@@ -309,25 +373,29 @@ def similar(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     keys = even_keys(spark, common.partitions(spark))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = common.materialize(first_product(texts, n, percent, keys), "grams")
+    first = common.materialize(product(texts, common_shingles(texts, n, keys), n, percent, keys), "grams")
     members = first.where(f"kind = {DOC}").select("doc_id", F.col("a").alias("v"), "n")
-    classes = members.where("v <> 0").groupBy("v").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"))
-    pairs = first.where(f"kind = {PAIR}").select("a", "b").distinct()
-    dense = first.where(f"kind = {DENSE_NODE}").select(F.col("a").alias("v")).distinct()
-    pairs, dense = common.materialize(pairs, "pairs"), common.materialize(dense, "dense")
-    taken = pairs.select(F.explode(F.array("a", "b")).alias("v")).union(dense).distinct()
-    reps = classes.join(taken, "v", "left_semi").select("rep").distinct()
-    own = common.materialize(sets_of(texts.join(reps, texts["doc_id"].eqNullSafe(reps["rep"]), "left_semi"), n).dropDuplicates(["v"]), "sets")
-    entries = None
-    if not dense.isEmpty():
-        again = own.join(dense, "v", "left_semi")
-        second = common.materialize(second_product(again, common_shingles(again, keys), percent, keys), "grams")
-        pairs = common.materialize(pairs.union(second.where(f"kind = {PAIR}").select("a", "b")).distinct(), "pairs")
-        entries = common.materialize(second.where(f"kind = {DENSE_ENTRY}").select(F.col("a").alias("h"), F.col("b").alias("v"), "n", "pos"), "entries")
-    sizes = members.where("v <> 0").groupBy("v").agg(F.first("n").alias("n"))
-    sized = pairs.join(sizes.select(F.col("v").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("v").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = common.materialize(sized.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b"), "pairs")
-    labels = links(pairs, entries, own, percent)
+    classes = common.materialize(members.where("v <> 0").groupBy("v").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")), "classes")
+    pairs = common.materialize(first.where(f"kind = {PAIR}").select("a", "b").distinct(), "pairs")
+    entries = first.where(f"kind = {DENSE_ENTRY}").select(F.col("a").alias("h"), F.col("b").alias("v"), "n", "pos").distinct()
+    entries = common.materialize(mixed(entries.withColumn("lead", leads(percent)).withColumn("c", F.col("v"))).drop("c"), "entries")
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """One text of each node (with those of the same doc_id)."""
+        reps = common.materialize(classes.join(nodes.distinct(), "v", "left_semi").select("rep").distinct(), "reps")
+        if reps.count() <= BROADCAST_IDS:
+            reps = F.broadcast(reps)
+        return texts.join(reps, texts["doc_id"].eqNullSafe(reps["rep"]), "left_semi")
+
+    def linked(tried: DataFrame) -> DataFrame:
+        """The pairs that reach the similarity, by their marks first, then by their whole sets."""
+        left = common.materialize(hopeful(tried, marks, percent).distinct(), "hopeful")
+        own = common.materialize(sets_of(texts_of(left.select(F.explode(F.array("a", "b")).alias("v"))), n), "sets")
+        return common.materialize(verified(left, own, percent), "links")
+
+    marks = common.materialize(marks_of(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("v")).union(entries.select("v"))), n), "marks")
+    entries = None if entries.isEmpty() else entries
+    labels = links(pairs, entries, linked, percent)
     named = classes if labels is None else classes.join(labels.withColumnRenamed("node", "v"), "v", "left")
     named = named.withColumn("component", F.coalesce("component", "v") if labels is not None else F.col("v"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -336,7 +404,7 @@ def similar(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class_size", F.when(F.col("v") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def links(pairs: DataFrame, entries: DataFrame | None, own: DataFrame, percent: int) -> DataFrame | None:
+def links(pairs: DataFrame, entries: DataFrame | None, linked, percent: int) -> DataFrame | None:
     """Components (node, component) of the candidate pairs and dense columns; None without any link.
 
     First every node is compared with its smallest partner and with the smallest node of its dense
@@ -344,24 +412,25 @@ def links(pairs: DataFrame, entries: DataFrame | None, own: DataFrame, percent:
     """
     labels, round_ = None, 0
     while True:
+        seen = None if labels is None else labels.groupBy("node").agg(F.min("component").alias("component"))
         if labels is None:
             tried = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         elif round_ == 1:
-            tried = apart(pairs, labels)
+            tried = apart(pairs, seen)
         else:
             tried = None
         if entries is not None:
-            fresh, entries = led(entries, labels, percent, last=round_ >= LEADER_ROUNDS)
+            fresh, entries = led(entries, seen, percent, last=round_ >= LEADER_ROUNDS)
             tried = fresh if tried is None else tried.union(fresh)
         round_ += 1
         if tried is None:
-            return labels
-        edges = common.materialize(verified(tried.where("a <> b").distinct(), own, percent), "links")
+            return None if labels is None else common.components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")), "components")
+        edges = linked(tried.where("a <> b").distinct())
         if not edges.isEmpty():
             known = edges if labels is None else edges.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            labels = common.components(known, "components")
+            labels = common.components(known, "components", whole=False)
         if entries is None and round_ >= 2:
-            return labels
+            return None if labels is None else common.components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")), "components")
 
 
 def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -370,24 +439,44 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def leads(percent: int):
+    """Whether a node can be the smaller of a similar pair whose first common shingle stands here."""
+    return F.col("pos") * (100 + percent) <= (100 - percent) * F.col("n")
+
+
+def mixed(entries: DataFrame) -> DataFrame:
+    """Entries of columns that hold more than one component and a node that can be the smaller of a pair."""
+    some = entries.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.max("lead").alias("z")).where("x <> y and z").select("h")
+    return entries.join(some, "h", "left_semi")
+
+
 def led(entries: DataFrame, labels: DataFrame | None, percent: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Candidates of every dense column with its smallest node, and the entries still to be compared."""
+    """Candidates of every dense column and the entries that are still to be compared (None: none).
+
+    Where the columns' products stay within PER_ENTRY pairs an entry they are formed at once; else every
+    column is compared with its smallest node, and from the second round with LEADERS nodes, one of each residue.
+    """
     here = entries.withColumn("c", F.col("v"))
     if labels is not None:
         here = entries.join(labels.select(F.col("node").alias("v"), F.col("component").alias("c")), "v", "left").withColumn("c", F.coalesce("c", "v"))
-        mixed = here.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("h")
-        here = common.materialize(here.join(mixed, "h", "left_semi"), "entries")
-        if here.isEmpty():
-            return here.select(F.col("v").alias("a"), F.col("v").alias("b")), None
-    if last:
-        x, y = (here.select("h", *[F.col(k).alias(f"{k}{i}") for k in ("v", "n", "pos", "c")]) for i in (1, 2))
-        met = x.join(y, "h").where((F.col("v1") < F.col("v2")) & (F.col("c1") != F.col("c2")) & bounded(F.col("n1"), F.col("n2"), F.col("pos1"), F.col("pos2"), percent))
-        return met.select(F.col("v1").alias("a"), F.col("v2").alias("b")), None
-    leader = here.groupBy("h").agg(F.min(F.struct("v", "n", "pos", "c")).alias("lead"))
-    met = here.join(leader, "h").select("*", F.col("lead.v").alias("a"))
-    pairs = met.where((F.col("v") != F.col("a")) & (F.col("c") != F.col("lead.c")) & bounded(F.col("n"), F.col("lead.n"), F.col("pos"), F.col("lead.pos"), percent))
-    rest = met.where("v <> a").select("h", "v", "n", "pos")
-    return pairs.select("a", F.col("v").alias("b")), common.materialize(rest, "entries")
+        here = common.materialize(mixed(here), "entries")
+    work = here.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.col("lead").cast("long")).alias("k")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("k")).alias("w")).first()
+    if not work["n"]:
+        return here.select(F.col("v").alias("a"), F.col("v").alias("b")), None
+    if last or work["w"] <= PER_ENTRY * work["n"]:
+        x, y = (here.select("h", *[F.col(k).alias(f"{k}{i}") for k in ("v", "n", "pos", "c", "lead")]) for i in (1, 2))
+        first = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (~F.col("lead2") | (F.col("v1") < F.col("v2"))))
+        met = x.where("lead1").join(y, "h").where(first & (F.col("c1") != F.col("c2")) & bounded(F.col("n1"), F.col("n2"), F.col("pos1"), F.col("pos2"), percent))
+        return met.select(F.least("v1", "v2").alias("a"), F.greatest("v1", "v2").alias("b")), None
+    firsts = here.groupBy("h", F.pmod(F.shiftright("v", 20), F.lit(1 if labels is None else LEADERS)).alias("_k")).agg(F.min(F.struct("v", "n", "pos", "c")).alias("l"))
+    leaders = firsts.groupBy("h").agg(F.collect_list("l").alias("ls"))
+    met = here.join(leaders, "h")
+    fits = F.filter("ls", lambda l: (l["v"] != F.col("v")) & (l["c"] != F.col("c")) & bounded(F.col("n"), l["n"], F.col("pos"), l["pos"], percent))
+    # a node meets the same leaders in many columns: once each
+    mine = met.groupBy("v").agg(F.array_distinct(F.flatten(F.collect_set(F.transform(fits, lambda l: l["v"])))).alias("a"))
+    pairs = mine.select(F.explode("a").alias("a"), F.col("v").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = met.where(~F.exists("ls", lambda l: l["v"] == F.col("v"))).select("h", "v", "n", "pos", "lead")
+    return pairs, common.materialize(rest, "entries")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -326,3 +326,22 @@ def test_secrets_on_unseen_findings(spark):
     for r in found.itertuples():
         assert lines[r.doc_id][0][r.start : r.start + r.length] == r.candidate
     assert secrets.scan(df.limit(0), forest).count() == 0
+
+
+def test_marks_never_rule_out_what_is_shared():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        common_ = rng.integers(0, 2**63, rng.integers(0, 60), dtype=np.uint64)
+        x, y = (np.unique(np.concatenate([common_, rng.integers(0, 2**63, rng.integers(1, 120), dtype=np.uint64)])) for _ in range(2))
+        shared = len(np.intersect1d(x, y))
+        a, b = (np.frombuffer(ngram_join.bits_of(z), np.uint8) for z in (x, y))
+        assert len(x) - ngram_join.unmatched(a, b) >= shared and len(y) - ngram_join.unmatched(b, a) >= shared
+
+
+def test_blocks_round_trip():
+    rng = np.random.default_rng(13)
+    e = np.empty(5000, ngram_join.TAGGED)
+    e["q"] = rng.integers(0, 2**32, 5000, dtype=np.uint32) // rng.choice(np.array([1, 1000, 100_000], np.uint32), 5000)
+    e["t"] = rng.integers(0, 256, 5000)
+    got = ngram_join.unpacked(ngram_join.packed(e))
+    assert sorted(got.tolist()) == sorted(e.tolist()) and (np.diff(got["q"].astype(np.int64)) >= 0).all()
