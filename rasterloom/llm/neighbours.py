@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Neighbours of a node, trees, vectors of a leaf, rounds at most, share of changed edges that ends them.
-K, TREES, LEAF, ROUNDS, SETTLED = 16, 3, 64, 4, 0.02
+K, TREES, LEAF, ROUNDS, SETTLED = 20, 3, 64, 5, 0.02
 #: The trees and the entry points are fitted on so many nodes at most, those of the smallest hash.
 SAMPLE = 4096
 #: Entry points of a query and nodes of its beam.
-ENTRIES, BEAM = 16, 48
+ENTRIES, BEAM = 32, 192
 RESULTS = 10
 
 
