@@ -111,7 +111,10 @@ def score(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     """
     own = [f"_own{i}" for i in range(len(docs.columns))]
     inner = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own, strict=True)], F.col("text"))
-    return with_stats(inner).select(*[F.col(o).alias(c) for c, o in zip(docs.columns, own, strict=True)], model.column().alias("_score")).withColumnRenamed("_score", "score" if "score" not in docs.columns else "quality_score")
+    # a filter on the score must not be pushed below the statistics, where each rule would compute them anew:
+    # Spark pushes nothing through what depends on the partition
+    value = F.when(F.spark_partition_id() >= 0, model.column())
+    return with_stats(inner).select(*[F.col(o).alias(c) for c, o in zip(docs.columns, own, strict=True)], value.alias("_score")).withColumnRenamed("_score", "score" if "score" not in docs.columns else "quality_score")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
