@@ -56,6 +56,12 @@ def window(cols: str, size_x: int, size_y: int | None = None, source: str = "sce
     return f"SELECT {keep}, {cols} FROM {source} a JOIN {source} b ON b.y BETWEEN a.y - {lo(size_y)} AND a.y + {hi(size_y)} AND b.x BETWEEN a.x - {lo(size_x)} AND a.x + {hi(size_x)} GROUP BY {keep}"
 
 
+def extent(df: DataFrame, column: str) -> int:
+    """Largest value of a column; -1 where there are no rows."""
+    top = df.agg(F.max(column)).first()[0]
+    return -1 if top is None else int(top)
+
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -121,6 +127,12 @@ def _(spark, d):
     return rounded(t.groupBy("ty", "tx").agg(F.count("*").alias("n"), F.sum("v").alias("s")))
 
 
+@query("tile_statistics_whole", sql([SCENE], "ty, tx, n", {"s": "s"}, "(SELECT ty, tx, count(*) AS n, sum(v) AS s FROM scene, (SELECT DISTINCT (y + d) // 16 AS ty FROM scene, (SELECT unnest([-2, 0, 2]) AS d) WHERE y + d >= 0) a, (SELECT unnest(range(0, 3)) AS tx) b WHERE y BETWEEN ty * 16 - 2 AND ty * 16 + 17 AND x BETWEEN tx * 40 - 2 AND tx * 40 + 41 GROUP BY 1, 2)"))
+def _(spark, d):
+    t = raster.tiles(views.scene(spark, d), 16, 40, 2)
+    return rounded(t.groupBy("ty", "tx").agg(F.count("*").alias("n"), F.sum("v").alias("s")))
+
+
 @query("subset", f"WITH {SCENE} SELECT y, x, v FROM scene WHERE y BETWEEN 2 AND 30 AND x BETWEEN 10 AND 59")
 def _(spark, d):
     return raster.subset(views.scene(spark, d), 2, 31, 10, 60)
@@ -169,6 +181,13 @@ def _(spark, d):
     return raster.slice_assembly(s, table)
 
 
+@query("slice_assembly_whole", f"WITH {SCENE} SELECT y, x, v FROM scene")
+def _(spark, d):
+    s = views.scene(spark, d).select(F.expr("y div 4").alias("slice"), (F.col("y") % 4).alias("y"), "x", "v")
+    table = s.select("slice", (4 * F.col("slice")).alias("start"), (4 * F.col("slice") + 4).alias("end")).distinct()
+    return raster.slice_assembly(s, table)
+
+
 @query("srgr_linear", sql([SCENE, "g AS (SELECT DISTINCT y FROM scene)", "t AS (SELECT y, unnest(range(0, 120)) AS x FROM g)", "u AS (SELECT y, x, 0.5 + 0.8 * x + 0.0005 * x * x AS pos FROM t)", "w AS (SELECT y, x, CAST(floor(pos) AS BIGINT) AS s, pos - floor(pos) AS t FROM u)"], "w.y, w.x", {"v": "CASE WHEN t > 0 THEN a.v * (1 - t) + b.v * t ELSE a.v END"}, "w JOIN scene a ON a.y = w.y AND a.x = s LEFT JOIN scene b ON b.y = w.y AND b.x = s + 1", "WHERE t = 0 OR b.v IS NOT NULL"))
 def _(spark, d):
     return rounded(raster.resample_line(views.scene(spark, d), [0.5, 0.8, 0.0005], 120))
@@ -190,6 +209,14 @@ def _(spark, d):
     return rounded(raster.bilinear(views.scene(spark, d).where("y <= 10"), grid, 5.0, 10.0))
 
 
+@query("tie_points_whole", sql([SCENE], "y, x", {"value": "30 + y * 0.1 + x * 0.05"}, "scene"))
+def _(spark, d):
+    s = views.scene(spark, d)
+    lines = spark.range(extent(s, "y") // 5 + 2).withColumnRenamed("id", "gy")
+    grid = lines.crossJoin(spark.range(11).withColumnRenamed("id", "gx")).withColumn("value", 30 + F.col("gy") * 0.5 + F.col("gx") * 0.5)
+    return rounded(raster.bilinear(s, grid, 5.0, 10.0))
+
+
 # --- filters ----------------------------------------------------------------------------
 
 M5 = f"m AS ({window('any_value(a.v) AS v, count(b.v) AS n, avg(b.v) AS mean, var_samp(b.v) AS var', 5, keep='a.y, a.x')})"
@@ -311,7 +338,7 @@ def _(spark, d):
     return rounded(detection.reactiv(views.stack(spark, d), ["pixel"], t="epoch"))
 
 
-query("robust_pca")(lambda spark, d: rounded(detection.robust_pca(views.stack(spark, d).where("epoch < 8").select(F.expr("pixel div 20").alias("y"), (F.col("pixel") % 20).alias("x"), "epoch", "v"))))
+query("robust_pca")(lambda spark, d: rounded(detection.robust_pca(views.stack(spark, d).select(F.expr("pixel div 20").alias("y"), (F.col("pixel") % 20).alias("x"), "epoch", "v"))))
 query("forest_classes")(lambda spark, d: detection.forest_classes(both(spark, d), ["a", "b"], 20.0, 60.0))
 
 
@@ -450,25 +477,47 @@ def _(spark, d):
 ORACLE_SQL["sbas_inversion"] = sql([STACK, "p AS (SELECT pixel, list(v ORDER BY epoch) AS v FROM stack WHERE epoch < 5 GROUP BY pixel)", "q AS (SELECT pixel, list_transform(v, lambda z: z - v[3]) AS p, regr_s FROM (SELECT p.pixel, p.v, r.s AS regr_s FROM p JOIN (SELECT pixel, regr_slope(v, epoch * 12 / 365.25) AS s FROM stack WHERE epoch < 5 GROUP BY pixel) r USING (pixel)))"], "pixel // 100 AS y, pixel % 100 AS x, CAST(7 AS BIGINT) AS pairs", {"velocity": "-regr_s * 0.0555 / (4 * pi()) * 1000", "temporal_coherence": "1", **{f"phase{k}": f"p[{k + 1}]" for k in range(5)}}, "q")
 
 
+SBAS_PAIRS = [*((k, k + 1) for k in range(63)), *((k, k + 2) for k in range(0, 62, 2)), (0, 63)]
+
+
+@query("sbas_inversion_whole")
+def _(spark, d):
+    st = views.stack(spark, d)
+    pairs = spark.createDataFrame(SBAS_PAIRS, "ref int, sec int")
+    a, b = (st.select("pixel", F.col("epoch").alias(k), F.col("v").alias(f"v_{k}")) for k in ("ref", "sec"))
+    obs = pairs.join(a, "ref").join(b, ["sec", "pixel"]).select(F.expr("pixel div 100").alias("y"), (F.col("pixel") % 100).alias("x"), "ref", "sec", (F.col("v_sec") - F.col("v_ref")).alias("phase"), F.lit(0.9).alias("coherence"))
+    out = insar.sbas(obs, [12 * k for k in range(64)], 2, 0.0555)
+    return rounded(out.select("y", "x", "velocity", "temporal_coherence", "pairs", *[F.col("phase")[k].alias(f"phase{k}") for k in range(64)]))
+
+
+ORACLE_SQL["sbas_inversion_whole"] = sql([STACK, "q AS (SELECT pixel, list(v ORDER BY epoch) AS v, regr_slope(v, epoch * 12 / 365.25) AS regr_s FROM stack GROUP BY pixel)"], f"pixel // 100 AS y, pixel % 100 AS x, CAST({len(SBAS_PAIRS)} AS BIGINT) AS pairs", {"velocity": "-regr_s * 0.0555 / (4 * pi()) * 1000", "temporal_coherence": "1", **{f"phase{k}": f"v[{k + 1}] - v[3]" for k in range(64)}}, "q")
+
+
 @query("phase_linking")
 def _(spark, d):
     p = views.read(spark, d, "events").select(F.expr("event_id div 100").alias("y"), (F.col("event_id") % 100).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("epoch"), "value", "user_id")
-    z = p.where("y < 6").select("y", "x", "epoch", F.cos(F.col("epoch") * 0.4 + F.col("user_id") / 5000).alias("i"), F.sin(F.col("epoch") * 0.4 + F.col("user_id") / 5000).alias("q"))
+    z = p.select("y", "x", "epoch", F.cos(F.col("epoch") * 0.4 + F.col("user_id") / 5000).alias("i"), F.sin(F.col("epoch") * 0.4 + F.col("user_id") / 5000).alias("q"))
     out = insar.phase_linking(z, 4)
     return rounded(out.select("y", "x", "temporal_coherence", *[F.col("phase")[k].alias(f"phase{k}") for k in range(4)]))
 
 
 @query("cross_correlation")
 def _(spark, d):
-    s = views.scene(spark, d).where("y < 64 and x < 96")
+    s = views.scene(spark, d)
     b = s.select((F.col("y") + 2).alias("y"), (F.col("x") + 3).alias("x"), F.col("v").alias("b"))
-    met = s.join(b, ["y", "x"], "left").select((F.expr("y div 32") * 3 + F.expr("x div 32")).alias("gcp"), (F.col("y") % 32).alias("y"), (F.col("x") % 32).alias("x"), F.col("v").alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"))
+    # the last chip of a line or column ends at the border, so that every chip is whole
+    last = {c: extent(s, c) // 32 for c in ("y", "x")}
+    start = {c: max(extent(s, c) - 31, 0) for c in ("y", "x")}
+    chips = lambda c: F.explode(F.array_distinct(F.array(F.expr(f"{c} div 32"), F.when(F.col(c) >= start[c], F.lit(last[c]).cast("long")).otherwise(F.expr(f"{c} div 32")))))
+    at = lambda c: (F.col(c) - F.when(F.col(f"k{c}") == last[c], start[c]).otherwise(32 * F.col(f"k{c}"))).alias(c)
+    met = s.join(b, ["y", "x"], "left").withColumn("ky", chips("y")).withColumn("kx", chips("x"))
+    met = met.select((F.col("ky") * (last["x"] + 1) + F.col("kx")).alias("gcp"), at("y"), at("x"), F.col("v").alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"))
     return rounded(insar.cross_correlation(met))
 
 
 @query("warp_fit", "SELECT CAST(k AS BIGINT) AS k, v[k] AS dy, w[k] AS dx FROM (SELECT unnest(range(1, 4)) AS k, [0.5, 0.01, -0.02] AS v, [-1.0, 0.0, 0.03] AS w)")
 def _(spark, d):
-    g = views.scene(spark, d).where("y % 5 = 0 and x % 5 = 0").select("y", "x", (0.5 + 0.01 * F.col("y") - 0.02 * F.col("x")).alias("dy"), (-1.0 + 0.03 * F.col("x")).alias("dx"))
+    g = views.scene(spark, d).select("y", "x", (0.5 + 0.01 * F.col("y") - 0.02 * F.col("x")).alias("dy"), (-1.0 + 0.03 * F.col("x")).alias("dx"))
     cy, cx = insar.fit_warp(g)
     return rounded(spark.createDataFrame([(k + 1, float(cy[k]), float(cx[k])) for k in range(3)], "k long, dy double, dx double"))
 
@@ -498,6 +547,13 @@ def _(spark, d):
     return topsar.deburst(s, bursts, 1.0)
 
 
+@query("topsar_deburst_whole", f"WITH {SCENE}, b AS (SELECT y // 6 AS burst, y % 6 + (y // 6) * 4 AS t, x, v FROM scene) SELECT t AS y, x, arg_max(v, burst) AS v FROM b WHERE (burst = 0 OR t > burst * 4 + 1) AND (burst = (SELECT max(burst) FROM b) OR t <= burst * 4 + 5) AND t < burst * 4 + 6 GROUP BY t, x")
+def _(spark, d):
+    s = views.scene(spark, d).select(F.expr("y div 6").alias("burst"), (F.col("y") % 6).alias("line"), "x", "v")
+    bursts = s.select("burst", (4 * F.col("burst")).cast("double").alias("first"), (4 * F.col("burst") + 6).cast("double").alias("last")).distinct()
+    return topsar.deburst(s, bursts, 1.0)
+
+
 @query("topsar_merge", f"WITH {SCENE}, s AS (SELECT 1 AS w, y, x, v FROM scene WHERE x < 60 UNION ALL SELECT 2, y, x, v + 1 FROM scene WHERE x >= 40) SELECT y, x, v FROM s WHERE (w = 1 AND x < 50) OR (w = 2 AND x >= 50)")
 def _(spark, d):
     s = views.scene(spark, d)
@@ -547,6 +603,15 @@ def _(spark, d):
     return rounded(topsar.lagrange_orbit(points, vectors))
 
 
+@query("orbit_interpolation_whole", sql(["t AS (SELECT event_id * 0.0103 AS t FROM events)"], "", {"t": "t", "px": "7000 + 3 * t - 0.1 * t * t", "py": "t ** 3 * 0.01", "pz": "5 - t"}, "t"))
+def _(spark, d):
+    points = views.read(spark, d, "events").select((F.col("event_id") * 0.0103).alias("t"))
+    end = extent(points, "t")
+    step = max(1, end // 5000 + 1)  # the orbit's size stays bounded
+    vectors = spark.createDataFrame([(float(t), 7000 + 3.0 * t - 0.1 * t * t, t**3 * 0.01, 5.0 - t) for t in range(-10 * step, end + 11 * step, step)], "t double, px double, py double, pz double")
+    return rounded(topsar.lagrange_orbit(points, vectors))
+
+
 # --- calibration ------------------------------------------------------------------------
 
 KNOTS = "k AS (SELECT p_size AS k, avg(p_retailprice) / 100 AS v FROM part GROUP BY 1)"
@@ -566,6 +631,14 @@ def _(spark, d):
     return rounded(calibration.calibrate(s, calibration.factor("lut_squared")))
 
 
+@query("calibration_lut_whole", sql([SCENE], "y, x", {"sigma": "v * v / ((100.3 + 2 * y + x) * (100.3 + 2 * y + x))"}, "scene"))
+def _(spark, d):
+    s = views.scene(spark, d)
+    lines = spark.range(extent(s, "y") // 50 + 2).select((50 * F.col("id")).alias("line"))
+    lut = lines.crossJoin(spark.range(4).select((40 * F.col("id")).alias("pixel"))).withColumn("lut", 100.3 + 2 * F.col("line") + F.col("pixel"))
+    return rounded(calibration.calibrate(calibration.lut_bilinear(s, lut, "lut"), calibration.factor("lut_squared")))
+
+
 CAL = {
     "decibel_constant": ({"k": -8.3}, "10 ** (-0.83)"),
     "constant": ({"k": 0.02}, "0.02"),
