@@ -5,6 +5,9 @@ line emits itself and every variant with one word left out as hashed keys; lines
 in a key are within the bound (the same gap: a replaced word; a whole line and a variant: an
 inserted one), the edit distance is verified on the words, and the earliest line is kept.
 
+With `every`, lines of fewer words than that bound needs are sequences of letters instead, and
+match across one edited letter; all else is the same.
+
 Equal lines are one line from the start. Only lines that share their first or their last
 half with another line emit variants: an edit of one word leaves one half as it was, so no
 match is lost. Within a key only the earliest line is joined on, so a large group of similar
@@ -24,14 +27,15 @@ from pyspark.sql import functions as F
 from . import common
 from .ngram_join import ROWS, Blocks, even_keys, rows, runs, signed
 
-#: Shorter lines are never removed: headings, list items and closing lines recur by nature.
+#: Unless every line is asked for, shorter ones are never removed: headings, list items and closing lines recur by nature.
 LEAST_WORDS = 5
-#: From this length on lines also match across one edited word.
+#: From this length on lines also match across one edited word; with `every`, shorter lines of as many letters across one edited letter.
 NEAR_WORDS = 10
 
 VARIANT = np.dtype([("h", "<u8"), ("pos", "<i4"), ("doc", "<i8"), ("line", "<i4"), ("th", "<i8"), ("lh", "<u8")])
 #: Stands for a null doc_id, which is the earliest.
 NULL_DOC = -(2**63)
+LETTER = np.uint64(0xA0761D6478BD642F)
 STEP, BACK, GAP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -42,6 +46,21 @@ def line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return common.word_hashes(dictionary)[codes], offsets, lists.offsets.to_numpy() - lists.offsets[0].as_py()
 
 
+def line_letters(texts: pa.Array, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of lines of NEAR_WORDS and more, of the letters (one space between words) of others, and each line's offset."""
+    n = np.diff(offsets)
+    short = n < NEAR_WORDS
+    lines = pc.split_pattern(pc.fill_null(texts, ""), "\n").flatten().filter(pa.array(short)).cast(pa.binary())
+    codes = np.frombuffer(b"".join(b" ".join(x.split()) + b"\n" for x in lines.to_pylist()).decode().encode("utf-32-le"), np.uint32)
+    ends = np.flatnonzero(codes == 10)
+    sizes = n.copy()
+    sizes[short] = np.diff(ends, prepend=-1) - 1
+    out, by_letter = np.empty(int(sizes.sum()), np.uint64), np.repeat(short, sizes)
+    out[by_letter] = common.mix(codes[codes != 10].astype(np.uint64) + LETTER)
+    out[~by_letter] = words[np.repeat(~short, n)]
+    return out, np.concatenate([[0], np.cumsum(sizes)])
+
+
 def sums(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
 
@@ -63,16 +82,18 @@ def line_keys(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return n, own, keys
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame, every: bool) -> DataFrame:
     """(doc_id, th, line, lh, keys) of every line that may be removed."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.batches(it, "text"):
             words, offsets, texts = line_words(batch.column("text"))
             n, own, keys = line_keys(words, offsets)
+            if every:
+                keys = line_keys(*line_letters(batch.column("text"), words, offsets))[2]
             doc = np.repeat(np.arange(len(texts) - 1), np.diff(texts))
             line = np.arange(len(n)) - texts[doc]
-            keep = np.flatnonzero(n >= LEAST_WORDS)
+            keep = np.flatnonzero(n >= (1 if every else LEAST_WORDS))
             used = keys[keep] != 0
             values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(used.sum(1))]).astype(np.int32)), pa.array(signed(keys[keep][used])))
             take = pa.array(doc[keep])
@@ -81,13 +102,16 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, th long, line int, lh long, keys array<long>")
 
 
-def words_at(docs: DataFrame) -> DataFrame:
-    """(lh, doc, th, line, w) of the lines whose numbers stand in `at`: their word hashes."""
+def words_at(docs: DataFrame, every: bool) -> DataFrame:
+    """(lh, doc, th, line, w) of the lines whose numbers stand in `at`: their word (or letter) hashes."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.batches(it, "text"):
             words, offsets, texts = line_words(batch.column("text"))
             n, own, _ = line_keys(words, offsets)
+            if every:
+                words, offsets = line_letters(batch.column("text"), words, offsets)
+                n = np.diff(offsets)
             at = batch.column("at")
             pick = at.flatten().to_numpy() + np.repeat(texts[:-1], np.diff(at.offsets.to_numpy()))
             doc = np.repeat(np.arange(len(texts) - 1), np.diff(at.offsets.to_numpy()))
@@ -207,12 +231,14 @@ def checked(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "w1", "w2").mapInArrow(run, "lh long").distinct()
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, every: bool = False) -> DataFrame:
     """docs with every line removed that an earlier line matches; adds n_lines and n_removed.
 
     Lines end with a line feed. A line of at least LEAST_WORDS words is removed where an equal line
     (white space between words apart) stands earlier; one of at least NEAR_WORDS words also where
-    its first occurrence has an earlier line within one edited word. Earlier: smaller doc_id (null
+    its first occurrence has an earlier line within one edited word. With `every`, a line of any number
+    of words (but none) is removed where an equal one stands earlier, and lines of fewer than NEAR_WORDS
+    words but as many letters (one space between words) match across one edited letter. Earlier: smaller doc_id (null
     first), then smaller line number. Rows that are equal in doc_id and text are one document and
     keep the same lines. All rows stay, and all columns; a text of which nothing stays is empty, a
     null text stays null. Only `text` changes.
@@ -222,7 +248,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     th = F.xxhash64(F.coalesce(text, F.lit("")))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), th.alias("th"), text.alias("text"))
-    first = lines_of(slim).groupBy("lh").agg(F.min(F.struct("doc_id", "line", "th")).alias("f"), F.first("keys").alias("keys"))
+    first = lines_of(slim, every).groupBy("lh").agg(F.min(F.struct("doc_id", "line", "th")).alias("f"), F.first("keys").alias("keys"))
     first = common.materialize(first.select("lh", "f.*", "keys"), "lines")
     halves = first.select("lh", F.explode("keys").alias("k"))
     shared = halves.groupBy("k").agg(F.min("lh").alias("x"), F.max("lh").alias("y")).where("x <> y").select("k")
@@ -230,13 +256,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     at = first.join(near, "lh", "left_semi").groupBy("doc_id", "th").agg(F.collect_list("line").alias("at"))
     same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["th"] == y["th"])
     unique = slim.join(at, same(slim, at)).select(slim["doc_id"], slim["th"], "text", "at").dropDuplicates(["doc_id", "th"])
-    known = common.materialize(words_at(unique), "words")
+    known = common.materialize(words_at(unique, every), "words")
     gone = common.materialize(checked(neighbours(known, keys), known), "gone")
     kept = first.join(gone, "lh", "left_anti").groupBy(F.col("doc_id").alias("_kept_doc"), F.col("th").alias("_kept_th")).agg(F.collect_list("line").alias("_kept"))
     own = [f"_own{i}" for i in range(len(docs.columns))]
     named = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own, strict=True)], F.col("doc_id").cast("long").alias("_doc"), text.alias("_text"), th.alias("_th"))
     joined = named.join(kept, named["_doc"].eqNullSafe(kept["_kept_doc"]) & (named["_th"] == kept["_kept_th"]), "left").select(*own, "_text", "_kept")
-    place = docs.columns.index("text")
+    place, least = docs.columns.index("text"), 1 if every else LEAST_WORDS
     schema = [f for f in docs.schema.fields]
 
     def rebuild(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +271,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             for text_, kept_ in zip(batch.column("_text").to_pylist(), batch.column("_kept").to_pylist(), strict=True):
                 lines = [] if text_ is None else text_.encode().split(b"\n")
                 stay = set(kept_ or ())
-                new = [x for i, x in enumerate(lines) if i in stay or len(x.split(None, LEAST_WORDS - 1)) < LEAST_WORDS]
+                new = [x for i, x in enumerate(lines) if i in stay or len(x.split(None, least - 1)) < least]
                 lines_.append(len(lines))
                 gone_.append(len(lines) - len(new))
                 out.append(None if text_ is None else text_ if len(new) == len(lines) else b"\n".join(new).decode())
@@ -279,3 +305,27 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(lin
   count(k.i) AS n_lines, count(k.i) FILTER (WHERE NOT stays) AS n_removed
 FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id, d.text
 """
+
+
+def op9_line_dedup_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"), every=True)
+
+
+ORACLE_OP9_EVERY = """
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL
+), w AS (SELECT doc_id, i, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS w FROM l),
+f AS (SELECT w, min((doc_id, i)) AS f FROM w WHERE len(w) > 0 GROUP BY w),
+n AS (SELECT * FROM (SELECT w, f, len(w) >= 10 AS b, CASE WHEN len(w) >= 10 THEN w ELSE regexp_extract_all(array_to_string(w, ' '), '(?s).') END AS u FROM f) WHERE len(u) >= 10),
+v AS (
+  SELECT w, f, b, 0 AS p, u AS v FROM n
+  UNION ALL
+  SELECT w, f, b, p, list_concat(u[:p - 1], u[p + 1:]) FROM (SELECT *, unnest(range(1, len(u) + 1)) AS p FROM n)
+), gone AS (
+  SELECT DISTINCT x.w FROM v x JOIN v y ON x.v = y.v AND x.b = y.b AND y.f < x.f AND (x.p = y.p OR x.p = 0 OR y.p = 0)
+), kept AS (SELECT f FROM f ANTI JOIN gone ON f.w = gone.w),
+k AS (SELECT w.doc_id, w.i, w.line, len(w.w) = 0 OR kept.f IS NOT NULL AS stays FROM w LEFT JOIN kept ON kept.f = (w.doc_id, w.i))
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE stays), '') END AS text,
+  count(k.i) AS n_lines, count(k.i) FILTER (WHERE NOT stays) AS n_removed
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id, d.text
+"""

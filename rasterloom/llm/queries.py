@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op6_benchmark_decontamination
-from .line_dedup import ORACLE_OP9, op9_line_dedup
+from .line_dedup import ORACLE_OP9, ORACLE_OP9_EVERY, op9_line_dedup, op9_line_dedup_every_line
 from .neighbours import op10_nn_descent
 from .ngram_join import ORACLE_OP2, op2_ngram_jaccard_join
 from .packing import op7_best_fit_packing
@@ -23,6 +23,7 @@ QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,
+    "op9_line_dedup_every_line": op9_line_dedup_every_line,
     "op10_nn_descent": op10_nn_descent,
 }
 
@@ -31,4 +32,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_url_filters": ORACLE_OP3,
     "op4_warc": ORACLE_OP4,
     "op9_line_dedup": ORACLE_OP9,
+    "op9_line_dedup_every_line": ORACLE_OP9_EVERY,
 }

@@ -106,6 +106,12 @@ def test_line_dedup_keeps_columns(spark):
     assert line_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_every_line_is_deduplicated(spark):
+    rows = [(1, "x\n\nx\n \nshort line\nThe heading of a part"), (2, "short  line\nThe headings of a part\nThe heading of part\nüx\nabc1"), (3, "The heading of a pärt\nüx\nabc2\n")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(documents(spark, rows), every=True).collect()}
+    assert got == {1: "x\n\n \nshort line\nThe heading of a part", 2: "The heading of part\nüx\nabc1", 3: "abc2\n"}
+
+
 def test_one_edit():
     rng = np.random.default_rng(0)
 
