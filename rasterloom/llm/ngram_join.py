@@ -413,10 +413,10 @@ def links(pairs: DataFrame, entries: DataFrame | None, linked, percent: int) ->
     labels, round_ = None, 0
     while True:
         seen = None if labels is None else labels.groupBy("node").agg(F.min("component").alias("component"))
-        if labels is None:
+        if round_ == 0:
             tried = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         elif round_ == 1:
-            tried = apart(pairs, seen)
+            tried = pairs if seen is None else apart(pairs, seen)
         else:
             tried = None
         if entries is not None:

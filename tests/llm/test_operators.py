@@ -85,6 +85,12 @@ def test_join_extra_columns_null_ids_and_empty_table(spark):
     assert ngram_join.similar(df.where("doc_id = 0")).count() == 0
 
 
+def test_join_tries_all_pairs_where_no_smallest_partner_is_similar(spark):
+    pairs = spark.createDataFrame([(1, 3), (2, 3), (4, 6), (5, 6)], "a long, b long")
+    labels = ngram_join.links(pairs, None, lambda tried: tried.where("(a = 2 and b = 3) or (a = 5 and b = 6)"), 75)
+    assert {tuple(r) for r in labels.select("node", "component").collect()} >= {(3, 2), (6, 5)}
+
+
 # ------------------------------------------------------------------ line dedup
 
 
