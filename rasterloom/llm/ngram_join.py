@@ -1,14 +1,18 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
 Equal shingle sets are one row of the matrix (a node). A first pass counts all shingles and
-so finds the common ones; then only the columns of a node that the size-derived bound leaves
-are multiplied: two sets that reach the similarity share one of their first
+so finds the common ones; then the leading columns of every node are multiplied, those that
+the size-derived bound leaves: two sets that reach the similarity share one of their first
 ``n - ceil(t n) + 1`` shingles in any fixed order, here rare shingles first. Counts and
-incidences travel as packed blocks, one per mapper and target. A column with few rows gives
-its pairs at once. A column of a common shingle is never multiplied out: its nodes are
-compared with leaders, so that a group of near copies costs a comparison per member and not
-per pair. Overlaps of candidate pairs are counted exactly on the whole sets; pairs within
-one component are not counted again.
+incidences travel as packed blocks, one per mapper and target; every target multiplies its
+block of columns and accumulates the overlap of each pair of rows, and the sums over all
+targets are held against the bound: what two sets share beyond their leading columns is at
+most what the one that ends first has left. Pairs below it are discarded; the others are
+finished on the remaining columns, exactly, first by marks and then on the whole sets.
+
+A column of a common shingle is not multiplied out: its nodes are compared with leaders, so
+that a group of near copies costs a comparison per member and not per pair, and only nodes
+of different components are compared again. Its columns count as shared in every bound.
 """
 
 from __future__ import annotations
@@ -25,25 +29,27 @@ from . import common
 
 N, PERCENT = 5, 75
 #: A column with more rows than this is not multiplied out.
-DENSE = 16
+DENSE = 6
 #: Incidences that a mapper holds before it sends its blocks on.
 HELD = 2_000_000
 #: Common shingles whose frequency orders the columns; beyond so many, only the most common.
 ORDERED = 500_000
-#: Ids of up to so many documents are broadcast, more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Up to so many ids of documents, or rows of a table by column or node, are broadcast; more are joined by a shuffle.
+BROADCAST_IDS, BROADCAST_ROWS = 1_000_000, 200_000
+#: Where a table by column is too large to broadcast, a column's entries are dealt over so many tasks; so many of them go to one task at most where they are multiplied out.
+SALTS, SALTED = 32, 2_000
 #: Leader comparisons before what is left of dense columns is multiplied out under the bounds.
 LEADER_ROUNDS = 3
 LEADERS = 8
-#: Pairs an entry of dense columns that are formed without leaders.
-PER_ENTRY = 32
+#: Dense columns of up to so many entries need no leaders.
+SMALL = 32
 
-#: An incidence: column, node, size of the node's set, and its place among the set's shingles in 256ths, rounded down.
-ENTRY = np.dtype([("q", "<u4"), ("v", "<u8"), ("n", "<u4"), ("p", "u1")])
+#: An incidence: column, node, size of the node's set, and its place among the set's shingles.
+ENTRY = np.dtype([("q", "<u4"), ("v", "<u8"), ("n", "<u4"), ("p", "<u4")])
 DOC, PAIR, DENSE_ENTRY = 0, 2, 3
-ROWS = "key long, kind int, doc_id long, a long, b long, n long, pos long, block binary"
-FIELDS = ["key", "kind", "doc_id", "a", "b", "n", "pos", "block"]
-TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+ROWS = "key long, kind int, doc_id long, a long, b long, n long, m long, pos long, block binary"
+FIELDS = ["key", "kind", "doc_id", "a", "b", "n", "m", "pos", "block"]
+TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
 
 def rows(count: int, /, **columns) -> pa.RecordBatch:
@@ -148,20 +154,6 @@ def products(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(left), np.concatenate(right)
 
 
-def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """(v, shingles) of each document with words."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.batches(it, "text"):
-            got = [(node, signed(own)) for _, own, node in sets(batch, n) if node]
-            v = signed(np.array([g[0] for g in got], np.uint64))
-            offsets = np.concatenate([[0], np.cumsum([len(g[1]) for g in got])]).astype(np.int32)
-            values = np.concatenate([g[1] for g in got]) if got else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(v), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["v", "s"])
-
-    return docs.mapInArrow(run, "v long, s array<long>")
-
-
 def bits_of(own: np.ndarray) -> bytes:
     """Which of 4 to 8 times as many places as the set has members are taken by one."""
     size = 1 << max(6, int(4 * len(own) - 1).bit_length())
@@ -170,16 +162,21 @@ def bits_of(own: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def marks_of(docs: DataFrame, n: int) -> DataFrame:
-    """(v, n, marks) of each document with words: the taken places of its set."""
+def sets_of(docs: DataFrame, n: int) -> DataFrame:
+    """(v, n, marks, s) of each document with words: its set's size, taken places, and shingles; a node once in each task."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in common.batches(it, "text"):
-            got = [(node, len(own), bits_of(own)) for _, own, node in sets(batch, n) if node]
-            v, sizes, marks = zip(*got, strict=True) if got else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(v, np.uint64))), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())], ["v", "n", "marks"])
+            got = [(node, own) for _, own, node in sets(batch, n) if node and node not in seen and not seen.add(node)]
+            v = signed(np.array([g[0] for g in got], np.uint64))
+            sizes = np.array([len(g[1]) for g in got], np.int64)
+            marks = pa.array([bits_of(g[1]) for g in got], pa.binary())
+            values = np.concatenate([signed(g[1]) for g in got]) if got else np.empty(0, np.int64)
+            lists_ = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(sizes), marks, lists_], ["v", "n", "marks", "s"])
 
-    return docs.mapInArrow(run, "v long, n long, marks binary")
+    return docs.mapInArrow(run, "v long, n long, marks binary, s array<long>")
 
 
 def unmatched(x: np.ndarray, y: np.ndarray) -> int:
@@ -263,7 +260,11 @@ def common_shingles(docs: DataFrame, n: int, keys: list[int]) -> tuple[np.ndarra
 
 
 def product(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], n: int, percent: int, keys: list[int]) -> DataFrame:
-    """Rows of kind DOC for every document, PAIR for candidates, DENSE_ENTRY for a node's columns of common shingles."""
+    """Rows of kind DOC for every document, DENSE_ENTRY for a node's columns that are not multiplied out, and PAIR.
+
+    A PAIR is what one block of columns adds to the product at (a, b): m columns in common, the sizes packed
+    in n (a's by the lower 32 bits), and pos, the most that both have left from a common column on.
+    """
     table = docs.sparkSession.sparkContext.broadcast(often)  # ORDERED entries at most
 
     def mapper(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +293,7 @@ def product(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], n: int, perce
                         rare = first[df[first] == 0]
                         entries = np.empty(len(rare), ENTRY)
                         entries["q"], entries["v"], entries["n"] = q[rare], node, len(own)
-                        entries["p"] = np.arange(len(rare)) * 256 // len(own)
+                        entries["p"] = np.arange(len(rare))
                         targets.add(target[rare])
                         full = blocks.add(entries)
                         often_ = first[len(rare) :]
@@ -322,21 +323,55 @@ def product(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], n: int, perce
             shared = np.repeat(lengths > 1, lengths)
             e = np.unique(e[shared])  # copies of one text in several mappers are one node
             starts, lengths = runs(e["q"])
-            i, j = products(starts, lengths)
-            size = e["n"].astype(np.int64)
-            rest = size * (256 - e["p"].astype(np.int64))
-            ok = (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])) & (np.minimum(rest[i], rest[j]) * (100 + percent) >= percent * (size[i] + size[j]) * 256)
-            i, j = i[ok], j[ok]
-            x, y = np.minimum(e["v"][i], e["v"][j]), np.maximum(e["v"][i], e["v"][j])
-            pairs = np.unique(np.stack([x, y], 1), axis=0) if len(i) else np.empty((0, 2), np.uint64)
-            yield rows(len(pairs), kind=np.full(len(pairs), PAIR), a=signed(pairs[:, 0].copy()), b=signed(pairs[:, 1].copy()))
+            yield accumulated(e, *products(starts, lengths), percent)
             # beyond the ORDERED most common: compared with leaders, whatever their place
             over = e[np.repeat(lengths > DENSE, lengths)]
-            yield rows(len(over), kind=np.full(len(over), DENSE_ENTRY), a=over["q"].astype(np.int64) - (1 << 33), b=signed(over["v"].copy()), n=over["n"].astype(np.int64), pos=over["n"].astype(np.int64) * over["p"] // 256)
+            yield rows(len(over), kind=np.full(len(over), DENSE_ENTRY), a=over["q"].astype(np.int64) - (1 << 33), b=signed(over["v"].copy()), n=over["n"].astype(np.int64), pos=over["p"].astype(np.int64))
 
     return docs.mapInArrow(mapper, ROWS).repartition(len(keys), "key").mapInArrow(reducer, ROWS).drop("key", "block")
 
 
+def accumulated(e: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> pa.RecordBatch:
+    """The block's product: of the pairs of entries (i, j) one PAIR row for each pair of nodes whose sizes allow the similarity."""
+    size = e["n"].astype(np.int64)
+    ok = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+    i, j = i[ok], j[ok]
+    turn = e["v"][i] > e["v"][j]
+    i, j = np.where(turn, j, i), np.where(turn, i, j)
+    rest = np.minimum(size[i] - e["p"][i], size[j] - e["p"][j])
+    order = np.lexsort((e["v"][j], e["v"][i]))
+    i, j, rest = i[order], j[order], rest[order]
+    a, b = e["v"][i], e["v"][j]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    at = np.flatnonzero(new)
+    if len(at) == 0:
+        return rows(0)
+    shared, most = np.diff(np.concatenate([at, [len(a)]])), np.maximum.reduceat(rest, at)
+    return rows(len(at), kind=np.full(len(at), PAIR), a=signed(a[at]), b=signed(b[at]), n=size[i[at]] + (size[j[at]] << 32), m=shared, pos=most)
+
+
+def candidates(parts: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs whose accumulated overlap leaves the similarity possible.
+
+    What the leading columns share is the count over all blocks and at most the columns of either that
+    were not multiplied out; what the rest shares is at most the rest of the set whose leading columns end first.
+    """
+    summed = parts.groupBy("a", "b").agg(F.first("n").alias("n"), F.sum("m").alias("shared"), F.max("pos").alias("most"))
+    summed = summed.select("a", "b", F.col("n").bitwiseAND(0xFFFFFFFF).alias("na"), F.shiftright("n", 32).alias("nb"), "shared", "most")
+    least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))  # the overlap that the similarity takes
+    summed = summed.where(F.col("most") >= least)
+    left = lambda size: F.ceil(percent * F.col(size) / 100) - 1
+    rest = F.greatest(left("na"), left("nb"))
+    summed = summed.where((F.col("shared") + rest >= least) | F.lit(not entries.isEmpty()))
+    if not entries.isEmpty():
+        heavy = entries.groupBy("v").agg(F.count("*").alias("heavy"))
+        for end in ("a", "b"):
+            summed = summed.join(heavy.select(F.col("v").alias(end), F.col("heavy").alias(f"heavy_{end}")), end, "left")
+        summed = summed.where(F.col("shared") + F.least(F.coalesce("heavy_a", F.lit(0)), F.coalesce("heavy_b", F.lit(0))) + rest >= least)
+    return summed.select("a", "b")
+
+
 def bounded(nx, ny, px, py, percent: int):
     """Whether sets of sizes nx and ny whose first common shingle is at px and py can reach the similarity."""
     rest = F.least(nx - px, ny - py)
@@ -376,9 +411,9 @@ def similar(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     first = common.materialize(product(texts, common_shingles(texts, n, keys), n, percent, keys), "grams")
     members = first.where(f"kind = {DOC}").select("doc_id", F.col("a").alias("v"), "n")
     classes = common.materialize(members.where("v <> 0").groupBy("v").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")), "classes")
-    pairs = common.materialize(first.where(f"kind = {PAIR}").select("a", "b").distinct(), "pairs")
-    entries = first.where(f"kind = {DENSE_ENTRY}").select(F.col("a").alias("h"), F.col("b").alias("v"), "n", "pos").distinct()
-    entries = common.materialize(mixed(entries.withColumn("lead", leads(percent)).withColumn("c", F.col("v"))).drop("c"), "entries")
+    entries = common.materialize(first.where(f"kind = {DENSE_ENTRY}").select(F.col("a").alias("h"), F.col("b").alias("v"), "n", "pos").distinct(), "entries")
+    pairs = common.materialize(candidates(first.where(f"kind = {PAIR}"), entries, percent), "pairs")
+    entries = common.materialize(mixed(entries.withColumn("lead", leads(percent)).withColumn("c", F.col("v"))).drop("c", "rows"), "entries")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         """One text of each node (with those of the same doc_id)."""
@@ -389,11 +424,12 @@ def similar(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
 
     def linked(tried: DataFrame) -> DataFrame:
         """The pairs that reach the similarity, by their marks first, then by their whole sets."""
-        left = common.materialize(hopeful(tried, marks, percent).distinct(), "hopeful")
-        own = common.materialize(sets_of(texts_of(left.select(F.explode(F.array("a", "b")).alias("v"))), n), "sets")
+        left = common.materialize(hopeful(tried, own, percent), "hopeful")
         return common.materialize(verified(left, own, percent), "links")
 
-    marks = common.materialize(marks_of(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("v")).union(entries.select("v"))), n), "marks")
+    own = common.materialize(sets_of(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("v")).union(entries.select("v"))), n), "sets")
+    if not own.groupBy("v").count().where("count > 1").isEmpty():  # repeated rows of one doc_id
+        own = common.materialize(own.dropDuplicates(["v"]), "sets")
     entries = None if entries.isEmpty() else entries
     labels = links(pairs, entries, linked, percent)
     named = classes if labels is None else classes.join(labels.withColumnRenamed("node", "v"), "v", "left")
@@ -444,39 +480,55 @@ def leads(percent: int):
     return F.col("pos") * (100 + percent) <= (100 - percent) * F.col("n")
 
 
+def beside(entries: DataFrame, columns: DataFrame, how: str = "inner") -> DataFrame:
+    """entries joined with a table by column h: broadcast up to BROADCAST_ROWS, else with every column dealt over SALTS tasks."""
+    columns = common.materialize(columns, "columns")
+    if columns.count() <= BROADCAST_ROWS:
+        return entries.join(F.broadcast(columns), "h", how)
+    dealt = columns.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return entries.withColumn("salt", F.pmod(F.col("v"), F.lit(SALTS)).cast("int")).join(dealt, ["h", "salt"], how).drop("salt")
+
+
 def mixed(entries: DataFrame) -> DataFrame:
-    """Entries of columns that hold more than one component and a node that can be the smaller of a pair."""
-    some = entries.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.max("lead").alias("z")).where("x <> y and z").select("h")
-    return entries.join(some, "h", "left_semi")
+    """Entries of columns that hold more than one component and a node that can be the smaller of a pair; `rows`: entries of the column."""
+    columns = entries.groupBy("h").agg(F.count("*").alias("rows"), F.min("c").alias("x"), F.max("c").alias("y"), F.max("lead").alias("z"))
+    return beside(entries, columns.where("x <> y and z").select("h", "rows"))
+
+
+def multiplied(here: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) of different components within the columns, under the bounds; columns of over SALTED entries are dealt over several tasks."""
+    dealt = here.withColumn("parts", F.ceil(F.col("rows") / SALTED).cast("int"))
+    x, y = (dealt.select("h", "parts", *[F.col(k).alias(f"{k}{i}") for k in ("v", "n", "pos", "c", "lead")]) for i in (1, 2))
+    x = x.where("lead1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    y = y.withColumn("salt", F.pmod(F.col("v2"), F.col("parts")).cast("int")).drop("parts")
+    first = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (~F.col("lead2") | (F.col("v1") < F.col("v2"))))
+    met = x.join(y, ["h", "salt"]).where(first & (F.col("c1") != F.col("c2")) & bounded(F.col("n1"), F.col("n2"), F.col("pos1"), F.col("pos2"), percent))
+    return met.select(F.least("v1", "v2").alias("a"), F.greatest("v1", "v2").alias("b"))
 
 
 def led(entries: DataFrame, labels: DataFrame | None, percent: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """Candidates of every dense column and the entries that are still to be compared (None: none).
 
-    Where the columns' products stay within PER_ENTRY pairs an entry they are formed at once; else every
-    column is compared with its smallest node, and from the second round with LEADERS nodes, one of each residue.
+    Columns of at most SMALL entries are multiplied out at once; every other one is compared with its
+    smallest node, from the second round on with LEADERS nodes, one of each residue, and at last multiplied out too.
     """
     here = entries.withColumn("c", F.col("v"))
     if labels is not None:
         here = entries.join(labels.select(F.col("node").alias("v"), F.col("component").alias("c")), "v", "left").withColumn("c", F.coalesce("c", "v"))
-        here = common.materialize(mixed(here), "entries")
-    work = here.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.col("lead").cast("long")).alias("k")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("k")).alias("w")).first()
-    if not work["n"]:
-        return here.select(F.col("v").alias("a"), F.col("v").alias("b")), None
-    if last or work["w"] <= PER_ENTRY * work["n"]:
-        x, y = (here.select("h", *[F.col(k).alias(f"{k}{i}") for k in ("v", "n", "pos", "c", "lead")]) for i in (1, 2))
-        first = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (~F.col("lead2") | (F.col("v1") < F.col("v2"))))
-        met = x.where("lead1").join(y, "h").where(first & (F.col("c1") != F.col("c2")) & bounded(F.col("n1"), F.col("n2"), F.col("pos1"), F.col("pos2"), percent))
-        return met.select(F.least("v1", "v2").alias("a"), F.greatest("v1", "v2").alias("b")), None
-    firsts = here.groupBy("h", F.pmod(F.shiftright("v", 20), F.lit(1 if labels is None else LEADERS)).alias("_k")).agg(F.min(F.struct("v", "n", "pos", "c")).alias("l"))
+        here = common.materialize(here, "entries")
+    here = common.materialize(mixed(here), "entries")
+    large = here.where(F.col("rows") > SMALL)
+    if last or large.isEmpty():
+        return multiplied(here, percent), None
+    firsts = large.groupBy("h", F.pmod(F.shiftright("v", 20), F.lit(1 if labels is None else LEADERS)).alias("_k")).agg(F.min(F.struct("v", "n", "pos", "c")).alias("l"))
     leaders = firsts.groupBy("h").agg(F.collect_list("l").alias("ls"))
-    met = here.join(leaders, "h")
+    met = beside(large, leaders)
     fits = F.filter("ls", lambda l: (l["v"] != F.col("v")) & (l["c"] != F.col("c")) & bounded(F.col("n"), l["n"], F.col("pos"), l["pos"], percent))
     # a node meets the same leaders in many columns: once each
     mine = met.groupBy("v").agg(F.array_distinct(F.flatten(F.collect_set(F.transform(fits, lambda l: l["v"])))).alias("a"))
     pairs = mine.select(F.explode("a").alias("a"), F.col("v").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = met.where(~F.exists("ls", lambda l: l["v"] == F.col("v"))).select("h", "v", "n", "pos", "lead")
-    return pairs, common.materialize(rest, "entries")
+    return multiplied(here.where(F.col("rows") <= SMALL), percent).union(pairs), common.materialize(rest, "entries")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,40 @@ def test_join_tries_all_pairs_where_no_smallest_partner_is_similar(spark):
     assert {tuple(r) for r in labels.select("node", "component").collect()} >= {(3, 2), (6, 5)}
 
 
+@pytest.mark.parametrize(("small", "salted", "broadcast"), [(2, 10, 200_000), (32, 2_000, 0)])
+def test_shingles_shared_by_unlike_documents(spark, monkeypatch, small, salted, broadcast):
+    """Boilerplate in thousands of documents, most of a text or little of it, with all ways of dealing a column."""
+    for name, value in (("SMALL", small), ("SALTED", salted), ("BROADCAST_ROWS", broadcast)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = np.random.default_rng(9)
+    line, parts = prose(rng, 9), [prose(rng, 12) for _ in range(9)]
+    texts = [line + " " + prose(rng, k) for k in range(1, 4) for _ in range(60)]
+    texts += [" ".join(parts[k] for k in rng.permutation(9)[:4]) + " w" + str(i % 40) for i in range(150)]
+    texts += near_copies(rng, " ".join(parts), 60, 2)
+    rows = list(enumerate(texts))
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.similar(documents(spark, rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_accumulated_counts_keep_every_pair_that_reaches_the_similarity(spark):
+    """The product of all columns that are not common, against the counts themselves."""
+    rng = np.random.default_rng(2)
+    texts = [prose(rng, 40) for _ in range(20)]
+    texts += [" ".join([*t.split()[: 40 - k], *prose(rng, k).split()]) for t in texts for k in (1, 3, 5, 8)]
+    docs, keys = documents(spark, list(enumerate(texts))), ngram_join.even_keys(spark, 3)
+    none = (np.empty(0, np.int64), np.empty(0, np.int64))
+    made = ngram_join.product(docs, none, 5, 75, keys)
+    node = {r["doc_id"]: r["a"] for r in made.where(f"kind = {ngram_join.DOC}").collect()}
+    entries = made.where("kind = -1").select(F.col("a").alias("h"), F.col("b").alias("v"))
+    got = {(r["a"], r["b"]) for r in ngram_join.candidates(made.where(f"kind = {ngram_join.PAIR}"), entries, 75).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(i)}
+    unsigned = lambda x: x % 2**64
+    pair = lambda i, j: tuple(sorted((node[i], node[j]), key=unsigned))
+    assert {pair(*p) for p, s in alike.items() if 0.75 <= s < 1} <= got
+    assert len(got) < sum(s > 0 for s in alike.values())
+
+
 # ------------------------------------------------------------------ line dedup
 
 
