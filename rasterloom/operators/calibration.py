@@ -8,21 +8,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Intervals of a look-up table that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
 def asof(points: DataFrame, knots: DataFrame, at: str, knot: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Linear interpolation of a table's value at each point, by the knots on either side; beyond the ends the end holds.
 
-    Points and knots are ordered together once per key; there is no join of every point with every knot.
+    The knots become intervals, dealt over equal ranges of the axis, and a point meets the intervals of its
+    range only: a hash join, with no order among the points. A null point or one without knots has no value;
+    of equal knots the smallest value counts.
     """
-    p = points.withColumn("_is", F.lit(0)).withColumn("_at", F.col(at).cast("double")).withColumn("_k", F.lit(None).cast("double")).withColumn("_v", F.lit(None).cast("double"))
-    k = knots.select(*keys, F.col(knot).cast("double").alias("_at"), F.col(knot).cast("double").alias("_k"), F.col(value).cast("double").alias("_v")).withColumn("_is", F.lit(1))
-    both = p.unionByName(k, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_at", F.col("_is").desc())
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    knot_pair = F.when(F.col("_k").isNotNull(), F.struct("_k", "_v"))
-    both = both.withColumns({"_a": F.last(knot_pair, True).over(back), "_b": F.first(knot_pair, True).over(ahead)}).where("_is = 0")
-    a, b = F.coalesce("_a", "_b"), F.coalesce("_b", "_a")
-    t = F.when(b["_k"] > a["_k"], (F.col("_at") - a["_k"]) / (b["_k"] - a["_k"])).otherwise(0.0)
-    return both.select(*points.columns, (a["_v"] + t * (b["_v"] - a["_v"])).alias(value))
+    k = knots.select(*keys, F.col(knot).cast("double").alias("_k"), F.col(value).cast("double").alias("_v")).where("_k is not null and _v is not null").groupBy(*keys, "_k").agg(F.min("_v").alias("_v"))
+    ends = k.agg(F.min("_k").alias("lo"), F.max("_k").alias("hi"), F.count("*").alias("n"), F.approx_count_distinct("_k").alias("places")).first()
+    ranges = max(1, 2 * (ends["places"] or 0))
+    low, width = ends["lo"] or 0.0, ((ends["hi"] or 0.0) - (ends["lo"] or 0.0)) / ranges
+    # the same increasing function of points and ends, so that a point's range is one of its interval's
+    place = lambda x: F.greatest(F.lit(0), F.least(F.lit(ranges - 1), F.floor((x - low) / width))).cast("long") if width > 0 else F.lit(0).cast("long")
+    w = Window.partitionBy(*keys).orderBy("_k")
+    iv = k.select(*keys, "_k", "_v", F.lead("_k").over(w).alias("_k2"), F.lead("_v").over(w).alias("_v2"), F.lag("_k").over(w).alias("_before"))
+    first, last = F.lit(0).cast("long"), F.lit(ranges - 1).cast("long")
+    span = F.sequence(F.when(F.col("_before").isNull(), first).otherwise(place(F.col("_k"))), F.when(F.col("_k2").isNull(), last).otherwise(place(F.col("_k2"))))
+    iv = iv.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)], "_k", "_v", "_k2", "_v2", "_before", F.explode(span).alias("_range"))
+    if ends["n"] <= BROADCAST_ROWS:
+        iv = F.broadcast(iv)
+    x = F.col(at).cast("double")
+    p = points.withColumns({"_at": x, "_place": F.when(x.isNotNull() & ~F.isnan(x), place(x))})
+    met = (F.col("_place") == F.col("_range")) & (F.col("_before").isNull() | (F.col("_at") >= F.col("_k"))) & (F.col("_k2").isNull() | (F.col("_at") < F.col("_k2")))
+    for i, c in enumerate(keys):
+        met = met & (F.col(c) == F.col(f"_key{i}"))
+    t = F.when(F.col("_k2").isNull() | (F.col("_at") <= F.col("_k")), 0.0).otherwise((F.col("_at") - F.col("_k")) / F.when(F.col("_k2") > F.col("_k"), F.col("_k2") - F.col("_k")))
+    return p.join(iv, met, "left").select(*[F.col(c) for c in points.columns if c != value], (F.col("_v") + t * (F.coalesce("_v2", "_v") - F.col("_v"))).alias(value))
 
 
 def lut_bilinear(df: DataFrame, lut: DataFrame, value: str = "value") -> DataFrame:

@@ -101,12 +101,29 @@ def horizontal_vertical(asc: DataFrame, desc: DataFrame, incidence: tuple[float,
     return met.join(F.broadcast(ref)).select("y", "x", ((a22 * a - a12 * d) / det).alias("east"), ((a11 * d - a21 * a) / det).alias("up"))
 
 
-def tropo(df: DataFrame, threshold: float, least_height: float, stride: int, phase: str = "phase", height: str = "height", coherence_: str = "coherence") -> DataFrame:
-    """Remove the part of the phase that is linear in height, fitted on coherent pixels of every stride-th line and sample."""
+def tropo(df: DataFrame, threshold: float, least_height: float, stride: int, phase: str = "phase", height: str = "height", coherence_: str = "coherence", degree: int = 1) -> DataFrame:
+    """Remove the part of the phase that is a polynomial (degree 1 or 2) of height, fitted on coherent pixels of every stride-th line and sample.
+
+    With fewer samples than five for each coefficient, or heights that do not determine it, the phase stays.
+    """
     good = (F.col("y") % stride == 0) & (F.col("x") % stride == 0) & (F.col(coherence_) >= threshold) & (F.col(height) > least_height)
-    fit = df.where(good).agg(F.regr_slope(phase, height).alias("b"), F.regr_intercept(phase, height).alias("a"), F.count("*").alias("n"))
-    out = df.join(F.broadcast(fit))
-    return out.select("y", "x", F.when(F.col("n") >= 5, F.col(phase) - F.col("a") - F.col("b") * F.col(height)).otherwise(F.col(phase)).alias(phase))
+    used = df.where(good & F.col(phase).isNotNull() & ~F.isnan(phase)).select(F.col(phase).alias("p"), F.col(height).alias("z"))
+    middle = used.agg(F.avg("z").alias("mz"), F.count("*").alias("n"))
+    z, p = F.col("z") - F.col("mz"), F.col("p")
+    # moments about the mean height: the linear term is orthogonal to the constant one
+    sums = used.join(F.broadcast(middle)).agg(F.first("mz").alias("mz"), F.first("n").alias("n"), *[F.avg(z**k).alias(f"z{k}") for k in (2, 3, 4)], *[F.avg(p * z**k).alias(f"p{k}") for k in (0, 1, 2)])
+    out = df.join(F.broadcast(sums))
+    z2, z3 = F.col("z2"), F.col("z3")
+    slope = F.when(z2 > 0, F.col("p1") / F.greatest(z2, F.lit(1e-300)))
+    h = F.col(height) - F.col("mz")
+    if degree == 1:
+        fit = F.col("p0") + slope * h
+    else:
+        skew = F.when(z2 > 0, z3 / F.greatest(z2, F.lit(1e-300)))
+        left = F.col("z4") - z2 * z2 - skew * z3
+        bend = F.when(left > 1e-12 * F.col("z4"), (F.col("p2") - F.col("p0") * z2 - skew * F.col("p1")) / F.greatest(left, F.lit(1e-300)))
+        fit = F.col("p0") + slope * h + bend * (h * h - skew * h - z2)
+    return out.select("y", "x", F.when((F.col("n") >= 5 * (degree + 1)) & (z2 > 0), F.col(phase) - F.coalesce(fit, F.lit(0.0))).otherwise(F.col(phase)).alias(phase))
 
 
 def split_band_ionosphere(df: DataFrame, f_low: float, f_high: float, f0: float, low: str = "low", high: str = "high") -> DataFrame:
@@ -134,11 +151,13 @@ def three_pass(defo: DataFrame, topo: DataFrame, ratio: Sequence[float]) -> Data
 def phase_to_elevation(df: DataFrame, wavelength: float) -> DataFrame:
     """Height from unwrapped phase about the DEM seed of the smallest slope.
 
-    df: y, x, phase, slant, theta, perp, parallel (baselines), dem, slope.
+    df: y, x, phase, slant, theta, perp, parallel (baselines), flat (look angle less that of the scene's
+    middle, radians), dem, slope. Where the effective baseline is 0 the height is null.
     """
     seed = df.where("dem > 0").agg(F.min_by(F.struct("phase", "dem"), F.struct("slope", "y", "x")).alias("s"))
     k = 4 * math.pi / wavelength
-    alpha = F.col("slant") * F.sin("theta") / (k * F.col("perp"))
+    baseline = F.col("parallel") * F.sin("flat") + F.col("perp") * F.cos("flat")
+    alpha = F.when(baseline != 0, F.col("slant") * F.sin("theta") / (k * baseline))
     out = df.join(F.broadcast(seed))
     return out.select("y", "x", (F.col("s.dem") - alpha * (F.col("phase") - F.col("s.phase"))).alias("elevation"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cx import Cx
+from ..functions.quantiles import quantiles
 from ..functions.windows import box_sums
 
 EPS = 1e-15
@@ -75,33 +76,39 @@ def sinclair(df: DataFrame) -> DataFrame:
     return df.select("y", "x", db(vv.power()).alias("sinclair_r"), db(((hv + vh) * 0.5).power()).alias("sinclair_g"), db(hh.power()).alias("sinclair_b"))
 
 
-def freeman_durden(c3: DataFrame) -> DataFrame:
-    """Surface, double-bounce and volume power of C3."""
-    fv = 1.5 * F.col("c22")
-    c11, c33 = F.col("c11") - fv, F.col("c33") - fv
-    re, im = F.col("c13_re") - fv / 3, F.col("c13_im")
-    span = F.col("c11") + F.col("c22") + F.col("c33")
-    rest = c3.withColumns({"_a": c11, "_b": c33, "_re": re, "_im": im, "_v": fv, "_span": span})
-    a, b, r, i = F.col("_a"), F.col("_b"), F.col("_re"), F.col("_im")
-    m2 = r * r + i * i
-    # beyond the positive definite cone the correlation is drawn back onto it
-    scale = F.when(m2 > a * b, F.sqrt(F.greatest(a * b, F.lit(0.0)) / m2)).otherwise(1.0)
-    rest = rest.withColumns({"_re": r * scale, "_im": i * scale})
-    m2 = r * r + i * i
-    surface = r >= 0
-    fd_den = a + b + 2 * r
-    fd, fs_den = (a * b - m2) / fd_den, a + b - 2 * r
-    fs = b - fd
-    fs2 = (a * b - m2) / fs_den
-    fd2 = b - fs2
-    beta = Cx((fd + r), i)
-    alpha = Cx((r - fs2), i)
-    ps = F.when(surface, fs * (1 + beta.power() / (fs * fs))).otherwise(fs2 * 2)
-    pd_ = F.when(surface, fd * 2).otherwise(fd2 * (1 + alpha.power() / (fd2 * fd2)))
+def over(a: Column, b: Column) -> Column:
+    """a / b, null where b is 0."""
+    return F.when(b != 0, a / F.when(b != 0, b))
+
+
+def span_db(df: DataFrame, powers: Sequence[str], span: Column) -> DataFrame:
+    """Powers in dB, each drawn into the range of the span over the whole scene; the scene's span is one aggregate."""
+    ends = df.agg(F.min(span).alias("_lo"), F.max(span).alias("_hi"))
+    return df.join(F.broadcast(ends)).select("y", "x", *[(10 * F.log10(F.greatest(F.least(F.greatest(F.col(p), F.col("_lo")), F.col("_hi")), F.lit(EPS)))).alias(p) for p in powers])
+
+
+def _three_powers(c11: Column, c22: Column, c33: Column, re: Column, im: Column) -> tuple[Column, Column, Column]:
+    """Surface, double-bounce and volume power by the volume's share of C22; beyond the positive definite cone the correlation is drawn back onto it."""
+    fv = 4 * c22
+    a, b, r = c11 - 3 * fv / 8, c33 - 3 * fv / 8, re - fv / 8
+    m2 = r * r + im * im
+    scale = F.when(a * b < m2, F.sqrt(F.greatest(a * b, F.lit(0.0))) / F.sqrt(F.greatest(m2, F.lit(1e-300)))).otherwise(1.0)
+    left = F.greatest(a * b - m2, F.lit(0.0))
+    r, i = r * scale, im * scale
+    # the mechanism whose angle is fixed, by the sign of the correlation, and the other one
+    fixed = F.abs(over(left, a + b + 2 * F.abs(r)))
+    free = F.abs(b - fixed)
+    mixed = free + over((F.abs(r) + fixed) * (F.abs(r) + fixed) + i * i, free)
     none = (a <= EPS) | (b <= EPS)
-    clamp = lambda c: F.least(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)), F.col("_span"))
-    pv = F.when(none, F.col("_span")).otherwise(8 * F.col("_v") / 3)
-    return rest.select("y", "x", F.when(none, 0.0).otherwise(clamp(ps)).alias("surface"), F.when(none, 0.0).otherwise(clamp(pd_)).alias("double"), clamp(pv).alias("volume"))
+    part = lambda surface: F.when(none, 0.0).otherwise(F.when((r >= 0) == F.lit(surface), mixed).otherwise(2 * fixed))
+    return part(True), part(False), fv
+
+
+def freeman_durden(c3: DataFrame) -> DataFrame:
+    """Surface, double-bounce and volume power of C3; where the volume takes all of a co-polarised channel the others are 0."""
+    e = {k: F.col(k) for k in ("c11", "c22", "c33", "c13_re", "c13_im")}
+    surface, double, volume = _three_powers(*e.values())
+    return c3.select("y", "x", surface.alias("surface"), double.alias("double"), volume.alias("volume"))
 
 
 def generalized_freeman_durden(t3: DataFrame) -> DataFrame:
@@ -139,20 +146,31 @@ def krogager(df: DataFrame) -> DataFrame:
 
 
 def yamaguchi(t3: DataFrame) -> DataFrame:
-    """Four components: helix from Im T23, volume from what is left of T33, then surface or double bounce by the sign of the rest."""
-    pc = 2 * F.abs(F.col("t23_im"))
+    """Four components: helix from Im T23, volume by the co-polarised ratio (three models), then surface or double bounce.
+
+    Without volume it is the three-component decomposition, with no helix.
+    """
+    co, cross = (F.col("t11") + F.col("t22")) / 2, F.col("t12_re")
     span = F.col("t11") + F.col("t22") + F.col("t33")
-    pv = F.greatest(4 * F.col("t33") - 2 * pc, F.lit(0.0))
-    s = F.col("t11") - pv / 2
-    d = span - pv - pc - s
-    c = Cx(F.col("t12_re"), F.col("t12_im"))
-    out = t3.select("y", "x", pc.alias("_pc"), pv.alias("_pv"), s.alias("_s"), d.alias("_d"), c.power().alias("_c"), span.alias("_span"))
-    surface = F.col("_s") >= F.col("_d")
-    ps = F.when(surface, F.col("_s") + F.col("_c") / F.col("_s")).otherwise(F.col("_s") - F.col("_c") / F.col("_d"))
-    pd_ = F.when(surface, F.col("_d") - F.col("_c") / F.col("_s")).otherwise(F.col("_d") + F.col("_c") / F.col("_d"))
-    rest = F.greatest(F.col("_span") - F.col("_pv") - F.col("_pc"), F.lit(0.0))
-    clip = lambda v: F.least(F.greatest(F.coalesce(v, F.lit(0.0)), F.lit(0.0)), rest)
-    return out.select("y", "x", clip(ps).alias("surface"), clip(pd_).alias("double"), F.col("_pv").alias("volume"), F.col("_pc").alias("helix"))
+    base = t3.select("*", (co + cross).alias("c11"), (co - cross).alias("c33"), ((F.col("t11") - F.col("t22")) / 2).alias("c13_re"), (-F.col("t12_im")).alias("c13_im"), span.alias("_span"), (2 * F.abs("t23_im")).alias("_pc"))
+    c11, c33, t33 = F.col("c11"), F.col("c33"), F.col("t33")
+    # 10 log10(c33 / c11) at most -2, beyond 2, or between; no ratio where a channel is empty
+    low, high = 10**-0.2, 10**0.2
+    skew = F.when(c33 <= low * c11, 1 / 6).when(c33 > high * c11, -1 / 6).otherwise(0.0)
+    k2, k3 = F.when(skew != 0, 7 / 30).otherwise(1 / 4), F.when(skew != 0, 4 / 15).otherwise(1 / 4)
+    base = base.select("*", ((t33 - F.col("_pc") / 2) / k3).alias("_pv"), skew.alias("_k1"), k2.alias("_k2"))
+    pv, pc, span = F.col("_pv"), F.col("_pc"), F.col("_span")
+    base = base.select("*", (F.col("t11") - pv / 2).alias("_s"), (F.col("t22") - F.col("_k2") * pv - pc / 2).alias("_d"), ((F.col("t12_re") - F.col("_k1") * pv) ** 2 + F.col("t12_im") ** 2).alias("_c"))
+    s, d, c = F.col("_s"), F.col("_d"), F.col("_c")
+    surface = F.col("c13_re") - t33 / 2 + pc / 2 >= 0
+    share = over(c, F.when(surface, s).otherwise(d))
+    ps, pd_ = F.when(surface, s + share).otherwise(s - share), F.when(surface, d - share).otherwise(d + share)
+    rest, full = span - pv - pc, pv + pc < span
+    three = _three_powers(c11, t33, c33, F.col("c13_re"), F.col("c13_im"))
+    pick = lambda own, other: F.when((own < 0) | ~full, 0.0).when(other < 0, F.when(own > 0, rest).otherwise(own)).otherwise(own)
+    volume = F.when(~full | ((ps < 0) & (pd_ < 0)), span - pc).otherwise(pv)
+    four = (pick(ps, pd_), pick(pd_, ps), volume, pc)
+    return base.select("y", "x", *[F.when(pv <= 0, t).otherwise(f).alias(k) for k, f, t in zip(("surface", "double", "volume", "helix"), four, (*three, F.lit(0.0)), strict=True)])
 
 
 def _hermitian(pdf: pd.DataFrame, n: int, name: str) -> np.ndarray:
@@ -214,12 +232,15 @@ def touzi(t3: DataFrame) -> DataFrame:
             values, vectors = _eigen(pdf, 3, "t")
             p = values / np.maximum(values.sum(1, keepdims=True), EPS)
             v = vectors * np.exp(-1j * np.angle(vectors[:, :1, :]))
-            psi = 0.5 * np.arctan2(v[:, 2].real, v[:, 1].real)
+            psi = 0.5 * np.arctan2(v[:, 2].real, v[:, 1].real + EPS)
             turned = v[:, 1] * np.cos(2 * psi) + v[:, 2] * np.sin(2 * psi)
             other = -v[:, 1] * np.sin(2 * psi) + v[:, 2] * np.cos(2 * psi)
-            tau = 0.5 * np.arctan2(-other.imag, v[:, 0].real)
-            alpha = np.arccos(np.clip(np.abs(v[:, 0]) / np.maximum(np.cos(2 * tau), EPS), 0, 1))
-            yield pd.DataFrame({"y": pdf.y, "x": pdf.x, "psi": (p * psi).sum(1), "tau": (p * tau).sum(1), "phi": (p * np.angle(turned)).sum(1), "alpha_s": (p * alpha).sum(1)})
+            # beyond an eighth of a turn the same target has the other handedness
+            hand = np.where(np.abs(psi) > np.pi / 4, -1.0, 1.0)
+            tau = hand * 0.5 * np.arctan2(-other.imag, v[:, 0].real + EPS)
+            phi = hand * np.arctan2(turned.imag, turned.real + EPS)
+            alpha = np.arctan2(np.abs(turned), np.hypot(v[:, 0].real, other.imag))
+            yield pd.DataFrame({"y": pdf.y, "x": pdf.x, "psi": (p * psi).sum(1), "tau": (p * tau).sum(1), "phi": (p * phi).sum(1), "alpha_s": (p * alpha).sum(1)})
 
     return t3.select("y", "x", *elements(3, "t")).mapInPandas(run, "y long, x long, psi double, tau double, phi double, alpha_s double")
 
@@ -242,20 +263,23 @@ def mf3cf(t3: DataFrame) -> DataFrame:
 
 
 def mf4cf(t3: DataFrame) -> DataFrame:
-    """As mf3cf with a helix part from the imaginary correlation of T23."""
-    out = mf3cf(t3).join(t3.select("y", "x", "t11", (F.col("t22") + F.col("t33")).alias("h"), F.col("t23_im").alias("c")), ["y", "x"])
-    m = (F.col("surface") + F.col("double")) / (F.col("t11") + F.col("h"))
-    tau = F.atan(F.abs(F.col("c")) * 2 / F.greatest(F.col("h"), F.lit(EPS)))
-    share = F.sin(2 * tau) ** 2
-    pc = (F.col("surface") + F.col("double")) * share
-    return out.select("y", "x", (F.col("surface") * (1 - share)).alias("surface"), (F.col("double") * (1 - share)).alias("double"), "volume", pc.alias("helix"), m.alias("m"))
+    """Model-free four components of T3: as mf3cf, with a helix part from the imaginary correlation of T23."""
+    span = F.col("t11") + F.col("t22") + F.col("t33")
+    m = F.sqrt(F.greatest(1 - 27 * F.greatest(det3(), F.lit(0.0)) / F.when(span > 0, F.pow(span, F.lit(3.0))), F.lit(0.0)))
+    out = t3.select("*", span.alias("_span"), m.alias("_m"))
+    m, s, h = F.col("_m"), F.col("_span"), F.col("t22") + F.col("t33")
+    theta = F.atan(over(m * s * (F.col("t11") - h), F.col("t11") * h + m * m * s * s))
+    tau = F.atan(over(2 * F.abs("t23_im"), s))
+    helix, volume = m * s * F.sin(2 * tau), s * (1 - m)
+    rest = (s - helix - volume) / 2
+    return out.select("y", "x", (rest * (1 + F.sin(2 * theta))).alias("surface"), (rest * (1 - F.sin(2 * theta))).alias("double"), volume.alias("volume"), helix.alias("helix"), F.degrees(theta).alias("theta"), F.degrees(tau).alias("tau"))
 
 
 def parameters(t3: DataFrame) -> DataFrame:
     """Span, pedestal height and radar vegetation index of T3 by its eigenvalues (the second, where a well-known slip has alpha)."""
     e = h_a_alpha(t3)
     total = F.col("lambda1") + F.col("lambda2") + F.col("lambda3")
-    return e.select("y", "x", (2 * total).alias("span"), (F.col("lambda3") / F.col("lambda1")).alias("pedestal"), (8 * F.col("lambda3") / total).alias("rvi"))
+    return e.select("y", "x", (2 * total).alias("span"), over(F.col("lambda3"), F.col("lambda1")).alias("pedestal"), over(4 * F.col("lambda3"), total).alias("rvi"))
 
 
 def channel_parameters(c3: DataFrame) -> DataFrame:
@@ -360,30 +384,40 @@ def radar_vegetation(c2: DataFrame) -> DataFrame:
     return e.select("y", "x", F.when(span > 0, 1 - m * F.col("lambda1") / span).alias("rvi"))
 
 
-def y3(c2: DataFrame, vol_a: float = 0.5, vol_b: float = 1 / 6) -> DataFrame:
-    """Dual-pol three powers: volume from the cross channel, the rest to surface or dihedral by the correlation's sign."""
-    fv = F.col("c22") / vol_b
-    rest = F.greatest(F.col("c11") - fv * vol_a, F.lit(0.0))
-    return c2.select("y", "x", F.when(F.col("c12_re") >= 0, rest).otherwise(0.0).alias("surface"), F.when(F.col("c12_re") < 0, rest).otherwise(0.0).alias("double"), F.least(fv, F.col("c11") + F.col("c22")).alias("volume"))
+# Shares of the co- and cross-polarised channel in the volume models.
+VOLUMES = {"uniform": (1 / 2, 1 / 2), "bragg": (2 / 3, 1 / 3), "dipole": (3 / 8, 1 / 8)}
+
+
+def y3(c2: DataFrame, model: str = "uniform") -> DataFrame:
+    """Dual-pol three powers: the largest volume that both channels allow, the rest to surface or dihedral by the correlation's sign."""
+    a, b = VOLUMES[model]
+    fv = F.least(F.col("c22") / b, F.greatest(F.col("c11"), F.lit(0.0)) / a)
+    rest = F.greatest(F.col("c11") - fv * a, F.lit(0.0)) + F.greatest(F.col("c22") - fv * b, F.lit(0.0))
+    return c2.select("y", "x", F.when(F.col("c12_re") >= 0, rest).otherwise(0.0).alias("surface"), F.when(F.col("c12_re") < 0, rest).otherwise(0.0).alias("double"), (fv * (a + b)).alias("volume"))
+
+
+def clipped(df: DataFrame, value: Column) -> Column:
+    """A column's size, drawn into its 5th and 95th percentiles over the scene and divided by the latter."""
+    low, high = quantiles(df, F.abs(value), (0.05, 0.95))
+    return F.least(F.greatest(F.abs(value), F.lit(low)), F.lit(high)) / F.lit(high) if high else F.lit(0.0)
 
 
 def builtup_index(c2: DataFrame) -> DataFrame:
     """Root mean square of the polarised Stokes parameters, each clipped to its 5th and 95th percentiles and scaled by the latter."""
     s = stokes(c2)
-    names = ("g1", "g2", "g3")
-    q = s.agg(*[F.percentile(F.abs(F.col(g)), F.array(F.lit(0.05), F.lit(0.95))).alias(f"q{g}") for g in names])
-    part = [F.least(F.greatest(F.abs(F.col(g)), F.col(f"q{g}")[0]), F.col(f"q{g}")[1]) / F.col(f"q{g}")[1] for g in names]
-    return s.join(F.broadcast(q)).select("y", "x", F.sqrt(sum((p * p for p in part), F.lit(0.0)) / 3).alias("builtup"))
+    part = [clipped(s, F.col(g)) for g in ("g1", "g2", "g3")]
+    return s.select("y", "x", F.sqrt(sum((p * p for p in part), F.lit(0.0)) / 3).alias("builtup"))
 
 
-def surface_index(c2: DataFrame) -> DataFrame:
-    """(1 - entropy) times the root of what the first Stokes parameter leaves."""
+def surface_index(c2: DataFrame, nesz: float = -100.0) -> DataFrame:
+    """(1 - entropy) times what the first Stokes parameter, clipped and scaled, leaves; without the entropy where c11 is not above nesz (dB)."""
     e = eigen2(c2)
     span = F.col("lambda1") + F.col("lambda2")
-    p1, p2 = (F.greatest(F.col(f"lambda{k}") / span, F.lit(EPS)) for k in (1, 2))
+    p1, p2 = (F.greatest(over(F.col(f"lambda{k}"), span), F.lit(EPS)) for k in (1, 2))
     h = -(p1 * F.log2(p1) + p2 * F.log2(p2))
-    g = (F.col("c11") - F.col("c22")) / span
-    return e.select("y", "x", ((1 - h) * F.sqrt(F.greatest(1 - g * g, F.lit(0.0)))).alias("surface_index"))
+    g = clipped(c2, F.col("c11") - F.col("c22"))
+    rest = F.sqrt(F.greatest(1 - g * g, F.lit(0.0)))
+    return e.select("y", "x", F.when(F.col("c11") > 10 ** (nesz / 10), (1 - h) * rest).otherwise(rest).alias("surface_index"))
 
 
 def compact_vegetation(c2: DataFrame) -> DataFrame:

@@ -121,13 +121,7 @@ def _(spark, d):
     return rounded(raster.data_analysis(views.scene(spark, d), "v"))
 
 
-@query("tile_statistics", sql([SCENE], "ty, tx, n", {"s": "s"}, "(SELECT ty, tx, count(*) AS n, sum(v) AS s FROM scene, (SELECT unnest(range(0, 100)) AS ty) a, (SELECT unnest(range(0, 3)) AS tx) b WHERE y BETWEEN ty * 16 - 2 AND ty * 16 + 17 AND x BETWEEN tx * 40 - 2 AND tx * 40 + 41 AND EXISTS (SELECT 1) GROUP BY 1, 2)"))
-def _(spark, d):
-    t = raster.tiles(views.scene(spark, d), 16, 40, 2).where("ty < 100")
-    return rounded(t.groupBy("ty", "tx").agg(F.count("*").alias("n"), F.sum("v").alias("s")))
-
-
-@query("tile_statistics_whole", sql([SCENE], "ty, tx, n", {"s": "s"}, "(SELECT ty, tx, count(*) AS n, sum(v) AS s FROM scene, (SELECT DISTINCT (y + d) // 16 AS ty FROM scene, (SELECT unnest([-2, 0, 2]) AS d) WHERE y + d >= 0) a, (SELECT unnest(range(0, 3)) AS tx) b WHERE y BETWEEN ty * 16 - 2 AND ty * 16 + 17 AND x BETWEEN tx * 40 - 2 AND tx * 40 + 41 GROUP BY 1, 2)"))
+@query("tile_statistics", sql([SCENE], "ty, tx, n", {"s": "s"}, "(SELECT ty, tx, count(*) AS n, sum(v) AS s FROM scene, (SELECT DISTINCT (y + d) // 16 AS ty FROM scene, (SELECT unnest([-2, 0, 2]) AS d) WHERE y + d >= 0) a, (SELECT unnest(range(0, 3)) AS tx) b WHERE y BETWEEN ty * 16 - 2 AND ty * 16 + 17 AND x BETWEEN tx * 40 - 2 AND tx * 40 + 41 GROUP BY 1, 2)"))
 def _(spark, d):
     t = raster.tiles(views.scene(spark, d), 16, 40, 2)
     return rounded(t.groupBy("ty", "tx").agg(F.count("*").alias("n"), F.sum("v").alias("s")))
@@ -174,14 +168,7 @@ for _name, _join in {"master": "LEFT", "minimum": "INNER", "maximum": "FULL"}.it
     query(f"create_stack_{_name}", f"WITH {SCENE}, {SECOND}, m AS (SELECT y + 1 AS y, x - 2 AS x, v AS v_sec FROM second) SELECT y, x, v, v_sec FROM scene {_join} JOIN m USING (y, x)")(lambda spark, d, e=_name: raster.create_stack(views.scene(spark, d), views.second(spark, d), 1, -2, e))
 
 
-@query("slice_assembly", f"WITH {SCENE} SELECT y, x, v FROM scene WHERE y < 10")
-def _(spark, d):
-    s = views.scene(spark, d).where("y < 10").select((F.col("y") / 4).cast("long").alias("slice"), (F.col("y") % 4).alias("y"), "x", "v")
-    table = spark.createDataFrame([(k, 4 * k, 4 * k + 4) for k in range(3)], "slice long, start long, end long")
-    return raster.slice_assembly(s, table)
-
-
-@query("slice_assembly_whole", f"WITH {SCENE} SELECT y, x, v FROM scene")
+@query("slice_assembly", f"WITH {SCENE} SELECT y, x, v FROM scene")
 def _(spark, d):
     s = views.scene(spark, d).select(F.expr("y div 4").alias("slice"), (F.col("y") % 4).alias("y"), "x", "v")
     table = s.select("slice", (4 * F.col("slice")).alias("start"), (4 * F.col("slice") + 4).alias("end")).distinct()
@@ -203,13 +190,7 @@ def _(spark, d):
     return rounded(raster.resample_line(views.scene(spark, d), [0.5, 0.8], 120, "cubic"))
 
 
-@query("tie_points", sql([SCENE], "y, x", {"value": "30 + y * 0.1 + x * 0.05"}, "scene", "WHERE y <= 10"))
-def _(spark, d):
-    grid = spark.createDataFrame([(gy, gx, 30 + gy * 0.5 + gx * 0.5) for gy in range(3) for gx in range(11)], "gy long, gx long, value double")
-    return rounded(raster.bilinear(views.scene(spark, d).where("y <= 10"), grid, 5.0, 10.0))
-
-
-@query("tie_points_whole", sql([SCENE], "y, x", {"value": "30 + y * 0.1 + x * 0.05"}, "scene"))
+@query("tie_points", sql([SCENE], "y, x", {"value": "30 + y * 0.1 + x * 0.05"}, "scene"))
 def _(spark, d):
     s = views.scene(spark, d)
     lines = spark.range(extent(s, "y") // 5 + 2).withColumnRenamed("id", "gy")
@@ -412,6 +393,13 @@ def _(spark, d):
     return rounded(insar.horizontal_vertical(p.select("y", "x", F.col("phase1").alias("los")), p.select("y", "x", F.col("phase2").alias("los")), (35, 40), (-10, 190), (0, 0)))
 
 
+@query("empirical_tropo_quadratic", sql([PHASES, "g AS (SELECT phase AS p, height AS z FROM ph WHERE y % 2 = 0 AND x % 2 = 0 AND coherence >= 0.3 AND height > 10)", "m AS (SELECT avg(z) AS mz FROM g)",
+  "s AS (SELECT any_value(mz) AS mz, avg(z - mz) AS z1, avg((z - mz) ** 2) AS z2, avg((z - mz) ** 3) AS z3, avg((z - mz) ** 4) AS z4, avg(p) AS p0, avg(p * (z - mz)) AS p1, avg(p * (z - mz) ** 2) AS p2 FROM g, m)",
+  "f AS (SELECT mz, p1 / z2 - (p2 - p0 * z2 - z3 / z2 * p1) / (z4 - z2 * z2 - z3 * z3 / z2) * z3 / z2 AS b, (p2 - p0 * z2 - z3 / z2 * p1) / (z4 - z2 * z2 - z3 * z3 / z2) AS c, p0 - z2 * (p2 - p0 * z2 - z3 / z2 * p1) / (z4 - z2 * z2 - z3 * z3 / z2) AS a FROM s)"], "y, x", {"phase": "phase - a - b * (height - mz) - c * (height - mz) ** 2"}, "ph, f", digits=5))
+def _(spark, d):
+    return rounded(insar.tropo(phases(spark, d), 0.3, 10.0, 2, degree=2), 5)
+
+
 @query("empirical_tropo", sql([PHASES, "f AS (SELECT regr_slope(phase, height) AS b, regr_intercept(phase, height) AS a FROM ph WHERE y % 2 = 0 AND x % 2 = 0 AND coherence >= 0.3 AND height > 10)"], "y, x", {"phase": "phase - a - b * height"}, "ph, f"))
 def _(spark, d):
     return rounded(insar.tropo(phases(spark, d), 0.3, 10.0, 2))
@@ -446,9 +434,9 @@ def _(spark, d):
     return rounded(insar.three_pass(views.scene_cplx(spark, d), phases(spark, d).select("y", "x", "phase"), [0.5, 0.001, 0.002]))
 
 
-@query("phase_to_elevation", sql([PHASES, "s AS (SELECT arg_min({'p': phase, 'h': height}, (abs(phase2 - 1), y, x)) AS s FROM ph WHERE height > 0)"], "y, x", {"elevation": "s.h - 800000 * sin(0.6) / (4 * pi() / 0.0555 * 150) * (phase - s.p)"}, "ph, s"))
+@query("phase_to_elevation", sql([PHASES, "s AS (SELECT arg_min({'p': phase, 'h': height}, (abs(phase2 - 1), y, x)) AS s FROM ph WHERE height > 0)"], "y, x", {"elevation": "s.h - 800000 * sin(0.6) / (4 * pi() / 0.0555 * (40 * sin(0.001 * (x - 50)) + 150 * cos(0.001 * (x - 50)))) * (phase - s.p)"}, "ph, s"))
 def _(spark, d):
-    p = phases(spark, d).select("y", "x", "phase", F.lit(800000.0).alias("slant"), F.lit(0.6).alias("theta"), F.lit(150.0).alias("perp"), F.col("height").alias("dem"), F.abs(F.col("phase2") - 1).alias("slope"))
+    p = phases(spark, d).select("y", "x", "phase", F.lit(800000.0).alias("slant"), F.lit(0.6).alias("theta"), F.lit(150.0).alias("perp"), F.lit(40.0).alias("parallel"), (0.001 * (F.col("x") - 50)).alias("flat"), F.col("height").alias("dem"), F.abs(F.col("phase2") - 1).alias("slope"))
     return rounded(insar.phase_to_elevation(p, 0.0555))
 
 
@@ -464,23 +452,10 @@ query("azimuth_filter")(lambda spark, d: rounded(insar.azimuth_filter(views.scen
 query("range_filter")(lambda spark, d: rounded(insar.range_filter(views.scene_cplx(spark, d), 5.0, 60.0, 80.0)))
 
 
-@query("sbas_inversion")
-def _(spark, d):
-    st = views.stack(spark, d).where("epoch < 5")
-    pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4), (0, 2), (2, 4), (0, 4)], "ref int, sec int")
-    a, b = (st.select("pixel", F.col("epoch").alias(k), F.col("v").alias(f"v_{k}")) for k in ("ref", "sec"))
-    obs = pairs.join(a, "ref").join(b, ["sec", "pixel"]).select(F.expr("pixel div 100").alias("y"), (F.col("pixel") % 100).alias("x"), "ref", "sec", (F.col("v_sec") - F.col("v_ref")).alias("phase"), F.lit(0.9).alias("coherence"))
-    out = insar.sbas(obs, [0, 12, 24, 36, 48], 2, 0.0555)
-    return rounded(out.select("y", "x", "velocity", "temporal_coherence", "pairs", *[F.col("phase")[k].alias(f"phase{k}") for k in range(5)]))
-
-
-ORACLE_SQL["sbas_inversion"] = sql([STACK, "p AS (SELECT pixel, list(v ORDER BY epoch) AS v FROM stack WHERE epoch < 5 GROUP BY pixel)", "q AS (SELECT pixel, list_transform(v, lambda z: z - v[3]) AS p, regr_s FROM (SELECT p.pixel, p.v, r.s AS regr_s FROM p JOIN (SELECT pixel, regr_slope(v, epoch * 12 / 365.25) AS s FROM stack WHERE epoch < 5 GROUP BY pixel) r USING (pixel)))"], "pixel // 100 AS y, pixel % 100 AS x, CAST(7 AS BIGINT) AS pairs", {"velocity": "-regr_s * 0.0555 / (4 * pi()) * 1000", "temporal_coherence": "1", **{f"phase{k}": f"p[{k + 1}]" for k in range(5)}}, "q")
-
-
 SBAS_PAIRS = [*((k, k + 1) for k in range(63)), *((k, k + 2) for k in range(0, 62, 2)), (0, 63)]
 
 
-@query("sbas_inversion_whole")
+@query("sbas_inversion")
 def _(spark, d):
     st = views.stack(spark, d)
     pairs = spark.createDataFrame(SBAS_PAIRS, "ref int, sec int")
@@ -490,7 +465,7 @@ def _(spark, d):
     return rounded(out.select("y", "x", "velocity", "temporal_coherence", "pairs", *[F.col("phase")[k].alias(f"phase{k}") for k in range(64)]))
 
 
-ORACLE_SQL["sbas_inversion_whole"] = sql([STACK, "q AS (SELECT pixel, list(v ORDER BY epoch) AS v, regr_slope(v, epoch * 12 / 365.25) AS regr_s FROM stack GROUP BY pixel)"], f"pixel // 100 AS y, pixel % 100 AS x, CAST({len(SBAS_PAIRS)} AS BIGINT) AS pairs", {"velocity": "-regr_s * 0.0555 / (4 * pi()) * 1000", "temporal_coherence": "1", **{f"phase{k}": f"v[{k + 1}] - v[3]" for k in range(64)}}, "q")
+ORACLE_SQL["sbas_inversion"] = sql([STACK, "q AS (SELECT pixel, list(v ORDER BY epoch) AS v, regr_slope(v, epoch * 12 / 365.25) AS regr_s FROM stack GROUP BY pixel)"], f"pixel // 100 AS y, pixel % 100 AS x, CAST({len(SBAS_PAIRS)} AS BIGINT) AS pairs", {"velocity": "-regr_s * 0.0555 / (4 * pi()) * 1000", "temporal_coherence": "1", **{f"phase{k}": f"v[{k + 1}] - v[3]" for k in range(64)}}, "q")
 
 
 @query("phase_linking")
@@ -540,14 +515,7 @@ def _(spark, d):
     return topsar.split(s, "IW1", 1, 2).select("y", "x", "v")
 
 
-@query("topsar_deburst", f"WITH {SCENE}, b AS (SELECT y // 6 AS burst, y % 6 + (y // 6) * 4 AS t, x, v FROM scene WHERE y < 18) SELECT t AS y, x, arg_max(v, burst) AS v FROM b WHERE (burst = 0 OR t > burst * 4 + 1) AND (burst = 2 OR t <= burst * 4 + 5) AND t < burst * 4 + 6 GROUP BY t, x")
-def _(spark, d):
-    s = views.scene(spark, d).where("y < 18").select(F.expr("y div 6").alias("burst"), (F.col("y") % 6).alias("line"), "x", "v")
-    bursts = spark.createDataFrame([(k, float(4 * k), float(4 * k + 6)) for k in range(3)], "burst long, first double, last double")
-    return topsar.deburst(s, bursts, 1.0)
-
-
-@query("topsar_deburst_whole", f"WITH {SCENE}, b AS (SELECT y // 6 AS burst, y % 6 + (y // 6) * 4 AS t, x, v FROM scene) SELECT t AS y, x, arg_max(v, burst) AS v FROM b WHERE (burst = 0 OR t > burst * 4 + 1) AND (burst = (SELECT max(burst) FROM b) OR t <= burst * 4 + 5) AND t < burst * 4 + 6 GROUP BY t, x")
+@query("topsar_deburst", f"WITH {SCENE}, b AS (SELECT y // 6 AS burst, y % 6 + (y // 6) * 4 AS t, x, v FROM scene) SELECT t AS y, x, arg_max(v, burst) AS v FROM b WHERE (burst = 0 OR t > burst * 4 + 1) AND (burst = (SELECT max(burst) FROM b) OR t <= burst * 4 + 5) AND t < burst * 4 + 6 GROUP BY t, x")
 def _(spark, d):
     s = views.scene(spark, d).select(F.expr("y div 6").alias("burst"), (F.col("y") % 6).alias("line"), "x", "v")
     bursts = s.select("burst", (4 * F.col("burst")).cast("double").alias("first"), (4 * F.col("burst") + 6).cast("double").alias("last")).distinct()
@@ -596,14 +564,7 @@ def _(spark, d):
     return rounded(spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "image long, shift double"))
 
 
-@query("orbit_interpolation", sql(["t AS (SELECT event_id * 0.0103 AS t FROM events WHERE event_id < 1000)"], "", {"t": "t", "px": "7000 + 3 * t - 0.1 * t * t", "py": "t ** 3 * 0.01", "pz": "5 - t"}, "t"))
-def _(spark, d):
-    points = views.read(spark, d, "events").where("event_id < 1000").select((F.col("event_id") * 0.0103).alias("t"))
-    vectors = spark.createDataFrame([(float(t), 7000 + 3.0 * t - 0.1 * t * t, t**3 * 0.01, 5.0 - t) for t in range(-10, 21)], "t double, px double, py double, pz double")
-    return rounded(topsar.lagrange_orbit(points, vectors))
-
-
-@query("orbit_interpolation_whole", sql(["t AS (SELECT event_id * 0.0103 AS t FROM events)"], "", {"t": "t", "px": "7000 + 3 * t - 0.1 * t * t", "py": "t ** 3 * 0.01", "pz": "5 - t"}, "t"))
+@query("orbit_interpolation", sql(["t AS (SELECT event_id * 0.0103 AS t FROM events)"], "", {"t": "t", "px": "7000 + 3 * t - 0.1 * t * t", "py": "t ** 3 * 0.01", "pz": "5 - t"}, "t"))
 def _(spark, d):
     points = views.read(spark, d, "events").select((F.col("event_id") * 0.0103).alias("t"))
     end = extent(points, "t")
@@ -624,14 +585,7 @@ def _(spark, d):
     return rounded(calibration.asof(pts, knots, "at", "k", "lut").select("y", "x", "lut"))
 
 
-@query("calibration_lut", sql([SCENE], "y, x", {"sigma": "v * v / ((100.3 + 2 * y + x) * (100.3 + 2 * y + x))"}, "scene", "WHERE y <= 100"))
-def _(spark, d):
-    lut = spark.createDataFrame([(y, x, 100.3 + 2 * y + x) for y in (0, 50, 100) for x in (0, 40, 80, 120)], "line long, pixel long, lut double")
-    s = calibration.lut_bilinear(views.scene(spark, d).where("y <= 100"), lut, "lut")
-    return rounded(calibration.calibrate(s, calibration.factor("lut_squared")))
-
-
-@query("calibration_lut_whole", sql([SCENE], "y, x", {"sigma": "v * v / ((100.3 + 2 * y + x) * (100.3 + 2 * y + x))"}, "scene"))
+@query("calibration_lut", sql([SCENE], "y, x", {"sigma": "v * v / ((100.3 + 2 * y + x) * (100.3 + 2 * y + x))"}, "scene"))
 def _(spark, d):
     s = views.scene(spark, d)
     lines = spark.range(extent(s, "y") // 50 + 2).select((50 * F.col("id")).alias("line"))
@@ -747,14 +701,62 @@ def _(spark, d):
     return rounded(polarimetry.huynen(t3(spark, d)))
 
 
-query("freeman_durden")(lambda spark, d: rounded(polarimetry.freeman_durden(c3(spark, d))))
+# Three powers of c11, c22, c33, c13_re, c13_im in the form of the textbook, for a named source.
+THREE = """f3 AS (SELECT *, 4 * c22 AS fv, c11 - 1.5 * c22 AS a, c33 - 1.5 * c22 AS b, c13_re - c22 / 2 AS r0, c13_im AS i0 FROM {source}),
+  h3 AS (SELECT *, CASE WHEN a > 1e-15 AND b > 1e-15 AND a * b < r0 * r0 + i0 * i0 THEN sqrt(a * b) / sqrt(r0 * r0 + i0 * i0) ELSE 1 END AS k FROM f3),
+  g3 AS (SELECT *, r0 * k AS r, i0 * k AS i, CASE WHEN k < 1 THEN 0 ELSE a * b - r0 * r0 - i0 * i0 END AS left_ FROM h3),
+  fs AS (SELECT *, CASE WHEN r < 0 THEN abs(left_ / (a + b - 2 * r)) ELSE abs(b - abs(left_ / (a + b + 2 * r))) END AS fs, CASE WHEN r < 0 THEN abs(b - abs(left_ / (a + b - 2 * r))) ELSE abs(left_ / (a + b + 2 * r)) END AS fd FROM g3),
+  three AS (SELECT *, CASE WHEN a <= 1e-15 OR b <= 1e-15 THEN 0 WHEN r < 0 THEN 2 * fs ELSE fs * (1 + ((r + fd) ** 2 + i * i) / fs ** 2) END AS ps3, CASE WHEN a <= 1e-15 OR b <= 1e-15 THEN 0 WHEN r < 0 THEN fd * (1 + ((r - fs) ** 2 + i * i) / fd ** 2) ELSE 2 * fd END AS pd3 FROM fs)"""
+
+
+@query("freeman_durden", sql([QUAD, C3, THREE.format(source="c3")], "y, x", {"surface": "ps3", "double": "pd3", "volume": "fv"}, "three", digits=5))
+def _(spark, d):
+    return rounded(polarimetry.freeman_durden(c3(spark, d)), 5)
+
+
+@query("span_decibels", sql([QUAD, C3, "e AS (SELECT min(c11 + c22 + c33) AS lo, max(c11 + c22 + c33) AS hi FROM c3)"], "y, x", {"c11": "10 * log10(least(greatest(c11, lo), hi))", "c33": "10 * log10(least(greatest(c33, lo), hi))"}, "c3, e"))
+def _(spark, d):
+    return rounded(polarimetry.span_db(c3(spark, d), ["c11", "c33"], F.col("c11") + F.col("c22") + F.col("c33")))
+
+
 query("krogager")(lambda spark, d: rounded(polarimetry.krogager(views.quad(spark, d))))
-query("yamaguchi")(lambda spark, d: rounded(polarimetry.yamaguchi(t3(spark, d))))
+YAMAGUCHI = f"""q AS (SELECT *, (t11 + t22) / 2 + t12_re AS c11, t33 AS c22, (t11 + t22) / 2 - t12_re AS c33, (t11 - t22) / 2 AS c13_re, -t12_im AS c13_im, t11 + t22 + t33 AS span, 2 * abs(t23_im) AS pc FROM t3m),
+  {THREE.format(source="q")},
+  w AS (SELECT *, 10 * log10(c33 / c11) AS ratio FROM three),
+  k AS (SELECT *, CASE WHEN ratio <= -2 THEN 1 / 6.0 WHEN ratio > 2 THEN -1 / 6.0 ELSE 0 END AS k1, CASE WHEN ratio <= -2 OR ratio > 2 THEN 7 / 30.0 ELSE 0.25 END AS k2, (t33 - pc / 2) / CASE WHEN ratio <= -2 OR ratio > 2 THEN 4 / 15.0 ELSE 0.25 END AS pv FROM w),
+  z AS (SELECT *, t11 - pv / 2 AS s, t22 - k2 * pv - pc / 2 AS d, (t12_re - k1 * pv) ** 2 + t12_im ** 2 AS c, pv + pc < span AS full_, c13_re - t33 / 2 + pc / 2 < 0 AS neg FROM k),
+  n AS (SELECT *, CASE WHEN neg THEN s - c / d ELSE s + c / s END AS p1, CASE WHEN neg THEN d + c / d ELSE d - c / s END AS p2 FROM z)"""
+T3_NAMES = ("t11", "t22", "t33", "t12_re", "t12_im", "t13_re", "t13_im", "t23_re", "t23_im")
+T3M = f"t3m AS ({window(', '.join(f'avg(b.{k}) AS {k}' for k in T3_NAMES), 5, source='t3')})"
+
+
+@query("yamaguchi", sql([QUAD, K3, T3, T3M, YAMAGUCHI], "y, x", {
+    "surface": "CASE WHEN pv <= 0 THEN ps3 WHEN NOT full_ OR p1 < 0 THEN 0 WHEN p1 > 0 AND p2 < 0 THEN span - pv - pc ELSE p1 END",
+    "double": "CASE WHEN pv <= 0 THEN pd3 WHEN NOT full_ OR p2 < 0 THEN 0 WHEN p2 > 0 AND p1 < 0 THEN span - pv - pc ELSE p2 END",
+    "volume": "CASE WHEN pv <= 0 THEN fv WHEN NOT full_ OR (p1 < 0 AND p2 < 0) THEN span - pc ELSE pv END",
+    "helix": "CASE WHEN pv <= 0 THEN 0 ELSE pc END"}, "n", digits=5))
+def _(spark, d):
+    return rounded(polarimetry.yamaguchi(polarimetry.averaged(t3(spark, d), 3, "t", 5)), 5)
+
+
+BARAKAT = """dt AS (SELECT *, t11 * t22 * t33 + 2 * ((t12_re * t23_re - t12_im * t23_im) * t13_re + (t12_re * t23_im + t12_im * t23_re) * t13_im) - t11 * (t23_re ** 2 + t23_im ** 2) - t22 * (t13_re ** 2 + t13_im ** 2) - t33 * (t12_re ** 2 + t12_im ** 2) AS det, t11 + t22 + t33 AS s, t22 + t33 AS h FROM t3m),
+  mf AS (SELECT *, sqrt(greatest(1 - 27 * greatest(det, 0) / s ** 3, 0)) AS m FROM dt),
+  th AS (SELECT *, atan(m * s * (t11 - h) / (t11 * h + m * m * s * s)) AS theta, atan(2 * abs(t23_im) / s) AS tau FROM mf)"""
 query("cloude")(lambda spark, d: rounded(polarimetry.cloude(polarimetry.averaged(t3(spark, d), 3, "t", 5))))
 query("touzi")(lambda spark, d: rounded(polarimetry.touzi(polarimetry.averaged(t3(spark, d), 3, "t", 5))))
-query("mf3cf")(lambda spark, d: rounded(polarimetry.mf3cf(polarimetry.averaged(t3(spark, d), 3, "t", 5))))
-query("mf4cf")(lambda spark, d: rounded(polarimetry.mf4cf(polarimetry.averaged(t3(spark, d), 3, "t", 5))))
-query("h_a_alpha")(lambda spark, d: rounded(polarimetry.h_a_alpha(polarimetry.averaged(t3(spark, d), 3, "t", 5)).drop("alpha")))
+
+
+@query("mf3cf", sql([QUAD, K3, T3, T3M, BARAKAT], "y, x", {"surface": "m * s / 2 * (1 + sin(2 * theta))", "double": "m * s / 2 * (1 - sin(2 * theta))", "volume": "s * (1 - m)", "theta": "degrees(theta)"}, "th", digits=5))
+def _(spark, d):
+    return rounded(polarimetry.mf3cf(polarimetry.averaged(t3(spark, d), 3, "t", 5)), 5)
+
+
+@query("mf4cf", sql([QUAD, K3, T3, T3M, BARAKAT, "o AS (SELECT *, m * s * sin(2 * tau) AS pc FROM th)"], "y, x", {"surface": "(m * s - pc) / 2 * (1 + sin(2 * theta))", "double": "(m * s - pc) / 2 * (1 - sin(2 * theta))", "volume": "s * (1 - m)", "helix": "pc", "theta": "degrees(theta)", "tau": "degrees(tau)"}, "o", digits=5))
+def _(spark, d):
+    return rounded(polarimetry.mf4cf(polarimetry.averaged(t3(spark, d), 3, "t", 5)), 5)
+
+
+query("h_a_alpha")(lambda spark, d: rounded(polarimetry.h_a_alpha(polarimetry.averaged(t3(spark, d), 3, "t", 5))))
 query("polarimetric_parameters")(lambda spark, d: rounded(polarimetry.parameters(polarimetry.averaged(t3(spark, d), 3, "t", 5))))
 query("faraday_rotation")(lambda spark, d: rounded(polarimetry.faraday(views.quad(spark, d), 5)))
 query("orientation_angle")(lambda spark, d: rounded(polarimetry.orientation(t3(spark, d))))
@@ -800,9 +802,9 @@ def _(spark, d):
     return rounded(polarimetry.radar_vegetation(polarimetry.averaged(c2(spark, d), 2, "c", 5)))
 
 
-@query("dual_pol_y3", sql([QUAD, C2], "y, x", {"surface": "CASE WHEN c12_re >= 0 THEN greatest(c11 - 3 * c22, 0) ELSE 0 END", "double": "CASE WHEN c12_re < 0 THEN greatest(c11 - 3 * c22, 0) ELSE 0 END", "volume": "least(6 * c22, c11 + c22)"}, "c2"))
-def _(spark, d):
-    return rounded(polarimetry.y3(c2(spark, d)))
+for _name, (_a, _b) in polarimetry.VOLUMES.items():
+    _fv = f"least(c22 / {_b!r}, greatest(c11, 0) / {_a!r})"
+    query(f"dual_pol_y3_{_name}", sql([QUAD, C2, f"v AS (SELECT *, {_fv} AS fv FROM c2)", f"r AS (SELECT *, greatest(c11 - fv * {_a!r}, 0) + greatest(c22 - fv * {_b!r}, 0) AS rest FROM v)"], "y, x", {"surface": "CASE WHEN c12_re >= 0 THEN rest ELSE 0 END", "double": "CASE WHEN c12_re < 0 THEN rest ELSE 0 END", "volume": f"fv * {_a + _b!r}"}, "r"))(lambda spark, d, k=_name: rounded(polarimetry.y3(c2(spark, d), k)))
 
 
 @query("builtup_index", sql([QUAD, C2, STOKES, "q AS (SELECT quantile_cont(abs(g1), [0.05, 0.95]) AS q1, quantile_cont(abs(g2), [0.05, 0.95]) AS q2, quantile_cont(abs(g3), [0.05, 0.95]) AS q3 FROM st)"], "y, x", {"builtup": "sqrt((" + " + ".join(f"(least(greatest(abs(g{k}), q{k}[1]), q{k}[2]) / q{k}[2]) ** 2" for k in (1, 2, 3)) + ") / 3)"}, "st, q"))
@@ -810,7 +812,10 @@ def _(spark, d):
     return rounded(polarimetry.builtup_index(c2(spark, d)))
 
 
-query("surface_index")(lambda spark, d: rounded(polarimetry.surface_index(polarimetry.averaged(c2(spark, d), 2, "c", 5))))
+@query("surface_index", sql([QUAD, C2, f"m AS ({window('avg(b.c11) AS c11, avg(b.c22) AS c22, avg(b.c12_re) AS re, avg(b.c12_im) AS im', 5, source='c2')})", "e AS (SELECT *, (c11 + c22 + sqrt((c11 - c22) ** 2 + 4 * (re * re + im * im))) / 2 / (c11 + c22) AS p FROM m)",
+  "q AS (SELECT quantile_cont(abs(c11 - c22), [0.05, 0.95]) AS q FROM m)", "g AS (SELECT y, x, c11, p, sqrt(greatest(1 - (least(greatest(abs(c11 - c22), q[1]), q[2]) / q[2]) ** 2, 0)) AS g FROM e, q)"], "y, x", {"surface_index": "CASE WHEN 10 * log10(c11) > -5 THEN (1 + p * log2(greatest(p, 1e-15)) + (1 - p) * log2(greatest(1 - p, 1e-15))) * g ELSE g END"}, "g"))
+def _(spark, d):
+    return rounded(polarimetry.surface_index(polarimetry.averaged(c2(spark, d), 2, "c", 5), nesz=-5.0))
 
 
 @query("polarimetric_change")

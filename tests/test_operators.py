@@ -144,3 +144,134 @@ def test_binary_rasters_round_trip(spark, tmp_path):
     meta = formats.header(tile["header"])
     got = {(r["y"], r["x"]): r["v"] for r in formats.read_bsq(spark, str(tmp_path / "a.img"), meta, ["v"]).collect()}
     assert got == {(r["y"], r["x"]): r["v"] for r in ramp(spark, 4, 4).collect()}
+
+
+# ------------------------------------------------------------------ hand-worked decompositions
+
+
+def t3_row(spark, **own):
+    names = ["t11", "t22", "t33", "t12_re", "t12_im", "t13_re", "t13_im", "t23_re", "t23_im"]
+    return spark.createDataFrame([(0, 0, *(float(own.get(k, 0.0)) for k in names))], "y long, x long, " + ", ".join(f"{k} double" for k in names))
+
+
+def c3_row(spark, c11, c22, c33, re, im=0.0):
+    return spark.createDataFrame([(0, 0, c11, c22, c33, re, im)], "y long, x long, c11 double, c22 double, c33 double, c13_re double, c13_im double")
+
+
+@pytest.mark.parametrize(("matrix", "want"), [
+    ((3 / 8, 1 / 4, 3 / 8, 1 / 8), (0, 0, 1)),  # nothing but volume: it takes all of the co-polarised channels
+    ((1.0, 0.0, 1.0, 0.9), (1.9, 0.1, 0)),  # fd = 0.19 / 3.8, fs = 0.95, beta = 1
+    ((1.0, 0.0, 1.0, -0.9), (0.1, 1.9, 0)),
+    ((1.0, 0.0, 1.0, 2.0), (2.0, 0, 0)),  # correlation drawn back to 1
+    ((0.1, 0.4, 3.0, 0.0), (0, 0, 1.6)),  # volume beyond c11
+])
+def test_three_powers(spark, matrix, want):
+    r = polarimetry.freeman_durden(c3_row(spark, *matrix)).first()
+    assert (r["surface"], r["double"], r["volume"]) == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize(("matrix", "want"), [
+    # balanced channels: pv = 0.2 / 0.25, s = 2 - 0.4, d = 0.6 - 0.2, c = 0.01
+    (dict(t11=2, t22=0.6, t33=0.2, t12_re=0.1), (1.6 + 0.01 / 1.6, 0.4 - 0.01 / 1.6, 0.8, 0)),
+    # helix takes 0.2: pv = (0.2 - 0.1) / 0.25, d = 0.6 - 0.1 - 0.1
+    (dict(t11=2, t22=0.6, t33=0.2, t12_re=0.1, t23_im=0.1), (1.8 + 0.01 / 1.8, 0.4 - 0.01 / 1.8, 0.4, 0.2)),
+    # c11 twice c33: pv = 0.2 * 15 / 4, k1 = 1/6, k2 = 7/30
+    (dict(t11=2, t22=0.6, t33=0.2, t12_re=0.5), (1.625 + 0.375**2 / 1.625, 0.425 - 0.375**2 / 1.625, 0.75, 0)),
+    # double bounce stronger: c13_re - c22 / 2 below 0
+    (dict(t11=0.6, t22=2, t33=0.2, t12_re=0.1), (0.2 - 0.01 / 1.8, 1.8 + 0.01 / 1.8, 0.8, 0)),
+    # more volume than there is power
+    (dict(t11=0.1, t22=0.1, t33=0.2), (0, 0, 0.4, 0)),
+    # no volume left beside the helix: three components, the helix is dropped
+    (dict(t11=2, t22=0.6, t33=0.1, t23_im=0.2), None),
+])
+def test_four_powers(spark, matrix, want):
+    r = polarimetry.yamaguchi(t3_row(spark, **matrix)).first()
+    got = (r["surface"], r["double"], r["volume"], r["helix"])
+    if want is None:
+        three = polarimetry.freeman_durden(c3_row(spark, 1.3, 0.1, 1.3, 0.7)).first()
+        want = (three["surface"], three["double"], 0.4, 0)
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_model_free_four_components(spark):
+    r = polarimetry.mf4cf(t3_row(spark, t11=1)).first()
+    assert (r["surface"], r["double"], r["volume"], r["helix"], r["theta"]) == pytest.approx((1, 0, 0, 0, 45), abs=1e-9)
+    r = polarimetry.mf4cf(t3_row(spark, t22=1, t33=1, t23_im=1)).first()
+    assert (r["surface"], r["double"], r["volume"], r["helix"], r["tau"]) == pytest.approx((0, 0, 0, 2, 45), abs=1e-9)
+    r = polarimetry.mf4cf(t3_row(spark, t11=1, t22=1, t33=1)).first()
+    assert (r["volume"], r["helix"]) == pytest.approx((3, 0), abs=1e-6)
+
+
+def test_touzi_turns_handedness_beyond_an_eighth(spark):
+    # eigenvector (1, -1 + j/2, 0): psi is a quarter turn, the turned phase -atan(1/2) changes its sign
+    r = polarimetry.touzi(t3_row(spark, t11=1, t22=1.25, t12_re=-1, t12_im=-0.5)).first()
+    assert (abs(r["psi"]), r["tau"], r["phi"], r["alpha_s"]) == pytest.approx((math.pi / 2, 0, math.atan(0.5), math.atan(math.sqrt(1.25))), abs=1e-6)
+
+
+def test_general_parameters(spark):
+    r = polarimetry.parameters(t3_row(spark, t11=1, t22=1, t33=1)).first()
+    assert (r["span"], r["pedestal"], r["rvi"]) == pytest.approx((6, 1, 4 / 3))
+
+
+def c2_rows(spark, rows):
+    return spark.createDataFrame([(0, k, *map(float, r)) for k, r in enumerate(rows)], "y long, x long, c11 double, c22 double, c12_re double, c12_im double")
+
+
+def test_dual_pol_three_powers(spark):
+    got = [tuple(r)[2:] for r in polarimetry.y3(c2_rows(spark, [(3, 1, 0.5, 0), (3, 1, -0.5, 0), (0.5, 2, 0.1, 0)])).orderBy("x").collect()]
+    assert got == [pytest.approx(w) for w in [(2, 0, 2), (0, 2, 2), (1.5, 0, 1)]]
+    assert tuple(polarimetry.y3(c2_rows(spark, [(3, 0.5, 1, 0)]), "dipole").first())[2:] == pytest.approx((1.5, 0, 2))
+
+
+def test_surface_index_scales_by_percentiles(spark):
+    rows = [(10 + k, 10, 0, 0) for k in range(101)]  # |g1| from 0 to 100: 5 and 95 are the percentiles
+    got = [r["surface_index"] for r in polarimetry.surface_index(c2_rows(spark, rows), nesz=13.0).orderBy("x").collect()]
+
+    def want(k):
+        p = (10 + k) / (20 + k)
+        h = -(p * math.log2(p) + (1 - p) * math.log2(1 - p))
+        left = math.sqrt(1 - (min(max(k, 5), 95) / 95) ** 2)
+        return left * (1 - h if 10 * math.log10(10 + k) > 13 else 1)
+
+    assert got == pytest.approx([want(k) for k in range(101)], abs=1e-9)
+
+
+def test_quantiles_are_exact_over_many_values(spark, monkeypatch):
+    from rasterloom.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW", 50)
+    monkeypatch.setattr(quantiles, "BINS", 7)
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=3000) ** 3, np.full(500, 0.25), rng.integers(0, 5, 400)])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "v double")
+    shares = (0.0, 0.05, 0.5, 0.95, 0.999, 1.0)
+    assert quantiles.quantiles(df, F.col("v"), shares) == pytest.approx(np.quantile(v, shares).tolist(), abs=1e-12)
+    assert quantiles.quantiles(df.where("v is null"), F.col("v"), (0.5,)) == [None]
+
+
+def test_tropospheric_fit(spark):
+    rows = [(0, x, 3 + 0.02 * h - 1e-5 * h * h, float(h), 0.9) for x, h in enumerate(range(100, 2000, 100))]
+    df = spark.createDataFrame(rows, "y long, x long, phase double, height double, coherence double")
+    assert [r["phase"] for r in insar.tropo(df, 0.5, 0.0, 1, degree=2).collect()] == pytest.approx([0.0] * 19, abs=1e-9)
+    linear = df.withColumn("phase", 3 + 0.02 * F.col("height"))
+    assert [r["phase"] for r in insar.tropo(linear, 0.5, 0.0, 1).collect()] == pytest.approx([0.0] * 19, abs=1e-9)
+    # ten samples for two coefficients, fifteen for three
+    for degree, least in ((1, 10), (2, 15)):
+        changed = [insar.tropo(df.limit(n), 0.5, 0.0, 1, degree=degree).first()["phase"] != df.first()["phase"] for n in (least - 1, least)]
+        assert changed == [False, True]
+
+
+def test_elevation_uses_both_baselines(spark):
+    rows = [(0, 0, 1.0, 8e5, 0.6, 150.0, 40.0, 0.0, 500.0, 0.0), (0, 1, 2.0, 8e5, 0.6, 150.0, 40.0, 0.05, 0.0, 1.0), (0, 2, 2.0, 8e5, 0.6, 0.0, 0.0, 0.05, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "y long, x long, phase double, slant double, theta double, perp double, parallel double, flat double, dem double, slope double")
+    got = [r["elevation"] for r in insar.phase_to_elevation(df, 0.0555).orderBy("x").collect()]
+    alpha = 8e5 * math.sin(0.6) / (4 * math.pi / 0.0555 * (40 * math.sin(0.05) + 150 * math.cos(0.05)))
+    assert got[:2] == pytest.approx([500.0, 500.0 - alpha]) and got[2] is None
+
+
+def test_asof_with_keys_ends_and_gaps(spark):
+    knots = spark.createDataFrame([("a", 0.0, 1.0), ("a", 0.1, 2.0), ("a", 100.0, 0.0), ("b", 5.0, 7.0), ("b", None, 9.0)], "k string, at double, v double")
+    points = spark.createDataFrame([("a", x) for x in (-5.0, 0.0, 0.05, 0.1, 50.05, 100.0, 200.0, None)] + [("b", 1.0), ("b", 9.0), ("c", 1.0)], "k string, x double")
+    got = {(r["k"], r["x"]): r["v"] for r in calibration.asof(points, knots, "x", "at", "v", ["k"]).collect()}
+    assert got == {("a", -5.0): 1.0, ("a", 0.0): 1.0, ("a", 0.05): pytest.approx(1.5), ("a", 0.1): 2.0, ("a", 50.05): pytest.approx(1.0), ("a", 100.0): 0.0, ("a", 200.0): 0.0, ("a", None): None, ("b", 1.0): 7.0, ("b", 9.0): 7.0, ("c", 1.0): None}
+    assert calibration.asof(points.drop("k"), knots.limit(0).drop("k"), "x", "at", "v").where("v is not null").count() == 0
