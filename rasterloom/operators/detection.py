@@ -185,9 +185,103 @@ def forest_classes(df: DataFrame, bands: Sequence[str], seed_low: float, seed_hi
     return df.select("y", "x", now.cast("int").alias("class"))
 
 
-def wind_speed(df: DataFrame, model: Mapping[float, float] | None = None, sigma: str = "v") -> DataFrame:
-    """Speed, 0.1 to 20 m/s, whose modelled backscatter is nearest; model maps speed to backscatter (default a power law)."""
-    table = model or {k / 10: 0.004 * (k / 10) ** 1.2 for k in range(1, 201)}
-    speeds = sorted(table)
-    best = F.array(*[F.struct(F.abs(F.col(sigma) - float(table[s])).alias("d"), F.lit(float(s)).alias("s")) for s in speeds])
+# Coefficients 1 to 28 of the C-band model function (Hersbach, 2003), its reference angles and power.
+CMOD5 = (-0.688, -0.793, 0.338, -0.173, 0.0, 0.004, 0.111, 0.0162, 6.7329, 2.7541, -2.2918, 0.4, -0.6, 0.045, 0.007, 0.33, 0.012, 22.0, 1.95, 3.0, 8.39, -3.44, 1.36, 5.35, 1.99, 0.29, 3.80, 1.53)
+CMOD5_ANGLE, CMOD5_RANGE, CMOD5_POWER = 40.0, 25.0, 1.6
+#: Speeds that are tried, in m/s.
+SPEEDS = np.arange(1, 201) / 10
+
+
+def cmod5(speed: np.ndarray, cosine: float, theta: float) -> np.ndarray:
+    """Backscatter of the sea for wind speeds (m/s), the cosine of the wind's angle to the look direction, and an incidence angle in degrees."""
+    c = (0.0, *CMOD5)  # counted from 1, as published
+    x = (theta - CMOD5_ANGLE) / CMOD5_RANGE
+    s0, s = c[12] + c[13] * x, (c[7] + c[8] * x) * speed
+    a3 = 1 / (1 + np.exp(-np.maximum(s, s0)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a3 = np.where(s < s0, a3 * np.power(np.maximum(s / s0, 0), s0 * (1 - a3)), a3)
+    b0 = a3 ** (c[9] + c[10] * x + c[11] * x * x) * 10 ** (c[1] + c[2] * x + c[3] * x**2 + c[4] * x**3 + (c[5] + c[6] * x) * speed)
+    b1 = c[14] * (1 + x) - c[15] * speed * (0.5 + x - np.tanh(4 * (x + c[16] + c[17] * speed)))
+    b1 = b1 / (np.exp(0.34 * (speed - c[18])) + 1)
+    y0, n = c[19], c[20]
+    v2 = speed / (c[21] + c[22] * x + c[23] * x * x) + 1
+    v2 = np.where(v2 < y0, y0 - (y0 - 1) / n + np.power(np.maximum(v2 - 1, 0), n) / (n * (y0 - 1) ** (n - 1)), v2)
+    b2 = (c[27] + c[28] * x) * v2 - (c[24] + c[25] * x + c[26] * x * x)
+    return b0 * (1 + b1 * cosine + b2 * np.exp(-v2) * (2 * cosine * cosine - 1)) ** CMOD5_POWER
+
+
+def wind_speed(df: DataFrame, theta: float, cosine: float = 1.0, sigma: str = "v", model: Mapping[float, float] | None = None) -> DataFrame:
+    """Speed, 0.1 to 20 m/s, whose modelled backscatter is nearest, for one geometry; model maps speed to backscatter instead."""
+    table = model or dict(zip(SPEEDS.tolist(), cmod5(SPEEDS, cosine, theta).tolist(), strict=True))
+    best = F.array(*[F.struct(F.abs(F.col(sigma) - float(table[s])).alias("d"), F.lit(float(s)).alias("s")) for s in sorted(table)])
     return df.select("y", "x", F.array_min(best)["s"].alias("speed"))
+
+
+def wind_direction(image: np.ndarray, size_km: float) -> tuple[float, float, float]:
+    """Direction (dx, dy, up the image) across the streaks of a square window, up to a half turn, and how round the spectrum is.
+
+    The flattened window's spectrum, averaged over its four corners and kept between waves of 2.5 and
+    15 km, is fitted by a quadratic form below its peak; the wind blows along its steeper axis.
+    """
+    n = len(image)
+    ones = np.ones_like(image)
+
+    def total(z: np.ndarray) -> np.ndarray:
+        """Sums over 11 x 11 samples, cut at the border."""
+        for axis in (0, 1):
+            sums = np.concatenate([np.zeros_like(z.take([0], axis)), z.cumsum(axis)], axis)
+            at = np.arange(n)
+            z = sums.take(np.minimum(at + 6, n), axis) - sums.take(np.maximum(at - 5, 0), axis)
+        return z
+
+    flat = image * total(ones) / total(image)
+    size = 2 * n // 3 | 1
+    corners = [flat[a : a + size, b : b + size] for a in (0, n - size) for b in (0, n - size)]
+    spectrum = np.mean([np.abs(np.fft.fftshift(np.fft.fft2(z))) ** 2 for z in corners], 0)
+    step, middle = 1.5 / (size_km * 1000), size // 2
+    outer = min(int(2 * np.pi / (2500 * step)), middle)
+    inner = int(2 * np.pi / (15000 * step))
+    inner = 1 if inner >= middle else inner
+    if outer < 1:
+        return float("nan"), float("nan"), float("nan")
+    spectrum[middle - inner : middle + inner + 1, middle - inner : middle + inner + 1] = 0
+    ring = spectrum[middle - outer : middle + outer + 1, middle - outer : middle + outer + 1]
+    smooth = np.zeros_like(ring)
+    smooth[1:-1, 1:-1] = np.median(np.lib.stride_tricks.sliding_window_view(ring, (3, 3)), (2, 3))
+    y, x = (z.ravel().astype(float) for z in np.mgrid[-outer : outer + 1, -outer : outer + 1])
+    form, *_ = np.linalg.lstsq(np.stack([x * x, y * y, x * y], 1), smooth.ravel() - smooth.max(), rcond=None)
+    values, vectors = np.linalg.eigh([[form[0], -form[2] / 2], [-form[2] / 2, form[1]]])
+    steep = int(np.argmax(np.abs(values)))
+    dx, dy = vectors[:, steep]
+    turn = -1 if dx > 0 or (dx == 0 and dy < 0) else 1
+    largest = np.abs(values).max()
+    return float(turn * dx), float(turn * dy), float(np.abs(values).min() / largest) if largest else float("nan")
+
+
+def wind_field(df: DataFrame, size: int, size_km: float, polarisation: str = "vv") -> DataFrame:
+    """Wind of every whole window of size x size pixels: y, x of its middle, speed, dx, dy, ratio.
+
+    df: y, x, v (calibrated power, null on land), theta (incidence in degrees). Windows that are half
+    land have no wind, and none with an empty middle a speed; other land counts as the window's mean.
+    """
+    half = size // 2
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"y": pd.Series(dtype="int64"), "x": pd.Series(dtype="int64"), **{k: pd.Series(dtype="float64") for k in ("speed", "dx", "dy", "ratio")}})
+        z = pdf.sort_values(["y", "x"])
+        v, theta = (z[c].to_numpy(float) for c in ("v", "theta"))
+        if len(z) != size * size or np.isnan(v).sum() >= size * size // 2:
+            return out
+        image = np.where(np.isnan(v), np.nanmean(v), v).reshape(size, size)
+        dx, dy, ratio = wind_direction(image, size_km)
+        k = half * size + half
+        sigma = v[k]
+        if polarisation == "hh":
+            t = np.tan(np.radians(theta[k])) ** 2
+            sigma = sigma * ((1 + 2 * t) / (1 + t)) ** 2
+        speed = SPEEDS[np.argmin(np.abs(sigma - cmod5(SPEEDS, dx / np.hypot(dx, dy), theta[k])))] if np.isfinite(sigma + dx) else np.nan
+        out.loc[0] = [z.y.iloc[0] + half, z.x.iloc[0] + half, speed, dx, dy, ratio]
+        return out.astype({"y": "int64", "x": "int64"})
+
+    blocks = df.select("y", "x", "v", "theta", F.floor(F.col("y") / size).alias("_by"), F.floor(F.col("x") / size).alias("_bx"))
+    return blocks.groupBy("_by", "_bx").applyInPandas(run, "y long, x long, speed double, dx double, dy double, ratio double")

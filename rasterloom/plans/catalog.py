@@ -323,9 +323,20 @@ query("robust_pca")(lambda spark, d: rounded(detection.robust_pca(views.stack(sp
 query("forest_classes")(lambda spark, d: detection.forest_classes(both(spark, d), ["a", "b"], 20.0, 60.0))
 
 
-@query("wind_speed", f"WITH {SCENE}, m AS (SELECT k / 10.0 AS s, 0.004 * (k / 10.0) ** 1.2 AS m FROM (SELECT unnest(range(1, 201)) AS k)) SELECT y, x, round(CAST(arg_min(s, (abs(v / 1000 - m), s)) AS DOUBLE), 7) AS speed FROM scene, m GROUP BY y, x")
+WIND = """c AS (SELECT 0.8 AS cs, (35.0 - 40) / 25 AS x), w AS (SELECT k / 10.0 AS v FROM (SELECT unnest(range(1, 201)) AS k)),
+  s1 AS (SELECT v, cs, x, (0.111 + 0.0162 * x) * v AS s, 0.4 - 0.6 * x AS s0 FROM w, c),
+  s2 AS (SELECT *, 1 / (1 + exp(-greatest(s, s0))) AS g FROM s1), s3 AS (SELECT *, CASE WHEN s < s0 THEN g * (s / s0) ** (s0 * (1 - g)) ELSE g END AS a3, v / (8.39 - 3.44 * x + 1.36 * x * x) + 1 AS u FROM s2),
+  s4 AS (SELECT *, a3 ** (6.7329 + 2.7541 * x - 2.2918 * x * x) * 10 ** (-0.688 - 0.793 * x + 0.338 * x * x - 0.173 * x * x * x + 0.004 * x * v) AS b0,
+    (0.045 * (1 + x) - 0.007 * v * (0.5 + x - tanh(4 * (x + 0.33 + 0.012 * v)))) / (exp(0.34 * (v - 22)) + 1) AS b1, CASE WHEN u < 1.95 THEN 1.95 - 0.95 / 3 + (u - 1) ** 3 / (3 * 0.95 ** 2) ELSE u END AS v2 FROM s3),
+  m AS (SELECT v AS s, b0 * (1 + b1 * cs + ((3.8 + 1.53 * x) * v2 - (5.35 + 1.99 * x + 0.29 * x * x)) * exp(-v2) * (2 * cs * cs - 1)) ** 1.6 AS m FROM s4)"""
+
+
+@query("wind_speed", f"WITH {SCENE}, {WIND} SELECT y, x, round(CAST(arg_min(s, (abs(v / 1000 - m), s)) AS DOUBLE), 7) AS speed FROM scene, m GROUP BY y, x")
 def _(spark, d):
-    return rounded(detection.wind_speed(views.scene(spark, d).withColumn("v", F.col("v") / 1000)))
+    return rounded(detection.wind_speed(views.scene(spark, d).withColumn("v", F.col("v") / 1000), 35.0, 0.8))
+
+
+query("wind_field")(lambda spark, d: rounded(detection.wind_field(views.scene(spark, d).select("y", "x", (F.col("v") / 1000).alias("v"), (30 + F.col("x") / 20).alias("theta")), 10, 10.0), 5))
 
 
 # --- interferometry ---------------------------------------------------------------------

@@ -275,3 +275,27 @@ def test_asof_with_keys_ends_and_gaps(spark):
     got = {(r["k"], r["x"]): r["v"] for r in calibration.asof(points, knots, "x", "at", "v", ["k"]).collect()}
     assert got == {("a", -5.0): 1.0, ("a", 0.0): 1.0, ("a", 0.05): pytest.approx(1.5), ("a", 0.1): 2.0, ("a", 50.05): pytest.approx(1.0), ("a", 100.0): 0.0, ("a", 200.0): 0.0, ("a", None): None, ("b", 1.0): 7.0, ("b", 9.0): 7.0, ("c", 1.0): None}
     assert calibration.asof(points.drop("k"), knots.limit(0).drop("k"), "x", "at", "v").where("v is not null").count() == 0
+
+
+def test_model_function_of_the_sea():
+    # upwind is brighter than downwind, both than crosswind; brighter with the wind, darker with the angle
+    at = lambda v, c, theta: float(detection.cmod5(np.array([v]), c, theta)[0])
+    assert at(10, 1, 35) > at(10, -1, 35) > at(10, 0, 35) > 0
+    assert at(15, 0, 35) > at(5, 0, 35) and at(10, 0, 25) > at(10, 0, 45)
+    assert 10 * math.log10(at(10, 1, 40)) == pytest.approx(-12.4, abs=1.0)
+
+
+@pytest.mark.parametrize("angle", [20, 70, 110, 160])
+def test_wind_blows_along_the_streaks_spectrum(spark, angle):
+    size, rng = 60, np.random.default_rng(4)
+    y, x = np.mgrid[:size, : size + 7]
+    wave = np.zeros(y.shape)
+    for _ in range(150):  # streaks: many waves along one direction, up the image
+        f, phi = rng.uniform(3, 16), math.radians(angle + rng.normal(0, 6))
+        wave += np.cos(2 * math.pi * (f / size * (x * math.cos(phi) - y * math.sin(phi)) + rng.random()))
+    power = 0.1 * (1 + 0.3 * wave / wave.std())
+    rows = [(int(a), int(b), float(power[a, b]) if (a, b) != (3, 3) else None, 35.0) for a, b in zip(y.ravel(), x.ravel(), strict=True)]
+    out = detection.wind_field(spark.createDataFrame(rows, "y long, x long, v double, theta double"), size, 10.0).collect()
+    assert len(out) == 1 and (out[0]["y"], out[0]["x"]) == (30, 30) and out[0]["dx"] < 0 and 0 < out[0]["ratio"] < 1
+    found = math.degrees(math.atan2(out[0]["dy"], out[0]["dx"])) % 180
+    assert abs((found - angle - 90 + 90) % 180 - 90) < 12 and 0.1 <= out[0]["speed"] <= 20
