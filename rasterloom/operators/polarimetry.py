@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.cx import Cx
 from ..functions.quantiles import quantiles
 from ..functions.windows import box_sums
+from ..plans.graph import written
 
 EPS = 1e-15
 POLS = ("hh", "hv", "vh", "vv")
@@ -450,30 +451,48 @@ def zone(entropy: Column, alpha: Column) -> Column:
     return F.when(entropy > 0.9, by(55, 40, 1, 2, 3)).when(entropy > 0.5, by(50, 40, 4, 5, 6)).otherwise(by(47.5, 42.5, 7, 8, 9))
 
 
-def h_alpha_zones(t3: DataFrame) -> DataFrame:
-    return h_a_alpha(t3).select("y", "x", zone(F.col("entropy"), F.col("alpha")).alias("zone"))
+def h_alpha_zones(m: DataFrame, n: int = 3, name: str = "t") -> DataFrame:
+    """Entropy-alpha zone of T3, or of C2 with n=2, name="c"."""
+    return h_a_alpha(m, n, name).select("y", "x", zone(F.col("entropy"), F.col("alpha")).alias("zone"))
 
 
 def _wishart(c: np.ndarray, name: str = "t") -> Column:
-    """Wishart distance of each pixel's T3 to a centre: trace of centre's inverse times T, and the log determinant."""
+    """Wishart distance of each pixel's matrix to a centre: trace of centre's inverse times the matrix, and the log determinant."""
     inv = np.linalg.inv(c)
     terms = [F.lit(float(np.log(max(np.linalg.det(c).real, 1e-300))))]
-    for i in range(3):
+    for i in range(len(c)):
         terms.append(F.col(f"{name}{i + 1}{i + 1}") * float(inv[i, i].real))
-        for j in range(i + 1, 3):
+        for j in range(i + 1, len(c)):
             terms.append(2 * (F.col(f"{name}{i + 1}{j + 1}_re") * float(inv[i, j].real) + F.col(f"{name}{i + 1}{j + 1}_im") * float(inv[i, j].imag)))
     return sum(terms[1:], terms[0])
 
 
-def wishart(t3: DataFrame, seeds: DataFrame, rounds: int = 3) -> DataFrame:
-    """Seed classes (y, x, zone) refined: centres are class means, each pixel goes to the nearest centre; a round is one aggregate."""
-    df = t3.join(seeds.select("y", "x", F.col("zone").alias("_z")), ["y", "x"])
+def _centres(df: DataFrame, label: Column, n: int, name: str) -> dict:
+    """Mean matrix of every class, in one aggregate, and its number of pixels."""
+    got = df.withColumn("z", label).where("z is not null").groupBy("z").agg(F.count("*").alias("_pixels"), *[F.avg(e).alias(e) for e in elements(n, name)]).collect()
+    return {r["z"]: (_hermitian(pd.DataFrame([r.asDict()]), n, name)[0] + 1e-12 * np.eye(n), r["_pixels"]) for r in sorted(got, key=lambda r: str(r["z"]).zfill(12))}
+
+
+def _nearest(centres: dict, name: str, among: dict | None = None) -> Column:
+    """The class of the nearest centre, the first of equals; among: a condition for each class."""
+    cost = [F.struct((F.when(among[z], _wishart(c, name)) if among else _wishart(c, name)).alias("d"), F.lit(k).alias("k"), F.lit(z).alias("z")) for k, (z, (c, _)) in enumerate(centres.items())]
+    least = F.array_min(F.filter(F.array(*cost), lambda x: x["d"].isNotNull()))
+    return least["z"]
+
+
+def wishart(m: DataFrame, seeds: DataFrame, rounds: int = 3, n: int = 3, name: str = "t") -> DataFrame:
+    """Seed classes (y, x, zone) refined: centres are class means, each pixel goes to the nearest centre.
+
+    A round is one aggregate over the input, which is written once; it ends early where no pixel's class changes.
+    """
+    df = written(m.join(seeds.select("y", "x", F.col("zone").alias("_z")), ["y", "x"]), "wishart")
     now: Column = F.col("_z")
     for _ in range(rounds):
-        got = {r["z"]: r for r in df.withColumn("z", now).groupBy("z").agg(*[F.avg(e).alias(e) for e in elements(3, "t")]).collect()}
-        centres = {z: _hermitian(pd.DataFrame([r.asDict()]), 3, "t")[0] + 1e-12 * np.eye(3) for z, r in sorted(got.items())}
-        cost = F.array(*[_wishart(c) for c in centres.values()])
-        now = F.get(F.array(*[F.lit(z) for z in centres]), (F.array_position(cost, F.array_min(cost)) - 1).cast("int"))
+        new = _nearest(_centres(df, now, n, name), name)
+        same = df.where(now != new).isEmpty()
+        now = new
+        if same:
+            break
     return df.select("y", "x", now.cast("int").alias("class"))
 
 
@@ -485,6 +504,56 @@ def supervised_wishart(t3: DataFrame, centres: dict[int, np.ndarray], size: int)
     return df.select("y", "x", F.get(F.array(*[F.lit(k) for k in centres]), at).alias("class"))
 
 
+#: Categories of a scattering power, by place: surface, double bounce, volume, and none that prevails.
+MIXED = 3
+
+
+def scattering_wishart(m: DataFrame, powers: DataFrame, clusters: int = 6, final: int = 9, rounds: int = 3, prevails: float = 0.5, n: int = 3, name: str = "t") -> DataFrame:
+    """Classes that keep their scattering mechanism: y, x, category, class.
+
+    powers (y, x, surface, double, volume) come from any decomposition. A pixel's category is the power of
+    more than the share `prevails`, else mixed. Each category starts as equal parts by its power; the two
+    nearest clusters of a category (by their Wishart distances) are merged while there are more than `final`,
+    but none into one of over twice the mean size. Then pixels go to the nearest centre of their category,
+    mixed ones to any, for some rounds.
+    """
+    p = [F.greatest(F.col(k), F.lit(0.0)) for k in ("surface", "double", "volume")]
+    total = p[0] + p[1] + p[2]
+    category = F.when(total <= 0, F.lit(None)).when(p[0] > prevails * total, 0).when(p[1] > prevails * total, 1).when(p[2] > prevails * total, 2).otherwise(MIXED)
+    joined = m.join(powers.select("y", "x", category.alias("_cat"), *[q.alias(f"_p{k}") for k, q in enumerate(p)]), ["y", "x"])
+    df = written(joined.where("_cat is not null"), "wishart")
+    own = F.element_at(F.array("_p0", "_p1", "_p2"), F.col("_cat") + 1)
+    start = F.when(F.lit(False), F.lit(0))
+    for c in range(MIXED):
+        cuts = quantiles(df.where(F.col("_cat") == c), F.col(f"_p{c}"), [k / clusters for k in range(1, clusters)])
+        if cuts and cuts[0] is not None:
+            place = sum(((own > q).cast("int") for q in cuts), F.lit(0))
+            start = start.when(F.col("_cat") == c, clusters * c + place)
+    centres = _centres(df, start, n, name)
+    if not centres:
+        return df.select("y", "x", F.col("_cat").cast("int").alias("category"), F.lit(None).cast("int").alias("class"))
+    most = 2 * sum(k for _, k in centres.values()) / final
+
+    def apart(a: np.ndarray, b: np.ndarray) -> float:
+        trace = lambda u, v: np.trace(np.linalg.inv(u) @ v).real
+        log = lambda u: np.log(max(np.linalg.det(u).real, 1e-300))
+        return 0.5 * (log(a) + log(b) + trace(a, b) + trace(b, a))
+
+    while len(centres) > final:
+        pairs = [(apart(centres[a][0], centres[b][0]), a, b) for a in centres for b in centres if a < b and a // clusters == b // clusters and centres[a][1] + centres[b][1] <= most]
+        if not pairs:
+            break
+        _, a, b = min(pairs)
+        (x, i), (y, j) = centres[a], centres.pop(b)
+        centres[a] = ((x * i + y * j) / (i + j), i + j)
+    now = F.lit(None)
+    for _ in range(rounds):
+        among = {z: (F.col("_cat") == z // clusters) | (F.col("_cat") == MIXED) for z in centres}
+        now = _nearest(centres, name, among)
+        centres = {z: c for z, c in _centres(df, now, n, name).items()}
+    return df.select("y", "x", F.col("_cat").cast("int").alias("category"), now.cast("int").alias("class"))
+
+
 def dual_pol_powers(df: DataFrame, factorised: bool = False) -> DataFrame:
     """Surface, dihedral and diffuse power from g0, the degree of polarisation, and the built-up (rbi) and surface (rsi) indices.
 

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import calibration, detection, filters, geometry, insar, polarimetry, raster, topsar
+from ..operators import calibration, detection, filters, geometry, insar, matrix_filters, polarimetry, polarimetry_models, raster, topsar
 from ..sources import formats, views
 from ..streaming import events as streams
 from .graph import chain
@@ -772,6 +772,70 @@ query("polarimetric_parameters")(lambda spark, d: rounded(polarimetry.parameters
 query("faraday_rotation")(lambda spark, d: rounded(polarimetry.faraday(views.quad(spark, d), 5)))
 query("orientation_angle")(lambda spark, d: rounded(polarimetry.orientation(t3(spark, d))))
 query("snr_correction")(lambda spark, d: rounded(polarimetry.snr_correction(views.quad(spark, d), 5)))
+query("eigen_angles")(lambda spark, d: rounded(polarimetry_models.eigen_angles(polarimetry.averaged(t3(spark, d), 3, "t", 5)), 5))
+query("yang")(lambda spark, d: rounded(polarimetry_models.yang(polarimetry.averaged(t3(spark, d), 3, "t", 5))))
+query("yang_decibels")(lambda spark, d: rounded(polarimetry_models.yang_decibels(polarimetry.averaged(t3(spark, d), 3, "t", 5))))
+C2M = f"cm AS ({window('avg(b.c11) AS c11, avg(b.c22) AS c22, avg(b.c12_re) AS c12_re, avg(b.c12_im) AS c12_im', 5, source='c2')})"
+MODEL = """ms0 AS (SELECT *, c11 + c22 AS s0, c11 - c22 AS s1, 4 * (c12_re ** 2 + c12_im ** 2) AS s23 FROM cm), ms1 AS (SELECT *, s1 - 2 * s0 AS b, s0 * s0 - s1 * s1 - s23 AS c FROM ms0),
+  ms2 AS (SELECT *, CASE WHEN b * b >= 3 * c THEN sqrt(b * b - 3 * c) END AS r FROM ms1),
+  ms3 AS (SELECT *, CASE WHEN (r - b) / 1.5 BETWEEN 0 AND s0 THEN (r - b) / 1.5 WHEN (-b - r) / 1.5 BETWEEN 0 AND s0 THEN (-b - r) / 1.5 ELSE 0 END AS mv FROM ms2)"""
+
+
+@query("model_based_dual_pol", sql([QUAD, C2, C2M, MODEL], "y, x", {"surface": "CASE WHEN s0 > mv THEN 10 * log10(s0 - mv) END", "volume": "CASE WHEN mv > 0 THEN 10 * log10(mv) END", "ratio": "CASE WHEN s0 > mv AND mv > 0 THEN 10 * log10(s0 - mv) - 10 * log10(mv) END",
+    "alpha": "CASE WHEN s0 <> mv AND abs((s1 - mv / 2) / (s0 - mv)) <= 1 THEN degrees(acos((s1 - mv / 2) / (s0 - mv)) / 2) END", "delta": "degrees(atan2(c12_im, c12_re))", "rho": "sqrt(s23 / 4) / sqrt(c11 * c22)", "span": "s0"}, "ms3", digits=5))
+def _(spark, d):
+    return rounded(polarimetry_models.model_based(polarimetry.averaged(c2(spark, d), 2, "c", 5)), 5)
+
+
+@query("compact_random_volume", sql([QUAD, C2, C2M, "sv AS (SELECT *, c11 + c22 AS g0, c11 - c22 AS g1, 2 * c12_re AS g2, 2 * c12_im AS g3 FROM cm)", "sm AS (SELECT *, sqrt(g1 * g1 + g2 * g2 + g3 * g3) / g0 AS m, atan2(sqrt(g1 * g1 + g2 * g2), g3) / 2 AS a FROM sv)"], "y, x", {"alpha": "a", "mv": "g0 * (1 - m) / 2", "ms": "2 * g0 * m", "phi": "atan2(g2, g1)", "double": "m * g0 * (1 - cos(2 * a)) / 2", "volume": "(1 - m) * g0", "surface": "m * g0 * (1 + cos(2 * a)) / 2"}, "sm"))
+def _(spark, d):
+    return rounded(polarimetry_models.random_volume(polarimetry.averaged(c2(spark, d), 2, "c", 5)))
+
+
+_own = {"11": "(t11 + t22 + t33) / 2", "22": "(t11 + t22 - t33) / 2", "33": "(t11 - t22 + t33) / 2", "44": "(t22 + t33 - t11) / 2", "12": "t12_re", "13": "t13_re", "14": "t23_im", "23": "t23_re", "24": "(t13_im + t23_im) / 2", "34": "-t12_im"}
+_weigh = lambda a, x, y: f"{1 if a[0] == a[1] else 2} * ({x}) * ({y})"
+_volume = {"11": "(v11 + 2 * v22) / 2", "22": "v11 / 2", "33": "v11 / 2", "44": "(2 * v22 - v11) / 2", "12": "v12"}
+
+
+def _distance(other: dict[str, str]) -> str:
+    inner, size = " + ".join(_weigh(a, f"k{a}", v) for a, v in other.items()), " + ".join(_weigh(a, v, v) for a, v in other.items())
+    return f"2 * acos(greatest(-1, least(1, ({inner}) / (nk * sqrt({size}))))) / pi()"
+
+
+_targets = [_distance({a: str(x) for a, x in zip(("11", "22", "33", "44", "12"), t, strict=True)}) for t in polarimetry_models.TARGETS.values()]
+
+
+@query("generalized_vegetation_index", sql([QUAD, K3, T3, T3M, f"ke AS (SELECT y, x, {', '.join(f'{v} AS k{a}' for a, v in _own.items())}, ((t11 + t22) / 2 + t12_re) / ((t11 + t22) / 2 - t12_re) AS g FROM t3m)",
+    f"kn AS (SELECT *, sqrt({' + '.join(_weigh(a, f'k{a}', f'k{a}') for a in _own)}) AS nk, 1 / (1.5 * (1 + g) - 0.5 * sqrt(g)) AS r FROM ke)", "kv AS (SELECT *, r * ((1 + g) / 2 + sqrt(g) / 3) AS v11, r * ((1 + g) / 2 - sqrt(g) / 3) AS v22, r * (g - 1) / 2 AS v12 FROM kn)",
+    f"gd AS (SELECT y, x, {_distance(_volume)} AS gd, least({', '.join(_targets)}) AS lo, greatest({', '.join(_targets)}) AS hi FROM kv)"], "y, x", {"vegetation": "(1 - gd) * pow((lo / hi) * (lo / hi), gd)"}, "gd", digits=6))
+def _(spark, d):
+    return rounded(polarimetry_models.generalized_vegetation(polarimetry.averaged(t3(spark, d), 3, "t", 5)), 6)
+
+
+for _name, _filter in {"refined_lee": matrix_filters.refined_lee, "lee_sigma": matrix_filters.lee_sigma, "idan": matrix_filters.idan, "non_local": matrix_filters.non_local}.items():
+    query(f"matrix_{_name}")(lambda spark, d, f=_filter: rounded(f(t3(spark, d), 3, "t"), 5))
+    query(f"matrix_{_name}_c2")(lambda spark, d, f=_filter: rounded(f(c2(spark, d), 2, "c"), 5))
+query("dual_pol_zones")(lambda spark, d: polarimetry.h_alpha_zones(polarimetry.averaged(c2(spark, d), 2, "c", 5), 2, "c"))
+
+
+@query("dual_pol_wishart")
+def _(spark, d):
+    m = polarimetry.averaged(c2(spark, d), 2, "c", 5)
+    return polarimetry.wishart(m, polarimetry.h_alpha_zones(m, 2, "c"), n=2, name="c")
+
+
+@query("freeman_wishart")
+def _(spark, d):
+    m, c = polarimetry.averaged(t3(spark, d), 3, "t", 5), polarimetry.averaged(c3(spark, d), 3, "c", 5)
+    return polarimetry.scattering_wishart(m, polarimetry.freeman_durden(c))
+
+
+@query("general_wishart")
+def _(spark, d):
+    m = polarimetry.averaged(t3(spark, d), 3, "t", 5)
+    return polarimetry.scattering_wishart(m, polarimetry.mf3cf(m))
+
+
 query("h_alpha_zones")(lambda spark, d: polarimetry.h_alpha_zones(polarimetry.averaged(t3(spark, d), 3, "t", 5)))
 
 

@@ -4,17 +4,25 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder.
+#: Used only where the session names no shared folder and has no cluster.
 FALLBACK_DIR = "file:///tmp/checkpoints"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a local one only where that is unset and all runs in one process."""
+    path, master = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.master", "")
+    if not path and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (path or FALLBACK_DIR).rstrip("/")
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df by way of a table in the folder that spark.checkpoint.dir names: executors may be lost after it."""
+    """df by way of a table in the shared folder: executors may be lost after it."""
     spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or FALLBACK_DIR).rstrip('/')}/rasterloom-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/rasterloom-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

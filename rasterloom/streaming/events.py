@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.graph import FALLBACK_DIR
+from ..plans.graph import shared_dir
 
 
 def multilook(spark: SparkSession, sf_dir: str, looks: int = 2, digits: int = 7) -> DataFrame:
     """Multilook over a stream of pixels; each trigger's finished state replaces the table that is read at the end."""
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or FALLBACK_DIR).rstrip('/')}/rasterloom-stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/rasterloom-stream-{uuid.uuid4().hex}"
     path = f"{sf_dir}/events.parquet"
     source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if "*" in path else f"{sf_dir}/events.parquet*")
     px = source.select(F.expr("event_id div 100").alias("y"), (F.col("event_id") % 100).alias("x"), F.col("value").alias("v"))

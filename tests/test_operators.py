@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import calibration, detection, filters, geometry, insar, polarimetry, raster, topsar
+from rasterloom.operators import calibration, detection, filters, geometry, insar, matrix_filters, polarimetry, polarimetry_models, raster, topsar
 from rasterloom.plans import catalog
 from rasterloom.sources import formats
 
@@ -299,3 +299,95 @@ def test_wind_blows_along_the_streaks_spectrum(spark, angle):
     assert len(out) == 1 and (out[0]["y"], out[0]["x"]) == (30, 30) and out[0]["dx"] < 0 and 0 < out[0]["ratio"] < 1
     found = math.degrees(math.atan2(out[0]["dy"], out[0]["dx"])) % 180
     assert abs((found - angle - 90 + 90) % 180 - 90) < 12 and 0.1 <= out[0]["speed"] <= 20
+
+
+# ------------------------------------------------------------------ matrix filters and classifiers
+
+
+def speckled(spark, left, right, size=24, looks=1, seed=5):
+    """C2 of two halves of a scene with speckle, as rows."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for y in range(size):
+        for x in range(size):
+            a, b = left if x < size // 2 else right
+            z = (rng.normal(size=(2, looks)) + 1j * rng.normal(size=(2, looks))) / math.sqrt(2) * np.sqrt([[a], [b]])
+            c = z @ z.conj().T / looks
+            rows.append((y, x, c[0, 0].real, c[0, 1].real, c[0, 1].imag, c[1, 1].real))
+    return spark.createDataFrame([(y, x, *map(float, v)) for y, x, *v in rows], "y long, x long, c11 double, c12_re double, c12_im double, c22 double")
+
+
+@pytest.mark.parametrize("kind", ["refined_lee", "lee_sigma", "idan", "non_local"])
+def test_matrix_filters_smooth_and_keep_edges(spark, kind):
+    looks = 1 if kind == "non_local" else 4
+    df = speckled(spark, (1.0, 0.5), (20.0, 10.0), looks=4)
+    out = getattr(matrix_filters, kind)(df, 2, "c", looks=looks).toPandas()
+    raw = df.toPandas()
+    assert len(out) == 576 and list(out.columns) == ["y", "x", "c11", "c12_re", "c12_im", "c22"] and not out.isna().any().any()
+    for side in (out.x < 9, out.x > 14):
+        own = raw.set_index(["y", "x"]).c11.reindex(list(zip(out[side].y, out[side].x, strict=True)))
+        assert out[side].c11.std() < 0.75 * own.std() and abs(out[side].c11.mean() / own.mean() - 1) < 0.25
+    assert out[out.x > 14].c11.mean() > 10 * out[out.x < 9].c11.mean()
+
+
+@pytest.mark.parametrize("kind", ["refined_lee", "lee_sigma", "idan", "non_local"])
+def test_matrix_filters_do_not_show_tiles(spark, kind, monkeypatch):
+    df = speckled(spark, (1.0, 0.5), (3.0, 1.0), size=30)
+    run = lambda: getattr(matrix_filters, kind)(df, 2, "c").toPandas().sort_values(["y", "x"]).to_numpy()
+    whole = run()
+    monkeypatch.setattr(matrix_filters, "TILE", 11)
+    assert np.allclose(whole, run(), atol=1e-9)
+
+
+def test_refined_lee_of_a_window_by_hand(spark):
+    # a step: the pixel at its foot is filtered with the dark half only, which does not vary: weight undefined, value 0
+    rows = [(y, x, 1.0 if x < 4 else 9.0, 0.0, 0.0, 0.0) for y in range(7) for x in range(7)]
+    df = spark.createDataFrame(rows, "y long, x long, c11 double, c12_re double, c12_im double, c22 double")
+    r = {(q["y"], q["x"]): q["c11"] for q in matrix_filters.refined_lee(df, 2, "c").collect()}
+    assert r[3, 3] == 0.0
+    # at the border the window is cut: its own mean and variance, here columns 0 to 3, all 1
+    assert r[3, 0] == 0.0
+    v = np.array([[1.0 if x < 4 else 9.0 for x in range(1, 7)]] * 7)
+    var = v.var(ddof=1)
+    weight = max((var - v.mean() ** 2) / 2, 0) / var
+    assert r[3, 4] == pytest.approx(v.mean() + weight * (9 - v.mean()))
+
+
+def test_classes_keep_their_mechanism(spark):
+    rows = []
+    for y in range(12):
+        for x in range(12):
+            strong = 1 + 0.1 * ((y * 12 + x) % 7)
+            t = {0: (strong, 0.1, 0.05), 1: (0.1, strong, 0.05), 2: (0.5 * strong, 0.4 * strong, 0.4 * strong)}[x // 4]
+            rows.append((y, x, t[0], 0.0, 0.0, 0.0, 0.0, t[1], 0.0, 0.0, t[2]))
+    t3 = spark.createDataFrame(rows, "y long, x long, " + ", ".join(f"{e} double" for e in polarimetry.elements(3, "t")))
+    powers = t3.select("y", "x", F.when(F.col("x") < 4, 1.0).otherwise(0.1).alias("surface"), F.when(F.col("x").between(4, 7), 1.0).otherwise(0.1).alias("double"), F.when(F.col("x") > 7, F.col("t11") * 3).otherwise(0.1).alias("volume"))
+    out = polarimetry.scattering_wishart(t3, powers, clusters=4, final=5).toPandas()
+    assert len(out) == 144 and (out.category == out.x // 4).all() and (out["class"] // 4 == out.category).all() and 3 <= out["class"].nunique() <= 5
+    zones = polarimetry.wishart(t3, t3.select("y", "x", (F.col("x") / 4).cast("int").alias("zone")), rounds=5).toPandas()
+    assert (zones["class"] == zones.x // 4).all()
+
+
+def test_single_target_of_yang_is_itself(spark):
+    # a pure target is its own decomposition, with A0 large and, turned, with A0 = 0
+    for v in ([1, 0.3 + 0.2j, 0.1j], [0, 1, 0.5j], [0.05, 1, 0.4]):
+        k = np.array(v)
+        t = np.outer(k, k.conj())
+        own = {f"t{i + 1}{j + 1}" + ("" if i == j else f"_{p}"): (t[i, j].real if p == "re" else t[i, j].imag) for i in range(3) for j in range(i, 3) for p in (("re",) if i == j else ("re", "im"))}
+        r = polarimetry_models.yang(t3_row(spark, **own)).first()
+        assert [r[e] for e in own] == pytest.approx(list(own.values()), abs=1e-9)
+
+
+def test_eigen_angles_of_a_pure_target(spark):
+    k = np.array([np.cos(0.4), np.sin(0.4) * np.cos(0.3) * np.exp(0.5j), np.sin(0.4) * np.sin(0.3) * np.exp(-0.2j)])
+    t = 3 * np.outer(k, k.conj())
+    own = dict(t11=t[0, 0].real, t22=t[1, 1].real, t33=t[2, 2].real, t12_re=t[0, 1].real, t12_im=t[0, 1].imag, t13_re=t[0, 2].real, t13_im=t[0, 2].imag, t23_re=t[1, 2].real, t23_im=t[1, 2].imag)
+    r = polarimetry_models.eigen_angles(t3_row(spark, **own)).first()
+    got = [r[c] for c in ("entropy", "alpha", "beta", "delta", "gamma", "lambda")]
+    assert got == pytest.approx([0, math.degrees(0.4), math.degrees(0.3), math.degrees(0.5), math.degrees(-0.2), 3], abs=1e-6)
+
+
+def test_model_based_volume_root(spark):
+    r = polarimetry_models.model_based(c2_rows(spark, [(1.0, 0.25, 0.0, 0.0)])).first()
+    # 0.75 m² + (0.75 - 2.5) m + 1.25² - 0.75² = 0: m = 1 or 4/3, the larger is beyond the span 1.25
+    assert 10 ** (r["volume"] / 10) == pytest.approx(1.0) and 10 ** (r["surface"] / 10) == pytest.approx(0.25) and r["alpha"] == pytest.approx(0.0, abs=1e-6)
