@@ -7,15 +7,16 @@ name. Results are rounded on both sides, since sums of doubles depend on their o
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import calibration, detection, filters, geometry, insar, matrix_filters, polarimetry, polarimetry_models, raster, topsar
-from ..sources import formats, views
+from ..operators import calibration, detection, filters, geometry, insar, matrix_filters, missions, polarimetry, polarimetry_models, raster, topsar
+from ..sources import formats, orbits, products, sinks, tiff, views
 from ..streaming import events as streams
-from .graph import chain
+from .graph import chain, shared_dir
 
 DIGITS = 7
 
@@ -604,6 +605,78 @@ def _(spark, d):
     return rounded(calibration.calibrate(calibration.lut_bilinear(s, lut, "lut"), calibration.factor("lut_squared")))
 
 
+_theta = "(0.5 + x / 1000.0)"
+#: Mission, samples, output, what the product gives, and the same in SQL of i, q and x.
+MISSIONS = {
+    "terrasarx_sigma": ("terrasarx", "complex", "sigma", {"constant": 0.02, "noise": True}, f"0.02 * abs(i * i + q * q - x) * sin{_theta}"),
+    "terrasarx_gamma": ("terrasarx", "complex", "gamma", {"constant": 0.02}, f"0.02 * (i * i + q * q) * tan{_theta}"),
+    "paz_beta": ("paz", "complex", "beta", {"constant": 0.03}, "0.03 * (i * i + q * q)"),
+    "radarsat2_sigma": ("radarsat2", "complex", "sigma", {}, "(i * i + q * q) / (10 + x) ** 2"),
+    "radarsat2_detected": ("radarsat2", "amplitude", "sigma", {"offset": 2.0}, "(v * v + 2) / (10 + x)"),
+    "rcm_gamma": ("rcm", "complex", "gamma", {}, f"(i * i + q * q) / (10 + x) ** 2 / cos{_theta}"),
+    "kompsat5_sigma": ("kompsat5", "complex", "sigma", {"rescale": 3.0, "constant": 0.1, "cell": 4.0}, f"(i * i + q * q) * 9 * 0.1 / 4 * sin{_theta}"),
+    "nisar_sigma": ("nisar", "complex", "sigma", {"retro": True}, "(i * i + q * q) * (1 + 0.01 * x) / 0.5"),
+    "biomass_beta": ("biomass", "complex", "beta", {}, f"(i * i + q * q) * (1 + 0.01 * x) / sin{_theta}"),
+    "spacety_sigma": ("spacety", "complex", "sigma", {"retro": True}, "(i * i + q * q) / (1 + 0.01 * x) ** 2 * 0.25"),
+    "ers_sigma": ("ers", "complex", "sigma", {"constant": 100.0, "reference": 0.4, "reference_range": 800.0, "gain": True}, f"(i * i + q * q) * sin{_theta} / (100 * sin(0.4)) * ((800 + x) / 800) ** 3 / (10 + x) ** 2"),
+    "asar_gamma": ("asar", "complex", "gamma", {"constant": 100.0}, f"(i * i + q * q) / 100 * tan{_theta}"),
+}
+for _name, (_mission, _unit, _output, _meta, _sql) in MISSIONS.items():
+    query(f"calibrate_{_name}", sql([CPLX, SCENE] if _unit == "complex" else [SCENE], "y, x", {_output: _sql}, "cplx" if _unit == "complex" else "scene"))(
+        lambda spark, d, m=_mission, u=_unit, o=_output, k=_meta: rounded(missions.calibrate((views.scene_cplx if u == "complex" else views.scene)(spark, d).withColumns({"theta": 0.5 + F.col("x") / 1000, "gain": 10.0 + F.col("x"), "noise": F.col("x").cast("double"), "lut": 1 + 0.01 * F.col("x"), "retro": F.lit(0.5), "range": 800.0 + F.col("x")}), m, u, o, **k))
+    )
+
+
+@query("adc_saturation", sql([CPLX, "b AS (SELECT y // 8 AS ky, x // 8 AS kx, 10 * log10(avg(i * i + q * q) / 100) AS l FROM cplx GROUP BY 1, 2)", "f AS (SELECT ky, kx, CASE WHEN l <= 0 THEN 1 WHEN l >= 20 THEN 1.5 ELSE 1 + l / 40 END AS f FROM b)"], "y, x", {"dn2": "(i * i + q * q) * f.f"}, "cplx JOIN f ON ky = y // 8 AND kx = x // 8"))
+def _(spark, d):
+    table = spark.createDataFrame([(0.0, 1.0), (20.0, 1.5)], "level double, loss double")
+    return rounded(missions.window_mean_adc(views.scene_cplx(spark, d).select("y", "x", (F.col("i") ** 2 + F.col("q") ** 2).alias("dn2")), table, 8, 100.0))
+
+
+def stored(spark, files) -> str:
+    """A new folder with these files."""
+    folder = f"{shared_dir(spark)}/rasterloom-files-{uuid.uuid4().hex}"
+    sinks.save(files, folder)
+    return folder
+
+
+@query("tiff_files", f"WITH {SCENE} SELECT y, x, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 4) + 0.0 AS v FROM scene")
+def _(spark, d):
+    folder = stored(spark, sinks.geotiff(views.scene(spark, d).select("y", "x", "v"), ["v"], "scene", {"mission": "x"}))
+    return rounded(tiff.read(spark, f"{folder}/scene.tif", ["v"]).select("y", "x", "v"), 4)
+
+
+@query("gamma_files", f"WITH {CPLX} SELECT y, x, round(CAST(CAST(i AS FLOAT) AS DOUBLE), 4) + 0.0 AS i, round(CAST(CAST(q AS FLOAT) AS DOUBLE), 4) + 0.0 AS q FROM cplx")
+def _(spark, d):
+    folder = stored(spark, sinks.gamma(views.scene_cplx(spark, d), "scene", {"mission": "x"}))
+    par = spark.read.text(f"{folder}/scene.slc.par", wholetext=True).first()[0]
+    return rounded(products.read_gamma(spark, f"{folder}/scene.slc", par).select("y", "x", "i", "q"), 4)
+
+
+@query("polsarpro_files", sql([QUAD, C2], "y, x", {k: f"CAST({k} AS FLOAT)" for k in ("c11", "c12_re", "c12_im", "c22")}, "c2", digits=4))
+def _(spark, d):
+    names = ["c11", "c12_re", "c12_im", "c22"]
+    return rounded(products.read_polsarpro(spark, stored(spark, sinks.polsarpro(c2(spark, d), names)), names), 4)
+
+
+@query("unwrapper_files", sql([PHASES], "y, x", {"phase": "CAST(phase AS FLOAT)"}, "ph", digits=4))
+def _(spark, d):
+    p = phases(spark, d).select("y", "x", "phase", F.lit(0.5).alias("coherence"))
+    folder = stored(spark, sinks.snaphu(p, "ifg", {"baseline": 150.0, "wavelength": 0.0555}))
+    head = formats.header(spark.read.text(f"{folder}/phase_ifg.hdr", wholetext=True).first()[0])
+    return rounded(formats.read_bsq(spark, f"{folder}/phase_ifg.img", head, ["phase"]).select("y", "x", "phase"), 4)
+
+
+@query("orbit_polynomials", sql(["t AS (SELECT DISTINCT event_id // 100 * 0.013 AS t FROM events)"], "", {"t": "t", "x": "7000 + 3 * t - 0.1 * t * t", "y": "t ** 3 * 0.01", "z": "5 - t", "vx": "3 - 0.2 * t", "vy": "0.03 * t * t", "vz": "-1"}, "t", digits=5))
+def _(spark, d):
+    times = views.read(spark, d, "events").select((F.expr("event_id div 100") * 0.013).alias("t")).distinct()
+    end = extent(times, "t")
+    v = spark.range(-3, end + 5).select(F.col("id").cast("double").alias("t"))
+    t = F.col("t")
+    vectors = v.select("t", (7000 + 3 * t - 0.1 * t * t).alias("x"), (t**3 * 0.01).alias("y"), (5 - t).alias("z"), (3 - 0.2 * t).alias("vx"), (0.03 * t * t).alias("vy"), F.lit(-1.0).alias("vz"))
+    return rounded(orbits.interpolate(vectors, times), 5)
+
+
 CAL = {
     "decibel_constant": ({"k": -8.3}, "10 ** (-0.83)"),
     "constant": ({"k": 0.02}, "0.02"),
