@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 #: Intervals of a look-up table that are broadcast; more are joined by a shuffle.
@@ -100,18 +103,35 @@ def antenna_pattern(df: DataFrame, gains: DataFrame) -> DataFrame:
 def nearest_neighbours(df: DataFrame, table: DataFrame, columns: Sequence[str], values: Sequence[str], k: int = 1, most: int = 100_000) -> DataFrame:
     """Mean of the k table rows nearest in the given columns (inversion of a backscatter model).
 
-    The table is a look-up table of bounded size, which is checked; its rows are held as one array of the query.
+    The table is a look-up table of bounded size, which is checked; it is broadcast, and pixels are compared
+    with it in blocks of bounded memory. A pixel with a null column has no values; fewer rows than k: all.
     """
-    rows = table.select(*columns, *values).limit(most + 1).collect()
+    rows = table.select(*columns, *values).limit(most + 1).toPandas().to_numpy(float)
     if len(rows) > most:
         raise ValueError(f"the look-up table has more than {most} rows")
-    lut = F.array(*[F.struct(*[F.lit(float(r[c])).alias(c) for c in (*columns, *values)]) for r in rows])
-    near = F.slice(F.array_sort(F.transform(lut, lambda r: F.struct(sum(((r[c] - F.col(c)) ** 2 for c in columns), F.lit(0.0)).alias("d"), *[r[v].alias(v) for v in values]))), 1, k)
-
-    def mean(v: str) -> Column:
-        return F.aggregate("_n", F.lit(0.0), lambda a, r: a + r[v]) / F.size("_n")
-
-    return df.select("*", near.alias("_n")).select(*df.columns, *[mean(v).alias(v) for v in values])
+    rows = rows[np.lexsort([*rows.T[: len(columns)][::-1], *rows.T[len(columns) :][::-1]])]  # of equal distances the smallest values come first
+    shared = df.sparkSession.sparkContext.broadcast(rows)
+    own = [f"_own{i}" for i in range(len(df.columns))]
+    named = df.select(*[F.col(c).alias(o) for c, o in zip(df.columns, own, strict=True)], *[F.col(c).cast("double").alias(f"_at{i}") for i, c in enumerate(columns)])
+    schema = StructType([*named.schema.fields[: len(own)], *(StructField(f"_out{i}", DoubleType()) for i in range(len(values)))])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lut = shared.value
+        knots, few = lut[:, : len(columns)], min(k, len(lut))
+        for batch in it:
+            x = np.stack([batch.column(len(own) + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(columns))], 1)
+            out = np.full((len(x), len(values)), np.nan)
+            step = max(1, 4_000_000 // max(1, len(lut)))
+            for a in range(0, len(x) if few else 0, step):
+                d = sum((x[a : a + step, i : i + 1] - knots[:, i]) ** 2 for i in range(len(columns)))
+                last = np.partition(d, few - 1, 1)[:, few - 1 : few]
+                tied = d == last
+                chosen = (d < last) | (tied & (np.cumsum(tied, 1) <= few - (d < last).sum(1, keepdims=True)))
+                out[a : a + step] = chosen @ lut[:, len(columns) :] / few
+            bad = np.isnan(x).any(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *(pa.array(np.where(bad, 0.0, v), mask=bad | np.isnan(v)) for v in out.T)], [f.name for f in schema.fields])
+
+    return named.mapInArrow(run, schema).toDF(*df.columns, *values)
 
 
 def soil_moisture(df: DataFrame, coefficients: Sequence[float], low: float = 0.0, high: float = 0.55) -> DataFrame:

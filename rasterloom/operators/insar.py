@@ -315,27 +315,35 @@ def sbas(obs: DataFrame, epochs: Sequence[float], reference: int, wavelength: fl
     keep = [k for k in range(n) if k != reference]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (y, x), g in pdf.groupby(["y", "x"], sort=False):
-            g = g[g.coherence >= least_coherence]
-            ref, sec = g.ref.to_numpy(), g.sec.to_numpy()
-            a = np.zeros((len(g), n))
-            a[np.arange(len(g)), sec] += 1
-            a[np.arange(len(g)), ref] -= 1
-            c = np.minimum(g.coherence.to_numpy(), 0.9999)
-            w = 2 * looks * c * c / (1 - c * c)
-            m = (a[:, keep].T * w) @ a[:, keep]
-            if len(g) < n - 1 or np.linalg.matrix_rank(m) < n - 1:
-                out.append((y, x, [None] * n, [None] * n, None, None, len(g)))
-                continue
-            if np.linalg.cond(m) > 1e10:
-                m += 1e-6 * np.trace(m) / len(m) * np.eye(len(m))
-            phase = np.zeros(n)
-            phase[keep] = np.linalg.solve(m, (a[:, keep].T * w) @ g.phase.to_numpy())
-            disp = -phase * wavelength / (4 * np.pi) * 1000
-            rest = g.phase.to_numpy() - a @ phase
-            out.append((y, x, phase.tolist(), disp.tolist(), float(np.polyfit(years, disp, 1)[0]), float(abs(np.exp(1j * rest).mean())), len(g)))
-        return pd.DataFrame(out, columns=["y", "x", "phase", "displacement", "velocity", "temporal_coherence", "pairs"])
+        """All pixels of the part at once: pairs by pixels, a pair that a pixel lacks weighs nothing."""
+        place, pixels = pdf.groupby(["y", "x"], sort=False).ngroup().to_numpy(), pdf[["y", "x"]].drop_duplicates()
+        again = pdf.groupby(["y", "x", "ref", "sec"]).cumcount().to_numpy()
+        kinds, pair = np.unique(np.stack([pdf.ref, pdf.sec, again], 1), axis=0, return_inverse=True)
+        coherence, phases = (np.zeros((len(kinds), len(pixels))) for _ in range(2))
+        coherence[pair.ravel(), place], phases[pair.ravel(), place] = pdf.coherence, pdf.phase
+        used = coherence >= least_coherence
+        a = np.zeros((len(kinds), n))
+        a[np.arange(len(kinds)), kinds[:, 1]] += 1
+        a[np.arange(len(kinds)), kinds[:, 0]] -= 1
+        c = np.minimum(coherence, 0.9999)
+        w = np.where(used, 2 * looks * c * c / (1 - c * c), 0.0)
+        own, count = a[:, keep], used.sum(0)
+        m = (w.T @ (own[:, :, None] * own[:, None, :]).reshape(len(kinds), -1)).reshape(-1, n - 1, n - 1)
+        good = (count >= n - 1) & (np.linalg.matrix_rank(m, hermitian=True) == n - 1)
+        phase = np.zeros((len(pixels), n))
+        if good.any():
+            m, right = m[good], ((w * phases).T @ own)[good]
+            stiff = np.linalg.cond(m) > 1e10
+            m[stiff] += 1e-6 * np.trace(m[stiff], axis1=1, axis2=2)[:, None, None] / (n - 1) * np.eye(n - 1)
+            phase[np.ix_(good, keep)] = np.linalg.solve(m, right[:, :, None])[:, :, 0]
+        disp = -phase * wavelength / (4 * np.pi) * 1000
+        centred = years - years.mean()
+        velocity = disp @ centred / max((centred * centred).sum(), 1e-300)
+        rest = np.where(used, np.exp(1j * (phases - a @ phase.T)), 0).sum(0)
+        none = lambda z: [v if g else None for v, g in zip(z.tolist(), good, strict=True)]
+        out = pixels.assign(phase=none(phase), displacement=none(disp), velocity=np.where(good, velocity, np.nan), temporal_coherence=np.where(good, np.abs(rest) / np.maximum(count, 1), np.nan), pairs=count)
+        out["phase"], out["displacement"] = ([v or [None] * n for v in out[k]] for k in ("phase", "displacement"))
+        return out
 
     return obs.groupBy("y", (F.col("x") / 64).cast("long").alias("_part")).applyInPandas(run, "y long, x long, phase array<double>, displacement array<double>, velocity double, temporal_coherence double, pairs long")
 
@@ -356,30 +364,38 @@ def phase_linking(stack: DataFrame, epochs: int, size: int = 7, least: int = 8,
         ordered = np.sort(np.abs(z), -1)
         ty, tx = int(pdf.ty.iloc[0]), int(pdf.tx.iloc[0])
         own = pdf[(pdf.y // tile == ty) & (pdf.x // tile == tx)][["y", "x"]].drop_duplicates()
-        out = []
-        for y, x in own.itertuples(index=False):
-            a, b = y - y0, x - x0
-            win = np.s_[max(0, a - h) : a + h + 1, max(0, b - h) : b + h + 1]
-            near, flat = z[win].reshape(-1, epochs), ordered[win].reshape(-1, epochs)
-            mine = ordered[a, b]
-            both = np.concatenate([np.broadcast_to(mine, flat.shape), flat], 1)
-            ks = np.array([np.abs((mine[:, None] <= row).mean(0) - (other[:, None] <= row).mean(0)).max() for row, other in zip(both, flat, strict=True)])
-            like = near[(ks <= limit) & ~np.isnan(near).any(1)]
-            phase, gamma = np.angle(z[a, b] * z[a, b, 0].conj()), 0.0
-            if len(like) >= least:
-                power = np.sqrt((np.abs(like) ** 2).sum(0))
-                c = (like.T @ like.conj()) / np.outer(power, power)
-                if estimator == "emi":
-                    _, v = np.linalg.eigh(np.linalg.pinv(np.abs(c) + 1e-6 * np.eye(epochs)) * c)
-                    v = v[:, 0]
-                else:
-                    _, v = np.linalg.eigh(c)
-                    v = v[:, -1]
-                phase = np.angle(v * v[0].conj())
-                i, j = np.triu_indices(epochs, 1)
-                gamma = float(np.exp(1j * (np.angle(c[i, j]) - (phase[i] - phase[j]))).mean().real) if epochs > 1 else 1.0
-            out.append((y, x, phase.tolist(), gamma, len(like)))
-        return pd.DataFrame(out, columns=["y", "x", "phase", "temporal_coherence", "alike"])
+        at, to = own.y.to_numpy() - y0, own.x.to_numpy() - x0
+        mine, height, width = ordered[at, to], *z.shape[:2]
+        alike, power = np.zeros(len(own), int), np.zeros((len(own), epochs))
+        c = np.zeros((len(own), epochs, epochs), complex)
+        steps = np.arange(1, epochs + 1) / epochs
+        for dy, dx in ((i, j) for i in range(-h, h + 1) for j in range(-h, h + 1)):
+            yy, xx = np.clip(at + dy, 0, height - 1), np.clip(to + dx, 0, width - 1)
+            other, near = ordered[yy, xx], z[yy, xx]
+            inside = (yy == at + dy) & (xx == to + dx) & ~np.isnan(near).any(1)
+            # the largest distance of two step functions is at a step of either
+            ks = np.maximum(*(np.abs((q[:, None, :] <= p[:, :, None]).mean(2) - (p[:, None, :] <= p[:, :, None]).mean(2)).max(1) for p, q in ((mine, other), (other, mine))))
+            like = inside & (ks <= limit)
+            part = np.where(like[:, None], near, 0)
+            alike += like
+            power += np.abs(part) ** 2
+            c += part[:, :, None] * part[:, None, :].conj()
+        with np.errstate(all="ignore"):
+            c /= np.sqrt(power[:, :, None] * power[:, None, :])
+            first = z[at, to]
+            phase, gamma = np.angle(first * first[:, :1].conj()), np.zeros(len(own))
+        good = (alike >= least) & ~np.isnan(c).any((1, 2))
+        if good.any():
+            c = c[good]
+            if estimator == "emi":
+                v = np.linalg.eigh(np.linalg.pinv(np.abs(c) + 1e-6 * np.eye(epochs), hermitian=True) * c)[1][:, :, 0]
+            else:
+                v = np.linalg.eigh(c)[1][:, :, -1]
+            phase[good] = np.angle(v * v[:, :1].conj())
+            i, j = np.triu_indices(epochs, 1)
+            linked = phase[good]
+            gamma[good] = np.exp(1j * (np.angle(c[:, i, j]) - (linked[:, i] - linked[:, j]))).mean(1).real if epochs > 1 else 1.0
+        return own.assign(phase=phase.tolist(), temporal_coherence=gamma, alike=alike)
 
     return tiles(stack, tile, tile, h).groupBy("ty", "tx").applyInPandas(run, "y long, x long, phase array<double>, temporal_coherence double, alike long")
 
