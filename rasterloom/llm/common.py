@@ -7,26 +7,30 @@ to the shared folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, laptops).
+#: Used only where the session names no shared folder and has no cluster (tests, laptops).
 FALLBACK_DIR = "file:///tmp/checkpoints"
 #: Text bytes handled at once by one Python worker.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; set to a local one only where unset."""
+    """The cluster's shared scratch folder, spark.checkpoint.dir; a local one only where that is unset and all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.conf.get("spark.master", "")
+    if not path and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (path or FALLBACK_DIR).rstrip("/")
 
 
@@ -63,6 +67,20 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which its worker gives freed memory back: workers stay alive beside the stages that follow."""
+
+    @wraps(run)
+    def wrapped(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(it)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def batches(it: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """Re-slice record batches so that column holds about SLICE_BYTES of text at once."""
     for batch in it:
@@ -100,8 +118,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
 def word_hashes(dictionary: pa.Array) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(dictionary))
+    """A 64-bit hash of each word: a number for every byte and its place, added up."""
+    words = dictionary.cast(pa.large_binary())
+    if len(words) == 0:
+        return np.empty(0, np.uint64)
+    places = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = words.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[places[0] : places[-1]] if data is not None else np.empty(0, np.uint8)
+    sizes, starts = np.diff(places), places[:-1] - places[0]
+    at = (np.arange(1, len(data) + 1) - np.repeat(starts, sizes)).astype(np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(at * STEP + data), dtype=np.uint64)])
+    return mix(sums[starts + sizes] - sums[starts] + sizes.astype(np.uint64))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by a sort."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -63,18 +63,54 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
     return [r["id"] for r in sorted(found, key=lambda r: r["p"])]
 
 
-def prefix(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+def shingles(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of each text, one after the other, their offsets, and the texts' nodes; node 0 is the empty set."""
+    codes, offsets, dictionary = common.words_of(batch.column("text"))
+    words = common.word_hashes(dictionary)[codes]
+    counts, first = np.diff(offsets), offsets[:-1]
+    whole = counts >= n
+    size = np.where(whole, counts - n + 1, np.minimum(counts, 1))
+    ends = np.cumsum(size)
+    starts = ends - size
+    runs_ = common.gram_hashes(words, n)
+    flat, full = np.empty(int(size.sum()), np.uint64), np.repeat(whole, size)
+    flat[full] = runs_[(np.arange(len(flat)) + np.repeat(first - starts, size))[full]]
+    for i in np.flatnonzero(~whole & (counts > 0)).tolist():
+        flat[starts[i]] = common.gram_hashes(words[first[i] : first[i] + counts[i]], n)[0]
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        flat[a:b].sort()
+    new = np.ones(len(flat), bool)
+    np.not_equal(flat[1:], flat[:-1], out=new[1:])
+    some = np.flatnonzero(size)
+    new[starts[some]] = True
+    own, left = flat[new], np.concatenate([[0], np.cumsum(new)])
+    bounds = np.concatenate([[0], left[ends]]) if len(ends) else np.zeros(1, np.int64)
+    nodes = np.zeros(len(counts), np.uint64)
+    if len(some):
+        at = bounds[some]
+        total = np.bitwise_xor.reduceat(own, at) + np.add.reduceat(own, at) + np.diff(bounds)[some].astype(np.uint64)
+        nodes[some] = common.mix(total) | np.uint64(1)
+    return own, bounds, nodes
 
 
 def sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(row, sorted distinct shingle hashes, node) of each text; node 0 is the empty set."""
-    codes, offsets, dictionary = common.words_of(batch.column("text"))
-    hashed = common.word_hashes(dictionary)[codes]
-    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-        own = np.unique(common.gram_hashes(hashed[a:b], n))
-        node = int(common.mix(np.array([np.bitwise_xor.reduce(own) + np.uint64(len(own))]) + own.sum(dtype=np.uint64))[0]) | 1 if len(own) else 0
-        yield i, own, node
+    """(row, sorted distinct shingle hashes, node) of each text."""
+    own, bounds, nodes = shingles(batch, n)
+    for i, (a, b, node) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), nodes.tolist(), strict=True)):
+        yield i, own[a:b], node
+
+
+class Fresh:
+    """The texts of a batch whose nodes this mapper has not had yet."""
+
+    def __init__(self):
+        self.seen: set[int] = set()
+
+    def __call__(self, own: np.ndarray, bounds: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Their shingles, set sizes and nodes."""
+        new = np.fromiter((v != 0 and v not in self.seen and not self.seen.add(v) for v in nodes.tolist()), bool, len(nodes))
+        sizes = np.diff(bounds)
+        return own[np.repeat(new, sizes)], sizes[new], nodes[new]
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -176,7 +212,7 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
             lists_ = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(sizes), marks, lists_], ["v", "n", "marks", "s"])
 
-    return docs.mapInArrow(run, "v long, n long, marks binary, s array<long>")
+    return docs.mapInArrow(common.lean(run), "v long, n long, marks binary, s array<long>")
 
 
 def unmatched(x: np.ndarray, y: np.ndarray) -> int:
@@ -200,7 +236,7 @@ def hopeful(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(common.lean(run), "a long, b long")
 
 
 def lists(column: pa.Array) -> Iterator[np.ndarray]:
@@ -217,7 +253,7 @@ def common_shingles(docs: DataFrame, n: int, keys: list[int]) -> tuple[np.ndarra
     tagged = np.dtype([("h", "<u8"), ("t", "u1")])
 
     def mapper(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, seen = Blocks(keys, tagged, 2 * HELD), set()
+        blocks, fresh = Blocks(keys, tagged, 2 * HELD), Fresh()
 
         def flush() -> Iterator[pa.RecordBatch]:
             held = blocks.take()
@@ -225,19 +261,14 @@ def common_shingles(docs: DataFrame, n: int, keys: list[int]) -> tuple[np.ndarra
             out = np.empty(len(q), TAGGED)
             out["q"], out["t"] = q, held["t"]
             yield from blocks.send(out, target, packed)
-            seen.clear()
-
-        for batch in it:
-            for part in common.batches([batch], "text"):
-                full = False
-                for _, own, node in sets(part, n):
-                    if node and node not in seen:
-                        seen.add(node)
-                        entries = np.empty(len(own), tagged)
-                        entries["h"], entries["t"] = own, node >> 8 & 0xFF
-                        full = blocks.add(entries)
-                if full:
-                    yield from flush()
+            fresh.seen.clear()
+
+        for part in common.batches(it, "text"):
+            own, sizes, nodes = fresh(*shingles(part, n))
+            entries = np.empty(len(own), tagged)
+            entries["h"], entries["t"] = own, np.repeat((nodes >> np.uint64(8)).astype(np.uint8), sizes)
+            if blocks.add(entries):
+                yield from flush()
         yield from flush()
 
     def reducer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,12 +278,12 @@ def common_shingles(docs: DataFrame, n: int, keys: list[int]) -> tuple[np.ndarra
                 held.setdefault(target, []).append(unpacked(data))
         for target, parts in held.items():
             e = np.concatenate(parts)
-            q = np.unique(e["q"].astype(np.uint64) << np.uint64(8) | e["t"]) >> np.uint64(8)
+            q = common.distinct(e["q"].astype(np.uint64) << np.uint64(8) | e["t"]) >> np.uint64(8)
             starts, lengths = runs(q)
             often = lengths > DENSE
             yield rows(int(often.sum()), a=(target << 32) + q[starts[often]].astype(np.int64), n=lengths[often])
 
-    found = docs.mapInArrow(mapper, ROWS).repartition(len(keys), "key").mapInArrow(reducer, ROWS).select("a", "n")
+    found = docs.mapInArrow(common.lean(mapper), ROWS).repartition(len(keys), "key").mapInArrow(common.lean(reducer), ROWS).select("a", "n")
     got = found.orderBy(F.desc("n"), "a").limit(ORDERED).toArrow()
     a, c = got.column("a").to_numpy(), got.column("n").to_numpy()
     order = np.argsort(a)
@@ -269,43 +300,52 @@ def product(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], n: int, perce
 
     def mapper(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = table.value
-        blocks, targets, seen, turn = Blocks(keys, ENTRY), Blocks(keys, np.dtype(np.int64)), set(), 0
+        maybe = np.zeros(1 << 22, bool)
+        maybe[known & (len(maybe) - 1)] = True
+        blocks, targets, fresh, turn = Blocks(keys, ENTRY), Blocks(keys, np.dtype(np.int64)), Fresh(), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             yield from blocks.send(blocks.take(), targets.take())
-            seen.clear()
-
-        for batch in it:
-            for part in common.batches([batch], "text"):
-                nodes, sizes, dense, full = [], [], [], False
-                for _, own, node in sets(part, n):
-                    nodes.append(node)
-                    sizes.append(len(own))
-                    if node and node not in seen:
-                        seen.add(node)
-                        target, q = columns_of(own, len(keys))
-                        column = (target << 32) + q
-                        df = np.zeros(len(own), np.int64)
-                        if len(known):
-                            at = np.minimum(np.searchsorted(known, column), len(known) - 1)
-                            df = np.where(known[at] == column, counts[at], 0)
-                        first = np.argsort(df, kind="stable")[: prefix(len(own), percent)]
-                        rare = first[df[first] == 0]
-                        entries = np.empty(len(rare), ENTRY)
-                        entries["q"], entries["v"], entries["n"] = q[rare], node, len(own)
-                        entries["p"] = np.arange(len(rare))
-                        targets.add(target[rare])
-                        full = blocks.add(entries)
-                        often_ = first[len(rare) :]
-                        if len(often_):
-                            dense.append((column[often_], np.full(len(often_), node, np.uint64), np.arange(len(rare), len(first)), np.full(len(often_), len(own))))
-                yield rows(len(nodes), key=[keys[(turn + i) % len(keys)] for i in range(len(nodes))], kind=np.full(len(nodes), DOC), doc_id=part.column("doc_id"), a=signed(np.array(nodes, np.uint64)), n=sizes)
-                if dense:
-                    h, v, pos, size = (np.concatenate(x) for x in zip(*dense, strict=True))
-                    yield rows(len(h), key=[keys[(turn + i) % len(keys)] for i in range(len(h))], kind=np.full(len(h), DENSE_ENTRY), a=h, b=signed(v), n=size, pos=pos)
-                turn += len(nodes)
-                if full:
-                    yield from flush()
+            fresh.seen.clear()
+
+        def spread(count: int) -> list[int]:
+            return [keys[(turn + i) % len(keys)] for i in range(count)]
+
+        for part in common.batches(it, "text"):
+            own, bounds, nodes = shingles(part, n)
+            yield rows(len(nodes), key=spread(len(nodes)), kind=np.full(len(nodes), DOC), doc_id=part.column("doc_id"), a=signed(nodes), n=np.diff(bounds), pos=part.column("th"))
+            own, sizes, nodes = fresh(own, bounds, nodes)
+            turn += part.num_rows
+            if not len(nodes):
+                continue
+            target, q = columns_of(own, len(keys))
+            column = (target << 32) + q
+            df = np.zeros(len(own), np.int64)
+            look = np.flatnonzero(maybe[column & (len(maybe) - 1)])
+            if len(look):
+                at = np.minimum(np.searchsorted(known, column[look]), len(known) - 1)
+                df[look] = np.where(known[at] == column[look], counts[at], 0)
+            rare, start = df == 0, np.cumsum(sizes) - sizes
+            place = np.cumsum(rare) - rare
+            place -= np.repeat(place[start], sizes)
+            leading = sizes - -(-percent * sizes // 100) + 1
+            take = rare & (place < np.repeat(leading, sizes))
+            entries = np.empty(int(take.sum()), ENTRY)
+            entries["q"], entries["p"] = q[take], place[take]
+            entries["v"], entries["n"] = np.repeat(nodes, sizes)[take], np.repeat(sizes, sizes)[take]
+            targets.add(target[take])
+            full = blocks.add(entries)
+            few = np.add.reduceat(rare, start)
+            dense = []
+            for i in np.flatnonzero(few < leading).tolist():
+                mine = start[i] + np.flatnonzero(~rare[start[i] : start[i] + sizes[i]])
+                mine = mine[np.argsort(df[mine], kind="stable")[: leading[i] - few[i]]]
+                dense.append((column[mine], np.full(len(mine), nodes[i]), np.arange(few[i], leading[i]), np.full(len(mine), sizes[i])))
+            if dense:
+                h, v, pos, size = (np.concatenate(x) for x in zip(*dense, strict=True))
+                yield rows(len(h), key=spread(len(h)), kind=np.full(len(h), DENSE_ENTRY), a=h, b=signed(v), n=size, pos=pos)
+            if full:
+                yield from flush()
         yield from flush()
 
     def reducer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,15 +360,18 @@ def product(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], n: int, perce
             e = np.concatenate(parts)
             e = e[np.argsort(e["q"], kind="stable")]
             starts, lengths = runs(e["q"])
-            shared = np.repeat(lengths > 1, lengths)
-            e = np.unique(e[shared])  # copies of one text in several mappers are one node
+            e = e[np.repeat(lengths > 1, lengths)]
+            e = e[np.lexsort((e["p"], e["v"], e["q"]))]
+            new = np.ones(len(e), bool)  # copies of one text in several mappers are one node
+            new[1:] = (e["q"][1:] != e["q"][:-1]) | (e["v"][1:] != e["v"][:-1]) | (e["p"][1:] != e["p"][:-1])
+            e = e[new]
             starts, lengths = runs(e["q"])
             yield accumulated(e, *products(starts, lengths), percent)
             # beyond the ORDERED most common: compared with leaders, whatever their place
             over = e[np.repeat(lengths > DENSE, lengths)]
             yield rows(len(over), kind=np.full(len(over), DENSE_ENTRY), a=over["q"].astype(np.int64) - (1 << 33), b=signed(over["v"].copy()), n=over["n"].astype(np.int64), pos=over["p"].astype(np.int64))
 
-    return docs.mapInArrow(mapper, ROWS).repartition(len(keys), "key").mapInArrow(reducer, ROWS).drop("key", "block")
+    return docs.mapInArrow(common.lean(mapper), ROWS).repartition(len(keys), "key").mapInArrow(common.lean(reducer), ROWS).drop("key", "block")
 
 
 def accumulated(e: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> pa.RecordBatch:
@@ -392,7 +435,11 @@ def verified(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "s1", "s2").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "s1", "s2").mapInArrow(common.lean(run), "a long, b long")
+
+
+def text_hash(docs: DataFrame):
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def similar(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -401,15 +448,47 @@ def similar(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     docs has doc_id and text; other columns are ignored. Returns a row per input row: doc_id,
     n_shingles, class_size (rows with the same set; null for the empty one), component_id. A-Z
     is lower-cased. A text of fewer than n words is one shingle, its whole sequence; a null text
-    or one without words has no shingle, is linked with nothing and is its own component. Rows
-    with equal sets are linked, repeated rows too. component_id is the smallest doc_id that
-    links reach; rows with a null doc_id take part, and have the component of what they reach.
+    or one without words has no shingle, is linked with nothing and is its own component; a long
+    text counts whole. Rows with equal sets are linked, repeated rows too. component_id is the
+    smallest doc_id that links reach; rows with a null doc_id take part, and have the component
+    of what they reach. An empty table gives no rows.
+    """
+    return classes_of(docs, n, percent).select("doc_id", "n_shingles", "class_size", "component_id")
+
+
+def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs without near copies: of rows linked as in similar() one stays.
+
+    That of the smallest doc_id (null last), of several with it that of the smallest text hash, of equal
+    ones any. Rows that share a doc_id but are not linked all stay, and so do texts without words.
     """
+    found = common.materialize(classes_of(docs, n, percent).where("component is not null").select("doc_id", "text_hash", "component"), "found")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    kept = found.groupBy("component").agg(F.min(own).alias("kept"), F.count("*").alias("rows")).where("rows > 1").select("component", "kept")
+    met = found.join(sized(kept), "component").select("doc_id", "text_hash", (own == F.col("kept")).alias("stays"))
+    met = common.materialize(met.groupBy("doc_id", "text_hash", "stays").count(), "met")
+    names = [f"_own{i}" for i in range(len(docs.columns))]
+    out = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, names, strict=True)], F.col("doc_id").cast("long").alias("_id"), text_hash(docs).alias("_hash"))
+    same = lambda other: out["_id"].eqNullSafe(other["doc_id"]) & (out["_hash"] == other["text_hash"])
+    gone, twice = met.where("not stays"), met.where("stays and count > 1")
+    if not twice.isEmpty():
+        out = out.join(twice, same(twice), "left_anti").union(out.join(twice, same(twice), "left_semi").dropDuplicates(["_id", "_hash"]))
+    return out.join(gone, same(gone), "left_anti").select(*names).toDF(*docs.columns)
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """The table, for a broadcast up to BROADCAST_ROWS rows."""
+    table = common.materialize(table, "sized")
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def classes_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """What similar() returns, text_hash and component: one number for each group of linked rows, null without words."""
     spark = docs.sparkSession
     keys = even_keys(spark, common.partitions(spark))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash(docs).alias("th"))
     first = common.materialize(product(texts, common_shingles(texts, n, keys), n, percent, keys), "grams")
-    members = first.where(f"kind = {DOC}").select("doc_id", F.col("a").alias("v"), "n")
+    members = first.where(f"kind = {DOC}").select("doc_id", F.col("a").alias("v"), "n", F.col("pos").alias("text_hash"))
     classes = common.materialize(members.where("v <> 0").groupBy("v").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")), "classes")
     entries = common.materialize(first.where(f"kind = {DENSE_ENTRY}").select(F.col("a").alias("h"), F.col("b").alias("v"), "n", "pos").distinct(), "entries")
     pairs = common.materialize(candidates(first.where(f"kind = {PAIR}"), entries, percent), "pairs")
@@ -435,9 +514,10 @@ def similar(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     named = classes if labels is None else classes.join(labels.withColumnRenamed("node", "v"), "v", "left")
     named = named.withColumn("component", F.coalesce("component", "v") if labels is not None else F.col("v"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("v", "class_size", "component_id")
+    named = named.join(least, "component").select("v", "class_size", "component_id", "component")
     out = members.join(named, "v", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "class_size", F.when(F.col("v") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    component_id = F.when(F.col("v") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "class_size", component_id.alias("component_id"), "component")
 
 
 def links(pairs: DataFrame, entries: DataFrame | None, linked, percent: int) -> DataFrame | None:
