@@ -2,16 +2,21 @@
 
 Trees are boosted on a bounded sample of labelled documents, every path becomes a
 conjunctive rule, an L1-penalised logistic regression keeps few of them, and those are
-compiled into one Spark column, so that scoring the corpus is a single scan.
+compiled into one Spark column, so that scoring the corpus is a single scan. The statistics
+are counted on Arrow batches, which hold no string for each word.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import common, trees
 
@@ -27,38 +32,47 @@ STOPS = ".,;:!?"
 STATS = ["n_chars", "n_words", "word_chars", "distinct_share", "repeat_share", "bar_share", "sign_share", "digit_share", "stop_share", "line_words"]
 
 
+#: Bytes by what they count as: 1 to 5 for |, SIGNS, DIGITS, STOPS and line feeds, 6 for what goes on with a character.
+CLASSES = np.zeros(256, np.uint8)
+for k, chars in enumerate(("|", SIGNS, DIGITS, STOPS, "\n"), 1):
+    CLASSES[[ord(c) for c in chars]] = k
+CLASSES[0x80:0xC0] = 6
+
+
+def stats_of(texts: pa.Array) -> np.ndarray:
+    """The statistics STATS of each whole text, a row for each; of a null or empty text all are 0."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    codes, offsets, dictionary = common.words_of(texts, lower=False)
+    n = np.diff(offsets)
+    doc = np.repeat(np.arange(len(texts)), n)
+    used = common.distinct(doc * max(1, len(dictionary)) + codes) // max(1, len(dictionary))
+    distinct = np.bincount(used, minlength=len(texts))
+    again = np.flatnonzero((codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1])) + 1
+    repeats = np.bincount(doc[again], minlength=len(texts))
+    places = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[places[0] : places[-1]] if data is not None and len(texts) else np.empty(0, np.uint8)
+    kinds = CLASSES[data]
+    count = lambda k: np.diff(np.searchsorted(np.flatnonzero(kinds == k), places - places[0]))
+    bars, signs, digits, stops, lines, inner = (count(k) for k in range(1, 7))
+    chars = np.diff(places) - inner
+    words, letters = np.maximum(n, 1), np.maximum(chars, 1)
+    full = chars > 0
+    return np.stack([chars, n, chars / words, distinct / words, repeats / words, bars / words, signs / letters, digits / letters, stops / words, np.where(full, words / (lines + 1), 0)], 1).astype(float)
+
+
 def with_stats(docs: DataFrame) -> DataFrame:
-    """Add the statistics STATS of the whole text; a null text counts as empty."""
-    t = F.col("_text")
-    count = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
-    base = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    base = base.withColumn("_words", F.split(F.trim(F.regexp_replace(t, "[\\x09-\\x0D]", " ")), " +"))
-    base = base.select(
-        "*",
-        F.when(t.rlike("[^\\x20\\x09-\\x0D]"), F.size("_words")).otherwise(0).alias("_n"),
-        F.length(t).alias("_chars"),
-        F.size(F.array_distinct("_words")).alias("_distinct"),
-        F.size(F.filter("_words", lambda w, i: (i > 0) & (w == F.get("_words", i - 1)))).alias("_repeats"),
-        count("|").alias("_bars"),
-        count(SIGNS).alias("_signs"),
-        count(DIGITS).alias("_digits"),
-        count(STOPS).alias("_stops"),
-        count("\n").alias("_lines"),
-    )
-    n, chars = F.greatest(F.col("_n"), F.lit(1)), F.greatest(F.col("_chars"), F.lit(1))
-    return base.select(
-        *docs.columns,
-        F.col("_chars").cast("double").alias("n_chars"),
-        F.col("_n").cast("double").alias("n_words"),
-        (F.col("_chars") / n).alias("word_chars"),
-        (F.col("_distinct") / n).alias("distinct_share"),
-        (F.col("_repeats") / n).alias("repeat_share"),
-        (F.col("_bars") / n).alias("bar_share"),
-        (F.col("_signs") / chars).alias("sign_share"),
-        (F.col("_digits") / chars).alias("digit_share"),
-        (F.col("_stops") / n).alias("stop_share"),
-        (n / (F.col("_lines") + 1)).alias("line_words"),
-    )
+    """The columns of docs, renamed _own0, _own1, ..., and the statistics STATS of `text`."""
+    own = [f"_own{i}" for i in range(len(docs.columns))]
+    named = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own, strict=True)], F.col("text").cast("string").alias("_text"))
+    schema = StructType([*named.schema.fields[:-1], *(StructField(x, DoubleType()) for x in STATS)])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.batches(it, "_text"):
+            stats = stats_of(batch.column("_text"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x) for x in stats.T)], [*own, *STATS])
+
+    return named.mapInArrow(common.lean(run), schema)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
@@ -97,24 +111,31 @@ class RuleEnsemble:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_ROWS) -> RuleEnsemble:
-    rows = np.array([tuple(r) for r in with_stats(training_rows(docs, labels, label, most).select("doc_id", "text", "y")).select("y", *STATS).collect()], float).reshape(-1, 1 + len(STATS))
+    known = with_stats(training_rows(docs, labels, label, most).select("y", "text"))
+    rows = np.array([tuple(r) for r in known.select("_own0", *STATS).collect()], float).reshape(-1, 1 + len(STATS))
     rows = rows[np.lexsort(rows.T[::-1])]  # the order in which Spark returns them decides nothing
     return RuleEnsemble.fit(rows[:, 1:], rows[:, 0])
 
 
+def scored(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
+    """The columns of docs as _own0, _own1, ..., and _score."""
+    made = with_stats(docs)
+    return made.select(*made.columns[: len(docs.columns)], model.column().alias("_score"))
+
+
 def score(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
-    """All columns of docs and `score`; every row is scored on its whole text.
+    """All columns of docs and `score` (`quality_score` where docs has one); every row is scored on its whole text, however long.
 
     A null or empty text has all statistics 0 and the score that follows from them. Repeated
-    rows are scored each; an empty table gives an empty result. Columns of docs with the names
-    of statistics keep their values.
+    rows and ties are scored each; an empty table gives an empty result. Columns of docs with the
+    names of statistics keep their values.
     """
-    own = [f"_own{i}" for i in range(len(docs.columns))]
-    inner = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own, strict=True)], F.col("text"))
-    # a filter on the score must not be pushed below the statistics, where each rule would compute them anew:
-    # Spark pushes nothing through what depends on the partition
-    value = F.when(F.spark_partition_id() >= 0, model.column())
-    return with_stats(inner).select(*[F.col(o).alias(c) for c, o in zip(docs.columns, own, strict=True)], value.alias("_score")).withColumnRenamed("_score", "score" if "score" not in docs.columns else "quality_score")
+    return scored(docs, model).toDF(*docs.columns, "score" if "score" not in docs.columns else "quality_score")
+
+
+def accepted(docs: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score at least threshold, with the columns of docs whatever their names."""
+    return scored(docs, model).where(F.col("_score") >= threshold).drop("_score").toDF(*docs.columns)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
