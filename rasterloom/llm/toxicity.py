@@ -109,12 +109,12 @@ class Landmarks:
             return none
         value = np.zeros(len(w), np.float32)
         self_value = np.ones(len(words))
-        for n in np.unique(size[w]).tolist():
-            each = np.unique(w[size[w] == n])
+        for n in common.distinct(size[w]).tolist():
+            each = common.distinct(w[size[w] == n])
             for k in range(0, len(each), 4096):
                 own = points[offsets[each[k : k + 4096], None] + np.arange(n)]
                 self_value[each[k : k + 4096]] = kernel(own, own)
-            for b in np.unique(self.size).tolist():
+            for b in common.distinct(self.size).tolist():
                 at = np.flatnonzero((size[w] == n) & (self.size[m] == b))
                 for k in range(0, len(at), 4096):
                     x = at[k : k + 4096]
@@ -153,10 +153,11 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[st
     code = of_word[codes].astype(np.int64)
     single = np.fromiter((len(x) == 1 for x in names), bool, len(names))[code]
     if single.any():
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], (single * 1), [0]])))
+        # a run ends where its text does, whatever text comes next
+        edge = np.flatnonzero(np.concatenate([[True], (single[1:] != single[:-1]) | (text[1:] != text[:-1]), [True]]))
         extra: dict[str, int] = {}
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            if b - a >= 3 and text[a] == text[b - 1]:
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if b - a >= 3 and single[a]:
                 code[a] = extra.setdefault("".join(names[c] for c in code[a:b].tolist()), len(names) + len(extra))
         names += list(extra)
     return code, text, sentence, names
@@ -168,7 +169,7 @@ def responses(texts: pa.Array, marks: Landmarks) -> tuple[np.ndarray, np.ndarray
     w, m, v = marks.respond(names)
     if len(w) == 0:
         return np.empty(0, np.int64), np.empty((0, len(marks.words)), np.float32)
-    table, used = np.zeros((len(np.unique(w)), len(marks.words)), np.float32), np.unique(w)
+    table, used = np.zeros((len(common.distinct(w)), len(marks.words)), np.float32), common.distinct(w)
     np.maximum.at(table, (np.searchsorted(used, w), m), v)
     place = np.full(len(names), -1)
     place[used] = np.arange(len(used))
@@ -234,7 +235,7 @@ def landmarks(texts: list[str], y: np.ndarray) -> Landmarks:
     names = [names[i] for i in order.tolist()]
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    pair = np.unique(place[code] * len(texts) + text)  # by word, then by document
+    pair = common.distinct(place[code] * len(texts) + text)  # by word, then by document
     word, doc = pair // len(texts), pair % len(texts)
     bad = y > 0
     n1, n0 = max(1, int(bad.sum())), max(1, int((~bad).sum()))
@@ -255,7 +256,7 @@ def landmarks(texts: list[str], y: np.ndarray) -> Landmarks:
             if ORDER - 1 <= k <= WINDOW and stem not in seen:
                 lo = bisect.bisect_left(names, stem)
                 hi = bisect.bisect_left(names, stem[:-1] + chr(ord(stem[-1]) + 1), lo)
-                at = np.unique(doc[np.searchsorted(word, lo) : np.searchsorted(word, hi)])
+                at = common.distinct(doc[np.searchsorted(word, lo) : np.searchsorted(word, hi)])
                 seen[stem] = ratio(float(bad[at].sum()), float((~bad[at]).sum()))
     ranked = sorted((s for s in seen if seen[s] > 0), key=lambda s: (-seen[s], -len(s), s))
     plain = [names[i] for i in np.lexsort((np.arange(len(names)), -c0))[:400].tolist() if ORDER <= len(names[i]) <= WINDOW and c0[i] / n0 > c1[i] / n1]
@@ -319,7 +320,7 @@ def score(docs: DataFrame, machine: StringMachine) -> DataFrame:
         for batch in common.batches(it, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(machine.scores(batch.column("text")), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.lean(run), "doc_id long, score double")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
