@@ -1,9 +1,10 @@
 """Secret scan: candidate tokens judged by a random forest compiled into Spark columns.
 
-Candidates are words of a text that hold a digit among at least MIN_LENGTH key-like letters,
-or have a known format, or are assigned to a credential's name, in the same word or in the one or two before. Features are the candidate's length, its
-letters' kinds and transitions, how much of it dictionary words cover, whether it is a path,
-and its neighbouring words. The forest is fitted on labelled findings - credentials of known
+Candidates are parts of a text, between white space and signs such as quotes, commas, braces
+or ampersands, that hold a digit and a letter among at least MIN_LENGTH key-like characters in
+a row, or have a known format, or are assigned to a credential's name right before; so a word
+may hold several. Features are the candidate's length, its letters' kinds and transitions, how
+much of it dictionary words cover, whether it is a path, and its neighbouring words. The forest is fitted on labelled findings - credentials of known
 formats and what is mistaken for them, written out by a fixed rule - so that it removes
 false findings. Scanning uses built-in functions alone.
 """
@@ -37,42 +38,58 @@ CORE = "[A-Za-z0-9+/_.~=-]"
 FEATURES = ["length", "digit_share", "upper_share", "lower_share", "sign_share", "distinct_share", "turns", "vowel_turns", "dictionary", "is_path", "is_hex", "known_format", "assigned", "named_before", "innocent_before", "quoted"]
 
 
+#: Ends a part of a word; what may stand in a key does not.
+CUT = "[\"'`(){}\\[\\]<>,;|&?\\\\]"
+#: A run of key-like characters with a digit and a letter, from its first character on.
+KEYED = f"(?<!{CORE})(?={CORE}*[0-9])(?={CORE}*[A-Za-z]){CORE}{{{MIN_LENGTH},}}"
+#: What stands before the value of a credential.
+NAMED = f"(?i)(?:{NAMES})[\"'`]?{SPACE}?(?:=|:|:=|=>){SPACE}?[\"'`(<\\[]?$"
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, candidate, before, after) of every candidate; start counts characters from 0."""
+    """(doc_id, start, candidate, word, before, lead, after) of every candidate; start counts characters from 0.
+
+    lead is what stands before the candidate in its word, before and after are the words around it.
+    """
     words = F.split(F.col("text"), SPACE)
-    assigned = f"(?i)(?:{NAMES})[\"']?[=:][\"']?[^\"']{{6,}}"
-    keyed = f"(?=[^0-9]*[0-9])(?=.*[A-Za-z]){CORE}{{{MIN_LENGTH},}}"
-    # most texts have no word that qualifies, and one pass of two expressions says so
+    # most texts have no word that qualifies, and one pass of two expressions says so: a run with a digit has six others beside it
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    some = some.where(F.col("text").rlike(f"[0-9]{CORE}{{{MIN_LENGTH // 2 - 1},}}|{CORE}{{{MIN_LENGTH // 2 - 1},}}[0-9]|(?i:{NAMES})[\"']?{SPACE}?:?[=:]|{FORMATS}"))
+    some = some.where(F.col("text").rlike(f"[0-9]{CORE}{{{MIN_LENGTH // 2 - 1},}}|{CORE}{{{MIN_LENGTH // 2 - 1},}}[0-9]|(?i:{NAMES})[\"'`]?{SPACE}?:?[=:]|{FORMATS}"))
     some = some.select("doc_id", words.alias("words"))
-    named = f"(?i)(?:{NAMES})[\"']?"
+    named = f"(?i)(?:{NAMES})[\"'`]?"
 
     def is_one(w: Column, i: Column) -> Column:
         one, two = F.get("words", i - 1), F.get("words", i - 2)
-        after = (F.length(w) >= 6) & one.rlike("[=:]>?$") & (one.rlike(f"{named}[=:]$") | (one.rlike("^(?::?=>?|:)$") & two.rlike(f"{named}$")))
-        return w.rlike(FORMATS) | (w.rlike("[0-9]") & w.rlike(keyed)) | w.rlike(assigned) | F.coalesce(after, F.lit(False))
+        follows = one.rlike("[=:]>?$") & (one.rlike(f"{named}[=:]$") | (one.rlike("^(?::?=>?|:)$") & two.rlike(f"{named}$")))
+        return w.rlike(FORMATS) | (w.rlike("[0-9]") & w.rlike(KEYED)) | w.rlike(f"{named}[=:]") | F.coalesce((F.length(w) >= 6) & follows, F.lit(False))
 
     at = F.filter(F.transform("words", lambda w, i: F.when(is_one(w, i), i)), lambda i: i.isNotNull())
     found = some.select("doc_id", "words", F.explode(at).alias("i"))
-    word = F.get("words", F.col("i"))
     near = lambda a, n: F.array_join(F.filter(F.slice("words", F.greatest(a, F.lit(1)), n), lambda w: w != ""), " ")
     found = found.select(
         "doc_id",
         (F.length(F.array_join(F.slice("words", F.lit(1), F.col("i")), " ")) + F.when(F.col("i") > 0, 1).otherwise(0)).cast("long").alias("at"),
-        word.alias("word"),
+        F.get("words", F.col("i")).alias("word"),
         near(F.col("i") - 3, F.least(F.col("i"), F.lit(4))).alias("before"),
         near(F.col("i") + 2, F.lit(2)).alias("after"),
     )
-    # what stands before a name's = or :, quotes and closing signs are not of the candidate
-    value = F.regexp_extract("word", f"^(?:.*?(?i:{NAMES})[\"']?[=:])?[\"'(<\\[]*(.*?)[\"')>\\],;!?*#$%&.]*$", 1)
-    lead = F.regexp_extract("word", f"^((?:.*?(?i:{NAMES})[\"']?[=:])?[\"'(<\\[]*)", 1)
-    return found.select("doc_id", (F.col("at") + F.length(lead)).alias("start"), value.alias("candidate"), "word", "before", "after").where(F.length("candidate") >= 6)
+    # the parts of the word, each with where it starts
+    parts = F.split("word", CUT)
+    starts = lambda i: F.length(F.array_join(F.slice(parts, F.lit(1), i), " ")) + F.when(i > 0, 1).otherwise(0)
+    found = found.select("*", F.posexplode(parts).alias("k", "part")).where(F.length("part") >= 6)
+    found = found.withColumn("from", starts(F.col("k")))
+    # a credential's name and its = or : are not of the candidate, nor are closing signs
+    own = F.regexp_extract("part", f"^(.*?(?i:{NAMES})[=:]+)", 1)
+    found = found.withColumn("from", F.col("from") + F.length(own)).withColumn("candidate", F.regexp_extract(F.substr("part", F.length(own) + 1), "^(.*?)[!*#$%.:]*$", 1))
+    found = found.withColumn("lead", F.substr("word", F.lit(1), F.col("from"))).where(F.length("candidate") >= 6)
+    assigned = F.concat_ws(" ", "before", "lead").rlike(NAMED)
+    found = found.where(F.col("candidate").rlike(FORMATS) | F.col("candidate").rlike(KEYED) | assigned)
+    return found.select("doc_id", (F.col("at") + F.col("from")).alias("start"), "candidate", "word", "before", "lead", "after")
 
 
 def featured(found: DataFrame) -> DataFrame:
     c, n = F.col("candidate"), F.greatest(F.length("candidate"), F.lit(1)).cast("double")
-    low = F.lower(c)
+    low, before = F.lower(c), F.concat_ws(" ", "before", "lead")
     share = lambda p: F.regexp_count(c, F.lit(p)) / n
     flag = lambda x: F.when(x, 1.0).otherwise(0.0)
     return found.select(
@@ -89,15 +106,18 @@ def featured(found: DataFrame) -> DataFrame:
         flag(c.rlike("^(?:[a-z]+://|/|\\.{1,2}/|[A-Za-z]:\\\\|[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+)|@|^[a-z0-9.-]+\\.[a-z]{2,4}$")).alias("is_path"),
         flag(c.rlike("^(?:0x)?(?:[0-9a-f]+|[0-9A-F]+)$")).alias("is_hex"),
         flag(c.rlike("^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^sk_(?:live|test)_[A-Za-z0-9]{16,}$|^xox[abprs]-|^AIza[0-9A-Za-z_-]{30,}$|^eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]+")).alias("known_format"),
-        flag(F.col("word").rlike(f"(?i)(?:{NAMES})[\"']?[=:]") | F.col("before").rlike(f"(?i)(?:{NAMES})[\"']? ?(?:=|:|:=|=>)$")).alias("assigned"),
-        flag(F.col("before").rlike(f"(?i)(?:{NAMES})")).alias("named_before"),
-        flag(F.col("before").rlike(f"(?i)(?:^|[^a-z])(?:{INNOCENT})[^a-z]*$")).alias("innocent_before"),
-        flag(F.col("word").rlike("[\"'][^\"']+[\"']")).alias("quoted"),
+        flag(before.rlike(NAMED)).alias("assigned"),
+        flag(before.rlike(f"(?i)(?:{NAMES})")).alias("named_before"),
+        flag(before.rlike(f"(?i)(?:^|[^a-z])(?:{INNOCENT})[^a-z]*$")).alias("innocent_before"),
+        flag(F.col("lead").rlike("[\"'`]$")).alias("quoted"),
     )
 
 
 def findings(n: int = 2400, seed: int = 5) -> list[tuple[str, int]]:
-    """Labelled findings in context: (line, 1 for a secret). Formats and decoys in turn, letters by a seeded rule."""
+    """Labelled findings in context: (line, 1 for a secret). Formats and decoys in turn, letters by a seeded rule.
+
+    Every third line holds its finding among others of no interest in one word: an object, a query, assignments.
+    """
     r = random.Random(seed)
     some = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
     hexes, upper, mixed = "0123456789abcdef", string.ascii_uppercase + string.digits, string.ascii_letters + string.digits
@@ -141,7 +161,10 @@ def findings(n: int = 2400, seed: int = 5) -> list[tuple[str, int]]:
     for i in range(n):
         label = i % 2
         kinds = secrets if label else decoys
-        out.append((f"{word()} {word()} {kinds[i // 2 % len(kinds)]()} {word()} {word()}.", label))
+        found = kinds[i // 2 % len(kinds)]()
+        if i // 2 % 3 == 2 and " " not in found:
+            found = r.choice(['{{"{}":"x","{}":"{}"}}'.format(word(), word(), found.strip("\"'")), f"id={r.randint(1, 99)};{found};lang=en", f"/p?q={word()}&{found}&n=1", f"[{word()},{found}]"])
+        out.append((f"{word()} {word()} {found} {word()} {word()}.", label))
     return out
 
 
