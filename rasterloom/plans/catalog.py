@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import calibration, detection, filters, geometry, insar, matrix_filters, missions, polarimetry, polarimetry_models, raster, topsar
+from ..operators import calibration, coregistration, detection, filters, geometry, insar, matrix_filters, missions, polarimetry, polarimetry_models, raster, topsar
 from ..sources import formats, orbits, products, sinks, tiff, views
 from ..streaming import events as streams
 from .graph import chain, shared_dir
@@ -1027,6 +1027,41 @@ def terrain(spark, d):
 query("terrain_correction")(lambda spark, d: rounded(geometry.terrain_correction(terrain(spark, d), views.scene(spark, d), orbit(spark), SENSOR).select("y", "x", "line", "sample", "v"), 3))
 query("ellipsoid_correction")(lambda spark, d: rounded(geometry.ellipsoid_correction(terrain(spark, d), views.scene(spark, d), orbit(spark), SENSOR).select("y", "x", "line", "sample", "v"), 3))
 query("dem_coregistration")(lambda spark, d: rounded(geometry.coregister(terrain(spark, d), views.scene(spark, d), orbit(spark), orbit(spark, -300_200.0), SENSOR, SENSOR).select("y", "x", "dy", "dx", "v"), 3))
+query("back_geocoding")(lambda spark, d: rounded(coregistration.back_geocode(terrain(spark, d), views.scene_cplx(spark, d), orbit(spark), orbit(spark, -300_200.0), SENSOR, SENSOR, 1500.0, 15.0, 0.05), 3))
+query("geocoded_slc")(lambda spark, d: rounded(coregistration.geocoded_slc(terrain(spark, d), views.scene_cplx(spark, d), orbit(spark), SENSOR, 0.0555).select("y", "x", "line", "sample", "i", "q"), 2))
+query("simulation_terrain_correction")(lambda spark, d: rounded(coregistration.simulation_correction(terrain(spark, d), views.scene(spark, d), orbit(spark), SENSOR, 8700.0, 8).select("y", "x", "line", "sample", "v"), 3))
+query("azimuth_spectrum")(lambda spark, d: rounded(coregistration.azimuth_spectrum(views.scene_cplx(spark, d), 1700.0), 3))
+
+
+@query("range_shift", sql([CPLX], "y, x", {"i": "i", "q": "q"}, "cplx", digits=5))
+def _(spark, d):
+    """A whole sample there and, as two halves, back: the scene again."""
+    z = views.scene_cplx(spark, d)
+    moved = coregistration.fractional_shift(z, 1.0)
+    return rounded(coregistration.fractional_shift(coregistration.fractional_shift(moved, -0.5), -0.5), 5)
+
+
+@query("azimuth_shift", sql([CPLX, "n AS (SELECT max(y) + 1 AS n FROM cplx)"], "(y + n - 1) % n AS y, x", {"i": "i", "q": "q"}, "cplx, n", digits=5))
+def _(spark, d):
+    return rounded(coregistration.azimuth_shift(views.scene_cplx(spark, d), 1.0), 5)
+
+
+@query("block_shifts")
+def _(spark, d):
+    z = views.scene_cplx(spark, d)
+    return rounded(coregistration.block_shifts(z, coregistration.fractional_shift(z, 0.4), 10), 4)
+
+
+@query("tie_point_geocoding", sql([SCENE], "y, x", {"line": "y + 0.0", "sample": "x + 0.0", "v": "v"}, "scene", digits=4))
+def _(spark, d):
+    s = views.scene(spark, d)
+    lines = max(1, extent(s, "y") // 100 + 1)
+    place = lambda y, x: (45 + 0.001 * y + 0.0002 * x, 7 - 0.0003 * y + 0.0012 * x)
+    ties = spark.createDataFrame([(float(y), float(x), *place(y, x)) for y in range(0, 100 * lines + 1, 20 * lines) for x in range(0, 101, 20)], "line double, pixel double, lat double, lon double")
+    lat, lon = place(F.col("y"), F.col("x"))
+    return rounded(coregistration.tie_point_geocoding(s.select("y", "x", lat.alias("lat"), lon.alias("lon")), s, ties).select("y", "x", "line", "sample", "v"), 4)
+
+
 query("sar_simulation")(lambda spark, d: rounded(geometry.simulate(terrain(spark, d), orbit(spark), SENSOR, 8700.0), 3))
 query("terrain_flattening")(lambda spark, d: rounded(geometry.terrain_flattening(views.scene(spark, d), terrain(spark, d), orbit(spark), SENSOR, 8700.0, 8700.0), 3))
 query("update_geo_reference")(lambda spark, d: rounded(geometry.geo_reference(terrain(spark, d), orbit(spark), SENSOR), 6))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import calibration, detection, filters, geometry, insar, matrix_filters, polarimetry, polarimetry_models, raster, topsar
+from rasterloom.operators import calibration, coregistration, detection, filters, geometry, insar, matrix_filters, polarimetry, polarimetry_models, raster, topsar
 from rasterloom.plans import catalog
 from rasterloom.sources import formats
 
@@ -391,3 +391,78 @@ def test_model_based_volume_root(spark):
     r = polarimetry_models.model_based(c2_rows(spark, [(1.0, 0.25, 0.0, 0.0)])).first()
     # 0.75 m² + (0.75 - 2.5) m + 1.25² - 0.75² = 0: m = 1 or 4/3, the larger is beyond the span 1.25
     assert 10 ** (r["volume"] / 10) == pytest.approx(1.0) and 10 ** (r["surface"] / 10) == pytest.approx(0.25) and r["alpha"] == pytest.approx(0.0, abs=1e-6)
+
+
+# ------------------------------------------------------------------ shifts and geocoding of complex data
+
+
+def complex_scene(spark, height=64, width=64, seed=6, shift=(0.0, 0.0)):
+    """Band-limited noise, exact under fractional shifts; sample k has the signal at k + shift."""
+    rng = np.random.default_rng(seed)
+    f = (rng.normal(size=(height, width)) + 1j * rng.normal(size=(height, width))) * (np.abs(np.fft.fftfreq(height))[:, None] < 0.3) * (np.abs(np.fft.fftfreq(width)) < 0.3)
+    z = np.fft.ifft2(f * np.exp(2j * np.pi * (np.fft.fftfreq(height)[:, None] * shift[0] + np.fft.fftfreq(width) * shift[1]))) * 50
+    return spark.createDataFrame([(y, x, float(z[y, x].real), float(z[y, x].imag)) for y in range(height) for x in range(width)], "y long, x long, i double, q double"), z
+
+
+def test_fractional_shift_is_exact_for_band_limited_lines(spark):
+    df, _ = complex_scene(spark)
+    _, want = complex_scene(spark, shift=(0.0, 0.37))
+    got = {(r["y"], r["x"]): complex(r["i"], r["q"]) for r in coregistration.fractional_shift(df, 0.37).collect()}
+    assert max(abs(got[k] - want[k]) for k in got) < 1e-9
+
+
+def test_block_shifts_find_the_planted_shift(spark):
+    df, _ = complex_scene(spark, 128, 128)
+    other, _ = complex_scene(spark, 128, 128, shift=(0.4, -1.3))
+    out = coregistration.block_shifts(df, other, 64).toPandas()
+    assert len(out) == 4 and (out.quality > 3).all()
+    assert out.dy.mean() == pytest.approx(-0.4, abs=0.1) and out.dx.mean() == pytest.approx(1.3, abs=0.1)
+    back = coregistration.range_shift(df, complex_scene(spark, 128, 128, shift=(0.0, -1.3))[0])
+    a, b = df.toPandas().sort_values(["y", "x"]), back.toPandas().sort_values(["y", "x"])
+    assert np.abs((a.i - b.i.to_numpy()) + 1j * (a.q - b.q.to_numpy())).mean() < 0.15 * np.hypot(a.i, a.q).mean()
+
+
+def test_sinc_resampling(spark):
+    df, z = complex_scene(spark)
+    _, want = complex_scene(spark, shift=(0.25, 0.6))
+    places = spark.createDataFrame([(y, x, y + 0.25, x + 0.6) for y in range(10, 50, 7) for x in range(10, 50, 7)] + [(0, 0, 0.5, 0.5), (1, 1, 20.0, 30.0), (2, 2, None, 3.0)], "y long, x long, line double, sample double")
+    got = {(r["y"], r["x"]): r for r in coregistration.sinc_resample(places, df).collect()}
+    assert got[0, 0]["i"] is None and got[2, 2]["i"] is None and complex(got[1, 1]["i"], got[1, 1]["q"]) == pytest.approx(z[20, 30])
+    errors = [abs(complex(r["i"], r["q"]) - want[k]) for k, r in got.items() if k[0] >= 10]
+    assert np.mean(errors) < 0.05 * np.abs(want).mean()
+
+
+def test_back_geocoding_recovers_a_ramped_burst_from_another_orbit(spark):
+    """The secondary looks from a shifted orbit; what it sees of a smooth signal comes back on the reference's pixels, ramp and all."""
+    sensor = catalog.SENSOR
+    rate, doppler, centre = 2000.0, 30.0, 0.2
+    grid = catalog.terrain(spark, "/root/testdata/sf0.001")
+    height, width = 40, 140
+    signal = lambda y, x: np.exp(1j * (0.11 * y + 0.07 * x))
+    y, x = np.mgrid[-10:height, -10:width].astype(float)
+    t = y * sensor.interval - centre
+    z = signal(y, x) * np.exp(1j * np.pi * (t * t * rate + 2 * t * doppler))
+    rows = [(int(a), int(b), float(c.real), float(c.imag)) for a, b, c in zip(y.ravel(), x.ravel(), z.ravel(), strict=True)]
+    df = spark.createDataFrame(rows, "y long, x long, i double, q double")
+    out = coregistration.back_geocode(grid, df, catalog.orbit(spark), catalog.orbit(spark, -300_200.0), sensor, sensor, rate, doppler, centre).where("i is not null").toPandas()
+    assert len(out) > 20 and out.dx.abs().max() > 0.5
+    t = (out.y + out.dy) * sensor.interval - centre
+    want = signal(out.y + out.dy, out.x + out.dx) * np.exp(1j * np.pi * (t * t * rate + 2 * t * doppler))
+    assert np.abs(out.i + 1j * out.q - want).max() < 0.05
+
+
+def test_azimuth_spectrum_peaks_at_the_centroid(spark):
+    rows = [(y, x, math.cos(2 * math.pi * 5 * y / 32), math.sin(2 * math.pi * 5 * y / 32)) for y in range(32) for x in range(3)]
+    r = coregistration.azimuth_spectrum(spark.createDataFrame(rows, "y long, x long, i double, q double"), 320.0).orderBy(F.desc("power")).first()
+    assert (r["bin"], r["frequency"], r["power"]) == pytest.approx((21, 50.0, 1024.0))
+
+
+def test_geocoding_by_tie_points(spark):
+    place = lambda y, x: (45 + 0.01 * y + 0.001 * x + 1e-5 * y * x, 7 + 0.012 * x - 0.002 * y)
+    ties = spark.createDataFrame([(float(y), float(x), *place(y, x)) for y in (0, 4, 9) for x in (0, 5, 10)], "line double, pixel double, lat double, lon double")
+    image = spark.createDataFrame([(y, x, 10.0 * y + x) for y in range(10) for x in range(11)], "y long, x long, v double")
+    grid = spark.createDataFrame([(y, x, *place(y, x)) for y, x in ((0, 0), (3, 7), (9, 10), (6, 2))] + [(50, 50, 46.0, 9.0)], "y long, x long, lat double, lon double")
+    got = {(r["y"], r["x"]): r for r in coregistration.tie_point_geocoding(grid, image, ties).collect()}
+    for k in ((0, 0), (9, 10)):
+        assert got[k]["v"] == pytest.approx(10 * k[0] + k[1], abs=1e-3)
+    assert (got[3, 7]["line"], got[3, 7]["sample"]) == pytest.approx((3, 7), abs=0.05) and got[50, 50]["v"] is None and got[50, 50]["line"] is None
