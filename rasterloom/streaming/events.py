@@ -3,25 +3,40 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.graph import shared_dir
 
 
+def whole_blocks(pixels: DataFrame, looks: int) -> DataFrame:
+    """Mean of every block of looks x looks pixels (y, x, v) of a stream, once its last pixel is there; only unfinished blocks are kept."""
+
+    def add(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        total, n = state.get if state.exists else (0.0, 0)
+        for pdf in parts:
+            total, n = total + float(pdf.v.sum()), n + len(pdf)
+        if n < looks * looks:
+            state.update((total, n))
+            return
+        if state.exists:
+            state.remove()
+        yield pd.DataFrame({"y": [key[0]], "x": [key[1]], "v": [total / n]})
+
+    blocks = pixels.select(F.expr(f"y div {looks}").alias("y"), F.expr(f"x div {looks}").alias("x"), "v")
+    return blocks.groupBy("y", "x").applyInPandasWithState(add, "y long, x long, v double", "total double, n long", "append", GroupStateTimeout.NoTimeout)
+
+
 def multilook(spark: SparkSession, sf_dir: str, looks: int = 2, digits: int = 7) -> DataFrame:
-    """Multilook over a stream of pixels; each trigger's finished state replaces the table that is read at the end."""
+    """Multilook over a stream of pixels; every trigger appends its finished blocks to the table that is read at the end."""
     root = f"{shared_dir(spark)}/rasterloom-stream-{uuid.uuid4().hex}"
     path = f"{sf_dir}/events.parquet"
     source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if "*" in path else f"{sf_dir}/events.parquet*")
     px = source.select(F.expr("event_id div 100").alias("y"), (F.col("event_id") % 100).alias("x"), F.col("value").alias("v"))
-    agg = px.groupBy(F.expr(f"y div {looks}").alias("y"), F.expr(f"x div {looks}").alias("x")).agg(F.avg("v").alias("v"), F.count("*").alias("n"))
-
-    def put(batch: DataFrame, k: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out")
-
-    run = agg.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/state").foreachBatch(put).trigger(availableNow=True).start()
+    run = whole_blocks(px, looks).writeStream.format("parquet").outputMode("append").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    out = spark.read.parquet(f"{root}/out").where(F.col("n") == looks * looks)
-    return out.select("y", "x", (F.round("v", digits) + F.lit(0.0)).alias("v"))
+    return spark.read.schema("y long, x long, v double").parquet(f"{root}/out").select("y", "x", (F.round("v", digits) + F.lit(0.0)).alias("v"))
