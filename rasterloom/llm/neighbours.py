@@ -3,9 +3,10 @@
 Equal vectors are one node. The graph starts from the leaves of a few random-projection
 trees, fitted on a bounded sample; then rounds of Spark joins bring every node's neighbours
 together with their vectors, and neighbours of neighbours that are nearer replace the
-farthest. A query starts at the nearest of a bounded set of sample nodes and expands the
-nearest unexpanded nodes of its beam, for all queries at once, until nothing is left to
-expand. What is found is ranked by exact distances in double precision.
+farthest. As in NN-descent, a node that very many point to is met by a sample of these, drawn
+anew each round by a hash; all edges stay in the graph. A query starts at the sample nodes of
+its own leaves and expands the nearest unexpanded nodes of its beam, for all queries at once,
+until nothing is left to expand. What is found is ranked by exact distances in double precision.
 """
 
 from __future__ import annotations
@@ -23,8 +24,12 @@ from . import common
 K, TREES, LEAF, ROUNDS, SETTLED = 20, 3, 64, 5, 0.02
 #: The trees and the entry points are fitted on so many nodes at most, those of the smallest hash.
 SAMPLE = 4096
-#: Entry points of a query and nodes of its beam.
-ENTRIES, BEAM = 32, 192
+#: Nodes that point to one and are brought together with it in a round: all up to so many, else a sample of about as many.
+REVERSE = 3 * K
+#: Vectors that are compared with each other at once; a larger leaf is cut along one more direction.
+LARGEST = 4096
+#: Entry points of a query in each tree, and nodes of its beam.
+ENTRIES, BEAM = 16, 192
 RESULTS = 10
 
 
@@ -89,16 +94,40 @@ class Trees:
                 place = 2 * place + side
             self.trees.append((directions, cuts))
 
-    def leaves(self, x: np.ndarray) -> np.ndarray:
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """The place of each vector at the bottom of every tree."""
         out = np.empty((len(self.trees), len(x)), np.int64)
         for t, (directions, cuts) in enumerate(self.trees):
             place = np.ones(len(x), np.int64)
             for _ in range(self.depth):
                 place = 2 * place + (np.einsum("ij,ij->i", x, directions[place]) > cuts[place])
-            out[t] = (place << 8) + t
+            out[t] = place
         return out
 
 
+class Entries:
+    """The sample by its places in the trees: where a query enters the graph."""
+
+    def __init__(self, trees: Trees, ids: np.ndarray, sample: np.ndarray):
+        self.trees, self.ids, self.sample = trees, ids, sample
+        self.by = []
+        for places in trees.places(sample):
+            order = np.argsort(places, kind="stable")
+            self.by.append((order, places[order]))
+
+    def near(self, x: np.ndarray) -> list[np.ndarray]:
+        """Of each vector the sample nodes below the lowest place, in every tree, that has ENTRIES of them."""
+        found: list[list[np.ndarray]] = [[] for _ in range(len(x))]
+        for (order, sorted_), places in zip(self.by, self.trees.places(x), strict=True):
+            for i, place in enumerate(places.tolist()):
+                for up in range(self.trees.depth + 1):
+                    lo, hi = np.searchsorted(sorted_, ((place >> up) << up, ((place >> up) + 1) << up))
+                    if hi - lo >= ENTRIES:
+                        break
+                found[i].append(order[lo:hi])
+        return [common.distinct(np.concatenate(f)) for f in found]
+
+
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * (x @ y.T)
     return np.maximum(d, 0)
@@ -128,15 +157,15 @@ def edge_batch(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d), pa.array(np.ones(len(u), bool))], ["u", "v", "d", "fresh"])
 
 
-def groups(it: Iterator[pa.RecordBatch], key: str, columns: list[str]) -> Iterator[list]:
-    """Runs of equal key of sorted batches, as one list of rows for each column."""
+def groups(it: Iterator[pa.RecordBatch], key: str, columns: list[str], most: int | None = None) -> Iterator[list]:
+    """Runs of equal key of sorted batches, as one list of rows for each column; cut where a run has `most` rows."""
     held, now = [[] for _ in columns], None
     for batch in it:
         data = [batch.column(c).to_pylist() for c in columns]
         keys = batch.column(key).to_pylist()
         start = 0
         for i in range(1, len(keys) + 1):
-            if i == len(keys) or keys[i] != keys[start]:
+            if i == len(keys) or keys[i] != keys[start] or (most and len(held[0]) + i - start >= most):
                 if now is not None and keys[start] != now:
                     yield held
                     held = [[] for _ in columns]
@@ -144,24 +173,33 @@ def groups(it: Iterator[pa.RecordBatch], key: str, columns: list[str]) -> Iterat
                 for h, x in zip(held, data, strict=True):
                     h += x[start:i]
                 start = i
+                if most and len(held[0]) >= most:
+                    yield held
+                    held, now = [[] for _ in columns], None
     if now is not None:
         yield held
 
 
 def first_edges(nodes: DataFrame, trees: Trees) -> DataFrame:
-    """Edges among the nodes of a leaf; a leaf that grew beyond 4 LEAF is split further at medians."""
+    """Edges among the nodes of a leaf; a leaf that grew beyond 4 LEAF is split further at medians.
+
+    Leaves lie in order of place and, within one, along a direction, and are dealt out by ranges: a leaf
+    of any size is cut into blocks of LARGEST neighbours along it, whatever task they are in.
+    """
     shared = nodes.sparkSession.sparkContext.broadcast(trees)
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             if batch.num_rows:
-                leaves = shared.value.leaves(matrix(batch.column("vec")))
-                take = pa.array(np.tile(np.arange(batch.num_rows), len(leaves)))
-                yield pa.RecordBatch.from_arrays([pa.array(leaves.ravel()), batch.column("node").take(take), batch.column("vec").take(take)], ["leaf", "node", "vec"])
+                x = matrix(batch.column("vec"))
+                leaves = (shared.value.places(x) << 8) + np.arange(TREES)[:, None]
+                along = x @ np.random.default_rng(5).standard_normal((x.shape[1], TREES))
+                take = pa.array(np.tile(np.arange(batch.num_rows), TREES))
+                yield pa.RecordBatch.from_arrays([pa.array(leaves.ravel()), pa.array(along.T.ravel()), batch.column("node").take(take), batch.column("vec").take(take)], ["leaf", "along", "node", "vec"])
 
     def within(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(11)
-        for ids, vectors in groups(it, "leaf", ["node", "vec"]):
+        for ids, vectors in groups(it, "leaf", ["node", "vec"], LARGEST):
             ids, x = np.array(ids), np.frombuffer(b"".join(vectors), np.float64).reshape(len(ids), -1)
             todo = [np.arange(len(ids))]
             us, vs, ds = [], [], []
@@ -176,8 +214,8 @@ def first_edges(nodes: DataFrame, trees: Trees) -> DataFrame:
                 us.append(u), vs.append(v), ds.append(d)
             yield edge_batch(np.concatenate(us), np.concatenate(vs), np.concatenate(ds))
 
-    placed = nodes.select("node", "vec").mapInArrow(place, "leaf long, node long, vec binary")
-    return placed.repartition(common.partitions(nodes.sparkSession), "leaf").sortWithinPartitions("leaf").mapInArrow(within, EDGES)
+    placed = nodes.select("node", "vec").mapInArrow(place, "leaf long, along double, node long, vec binary")
+    return placed.repartitionByRange(common.partitions(nodes.sparkSession), "leaf", "along").sortWithinPartitions("leaf", "along", "node").mapInArrow(within, EDGES)
 
 
 def best_edges(edges: DataFrame) -> DataFrame:
@@ -203,10 +241,16 @@ def best_edges(edges: DataFrame) -> DataFrame:
     return edges.repartition(common.partitions(edges.sparkSession), "u").mapInArrow(keep, EDGES)
 
 
-def descend(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nearer pairs among the neighbours of every node, one of them fresh at least."""
+def descend(nodes: DataFrame, edges: DataFrame, turn: int) -> DataFrame:
+    """Nearer pairs among the neighbours of every node, one of them fresh at least.
+
+    Of nodes that point to one, all up to REVERSE are among its neighbours, else a sample of about REVERSE,
+    drawn by a hash before anything is brought together.
+    """
     ahead = edges.select(F.col("u").alias("c"), F.col("v").alias("m"), "d", "fresh")
-    back = edges.select(F.col("v").alias("c"), F.col("u").alias("m"), "d", "fresh")
+    hubs = common.materialize(edges.groupBy(F.col("v").alias("c")).agg(F.count("*").alias("n")).where(F.col("n") > REVERSE), "hubs")
+    back = edges.select(F.col("v").alias("c"), F.col("u").alias("m"), "d", "fresh").join(hubs, "c", "left")
+    back = back.where(F.col("n").isNull() | (F.pmod(F.xxhash64("c", "m", F.lit(turn)), F.col("n")) < REVERSE)).drop("n")
     far = edges.groupBy("u").agg(F.max("d").alias("far"), F.count("*").alias("n")).select(F.col("u").alias("m"), F.when(F.col("n") >= K, F.col("far")).otherwise(float("inf")).alias("far"))
     known = nodes.select(F.col("node").alias("m"), "vec").join(far, "m", "left")
     met = ahead.union(back).join(known, "m")
@@ -220,7 +264,7 @@ def descend(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         for m, d, fresh, vectors, far_ in groups(it, "c", ["m", "d", "fresh", "vec", "far"]):
             order = np.argsort(d, kind="stable")
             ids, first = np.unique(np.array(m)[order], return_index=True)
-            pick = order[np.sort(first)][: 3 * K]  # the nearest of a node that many point to
+            pick = order[np.sort(first)]
             ids = np.array(m)[pick]
             if len(ids) < 2:
                 continue
@@ -241,10 +285,10 @@ def descend(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 class Graph:
-    """Nodes, their neighbour lists, and the sample that queries enter by."""
+    """Nodes, edges (node, near) in both directions, and where queries enter."""
 
-    def __init__(self, nodes: DataFrame, lists: DataFrame, entries: tuple[np.ndarray, np.ndarray]):
-        self.nodes, self.lists, self.entries = nodes, lists, entries
+    def __init__(self, nodes: DataFrame, edges: DataFrame, entries: Entries):
+        self.nodes, self.edges, self.entries = nodes, edges, entries
 
 
 def build(vectors: DataFrame) -> Graph:
@@ -258,17 +302,18 @@ def build(vectors: DataFrame) -> Graph:
     total = nodes.count()
     got = nodes.orderBy(F.xxhash64("vec"), "node").limit(SAMPLE).select("node", "vec").toArrow()
     ids, sample = got.column("node").to_numpy(), matrix(got.column("vec"))
+    trees = Trees(sample, total)
+    entries = Entries(trees, ids, sample)
     if total == 0:
-        return Graph(nodes, nodes.select("node", F.array("node").alias("near")), (ids, sample))
-    edges = common.materialize(best_edges(first_edges(nodes, Trees(sample, total))), "edges")
-    for _ in range(ROUNDS):
-        edges = common.materialize(best_edges(edges.withColumn("fresh", F.lit(False)).union(descend(nodes, edges))), "edges")
+        return Graph(nodes, nodes.select("node", F.col("node").alias("near")), entries)
+    edges = common.materialize(best_edges(first_edges(nodes, trees)), "edges")
+    for turn in range(ROUNDS):
+        edges = common.materialize(best_edges(edges.withColumn("fresh", F.lit(False)).union(descend(nodes, edges, turn))), "edges")
         if edges.where("fresh").count() < SETTLED * K * total:
             break
     # both directions, so that a node that is near to few is found too
-    both = edges.select("u", "v").union(edges.select("v", "u"))
-    lists = common.materialize(both.groupBy(F.col("u").alias("node")).agg(F.collect_set("v").alias("near")), "graph")
-    return Graph(nodes, lists, (ids, sample))
+    both = edges.select(F.col("u").alias("node"), F.col("v").alias("near")).union(edges.select("v", "u")).distinct()
+    return Graph(nodes, common.materialize(both, "graph"), entries)
 
 
 BEAMS = "query long, qvec binary, found array<long>, dist array<double>, done array<boolean>"
@@ -287,19 +332,18 @@ def search(graph: Graph, queries: DataFrame, k: int = RESULTS) -> DataFrame:
     asked = usable(queries).select(F.col("vec_id").alias("query"), "vec").dropDuplicates(["query"])
 
     def enter(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x = entries.value
+        start = entries.value
         for batch in it:
-            if batch.num_rows == 0 or len(ids) == 0:
+            if batch.num_rows == 0 or len(start.ids) == 0:
                 continue
             column = batch.column("vec")
             q = column.values.to_numpy()[column.offsets[0].as_py() : column.offsets[-1].as_py()].reshape(batch.num_rows, -1)
-            if q.shape[1] != x.shape[1]:
+            if q.shape[1] != start.sample.shape[1]:
                 continue
             out = []
-            for a in range(0, len(q), 256):
-                d = distances(q[a : a + 256], x)
-                for row, i in zip(d, np.argsort(d, axis=1, kind="stable")[:, :ENTRIES], strict=True):
-                    out.append((ids[i].tolist(), row[i].tolist(), [False] * len(i)))
+            for row, near in zip(q, start.near(q), strict=True):
+                d = distances(row[None], start.sample[near])[0]
+                out.append((start.ids[near].tolist(), d.tolist(), [False] * len(near)))
             f, d, e = zip(*out, strict=True)
             yield beam_batch(batch.column("query"), [r.tobytes() for r in q], f, d, e)
 
@@ -329,7 +373,7 @@ def search(graph: Graph, queries: DataFrame, k: int = RESULTS) -> DataFrame:
         open_ = beams.select("query", F.explode(F.arrays_zip("found", "done")).alias("x")).where("not x.done").select("query", F.col("x.found").alias("node"))
         if open_.isEmpty():
             break
-        near = open_.join(graph.lists, "node").select("query", F.explode("near").alias("node")).distinct()
+        near = open_.join(graph.edges, "node").select("query", F.col("near").alias("node")).distinct()
         known = beams.select("query", "found")
         near = near.join(known, "query").where(~F.array_contains("found", F.col("node"))).select("query", "node")
         near = near.join(graph.nodes.select("node", "vec"), "node")
