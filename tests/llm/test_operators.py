@@ -409,9 +409,63 @@ def test_copies_ties_and_useless_vectors(spark):
     assert neighbours.search(neighbours.build(df.limit(0)), df.limit(0)).count() == 0
 
 
+def test_search_with_repeats_null_ids_extra_columns_and_huge_values(spark):
+    rows = [(1, [1.0, 0.0], 5), (1, [1.0, 0.0], 6), (None, [1.0, 0.1], 7), (2, [1e300, 0.0], 8), (3, [0.0, -1e300], 9), (4, [1e-300, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node long")
+    got = neighbours.search(neighbours.build(df), df).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert set(by) == {1, 2, 3, 4} and by[1] == [4, 2, 3] and len(got) == 12
+    assert [r["rank"] for r in got if r["query_id"] == 1] == [1, 2, 3]
+
+
+def test_hubs_are_sampled_and_the_rest_is_kept(spark, monkeypatch):
+    """One node that all others are nearest to: its reverse list is drawn from, and recall stays."""
+    monkeypatch.setattr(neighbours, "REVERSE", 10)
+    rng = np.random.default_rng(30)
+    shell = rng.normal(size=(700, 24))
+    shell /= np.linalg.norm(shell, axis=1)[:, None]
+    vectors = [(0, [0.0] * 23 + [1e-6]), *((k + 1, v.tolist()) for k, v in enumerate(shell))]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = neighbours.search(neighbours.build(df), df.where("vec_id % 50 = 1")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len(by[q] & set(exact(vectors, vectors[q]))) for q in by) >= 0.9 * 10 * len(by) and all(0 in v for v in by.values())
+
+
+def test_entries_are_few_and_a_leaf_of_any_size_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LARGEST", 70)
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(900, 8))
+    built = neighbours.build(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    found = built.entries.near(x[:50] / built.scale)
+    assert max(map(len, found)) < 0.4 * 900 and min(map(len, found)) >= neighbours.ENTRIES
+    assert built.edges.select("node").distinct().count() == 900
+
+
 # ------------------------------------------------------------------ archives, lists, secrets
 
 
+def test_archive_of_repeated_ids_with_extra_columns(spark):
+    rows = [(1, "http://a/", "z" * 150, "k", 1), (1, "http://a/", "z" * 150, "k", 1), (2, "http://b/", "z" * 150, None, 2), (3, None, "", "x", 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, key string, payload_bytes int")
+    archive = warc.write(df)
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.fetch(archive, archive.captures).collect())
+    assert got[-1] == (3, "response", None, 0) and got[-2] == (2, "revisit", 1, 150) and len(got) == 4 and sum(g[1] == "response" for g in got) == 3  # rows that share the smallest page_id all hold it
+
+
+def test_lists_empty_and_repeated(spark):
+    entries = spark.createDataFrame([("l", "domain", "bad.org", "add", "2024-01-02 00:00:00")] * 2, "list string, kind string, value string, action string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    df = spark.createDataFrame([("http://bad.org/", "2024-01-03 00:00:00")] * 3, "url string, fetched string").withColumn("fetched", F.col("fetched").cast("timestamp"))
+    spans = url_filters.intervals(entries)
+    assert [r["blocked"] for r in url_filters.judge(df, spans).collect()] == [True] * 3
+    assert [r["blocked"] for r in url_filters.judge(df, url_filters.intervals(entries.limit(0))).collect()] == [False] * 3
+    assert url_filters.judge(df.limit(0), spans).count() == 0
+
+
+
 def test_archive_round_trip(spark):
     rows = [(5, "http://a.com/x", "z" * 200), (3, "http://www.a.com/x#t", "z" * 200), (7, None, None), (None, "u", "z" * 200), (8, "http://b/ü?q\r\nX: y", "kurz"), (9, "http://b/", "kurz")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
