@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import calibration, coregistration, detection, filters, geometry, insar, matrix_filters, missions, polarimetry, polarimetry_models, raster, topsar
+from ..operators import calibration, coregistration, detection, filters, geometry, insar, matrix_filters, missions, polarimetry, polarimetry_models, raster, soil, topsar
 from ..sources import formats, orbits, products, sinks, tiff, views
 from ..streaming import events as streams
 from .graph import chain, shared_dir
@@ -716,6 +716,23 @@ def _(spark, d):
     return rounded(calibration.antenna_pattern(views.scene(spark, d), gains))
 
 
+def soils(spark, d):
+    """Dielectric constants 3 to 27, sand and clay by column and line."""
+    return views.scene(spark, d).select("y", "x", (3 + F.col("v") / 8).alias("rdc"), (F.col("x") * 0.5).alias("sand"), (F.col("y") % 40).cast("double").alias("clay"))
+
+
+SOILS = "so AS (SELECT y, x, 3 + v / 8 AS rdc, x * 0.5 AS sand, y % 40 * 1.0 AS clay FROM scene)"
+
+
+@query("hallikainen_moisture", sql([SCENE, SOILS, "k AS (SELECT *, 1.993 + 0.002 * sand + 0.015 * clay - rdc AS a, 38.086 - 0.176 * sand - 0.633 * clay AS b, 10.72 + 1.256 * sand + 1.522 * clay AS c FROM so)",
+    "r AS (SELECT y, x, b * b - 4 * a * c >= 0 AS real, (-b + sqrt(greatest(b * b - 4 * a * c, 0))) / (2 * c) AS m FROM k)"], "y, x, CASE WHEN real AND m BETWEEN 0 AND 0.55 THEN 0 ELSE 3 END AS quality", {"moisture": "CASE WHEN real AND m BETWEEN 0 AND 0.55 THEN m END"}, "r"))
+def _(spark, d):
+    return rounded(soil.hallikainen_moisture(soils(spark, d)))
+
+
+query("mironov_moisture")(lambda spark, d: rounded(soil.mironov_moisture(soils(spark, d), 5.405e9), 6))
+
+
 @query("lut_inversion", sql([SCENE, "l AS (SELECT k * 2.0 AS s, k * 0.01 AS rdc FROM (SELECT unnest(range(0, 100)) AS k))", "r AS (SELECT y, x, rdc, row_number() OVER (PARTITION BY y, x ORDER BY (s - v) * (s - v), rdc) AS n FROM scene, l)"], "y, x", {"rdc": "avg(rdc)"}, "r WHERE n <= 3", "GROUP BY y, x"))
 def _(spark, d):
     lut = spark.createDataFrame([(k * 2.0, k * 0.01) for k in range(100)], "v double, rdc double")

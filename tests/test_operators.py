@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import calibration, coregistration, detection, filters, geometry, insar, matrix_filters, polarimetry, polarimetry_models, raster, topsar
+from rasterloom.operators import calibration, coregistration, detection, filters, geometry, insar, matrix_filters, polarimetry, polarimetry_models, raster, soil, topsar
 from rasterloom.plans import catalog
 from rasterloom.sources import formats
 
@@ -466,3 +466,14 @@ def test_geocoding_by_tie_points(spark):
     for k in ((0, 0), (9, 10)):
         assert got[k]["v"] == pytest.approx(10 * k[0] + k[1], abs=1e-3)
     assert (got[3, 7]["line"], got[3, 7]["sample"]) == pytest.approx((3, 7), abs=0.05) and got[50, 50]["v"] is None and got[50, 50]["line"] is None
+
+
+def test_soil_models(spark):
+    m = np.linspace(0, 0.5, 51)
+    for clay in (10.0, 15.0, 45.0):  # with less clay the symmetric part, all of bound water, does not meet the rest
+        e = soil.mironov(m, np.full(51, clay), 18.0, 1.4e9)
+        assert (np.diff(e) > 0).all() and 2 < e[0] < 4 and 15 < e[-1] < 45
+        assert soil.mironov(np.array([0.02 - 1e-9]), np.array([clay]), 18.0, 1.4e9)[0] == pytest.approx(soil.mironov(np.array([0.02 + 1e-9]), np.array([clay]), 18.0, 1.4e9)[0], abs=1e-5)
+    rows = [(0, k, float(soil.mironov(np.array([v]), np.array([20.0]), 18.0, 5.4e9)[0]), 20.0) for k, v in enumerate((0.05, 0.2, 0.4))] + [(0, 3, None, 20.0), (0, 4, 9.0, None), (0, 5, 1.0, 20.0)]
+    out = soil.mironov_moisture(spark.createDataFrame(rows, "y long, x long, rdc double, clay double"), 5.4e9).orderBy("x").collect()
+    assert [r["moisture"] for r in out[:3]] == pytest.approx([0.05, 0.2, 0.4], abs=1e-6) and [r["quality"] for r in out] == [0, 0, 0, 1, 2, 3] and out[3]["moisture"] is None
