@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cx import Cx
 from ..functions.windows import box_sums
+from .geometry import ecef, orbit_of
 from .raster import tiles
 
 C = 299_792_458.0
@@ -348,14 +349,89 @@ def sbas(obs: DataFrame, epochs: Sequence[float], reference: int, wavelength: fl
     return obs.groupBy("y", (F.col("x") / 64).cast("long").alias("_part")).applyInPandas(run, "y long, x long, phase array<double>, displacement array<double>, velocity double, temporal_coherence double, pairs long")
 
 
-def phase_linking(stack: DataFrame, epochs: int, size: int = 7, least: int = 8, alpha: float = 0.05, estimator: str = "evd", tile: int = 32) -> DataFrame:
-    """Per pixel one phase per epoch from the coherence matrix of its statistically alike neighbours (Kolmogorov-Smirnov).
+def alike(kind: str, alpha: float, epochs: int):
+    """Test of two amplitude samples of the same length, sorted, for one distribution: (pixels, epochs) each to a flag per pixel.
+
+    ks: Kolmogorov-Smirnov. ad: Anderson-Darling over the pooled ranks (Scholz and Stephens). tlog: the means of
+    logarithms, of positive amplitudes, by their standard errors.
+    """
+    if kind == "ks":
+        limit = np.sqrt(-np.log(alpha / 2) / epochs)
+
+        def ks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            # the largest distance of two step functions is at a step of either
+            below = lambda p, q: (q[:, None, :] <= p[:, :, None]).mean(2)
+            return np.maximum(*(np.abs(below(p, a) - below(p, b)).max(1) for p in (a, b))) <= limit
+
+        return ks
+    if kind == "tlog":
+        # Two-sided limits of the normal distribution as they are commonly tabled for this test.
+        limit = 2.576 if alpha <= 0.01 else 2.326 if alpha <= 0.025 else 1.960
+
+        def tlog(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            with np.errstate(all="ignore"):
+                (m, u, n), (w, v, k) = ((np.nanmean(z, 1), np.nanvar(z, 1, ddof=1), (~np.isnan(z)).sum(1)) for z in (np.where(x > 0, np.log(np.where(x > 0, x, 1)), np.nan) for x in (a, b)))
+                error = np.sqrt(np.nan_to_num(u) / np.maximum(n, 1) + v / np.maximum(k, 1))
+                return (k > 1) & (~(error > 0) | (np.abs(np.nan_to_num(m) - w) <= limit * error))
+
+        return tlog
+    # Limits of the standardised two-sample statistic by significance.
+    limit = next(t for least, t in ((0.10, 1.226), (0.05, 1.961), (0.025, 2.718), (0.0, 3.752)) if alpha >= least)
+    n, j = 2 * epochs, np.arange(1, 2 * epochs)
+    inverse, h = 2 / epochs, (1 / j).sum()
+    g = sum(1 / ((n - i) * k) for i in range(1, n - 1) for k in range(i + 1, n))
+    powers = np.array([(4 * g - 6) + (10 - 6 * g) * inverse, 4 * (2 * g - 4) + 16 * h + (2 * g - 14 * h - 4) * inverse - 8 * h + 4 * g - 6, 4 * (6 * h + 2 * g - 2) + 2 * (4 * h - 4 * g + 6) + (2 * h - 6) * inverse + 4 * h, 4 * (2 * h + 6) - 8 * h])
+    variance = np.polyval(powers, n) / ((n - 1.0) * (n - 2) * (n - 3)) if n > 3 else 1.0
+    sigma = math.sqrt(variance) if variance > 0 else 1.0
+
+    def ad(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        first = np.argsort(np.concatenate([a, b], 1), 1, kind="stable") < epochs
+        count = np.cumsum(first, 1)[:, :-1]
+        total = ((n * count - j * epochs) ** 2 / (j * (n - j))).sum(1) * (n - 1) / n**2 * inverse
+        return (total - 1) / sigma <= limit
+
+    return ad
+
+
+def closure_phase(obs: DataFrame) -> DataFrame:
+    """Root mean square over all triplets (a, b), (b, c), (a, c) of a pixel's unwrapped phases (y, x, ref, sec, phase) of what they do not close by, wrapped; and their number."""
+    pair = lambda r, s, v: obs.select("y", "x", F.col("ref").alias(r), F.col("sec").alias(s), F.col("phase").alias(v))
+    met = pair("a", "b", "ab").join(pair("b", "c", "bc"), ["y", "x", "b"]).join(pair("a", "c", "ac"), ["y", "x", "a", "c"])
+    rest = F.col("ab") + F.col("bc") - F.col("ac")
+    rest = rest - 2 * math.pi * F.ceil((rest - math.pi) / (2 * math.pi))  # beyond -pi, at most pi
+    return met.groupBy("y", "x").agg(F.sqrt(F.avg(rest * rest)).alias("rms"), F.count("*").alias("triplets"))
+
+
+def baselines(grid: DataFrame, reference: DataFrame, secondary: DataFrame) -> DataFrame:
+    """Length, parallel and perpendicular baseline (positive where the secondary sees a steeper angle) at each cell (y, x, lat, lon, h).
+
+    Both positions are where the cell lies across the track; null where either orbit never passes it.
+    """
+    first, second = orbit_of(reference), orbit_of(secondary)
+
+    def run(it):
+        for pdf in it:
+            ground = ecef(pdf.lat.to_numpy(float), pdf.lon.to_numpy(float), pdf.h.to_numpy(float))
+            (t, r), (u, q) = first.zero_doppler(ground), second.zero_doppler(ground)
+            m, n = (o.at(np.nan_to_num(w, nan=o.t0))[0] for o, w in ((first, t), (second, u)))
+            length = np.linalg.norm(n - m, axis=1)
+            parallel = r - q
+            cosine = lambda p: ((p - ground) * ground).sum(1) / (np.linalg.norm(p - ground, axis=1) * np.linalg.norm(ground, axis=1))
+            perpendicular = np.sqrt(np.maximum(length**2 - parallel**2, 0)) * np.where(cosine(n) > cosine(m), 1, -1)
+            none = np.isnan(t) | np.isnan(u)
+            yield pd.DataFrame({"y": pdf.y, "x": pdf.x, **{k: np.where(none, np.nan, v) for k, v in (("length", length), ("parallel", parallel), ("perpendicular", perpendicular))}})
+
+    out = grid.select("y", "x", "lat", "lon", "h").mapInPandas(run, "y long, x long, length double, parallel double, perpendicular double")
+    return out.select("y", "x", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("length", "parallel", "perpendicular")])
+
+
+def phase_linking(stack: DataFrame, epochs: int, size: int = 7, least: int = 8, alpha: float = 0.05, estimator: str = "evd", tile: int = 32, selector: str = "ks") -> DataFrame:
+    """Per pixel one phase per epoch from the coherence matrix of its statistically alike neighbours (by the selector ks, ad or tlog).
 
     stack: y, x, epoch (0..n-1), i, q. estimator: evd (largest eigenvector) or emi (smallest of the inverse-modulus
     weighted matrix). Pixels with too few alike neighbours keep their own phases.
     """
-    h = size // 2
-    limit = np.sqrt(-np.log(alpha / 2) / epochs)
+    h, test = size // 2, alike(selector, alpha, epochs)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y0, x0 = int(pdf.y.min()), int(pdf.x.min())
@@ -366,25 +442,22 @@ def phase_linking(stack: DataFrame, epochs: int, size: int = 7, least: int = 8,
         own = pdf[(pdf.y // tile == ty) & (pdf.x // tile == tx)][["y", "x"]].drop_duplicates()
         at, to = own.y.to_numpy() - y0, own.x.to_numpy() - x0
         mine, height, width = ordered[at, to], *z.shape[:2]
-        alike, power = np.zeros(len(own), int), np.zeros((len(own), epochs))
+        count, power = np.zeros(len(own), int), np.zeros((len(own), epochs))
         c = np.zeros((len(own), epochs, epochs), complex)
-        steps = np.arange(1, epochs + 1) / epochs
         for dy, dx in ((i, j) for i in range(-h, h + 1) for j in range(-h, h + 1)):
             yy, xx = np.clip(at + dy, 0, height - 1), np.clip(to + dx, 0, width - 1)
             other, near = ordered[yy, xx], z[yy, xx]
             inside = (yy == at + dy) & (xx == to + dx) & ~np.isnan(near).any(1)
-            # the largest distance of two step functions is at a step of either
-            ks = np.maximum(*(np.abs((q[:, None, :] <= p[:, :, None]).mean(2) - (p[:, None, :] <= p[:, :, None]).mean(2)).max(1) for p, q in ((mine, other), (other, mine))))
-            like = inside & (ks <= limit)
+            like = inside & test(mine, other)
             part = np.where(like[:, None], near, 0)
-            alike += like
+            count += like
             power += np.abs(part) ** 2
             c += part[:, :, None] * part[:, None, :].conj()
         with np.errstate(all="ignore"):
             c /= np.sqrt(power[:, :, None] * power[:, None, :])
             first = z[at, to]
             phase, gamma = np.angle(first * first[:, :1].conj()), np.zeros(len(own))
-        good = (alike >= least) & ~np.isnan(c).any((1, 2))
+        good = (count >= least) & ~np.isnan(c).any((1, 2))
         if good.any():
             c = c[good]
             if estimator == "emi":
@@ -395,7 +468,7 @@ def phase_linking(stack: DataFrame, epochs: int, size: int = 7, least: int = 8,
             i, j = np.triu_indices(epochs, 1)
             linked = phase[good]
             gamma[good] = np.exp(1j * (np.angle(c[:, i, j]) - (linked[:, i] - linked[:, j]))).mean(1).real if epochs > 1 else 1.0
-        return own.assign(phase=phase.tolist(), temporal_coherence=gamma, alike=alike)
+        return own.assign(phase=phase.tolist(), temporal_coherence=gamma, alike=count)
 
     return tiles(stack, tile, tile, h).groupBy("ty", "tx").applyInPandas(run, "y long, x long, phase array<double>, temporal_coherence double, alike long")
 

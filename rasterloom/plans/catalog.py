@@ -480,6 +480,20 @@ def _(spark, d):
 ORACLE_SQL["sbas_inversion"] = sql([STACK, "q AS (SELECT pixel, list(v ORDER BY epoch) AS v, regr_slope(v, epoch * 12 / 365.25) AS regr_s FROM stack GROUP BY pixel)"], f"pixel // 100 AS y, pixel % 100 AS x, CAST({len(SBAS_PAIRS)} AS BIGINT) AS pairs", {"velocity": "-regr_s * 0.0555 / (4 * pi()) * 1000", "temporal_coherence": "1", **{f"phase{k}": f"v[{k + 1}] - v[3]" for k in range(64)}}, "q")
 
 
+@query("closure_phase", sql([STACK, "i AS (SELECT a.pixel, a.epoch AS r, b.epoch AS s, (b.v - a.v) * 3 + sin(a.epoch * b.epoch + a.pixel) AS p FROM stack a JOIN stack b ON a.pixel = b.pixel AND b.epoch BETWEEN a.epoch + 1 AND a.epoch + 2)",
+    "t AS (SELECT x.pixel, x.p + y.p - z.p AS c FROM i x JOIN i y ON x.pixel = y.pixel AND x.s = y.r JOIN i z ON x.pixel = z.pixel AND x.r = z.r AND y.s = z.s)", "w AS (SELECT pixel, c - 2 * pi() * ceil((c - pi()) / (2 * pi())) AS c FROM t)"], "pixel // 100 AS y, pixel % 100 AS x, count(*) AS triplets", {"rms": "sqrt(avg(c * c))"}, "w", "GROUP BY pixel", digits=5))
+def _(spark, d):
+    st = views.stack(spark, d)
+    a, b = (st.select("pixel", F.col("epoch").alias(k), F.col("v").alias(f"v_{k}")) for k in ("ref", "sec"))
+    near = a.select("*", F.explode(F.array(F.col("ref") + 1, F.col("ref") + 2)).alias("sec")).join(b, ["pixel", "sec"])
+    phase = (F.col("v_sec") - F.col("v_ref")) * 3 + F.sin(F.col("ref") * F.col("sec") + F.col("pixel"))
+    obs = near.select(F.expr("pixel div 100").alias("y"), (F.col("pixel") % 100).alias("x"), "ref", "sec", phase.alias("phase"))
+    return rounded(insar.closure_phase(obs), 5)
+
+
+query("baselines")(lambda spark, d: rounded(insar.baselines(terrain(spark, d), orbit(spark), orbit(spark, -300_200.0)), 4))
+
+
 @query("phase_linking")
 def _(spark, d):
     p = views.read(spark, d, "events").select(F.expr("event_id div 100").alias("y"), (F.col("event_id") % 100).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("epoch"), "value", "user_id")

@@ -477,3 +477,56 @@ def test_soil_models(spark):
     rows = [(0, k, float(soil.mironov(np.array([v]), np.array([20.0]), 18.0, 5.4e9)[0]), 20.0) for k, v in enumerate((0.05, 0.2, 0.4))] + [(0, 3, None, 20.0), (0, 4, 9.0, None), (0, 5, 1.0, 20.0)]
     out = soil.mironov_moisture(spark.createDataFrame(rows, "y long, x long, rdc double, clay double"), 5.4e9).orderBy("x").collect()
     assert [r["moisture"] for r in out[:3]] == pytest.approx([0.05, 0.2, 0.4], abs=1e-6) and [r["quality"] for r in out] == [0, 0, 0, 1, 2, 3] and out[3]["moisture"] is None
+
+
+# ------------------------------------------------------------------ selectors, closures, baselines
+
+
+def two_sample(a, b):
+    """The textbook two-sample Anderson-Darling statistic over pooled ranks."""
+    pooled = sorted([(x, 0) for x in a] + [(x, 1) for x in b])
+    n, m = len(a), len(pooled)
+    total, count = 0.0, 0
+    for j, (_, which) in enumerate(pooled[:-1], 1):
+        count += which == 0
+        total += (m * count - j * n) ** 2 / (j * (m - j))
+    return total * (m - 1) / m**2 * (1 / n + 1 / len(b))
+
+
+@pytest.mark.parametrize("kind", ["ks", "ad", "tlog"])
+def test_selectors_hold_their_level_and_tell_scales_apart(kind):
+    rng = np.random.default_rng(8)
+    draw = lambda scale: np.sort(rng.rayleigh(scale, (4000, 24)), 1)
+    test = insar.alike(kind, 0.05, 24)
+    a = draw(1.0)
+    assert 0.9 < test(a, draw(1.0)).mean() <= 1 and test(a, draw(2.5)).mean() < 0.15 and test(a, a).all()
+
+
+def test_selectors_against_plain_statistics():
+    rng = np.random.default_rng(9)
+    a, b = np.sort(rng.rayleigh(1.0, (300, 10)), 1), np.sort(rng.rayleigh(1.6, (300, 10)), 1)
+    ks = insar.alike("ks", 0.05, 10)(a, b)
+    for x, y, got in zip(a, b, ks, strict=True):
+        at = np.concatenate([x, y])
+        distance = max(abs((x <= v).mean() - (y <= v).mean()) for v in at)
+        assert got == (distance <= math.sqrt(-math.log(0.025) / 10))
+    ad, plain = insar.alike("ad", 0.05, 10)(a, b), [two_sample(x, y) for x, y in zip(a, b, strict=True)]
+    accepted, rejected = [v for v, g in zip(plain, ad, strict=True) if g], [v for v, g in zip(plain, ad, strict=True) if not g]
+    assert accepted and rejected and max(accepted) < min(rejected)
+    # the statistic's mean is 1 and its deviation about 0.75, so that the limit lies near 1 + 1.961 * 0.75
+    assert 2.2 < (max(accepted) + min(rejected)) / 2 < 2.8
+
+
+def test_closure_of_a_triplet(spark):
+    rows = [(0, 0, 0, 1, 1.0), (0, 0, 1, 2, 2.0), (0, 0, 0, 2, 2.5), (0, 0, 2, 3, 9.0), (0, 1, 0, 1, 4.0), (0, 1, 1, 2, 4.0), (0, 1, 0, 2, 0.0)]
+    out = {r["x"]: r for r in insar.closure_phase(spark.createDataFrame(rows, "y long, x long, ref int, sec int, phase double")).collect()}
+    assert out[0]["rms"] == pytest.approx(0.5) and out[0]["triplets"] == 1 and out[1]["rms"] == pytest.approx(8 - 2 * math.pi)
+
+
+def test_baselines_of_parallel_passes(spark):
+    cell = spark.createDataFrame([(0, 0, 45.0, 7.0, 0.0), (0, 1, -45.0, 7.0, 0.0)], "y long, x long, lat double, lon double, h double")
+    out = {r["x"]: r for r in insar.baselines(cell, catalog.orbit(spark), catalog.orbit(spark, -299_800.0)).collect()}
+    look = math.atan2(300_000, 700_000)
+    # 200 m to the east, towards the cell: the range gets shorter by 200 sin(look), the angle steeper
+    assert out[0]["length"] == pytest.approx(200, abs=0.1) and out[0]["parallel"] == pytest.approx(200 * math.sin(look), abs=0.1) and out[0]["perpendicular"] == pytest.approx(200 * math.cos(look), abs=0.2)
+    assert out[1]["length"] is None
