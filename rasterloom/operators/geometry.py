@@ -69,6 +69,26 @@ class Orbit:
         return t, np.where(inside, np.linalg.norm(ground - self.at((lo + hi) / 2)[0], axis=-1), np.nan)
 
 
+def ground_of(orbit: Orbit, sensor: Sensor, line: np.ndarray, sample: np.ndarray, h: np.ndarray, side: str = "right") -> np.ndarray:
+    """Earth-centred points at heights h above the ellipsoid that an image's lines and samples see: across the track, at the range, on the ellipsoid grown by h."""
+    p, v = orbit.at(sensor.first_time + line * sensor.interval)
+    r = sensor.near_range + sample * sensor.spacing
+    up = p / np.linalg.norm(p, axis=-1, keepdims=True)
+    across = np.cross(v, up) * (1 if side == "right" else -1)
+    across /= np.linalg.norm(across, axis=-1, keepdims=True)
+    altitude = np.linalg.norm(p, axis=-1) - A * 0.9983
+    drop = np.minimum(altitude, r * 0.999)
+    g = p - up * drop[:, None] + across * np.sqrt(np.maximum(r * r - drop * drop, 0))[:, None]
+    a, b = A + h, A * (1 - 1 / INVERSE_F) + h
+    axes = 1 / np.stack([a * a, a * a, b * b], -1)
+    for _ in range(25):  # Newton steps on the three conditions
+        d = g - p
+        error = np.stack([(d * v).sum(-1), (d * d).sum(-1) - r * r, ((g * g * axes).sum(-1) - 1) * A * A], -1)
+        slope = np.stack([v, 2 * d, 2 * g * axes * A * A], -2)
+        g = g - np.linalg.solve(slope, error[..., None])[..., 0]
+    return g
+
+
 def orbit_of(vectors: DataFrame, most: int = 10_000) -> Orbit:
     rows = sorted(tuple(r) for r in vectors.select("t", "px", "py", "pz").limit(most + 1).collect())
     if len(rows) > most:

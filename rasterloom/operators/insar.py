@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cx import Cx
 from ..functions.windows import box_sums
-from .geometry import ecef, orbit_of
+from .geometry import Sensor, ecef, ground_of, orbit_of
 from .raster import tiles
 
 C = 299_792_458.0
@@ -425,6 +425,33 @@ def baselines(grid: DataFrame, reference: DataFrame, secondary: DataFrame) -> Da
     return out.select("y", "x", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("length", "parallel", "perpendicular")])
 
 
+def phase_to_height(df: DataFrame, reference: DataFrame, secondary: DataFrame, sensor: Sensor, wavelength: float, lines: int, samples: int, points: int = 12, heights: int = 3, degree: int = 2, degree2: int = 3, highest: float = 5000.0, side: str = "right") -> DataFrame:
+    """Height of unwrapped topographic phase (y, x, phase), by polynomials that are fitted to the geometry.
+
+    At a grid of points x points places the phases of some heights above the ellipsoid are computed from both
+    orbits; a polynomial of the phase gives the height at each place, and one of line and sample its
+    coefficients everywhere. The fits are of bounded size; pixels are then one column expression.
+    """
+    first, second = orbit_of(reference), orbit_of(secondary)
+    yy, xx = (z.ravel() for z in np.meshgrid(np.linspace(0, max(lines - 1, 1), points), np.linspace(0, max(samples - 1, 1), points), indexing="ij"))
+    levels = np.linspace(0, highest, heights)
+    phase = np.empty((heights, len(yy)))
+    for k, h in enumerate(levels):
+        ground = ground_of(first, sensor, yy, xx, np.full(len(yy), h), side)
+        phase[k] = -4 * math.pi / wavelength * (sensor.near_range + xx * sensor.spacing - second.zero_doppler(ground)[1])
+    phase -= phase[0].copy()
+    scale = float(np.abs(phase).max()) or 1.0
+    alphas = np.array([np.polyfit(phase[:, i] / scale, levels, degree) for i in range(len(yy))])  # highest power first
+    powers = [(i, j) for i in range(degree2 + 1) for j in range(degree2 + 1 - i)]
+    ny, nx = max(lines - 1, 1), max(samples - 1, 1)
+    fit, *_ = np.linalg.lstsq(np.stack([(yy / ny) ** i * (xx / nx) ** j for i, j in powers], 1), alphas, rcond=None)
+    y, x, out = F.col("y") / ny, F.col("x") / nx, F.lit(0.0)
+    for k in range(degree + 1):
+        own = sum((float(c) * F.pow(y, F.lit(float(i))) * F.pow(x, F.lit(float(j))) for c, (i, j) in zip(fit[:, k], powers, strict=True)), F.lit(0.0))
+        out = out * (F.col("phase") / scale) + own
+    return df.select("y", "x", out.alias("height"))
+
+
 def phase_linking(stack: DataFrame, epochs: int, size: int = 7, least: int = 8, alpha: float = 0.05, estimator: str = "evd", tile: int = 32, selector: str = "ks") -> DataFrame:
     """Per pixel one phase per epoch from the coherence matrix of its statistically alike neighbours (by the selector ks, ad or tlog).
 

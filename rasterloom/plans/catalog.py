@@ -491,6 +491,7 @@ def _(spark, d):
     return rounded(insar.closure_phase(obs), 5)
 
 
+query("phase_to_height")(lambda spark, d: rounded(insar.phase_to_height(phases(spark, d), orbit(spark), orbit(spark, -300_200.0), SENSOR, 0.0555, 1000, 100), 3))
 query("baselines")(lambda spark, d: rounded(insar.baselines(terrain(spark, d), orbit(spark), orbit(spark, -300_200.0)), 4))
 
 

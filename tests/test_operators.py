@@ -530,3 +530,19 @@ def test_baselines_of_parallel_passes(spark):
     # 200 m to the east, towards the cell: the range gets shorter by 200 sin(look), the angle steeper
     assert out[0]["length"] == pytest.approx(200, abs=0.1) and out[0]["parallel"] == pytest.approx(200 * math.sin(look), abs=0.1) and out[0]["perpendicular"] == pytest.approx(200 * math.cos(look), abs=0.2)
     assert out[1]["length"] is None
+
+
+def test_ground_points_and_heights_from_phase(spark):
+    sensor, first, second = catalog.SENSOR, geometry.orbit_of(catalog.orbit(spark)), geometry.orbit_of(catalog.orbit(spark, -300_200.0))
+    rng = np.random.default_rng(12)
+    line, sample, h = rng.integers(0, 500, 40).astype(float), rng.integers(0, 400, 40).astype(float), rng.uniform(0, 4000, 40)
+    ground = geometry.ground_of(first, sensor, line, sample, h)
+    t, r = first.zero_doppler(ground)
+    assert np.allclose((t - sensor.first_time) / sensor.interval, line, atol=1e-3) and np.allclose((r - sensor.near_range) / sensor.spacing, sample, atol=1e-6)
+    lat = np.degrees(np.arctan2(ground[:, 2], np.hypot(ground[:, 0], ground[:, 1])))
+    assert (np.abs(lat - 45) < 2).all()
+    flat = geometry.ground_of(first, sensor, line, sample, np.zeros(40))
+    phase = -4 * math.pi / 0.0555 * (second.zero_doppler(flat)[1] - second.zero_doppler(ground)[1])
+    df = spark.createDataFrame([(int(y), int(x), float(p)) for y, x, p in zip(line, sample, phase, strict=True)], "y long, x long, phase double")
+    got = {(q["y"], q["x"]): q["height"] for q in insar.phase_to_height(df, catalog.orbit(spark), catalog.orbit(spark, -300_200.0), sensor, 0.0555, 500, 400).collect()}
+    assert max(abs(got[int(y), int(x)] - v) for y, x, v in zip(line, sample, h, strict=True)) < 1.0
