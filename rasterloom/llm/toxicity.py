@@ -8,7 +8,8 @@ labelled sentences, of each labelled document those that respond most, and a doc
 as toxic as its worst sentence.
 
 A kernel value counts as 0 where a word lacks too many of a landmark's letters (SHARE) or
-where it is below FLOOR; so most words of a text need no kernel at all.
+where it is below FLOOR; so most words of a text need no kernel at all. Both are part of the
+kernel, in training and scoring alike, for texts of any length.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ ORDER, DECAY, SHARE, FLOOR = 4, 0.65, 0.75, 0.35
 START = "^"
 #: Prefixes of so many letters and more may be landmarks, besides whole words.
 STEM = 4
-TOXIC_LANDMARKS, PLAIN_LANDMARKS = 52, 4
+TOXIC_LANDMARKS, PLAIN_LANDMARKS = 76, 4
+#: Words of the labelled rows whose stems are looked at, best first, and how many of the ranked stems and of the plain words.
+LOOKED_AT, RANKED, PLAIN = 1_500, 600, 400
 #: Longer words are cut into overlapping windows of this length, so that no letter is left out.
 WINDOW = 24
 #: Of a labelled document so many sentences, those that respond most, are learnt from.
@@ -249,7 +252,7 @@ def landmarks(texts: list[str], y: np.ndarray) -> Landmarks:
         return 2 * (a * np.log(a / e) + (b * np.log(b / (a + b - e)) if b else 0))
 
     seen: dict[str, float] = {}
-    first = np.lexsort((np.arange(len(names)), -(c1 / n1 - 3 * c0 / n0)))[:1500]
+    first = np.lexsort((np.arange(len(names)), -(c1 / n1 - 3 * c0 / n0)))[:LOOKED_AT]
     for i in first.tolist():
         for k in {*range(STEM, min(len(names[i]), WINDOW)), len(names[i])}:
             stem = names[i][:k]
@@ -259,9 +262,9 @@ def landmarks(texts: list[str], y: np.ndarray) -> Landmarks:
                 at = common.distinct(doc[np.searchsorted(word, lo) : np.searchsorted(word, hi)])
                 seen[stem] = ratio(float(bad[at].sum()), float((~bad[at]).sum()))
     ranked = sorted((s for s in seen if seen[s] > 0), key=lambda s: (-seen[s], -len(s), s))
-    plain = [names[i] for i in np.lexsort((np.arange(len(names)), -c0))[:400].tolist() if ORDER <= len(names[i]) <= WINDOW and c0[i] / n0 > c1[i] / n1]
+    plain = [names[i] for i in np.lexsort((np.arange(len(names)), -c0))[:PLAIN].tolist() if ORDER <= len(names[i]) <= WINDOW and c0[i] / n0 > c1[i] / n1]
     chosen: list[str] = []
-    for group, most, near in ((ranked[:600], TOXIC_LANDMARKS, 0.75), (plain, TOXIC_LANDMARKS + PLAIN_LANDMARKS, 0.6)):
+    for group, most, near in ((ranked[:RANKED], TOXIC_LANDMARKS, 0.75), (plain, TOXIC_LANDMARKS + PLAIN_LANDMARKS, 0.6)):
         for s in group:
             if len(chosen) >= most:
                 break
