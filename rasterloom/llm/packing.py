@@ -14,7 +14,7 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -129,44 +129,55 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFra
                     n += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["uid", "part", "k", "doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.lean(run), PIECES)
 
 
-def patterns_of(counts: np.ndarray, capacity: int, most: int = 6000) -> list[tuple[int, ...]]:
-    """Patterns of two to four lengths that occur and fill a sequence exactly.
+#: Shares of the fitted repeats that are tried.
+SHARES = (1.0, 0.95, 0.8, 0.6, 0.4, 0.2, 0.0)
 
-    counts[l] pieces have length l. All pairs are listed, then for each long piece the
-    completions by two and three pieces whose rarest length is most frequent.
+
+def patterns_of(counts: np.ndarray, capacity: int, most: int = 6000, each: int = 6) -> list[tuple[int, ...]]:
+    """Patterns of two to four lengths that occur and fill a sequence, or nearly so; those with the least room left come first.
+
+    counts[l] pieces have length l. For each length the completions by one piece and by two are
+    listed, the last piece being the longest that fits, and the best of the latter with one more
+    piece split in two; of equal room those whose rarest length is most frequent come first.
     """
-    found: list[tuple[int, ...]] = [(a, capacity - a) for a in range((capacity + 1) // 2, capacity) if counts[a] and counts[capacity - a]]
     have = np.flatnonzero(counts[:capacity])
-    scored: list[tuple[int, tuple[int, ...]]] = []
+    if len(have) == 0:
+        return []
+    fits = np.zeros(capacity + 1, np.int64)  # the longest length up to each room
+    fits[have] = have
+    fits = np.maximum.accumulate(fits)
+    scored: dict[tuple[int, ...], tuple[int, int]] = {}
+
+    def add(*lengths: int) -> None:
+        p = tuple(sorted((x for x in lengths if x), reverse=True))
+        if len(p) > 1:
+            scored[p] = (capacity - sum(p), -min(int(counts[x]) // p.count(x) for x in p))
+
     for a in have[::-1].tolist():
         rest = capacity - a
-        b = have[(have <= min(a, rest - 1)) & (have * 2 >= rest)]
-        c = rest - b
-        ok = counts[c] > 0
-        b, c = b[ok], c[ok]
-        score = np.minimum(np.minimum(counts[b], counts[c]), counts[a])
-        for i in np.argsort(-score, kind="stable")[:6].tolist():
-            scored.append((int(score[i]), (a, int(b[i]), int(c[i]))))
-            left = int(b[i])
-            d = have[(have < left) & (have * 2 >= left)]
-            e = left - d
-            d, e = d[counts[e] > 0], e[counts[e] > 0]
+        add(a, int(fits[min(rest, a)]))
+        b = have[(have <= min(a, rest)) & (have * 2 >= fits[rest])]
+        c = np.minimum(fits[rest - b], b)
+        order = np.lexsort((-np.minimum(counts[b], np.where(c > 0, counts[c], 0)), rest - b - c))[:each]
+        for i in order.tolist():
+            add(a, int(b[i]), int(c[i]))
+            left = rest - int(c[i])
+            d = have[(have < b[i]) & (have * 2 >= b[i])]
             if len(d):
-                j = int(np.argmax(np.minimum(counts[d], counts[e])))
-                four = tuple(sorted((a, int(c[i]), int(d[j]), int(e[j])), reverse=True))
-                scored.append((int(min(counts[list(four)])), four))
-    scored.sort(key=lambda x: (-x[0], x[1]))
-    return list(dict.fromkeys([*found, *(p for _, p in scored)]))[:most]
+                e = np.minimum(fits[left - d], d)
+                j = int(np.lexsort((-counts[d], left - d - e))[0])
+                add(a, int(c[i]), int(d[j]), int(e[j]))
+    return sorted(scored, key=lambda p: (*scored[p], p))[:most]
 
 
 def fitted(counts: np.ndarray, patterns: list[tuple[int, ...]], rounds: int = 300) -> np.ndarray:
     """Repeat counts x >= 0 that minimise the squared difference between the patterns' lengths and counts.
 
-    Multiplicative non-negative least squares steps on the sparse incidence, then rounded down
-    and, where rounding still overdraws a length, lowered until no length is overdrawn.
+    Multiplicative non-negative least squares steps on the sparse incidence, then rounded, and
+    lowered wherever that would overdraw a length.
     """
     if not patterns:
         return np.empty(0, np.int64)
@@ -178,14 +189,20 @@ def fitted(counts: np.ndarray, patterns: list[tuple[int, ...]], rounds: int = 30
     target = back(counts.astype(float))
     for _ in range(rounds):
         x *= target / np.maximum(back(at(x)), 1e-12)
-    whole = np.floor(x + 1e-6).astype(np.int64)
     left = counts.astype(np.int64).copy()
-    for i, p in enumerate(patterns):
-        need = {length: p.count(length) for length in p}
-        whole[i] = min(whole[i], *(left[length] // k for length, k in need.items()))
-        for length, k in need.items():
-            left[length] -= k * whole[i]
-    return whole
+
+    def taken(order: Iterable[int], most: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(patterns), np.int64)
+        for i in order:
+            need = {length: patterns[i].count(length) for length in patterns[i]}
+            out[i] = min(most[i], *(left[length] // k for length, k in need.items()))
+            for length, k in need.items():
+                left[length] -= k * out[i]
+        return out
+
+    whole = taken(range(len(patterns)), np.floor(x + 1e-6).astype(np.int64))
+    # where small counts leave only fractions, one repeat each, the largest remainders first
+    return whole + taken(np.argsort(whole - x, kind="stable").tolist(), np.ones(len(patterns), np.int64))
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -223,22 +240,40 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
     return [g for room in free for g in groups[room]]
 
 
+def layout_of(counts: np.ndarray, capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """Sequences by what they hold (lengths, repeats), and how many pieces the fitted patterns place.
+
+    The fit stands but for what costs sequences: patterns that leave much room are dropped, from the
+    roomiest on, and the repeats of the others lowered in steps, until what is left packs into the fewest
+    sequences; of equal counts the most patterns stay.
+    """
+    patterns = patterns_of(counts, capacity)
+    used = [(p, int(r)) for p, r in zip(patterns, fitted(counts, patterns), strict=True) if r]
+    rooms = sorted({capacity - sum(p) for p, _ in used})
+    best: tuple[int, int, list] | None = None
+    for limit in [*rooms[:: max(1, len(rooms) // 12)], *rooms[-1:]]:
+        for share in SHARES:
+            kept = [(p, k) for p, r in used if capacity - sum(p) <= limit and (k := int(r * share + 0.5))]
+            left = counts.copy()
+            for p, r in kept:
+                for length in p:
+                    left[length] -= r
+            layout = kept + best_fit(left, capacity)
+            placed = sum(len(p) * r for p, r in kept)
+            found = (sum(r for _, r in layout), -placed, layout)
+            if best is None or found[:2] < best[:2]:
+                best = found
+    if best is None:
+        return best_fit(counts, capacity), 0
+    return best[2], -best[1]
+
+
 def plan_of(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """Placement of every rank: rows (length, first rank, ranks, first sequence, offset)."""
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
-    patterns = patterns_of(counts, capacity)
-    repeats = fitted(counts, patterns)
-    layout = [(p, int(r)) for p, r in zip(patterns, repeats, strict=True) if r]
-    left = counts.copy()
-    for p, r in layout:
-        for length in p:
-            left[length] -= r
-    layout += best_fit(left, capacity)
-    alone = best_fit(counts, capacity)  # few documents make few patterns, which may cost more than they save
-    if sum(r for _, r in alone) < sum(r for _, r in layout):
-        layout = alone
+    layout, _ = layout_of(counts, capacity)
     rows, rank, sequence = [], [0] * (capacity + 1), 0
     for p, r in layout:
         offset = 0
