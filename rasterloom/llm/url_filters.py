@@ -16,6 +16,8 @@ from . import common
 
 #: Kinds of entries: exactly this host; this host and all below it; host and path from the start.
 HOST, DOMAIN, PREFIX = "host", "domain", "prefix"
+#: Tasks that the captures of one key are dealt over.
+SALTS = 16
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -66,9 +68,11 @@ def judge(captures: DataFrame, spans: DataFrame) -> DataFrame:
     host, path = parts(F.col("_url"))
     # the verdict depends on host, path and time alone: each of them is looked up once
     asked = named.select(host.alias("_host"), path.alias("_path"), "_at").where("_host <> '' and _at is not null").distinct()
-    asked = asked.select("*", F.explode(keys(F.col("_host"), F.col("_path"))).alias("k")).select("_host", "_path", "_at", F.col("k.kind").alias("kind"), F.col("k.value").alias("value"))
-    met = asked.join(spans, (asked["kind"] == spans["kind"]) & (asked["value"] == spans["value"]) & (F.col("_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("_at") < F.col("until"))))
-    found = met.groupBy("_host", "_path", "_at").agg(F.count("*").alias("_n"), F.min(F.struct(spans["kind"].alias("kind"), spans["value"].alias("value"), F.col("list"), F.col("since"))).alias("_by"))
+    asked = asked.select("*", F.explode(keys(F.col("_host"), F.col("_path"))).alias("k")).select("_host", "_path", "_at", F.col("k.kind").alias("kind"), F.col("k.value").alias("value"), F.pmod(F.xxhash64("_host", "_path", "_at"), F.lit(SALTS)).alias("salt"))
+    # a domain that a third of all captures share, such as com, is dealt over SALTS tasks
+    dealt = spans.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    met = asked.join(dealt, (asked["kind"] == dealt["kind"]) & (asked["value"] == dealt["value"]) & (asked["salt"] == dealt["salt"]) & (F.col("_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("_at") < F.col("until"))))
+    found = met.groupBy("_host", "_path", "_at").agg(F.count("*").alias("_n"), F.min(F.struct(dealt["kind"].alias("kind"), dealt["value"].alias("value"), F.col("list"), F.col("since"))).alias("_by"))
     whole = named.withColumns({"_h": host, "_p": path})
     out = whole.join(found, (whole["_h"] == found["_host"]) & (whole["_p"] == found["_path"]) & (whole["_at"] == found["_at"]), "left")
     name = lambda c: c if c not in captures.columns else f"url_{c}"
