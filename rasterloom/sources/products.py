@@ -1,4 +1,4 @@
-"""Products of missions: metadata and tables from their XML, pixels from the files beside it.
+"""Products of missions: metadata and tables from their XML or JSON, pixels from the files beside it.
 
 Every reader takes a path that Spark's binary source takes; the XML of a product is one record. What
 a mission calls the same thing stands in PATHS, so that a new mission is a new column of that table.
@@ -6,6 +6,7 @@ a mission calls the same thing stands in PATHS, so that a new mission is a new c
 
 from __future__ import annotations
 
+import json
 import struct
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -39,14 +40,26 @@ PATHS = {
         "calibration": "calibration/calibrationConstant/calFactor",
     },
 }
-PATHS["paz"] = PATHS["terrasarx"]
+PATHS["paz"], PATHS["spacety"] = PATHS["terrasarx"], PATHS["sentinel1"]
+PATHS["gaofen3"] = {
+    "mission": "satellite", "product_type": "productinfo/productType", "mode": "sensor/imagingMode", "start": "imageinfo/imagingTime/start", "stop": "imageinfo/imagingTime/end", "polarisation": "sensor/polarParams/polar/polarMode", "pass": "Direction",
+    "frequency": "sensor/RadarCenterFrequency", "lines": "imageinfo/height", "samples": "imageinfo/width", "range_spacing": "imageinfo/widthspace", "azimuth_spacing": "imageinfo/heightspace",
+}
+PATHS["capella"] = {
+    "mission": "collect/platform", "product_type": "product_type", "mode": "collect/mode", "start": "collect/start_timestamp", "stop": "collect/stop_timestamp", "polarisation": "collect/radar/transmit_polarization", "pass": "collect/state/direction", "frequency": "collect/radar/center_frequency",
+    "lines": "collect/image/rows", "samples": "collect/image/columns", "range_spacing": "collect/image/pixel_spacing_column", "azimuth_spacing": "collect/image/pixel_spacing_row", "line_time": "collect/image/image_geometry/delta_line_time", "calibration": "collect/image/scale_factor",
+}
+#: Units that are not ours: factors to Hz.
+FACTORS = {("gaofen3", "frequency"): 1e9}
 #: Of each mission: the vectors' element, its time, position and velocity.
 VECTORS = {
     "sentinel1": ("generalAnnotation/orbitList/orbit", "time", ("position/x", "position/y", "position/z"), ("velocity/x", "velocity/y", "velocity/z")),
     "radarsat2": ("sourceAttributes/orbitAndAttitude/orbitInformation/stateVector", "timeStamp", ("xPosition", "yPosition", "zPosition"), ("xVelocity", "yVelocity", "zVelocity")),
     "terrasarx": ("platform/orbit/stateVec", "timeUTC", ("posX", "posY", "posZ"), ("velX", "velY", "velZ")),
 }
-VECTORS["rcm"], VECTORS["paz"] = VECTORS["radarsat2"], VECTORS["terrasarx"]
+VECTORS["rcm"], VECTORS["paz"], VECTORS["spacety"] = VECTORS["radarsat2"], VECTORS["terrasarx"], VECTORS["sentinel1"]
+VECTORS["gaofen3"] = ("GPS/GPSParam", "TimeStamp", ("xPosition", "yPosition", "zPosition"), ("xVelocity", "yVelocity", "zVelocity"))
+VECTORS["capella"] = ("collect/state/state_vectors", "time", ("position/0", "position/1", "position/2"), ("velocity/0", "velocity/1", "velocity/2"))
 TEXT = ("mission", "product_type", "polarisation", "mode", "swath", "pass", "start", "stop")
 NUMBERS = ("orbit", "lines", "samples", "range_spacing", "azimuth_spacing", "line_time", "range_time", "frequency", "sampling_rate", "calibration")
 
@@ -59,6 +72,34 @@ def root_of(content: bytes) -> ET.Element:
     return root
 
 
+class Document:
+    """Metadata by paths, whether it is XML or JSON; a step into a list is its number."""
+
+    def __init__(self, node: ET.Element | dict | list):
+        self.node = node
+
+    @classmethod
+    def of(cls, content: bytes) -> Document:
+        return cls(json.loads(content) if content.lstrip()[:1] == b"{" else root_of(content))
+
+    def at(self, path: str) -> object:
+        if isinstance(self.node, ET.Element):
+            return self.node.findtext(path)
+        node = self.node
+        for step in path.split("/"):
+            node = node.get(step) if isinstance(node, dict) else node[int(step)] if isinstance(node, list) and int(step) < len(node) else None
+        return node
+
+    def text(self, path: str) -> str | None:
+        found = self.at(path)
+        return str(found).strip() or None if found is not None else None
+
+    def every(self, path: str) -> list[Document]:
+        if isinstance(self.node, ET.Element):
+            return [Document(e) for e in self.node.findall(path)]
+        return [Document(e) for e in self.at(path) or []]
+
+
 def _rows(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -67,7 +108,7 @@ def _rows(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
                     found = list(parse(content))
-                except (ET.ParseError, ValueError) as e:
+                except (ET.ParseError, ValueError, AttributeError) as e:
                     raise ValueError(f"{name}: {e}") from e
                 yield pd.DataFrame([(name, *r) for r in found], columns=names)
 
@@ -79,9 +120,9 @@ def metadata(spark: SparkSession, path: str, mission: str) -> DataFrame:
     paths = PATHS[mission]
 
     def parse(content: bytes):
-        root = root_of(content)
-        text = {k: (root.findtext(p) or "").strip() or None for k, p in paths.items()}
-        own = [text.get(k) for k in TEXT] + [float(text[k]) if text.get(k) else None for k in NUMBERS]
+        product = Document.of(content)
+        text = {k: product.text(p) for k, p in paths.items()}
+        own = [text.get(k) for k in TEXT] + [float(text[k]) * FACTORS.get((mission, k), 1.0) if text.get(k) else None for k in NUMBERS]
         yield (*own, *(days(text[k].rstrip("Z")) if text.get(k) else None for k in ("start", "stop")))
 
     schema = "file string, " + ", ".join(f"{k} string" for k in TEXT) + ", " + ", ".join(f"{k} double" for k in NUMBERS) + ", start_day double, stop_day double"
@@ -93,8 +134,8 @@ def state_vectors(spark: SparkSession, path: str, mission: str) -> DataFrame:
     element, when, position, velocity = VECTORS[mission]
 
     def parse(content: bytes):
-        for e in root_of(content).findall(element):
-            yield (days(e.findtext(when).strip().rstrip("Z")), *(float(e.findtext(p)) for p in (*position, *velocity)))
+        for e in Document.of(content).every(element):
+            yield (days(e.text(when).rstrip("Z")), *(float(e.text(p)) for p in (*position, *velocity)))
 
     return _rows(spark, path, parse, "file string, t double, x double, y double, z double, vx double, vy double, vz double")
 

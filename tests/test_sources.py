@@ -132,6 +132,21 @@ def test_products(spark, tmp_path):
         products.metadata(spark, s1, "sentinel1").collect()
 
 
+def test_products_in_json_and_other_units(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"product_type": "SLC", "collect": {"platform": "capella-2", "mode": "spotlight", "start_timestamp": "2021-01-01T06:00:00.000000Z", "radar": {"center_frequency": 9.65e9}, "image": {"rows": 7, "columns": 9, "pixel_spacing_row": 0.5, "scale_factor": 2e-3, "image_geometry": {"delta_line_time": 1e-4}}, "state": {"direction": "ascending", "state_vectors": [{"time": "2021-01-01T06:00:00Z", "position": [1, 2, 3], "velocity": [4, 5, 6]}, {"time": "2021-01-01T06:00:10Z", "position": [7, 8, 9], "velocity": [4, 5, 6]}]}}}')
+    c = str(tmp_path / "c.json")
+    r = products.metadata(spark, c, "capella").first()
+    assert (r["mission"], r["lines"], r["line_time"], r["frequency"], r["calibration"], r["range_spacing"], r["stop"]) == ("capella-2", 7, 1e-4, 9.65e9, 2e-3, None, None)
+    v = products.state_vectors(spark, c, "capella").orderBy("t").collect()
+    assert [(x["x"], x["vz"]) for x in v] == [(1, 6), (7, 6)] and v[0]["t"] == DAY + 0.25
+    (tmp_path / "g.xml").write_text("<product><satellite>GF3</satellite><Direction>ASC</Direction><sensor><RadarCenterFrequency>5.4</RadarCenterFrequency><imagingMode>FSI</imagingMode></sensor><imageinfo><width>4</width><height>3</height><imagingTime><start>2021-01-01 06:00:00.0</start></imagingTime></imageinfo><GPS><GPSParam><TimeStamp>2021-01-01 06:00:00.0</TimeStamp><xPosition>1</xPosition><yPosition>2</yPosition><zPosition>3</zPosition><xVelocity>4</xVelocity><yVelocity>5</yVelocity><zVelocity>6</zVelocity></GPSParam></GPS></product>")
+    g = str(tmp_path / "g.xml")
+    r = products.metadata(spark, g, "gaofen3").first()
+    assert (r["mission"], r["frequency"], r["lines"], r["pass"]) == ("GF3", pytest.approx(5.4e9), 3, "ASC") and products.state_vectors(spark, g, "gaofen3").first()["t"] == DAY + 0.25
+    (tmp_path / "s.xml").write_text(SENTINEL)
+    assert products.metadata(spark, str(tmp_path / "s.xml"), "spacety").first()["swath"] == "IW1"
+
+
 def test_sun_raster(spark, tmp_path):
     head = struct.pack(">8I", 0x59A66A95, 3, 2, 8, 8, 1, 0, 0)
     (tmp_path / "a.ras").write_bytes(head + bytes([1, 2, 3, 0, 4, 5, 6, 0]))
