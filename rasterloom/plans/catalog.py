@@ -682,6 +682,22 @@ def _(spark, d):
     return rounded(formats.read_bsq(spark, f"{folder}/phase_ifg.img", head, ["phase"]).select("y", "x", "phase"), 4)
 
 
+@query("scatterer_files", f"WITH {CPLX} SELECT y, x, round(CAST(CAST(i AS FLOAT) AS DOUBLE), 4) + 0.0 AS i, round(CAST(CAST(q AS FLOAT) AS DOUBLE), 4) + 0.0 AS q FROM cplx")
+def _(spark, d):
+    z = views.scene_cplx(spark, d)
+    where = z.select("y", "x", (45 + F.col("y") / 1000).alias("lat"), (7 + F.col("x") / 1000).alias("lon"), F.lit(0.0).alias("height"))
+    folder = stored(spark, sinks.stamps("20210101", {"20210101": z, "20210113": z}, {"20210113": z}, where, {"20210113": (12.5, -150.0)}, {"mission": "x"}))
+    par = spark.read.text(f"{folder}/rslc/20210113.rslc.par", wholetext=True).first()[0]
+    return rounded(products.read_gamma(spark, f"{folder}/diff0/20210101_20210113.diff", par).select("y", "x", "i", "q"), 4)
+
+
+@query("netcdf_files", sql([SCENE], "", {"bytes": "count(*) * 4 + 100"}, "scene", digits=0))
+def _(spark, d):
+    """Size of the file: the header and four bytes for each pixel."""
+    files = sinks.netcdf(views.scene(spark, d).select("y", "x", "v"), ["v"], "scene")
+    return rounded(files.select(F.length("content").cast("double").alias("bytes")), 0)
+
+
 @query("orbit_polynomials", sql(["t AS (SELECT DISTINCT event_id // 100 * 0.013 AS t FROM events)"], "", {"t": "t", "x": "7000 + 3 * t - 0.1 * t * t", "y": "t ** 3 * 0.01", "z": "5 - t", "vx": "3 - 0.2 * t", "vy": "0.03 * t * t", "vz": "-1"}, "t", digits=5))
 def _(spark, d):
     times = views.read(spark, d, "events").select((F.expr("event_id div 100") * 0.013).alias("t")).distinct()

@@ -26,11 +26,12 @@ def save(files: DataFrame, folder: str) -> int:
         store, root = pafs.FileSystem.from_uri(folder)
         for pdf in it:
             for name, content in zip(pdf["name"], pdf["content"], strict=True):
-                store.create_dir(root, recursive=True)
-                part = f"{root}/_{name}.part{np.random.default_rng().integers(2**62)}"
+                folder_, _, own = f"{root}/{name}".rpartition("/")
+                store.create_dir(folder_, recursive=True)
+                part = f"{folder_}/_{own}.part{np.random.default_rng().integers(2**62)}"
                 with store.open_output_stream(part) as out:
                     out.write(content)
-                store.move(part, f"{root}/{name}")
+                store.move(part, f"{folder_}/{own}")
             yield pd.DataFrame({"n": [len(pdf)]})
 
     return files.mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -142,6 +143,25 @@ def gamma_dem(df: DataFrame, name: str, meta: Mapping[str, object], band: str =
     return files.union(texts(df, {f"{name}.dem_par": par, f"{name}.diff_par": diff}))
 
 
+def stamps(reference: str, images: Mapping[str, DataFrame], differences: Mapping[str, DataFrame], located: DataFrame, baselines: Mapping[str, tuple[float, float]], meta: Mapping[str, object]) -> DataFrame:
+    """The folders that a persistent-scatterer chain reads, dates as names: rslc, diff0 and geo, all big-endian.
+
+    images: (y, x, i, q) of each date, the reference's among them; differences: interferograms of the reference
+    with each other date; located: (y, x, lat, lon, height); baselines: of each other date, parallel and perpendicular.
+    """
+    lines, samples = size(located)
+    both = lambda df, name: complex_raw(df.select("y", "x", "i", "q"), name, lines, samples, ">")
+    par = lambda date: gamma_par({"name": date, "lines": lines, "samples": samples, "format": "FCOMPLEX", **meta})
+    names = {"lat": f"geo/{reference}.lat", "lon": f"geo/{reference}.lon", "height": f"geo/{reference}_dem.rdc"}
+    files = assembled(located, ["lat", "lon", "height"], lines, samples, lambda band, a: (names[band], np.nan_to_num(a).astype(">f4").tobytes()))
+    for date, df in images.items():
+        files = files.union(both(df, f"rslc/{date}.rslc"))
+    for date, df in differences.items():
+        files = files.union(both(df, f"diff0/{reference}_{date}.diff"))
+    own = {f"rslc/{d}.rslc.par": par(d) for d in images} | {f"diff0/{reference}_{d}.base": f"initial_baseline(TCN):\t0.0\t{p}\t{n}\tm m m\n" for d, (p, n) in baselines.items()}
+    return files.union(texts(located, own))
+
+
 def polsarpro(df: DataFrame, elements: Sequence[str], kind: str = "full") -> DataFrame:
     """Matrix elements as little-endian floats with headers and the sizes (elements as c11, c12_re, c12_im ..)."""
     lines, samples = size(df)

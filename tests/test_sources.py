@@ -198,6 +198,19 @@ def test_unwrapper_and_time_series_files(spark, tmp_path):
     assert tiff.read(spark, str(tmp_path / "t" / "unw_20210101_20210113.tif"), ["v"]).agg(F.max("v")).first()[0] == 36.5
 
 
+def test_scatterer_chain_folders(spark, tmp_path):
+    z = scene(spark).select("y", "x", F.col("v").alias("i"), (-F.col("v")).alias("q"))
+    where = scene(spark).select("y", "x", (45 + F.col("y")).cast("double").alias("lat"), (7 + F.col("x")).cast("double").alias("lon"), F.col("v").alias("height"))
+    files = sinks.stamps("20210101", {"20210101": z, "20210113": z}, {"20210113": z}, where, {"20210113": (12.5, -150.0)}, {"mission": "S1A"})
+    assert sinks.save(files, str(tmp_path / "s")) == 9
+    names = sorted(str(p.relative_to(tmp_path / "s")) for p in (tmp_path / "s").rglob("*") if p.is_file())
+    assert names == ["diff0/20210101_20210113.base", "diff0/20210101_20210113.diff", "geo/20210101.lat", "geo/20210101.lon", "geo/20210101_dem.rdc", "rslc/20210101.rslc", "rslc/20210101.rslc.par", "rslc/20210113.rslc", "rslc/20210113.rslc.par"]
+    par = (tmp_path / "s" / "rslc" / "20210113.rslc.par").read_text()
+    back = products.read_gamma(spark, str(tmp_path / "s" / "rslc" / "20210113.rslc"), par)
+    assert back.count() == 30 and back.agg(F.max("i")).first()[0] == 36.5
+    assert np.frombuffer((tmp_path / "s" / "geo" / "20210101.lat").read_bytes(), ">f4")[-1] == 50
+
+
 def test_tiff_xml_and_netcdf(spark, tmp_path):
     names = saved(sinks.geotiff(scene(spark).where("not (y = 0 and x = 0)"), ["v"], "out", {"a & b": "<1>"}, (1.0, 1.0, 0.0), (0.0, 0.0)), tmp_path / "x")
     assert names == ["out.tif", "out.xml"] and products.root_of((tmp_path / "x" / "out.xml").read_bytes()).find("attribute").text == "<1>"
