@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cx import Cx
 from .polarimetry import EPS, _eigen, db, elements, over, stokes
 
 # Kennaugh matrices of the trihedral, cylinder, narrow dihedral and dihedral, as diagonals and the (1, 2) element.
@@ -68,6 +69,60 @@ def random_volume(c2: DataFrame, hand: str = "right") -> DataFrame:
     return s.select("y", "x", F.col("_alpha").alias("alpha"), (0.5 * g0 * (1 - m)).alias("mv"), (2 * g0 * m).alias("ms"), F.atan2(sign * g2, g1).alias("phi"), (m * g0 * (1 - cosine) / 2).alias("double"), ((1 - m) * g0).alias("volume"), (m * g0 * (1 + cosine) / 2).alias("surface"))
 
 
+def distortion(covariance: np.ndarray, rounds: int = 4) -> np.ndarray:
+    """The 4 x 4 distortion of (HH, HV, VH, VV) that leaves a scene's covariance without imbalance and crosstalk.
+
+    In every round the imbalance comes from the co-polarised powers and half the phase between them, the
+    crosstalk from the correlations of co- with cross-polarised channels, both to first order; rounds are
+    composed, so that the whole imbalance is in the result. One round is the non-iterative form.
+    """
+    whole, c = np.eye(4, dtype=complex), covariance.astype(complex)
+    for _ in range(rounds):
+        p, q = c[0, 0].real, c[3, 3].real
+        if p <= 0 or q <= 0:
+            break
+        f = np.sqrt(q / p) * np.exp(-0.5j * np.angle(c[0, 3]))
+        step = np.kron([[1, 0], [0, np.sqrt(f)]], [[1, 0], [0, np.sqrt(f)]])
+        # what leaks from a co-polarised channel into a cross-polarised one stands in their correlation
+        flat = np.linalg.inv(step) @ c @ np.linalg.inv(step).conj().T
+        d1, d2, d3, d4 = flat[1, 0] / flat[0, 0].real, flat[2, 0] / flat[0, 0].real, flat[1, 3] / flat[3, 3].real, flat[2, 3] / flat[3, 3].real
+        leak = np.eye(4, dtype=complex)
+        leak[1, 0], leak[2, 0], leak[1, 3], leak[2, 3] = d1, d2, d3, d4
+        leak[0, 1], leak[0, 2], leak[3, 1], leak[3, 2] = d3, d4, d1, d2
+        step = step @ leak
+        whole = whole @ step
+        inverse = np.linalg.inv(step)
+        c = inverse @ c @ inverse.conj().T
+    return whole
+
+
+def polarimetric_calibration(df: DataFrame, stride: int = 10, rounds: int = 4) -> DataFrame:
+    """Scattering matrices (y, x, hh_i .. vv_q) without channel imbalance and crosstalk, which the scene's own covariance tells.
+
+    The covariance is one aggregate over every stride-th line and sample; pixels are one column expression.
+    """
+    pols = ("hh", "hv", "vh", "vv")
+    z = [Cx.of(f"{p}_i", f"{p}_q") for p in pols]
+    sums = []
+    for i in range(4):
+        for j in range(i, 4):
+            w = z[i] * z[j].conj()
+            sums += [F.avg(w.re).alias(f"r{i}{j}"), F.avg(w.im).alias(f"m{i}{j}")]
+    row = df.where((F.col("y") % stride == 0) & (F.col("x") % stride == 0)).agg(*sums).first()
+    c = np.zeros((4, 4), complex)
+    for i in range(4):
+        for j in range(i, 4):
+            c[i, j] = (row[f"r{i}{j}"] or 0.0) + 1j * (row[f"m{i}{j}"] or 0.0)
+            c[j, i] = c[i, j].conj()
+    inverse = np.linalg.inv(distortion(c, rounds))
+    out = []
+    for i, p in enumerate(pols):
+        re = sum((z[j].re * float(inverse[i, j].real) - z[j].im * float(inverse[i, j].imag) for j in range(4)), F.lit(0.0))
+        im = sum((z[j].re * float(inverse[i, j].imag) + z[j].im * float(inverse[i, j].real) for j in range(4)), F.lit(0.0))
+        out += [re.alias(f"{p}_i"), im.alias(f"{p}_q")]
+    return df.select("y", "x", *out)
+
+
 def _norm(k: dict[str, Column]) -> Column:
     """Frobenius norm of a symmetric matrix of named elements."""
     return F.sqrt(sum(((1 if a[0] == a[1] else 2) * v * v for a, v in k.items()), F.lit(0.0)))

@@ -893,6 +893,7 @@ query("polarimetric_parameters")(lambda spark, d: rounded(polarimetry.parameters
 query("faraday_rotation")(lambda spark, d: rounded(polarimetry.faraday(views.quad(spark, d), 5)))
 query("orientation_angle")(lambda spark, d: rounded(polarimetry.orientation(t3(spark, d))))
 query("snr_correction")(lambda spark, d: rounded(polarimetry.snr_correction(views.quad(spark, d), 5)))
+query("polarimetric_calibration")(lambda spark, d: rounded(polarimetry_models.polarimetric_calibration(views.quad(spark, d)), 5))
 query("eigen_angles")(lambda spark, d: rounded(polarimetry_models.eigen_angles(polarimetry.averaged(t3(spark, d), 3, "t", 5)), 5))
 query("yang")(lambda spark, d: rounded(polarimetry_models.yang(polarimetry.averaged(t3(spark, d), 3, "t", 5))))
 query("yang_decibels")(lambda spark, d: rounded(polarimetry_models.yang_decibels(polarimetry.averaged(t3(spark, d), 3, "t", 5))))

@@ -546,3 +546,22 @@ def test_ground_points_and_heights_from_phase(spark):
     df = spark.createDataFrame([(int(y), int(x), float(p)) for y, x, p in zip(line, sample, phase, strict=True)], "y long, x long, phase double")
     got = {(q["y"], q["x"]): q["height"] for q in insar.phase_to_height(df, catalog.orbit(spark), catalog.orbit(spark, -300_200.0), sensor, 0.0555, 500, 400).collect()}
     assert max(abs(got[int(y), int(x)] - v) for y, x, v in zip(line, sample, h, strict=True)) < 1.0
+
+
+def test_polarimetric_calibration_takes_off_planted_distortion(spark):
+    rng = np.random.default_rng(14)
+    n = 3600
+    noise = lambda k: (rng.normal(size=n) + 1j * rng.normal(size=n)) * math.sqrt(k / 2)
+    hh = noise(1.0)
+    hv = noise(0.1)
+    clean = np.stack([hh, hv, hv, 0.6 * hh + noise(0.64)])
+    r, t = np.array([[1, 0.04j], [0.05, 0.9 * np.exp(0.3j)]]), np.array([[1, -0.03], [0.02 + 0.02j, 0.9 * np.exp(0.3j)]])
+    seen = np.kron(r, t) @ clean
+    rows = [(k // 60, k % 60, *(float(v) for z in seen[:, k] for v in (z.real, z.imag))) for k in range(n)]
+    df = spark.createDataFrame(rows, "y long, x long, " + ", ".join(f"{p}_{c} double" for p in ("hh", "hv", "vh", "vv") for c in "iq"))
+    out = polarimetry_models.polarimetric_calibration(df, stride=1).toPandas().sort_values(["y", "x"])
+    z = np.stack([out[f"{p}_i"] + 1j * out[f"{p}_q"] for p in ("hh", "hv", "vh", "vv")])
+    c, before = z @ z.conj().T / n, seen @ seen.conj().T / n
+    assert c[3, 3].real / c[0, 0].real == pytest.approx(1, abs=0.02) and abs(np.angle(c[0, 3])) < 0.05 and abs(np.angle(before[0, 3])) > 0.5
+    for i, j in ((0, 1), (0, 2), (3, 1), (3, 2)):
+        assert abs(c[i, j]) < 0.25 * abs(before[i, j]) + 0.005
