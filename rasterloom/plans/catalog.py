@@ -591,12 +591,12 @@ def _(spark, d):
     return rounded(spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "image long, shift double"))
 
 
-@query("orbit_interpolation", sql(["t AS (SELECT event_id * 0.0103 AS t FROM events)"], "", {"t": "t", "px": "7000 + 3 * t - 0.1 * t * t", "py": "t ** 3 * 0.01", "pz": "5 - t"}, "t"))
+@query("orbit_interpolation", sql(["t AS (SELECT event_id * 0.0103 AS t FROM events)"], "", {"t": "t", "px": "7000 + 3 * t - 0.1 * t * t", "py": "t ** 3 / 97", "pz": "5 - t"}, "t"))
 def _(spark, d):
     points = views.read(spark, d, "events").select((F.col("event_id") * 0.0103).alias("t"))
     end = extent(points, "t")
     step = max(1, end // 5000 + 1)  # the orbit's size stays bounded
-    vectors = spark.createDataFrame([(float(t), 7000 + 3.0 * t - 0.1 * t * t, t**3 * 0.01, 5.0 - t) for t in range(-10 * step, end + 11 * step, step)], "t double, px double, py double, pz double")
+    vectors = spark.createDataFrame([(float(t), 7000 + 3.0 * t - 0.1 * t * t, t**3 / 97, 5.0 - t) for t in range(-10 * step, end + 11 * step, step)], "t double, px double, py double, pz double")
     return rounded(topsar.lagrange_orbit(points, vectors))
 
 
@@ -626,19 +626,19 @@ MISSIONS = {
     "terrasarx_sigma": ("terrasarx", "complex", "sigma", {"constant": 0.02, "noise": True}, f"0.02 * abs(i * i + q * q - x) * sin{_theta}"),
     "terrasarx_gamma": ("terrasarx", "complex", "gamma", {"constant": 0.02}, f"0.02 * (i * i + q * q) * tan{_theta}"),
     "paz_beta": ("paz", "complex", "beta", {"constant": 0.03}, "0.03 * (i * i + q * q)"),
-    "radarsat2_sigma": ("radarsat2", "complex", "sigma", {}, "(i * i + q * q) / (10 + x) ** 2"),
-    "radarsat2_detected": ("radarsat2", "amplitude", "sigma", {"offset": 2.0}, "(v * v + 2) / (10 + x)"),
-    "rcm_gamma": ("rcm", "complex", "gamma", {}, f"(i * i + q * q) / (10 + x) ** 2 / cos{_theta}"),
+    "radarsat2_sigma": ("radarsat2", "complex", "sigma", {}, "(i * i + q * q) / (10.3 + x) ** 2"),
+    "radarsat2_detected": ("radarsat2", "amplitude", "sigma", {"offset": 2.0}, "(v * v + 2) / (10.3 + x)"),
+    "rcm_gamma": ("rcm", "complex", "gamma", {}, f"(i * i + q * q) / (10.3 + x) ** 2 / cos{_theta}"),
     "kompsat5_sigma": ("kompsat5", "complex", "sigma", {"rescale": 3.0, "constant": 0.1, "cell": 4.0}, f"(i * i + q * q) * 9 * 0.1 / 4 * sin{_theta}"),
-    "nisar_sigma": ("nisar", "complex", "sigma", {"retro": True}, "(i * i + q * q) * (1 + 0.01 * x) / 0.5"),
-    "biomass_beta": ("biomass", "complex", "beta", {}, f"(i * i + q * q) * (1 + 0.01 * x) / sin{_theta}"),
-    "spacety_sigma": ("spacety", "complex", "sigma", {"retro": True}, "(i * i + q * q) / (1 + 0.01 * x) ** 2 * 0.25"),
-    "ers_sigma": ("ers", "complex", "sigma", {"constant": 100.0, "reference": 0.4, "reference_range": 800.0, "gain": True}, f"(i * i + q * q) * sin{_theta} / (100 * sin(0.4)) * ((800 + x) / 800) ** 3 / (10 + x) ** 2"),
+    "nisar_sigma": ("nisar", "complex", "sigma", {"retro": True}, "(i * i + q * q) * (1.013 + 0.01 * x) / 0.5"),
+    "biomass_beta": ("biomass", "complex", "beta", {}, f"(i * i + q * q) * (1.013 + 0.01 * x) / sin{_theta}"),
+    "spacety_sigma": ("spacety", "complex", "sigma", {"retro": True}, "(i * i + q * q) / (1.013 + 0.01 * x) ** 2 * 0.25"),
+    "ers_sigma": ("ers", "complex", "sigma", {"constant": 100.0, "reference": 0.4, "reference_range": 800.0, "gain": True}, f"(i * i + q * q) * sin{_theta} / (100 * sin(0.4)) * ((800 + x) / 800) ** 3 / (10.3 + x) ** 2"),
     "asar_gamma": ("asar", "complex", "gamma", {"constant": 100.0}, f"(i * i + q * q) / 100 * tan{_theta}"),
 }
 for _name, (_mission, _unit, _output, _meta, _sql) in MISSIONS.items():
     query(f"calibrate_{_name}", sql([CPLX, SCENE] if _unit == "complex" else [SCENE], "y, x", {_output: _sql}, "cplx" if _unit == "complex" else "scene"))(
-        lambda spark, d, m=_mission, u=_unit, o=_output, k=_meta: rounded(missions.calibrate((views.scene_cplx if u == "complex" else views.scene)(spark, d).withColumns({"theta": 0.5 + F.col("x") / 1000, "gain": 10.0 + F.col("x"), "noise": F.col("x").cast("double"), "lut": 1 + 0.01 * F.col("x"), "retro": F.lit(0.5), "range": 800.0 + F.col("x")}), m, u, o, **k))
+        lambda spark, d, m=_mission, u=_unit, o=_output, k=_meta: rounded(missions.calibrate((views.scene_cplx if u == "complex" else views.scene)(spark, d).withColumns({"theta": 0.5 + F.col("x") / 1000, "gain": 10.3 + F.col("x"), "noise": F.col("x").cast("double"), "lut": 1.013 + 0.01 * F.col("x"), "retro": F.lit(0.5), "range": 800.0 + F.col("x")}), m, u, o, **k))
     )
 
 
@@ -890,7 +890,7 @@ def _(spark, d):
 
 query("h_a_alpha")(lambda spark, d: rounded(polarimetry.h_a_alpha(polarimetry.averaged(t3(spark, d), 3, "t", 5))))
 query("polarimetric_parameters")(lambda spark, d: rounded(polarimetry.parameters(polarimetry.averaged(t3(spark, d), 3, "t", 5))))
-query("faraday_rotation")(lambda spark, d: rounded(polarimetry.faraday(views.quad(spark, d), 5)))
+query("faraday_rotation")(lambda spark, d: rounded(polarimetry.faraday(views.quad(spark, d), 5), 6))
 query("orientation_angle")(lambda spark, d: rounded(polarimetry.orientation(t3(spark, d))))
 query("snr_correction")(lambda spark, d: rounded(polarimetry.snr_correction(views.quad(spark, d), 5)))
 query("polarimetric_calibration")(lambda spark, d: rounded(polarimetry_models.polarimetric_calibration(views.quad(spark, d)), 5))
@@ -981,12 +981,12 @@ def _(spark, d):
     return rounded(polarimetry.compact(c2(spark, d), "m_delta"), 4)
 
 
-query("compact_m_chi")(lambda spark, d: rounded(polarimetry.compact(c2(spark, d), "m_chi")))
-query("compact_m_alpha")(lambda spark, d: rounded(polarimetry.compact(c2(spark, d), "m_alpha")))
-query("compact_h_alpha")(lambda spark, d: rounded(polarimetry.h_a_alpha(polarimetry.averaged(c2(spark, d), 2, "c", 5), 2, "c")))
-query("compact_mf3cc")(lambda spark, d: rounded(polarimetry.mf3cc(c2(spark, d))))
+query("compact_m_chi")(lambda spark, d: rounded(polarimetry.compact(c2(spark, d), "m_chi"), 4))
+query("compact_m_alpha")(lambda spark, d: rounded(polarimetry.compact(c2(spark, d), "m_alpha"), 4))
+query("compact_h_alpha")(lambda spark, d: rounded(polarimetry.h_a_alpha(polarimetry.averaged(c2(spark, d), 2, "c", 5), 2, "c"), 5))
+query("compact_mf3cc")(lambda spark, d: rounded(polarimetry.mf3cc(c2(spark, d)), 5))
 query("compact_simulation")(lambda spark, d: rounded(polarimetry.simulate_compact(views.quad(spark, d))))
-query("compact_vegetation_index")(lambda spark, d: rounded(polarimetry.compact_vegetation(polarimetry.averaged(c2(spark, d), 2, "c", 5))))
+query("compact_vegetation_index")(lambda spark, d: rounded(polarimetry.compact_vegetation(polarimetry.averaged(c2(spark, d), 2, "c", 5)), 6))
 
 
 @query("dual_pol_ratio_indices", sql([QUAD, C2], "y, x", {"rfdi": "CASE WHEN c11 + c22 > 0 AND c11 > 0 THEN (c11 - c22) / (c11 + c22) END", "cross_ratio": "CASE WHEN c11 > 0 THEN c22 / c11 END", "cross_ratio_db": "CASE WHEN c11 > 0 AND c22 > 0 THEN 10 * log10(c22 / c11) END", "span": "c11 + c22"}, "c2"))
@@ -1019,7 +1019,7 @@ def _(spark, d):
 def _(spark, d):
     a = polarimetry.averaged(c2(spark, d), 2, "c", 5)
     b = a.withColumns({"c11": F.col("c11") * (1 + F.col("x") % 3), "c22": F.col("c22") * (1 + F.col("x") % 3)})
-    return rounded(polarimetry.change_test(a, b, 5.0))
+    return rounded(polarimetry.change_test(a, b, 5.0), 5)
 
 
 @query("h_alpha_wishart")
@@ -1054,6 +1054,38 @@ def _(spark, d):
     return rounded(polarimetry.dual_pol_powers(dp(spark, d), factorised=True))
 
 
+# --- the same in SQL for queries above that have closed forms --------------------------------
+
+ORACLE_SQL["srgr_cubic"] = sql([SCENE, "g AS (SELECT DISTINCT y FROM scene)", "t AS (SELECT y, unnest(range(0, 120)) AS x FROM g)", "u AS (SELECT y, x, CAST(floor(0.5 + 0.8 * x) AS BIGINT) AS s, 0.5 + 0.8 * x - floor(0.5 + 0.8 * x) AS t FROM t)"], "u.y, u.x", {"v": "a.v * (-0.5 * t ** 3 + t * t - 0.5 * t) + b.v * (1.5 * t ** 3 - 2.5 * t * t + 1) + c.v * (-1.5 * t ** 3 + 2 * t * t + 0.5 * t) + d.v * (0.5 * t ** 3 - 0.5 * t * t)"}, "u JOIN scene a ON a.y = u.y AND a.x = s - 1 JOIN scene b ON b.y = u.y AND b.x = s JOIN scene c ON c.y = u.y AND c.x = s + 1 JOIN scene d ON d.y = u.y AND d.x = s + 2")
+_k4 = {"1": ("(hh_i + vv_i)", "(hh_q + vv_q)"), "2": ("(hh_i - vv_i)", "(hh_q - vv_q)"), "3": ("(hv_i + vh_i)", "(hv_q + vh_q)"), "4": ("(vh_q - hv_q)", "(hv_i - vh_i)")}
+_t4 = {}
+for _i in "1234":
+    (_a, _b), _t4[f"t{_i}{_i}"] = _k4[_i], ""
+    _t4[f"t{_i}{_i}"] = f"({_a} * {_a} + {_b} * {_b}) / 2"
+    for _j in "1234":
+        if _j > _i:
+            _c, _d = _k4[_j]
+            _t4[f"t{_i}{_j}_re"], _t4[f"t{_i}{_j}_im"] = f"({_a} * {_c} + {_b} * {_d}) / 2", f"({_b} * {_c} - {_a} * {_d}) / 2"
+ORACLE_SQL["matrix_t4"] = sql([QUAD], "y, x", _t4, "quad")
+ORACLE_SQL["krogager"] = sql([QUAD, "d AS (SELECT *, (hh_i - vv_i) / 2 AS di, (hh_q - vv_q) / 2 AS dq, (hv_i + vh_i) / 2 AS ci, (hv_q + vh_q) / 2 AS cq FROM quad)", "r AS (SELECT *, sqrt((di - cq) ** 2 + (dq + ci) ** 2) AS rr, sqrt((di + cq) ** 2 + (dq - ci) ** 2) AS ll FROM d)"], "y, x", {"sphere": "sqrt((hh_i + vv_i) ** 2 + (hh_q + vv_q) ** 2) / 2", "diplane": "least(rr, ll)", "helix": "abs(rr - ll)"}, "r")
+ORACLE_SQL["orientation_angle"] = sql([QUAD, K3, T3, "o AS (SELECT *, (atan2(2 * t23_re, t33 - t22) + pi()) / 4 AS a FROM t3)", "p AS (SELECT *, CASE WHEN a > pi() / 4 THEN a - pi() / 2 ELSE a END AS th FROM o)", "w AS (SELECT *, cos(2 * th) AS c, sin(2 * th) AS s FROM p)"], "y, x", {"theta": "degrees(th)", "t11": "t11", "t12_re": "t12_re * c + t13_re * s", "t12_im": "t12_im * c + t13_im * s", "t13_re": "t13_re * c - t12_re * s", "t13_im": "t13_im * c - t12_im * s", "t22": "t22 * c * c + t33 * s * s + 2 * t23_re * s * c", "t23_re": "t23_re * (c * c - s * s) + (t33 - t22) * s * c", "t23_im": "t23_im", "t33": "t22 * s * s + t33 * c * c - 2 * t23_re * s * c"}, "w")
+ORACLE_SQL["snr_correction"] = sql([QUAD, "z AS (SELECT *, hv_i * vh_i + hv_q * vh_q AS re, hv_q * vh_i - hv_i * vh_q AS im, hv_i ** 2 + hv_q ** 2 AS pa, vh_i ** 2 + vh_q ** 2 AS pb FROM quad)", f"m AS ({window('any_value(a.hv_i) AS hv_i, any_value(a.hv_q) AS hv_q, any_value(a.vh_i) AS vh_i, any_value(a.vh_q) AS vh_q, sum(b.re) AS re, sum(b.im) AS im, sum(b.pa) AS pa, sum(b.pb) AS pb', 5, source='z')})", "g AS (SELECT *, CASE WHEN pa * pb > 0 THEN sqrt(re * re + im * im) / sqrt(pa * pb) ELSE 0 END AS g FROM m)"], "y, x", {f"{p}_{e}": f"{p}_{e} * g" for p in ("hv", "vh") for e in "iq"}, "g")
+_turn = lambda e: {
+    f"hh_{e}": f"hh_{e} * c * c + (vh_{e} - hv_{e}) * n * c - vv_{e} * n * n", f"hv_{e}": f"hv_{e} * c * c + vh_{e} * n * n + (hh_{e} + vv_{e}) * n * c",
+    f"vh_{e}": f"vh_{e} * c * c + hv_{e} * n * n - (hh_{e} + vv_{e}) * n * c", f"vv_{e}": f"vv_{e} * c * c + (vh_{e} - hv_{e}) * n * c - hh_{e} * n * n",
+}
+_eight = ", ".join(f"any_value(a.{p}_{e}) AS {p}_{e}" for p in ("hh", "hv", "vh", "vv") for e in "iq")
+ORACLE_SQL["faraday_rotation"] = sql([QUAD, "l AS (SELECT *, hv_i - vh_i - hh_q - vv_q AS ar, hv_q - vh_q + hh_i + vv_i AS ai, vh_i - hv_i - hh_q - vv_q AS br, vh_q - hv_q + hh_i + vv_i AS bi FROM quad)", "z AS (SELECT *, ar * br + ai * bi AS re, ai * br - ar * bi AS im FROM l)", f"m AS ({window(_eight + ', sum(b.re) AS re, sum(b.im) AS im', 5, source='z')})", "w AS (SELECT *, -atan2(im, re) / 4 AS omega, cos(-atan2(im, re) / 4) AS c, sin(-atan2(im, re) / 4) AS n FROM m)"], "y, x", {"omega": "omega", **_turn("i"), **_turn("q")}, "w", digits=6)
+_parts = {"a": "sqrt(greatest((pol + g3) / 2, 0))", "b": "sqrt(greatest((pol - g3) / 2, 0))", "random": "sqrt(greatest(g0 - pol, 0))"}
+ORACLE_SQL["compact_m_chi"] = ORACLE_SQL["compact_m_alpha"] = sql([QUAD, C2, STOKES], "y, x", _parts, "st", digits=4)
+ORACLE_SQL["compact_mf3cc"] = sql([QUAD, C2, STOKES, "u AS (SELECT *, atan(pol * g3 / ((g0 * g0 - g3 * g3) / 4 + pol * pol)) AS t FROM st)"], "y, x", {"surface": "pol / 2 * (1 + sin(2 * t))", "double": "pol / 2 * (1 - sin(2 * t))", "volume": "g0 - pol"}, "u", digits=5)
+ORACLE_SQL["compact_simulation"] = sql([QUAD, "r AS (SELECT y, x, hh_i + (hv_q + vh_q) / 2 AS ai, hh_q - (hv_i + vh_i) / 2 AS aq, (hv_i + vh_i) / 2 + vv_q AS bi, (hv_q + vh_q) / 2 - vv_i AS bq FROM quad)"], "y, x", {"c11": "(ai * ai + aq * aq) / 2", "c12_re": "(ai * bi + aq * bq) / 2", "c12_im": "(aq * bi - ai * bq) / 2", "c22": "(bi * bi + bq * bq) / 2"}, "r")
+ORACLE_SQL["compact_vegetation_index"] = sql([QUAD, C2, C2M, "v AS (SELECT y, x, c11 + c22 AS g0, c11 - c22 AS g1, 2 * c12_re AS g2, 2 * c12_im AS g3 FROM cm)", "w AS (SELECT *, 3 / pi() * acos(least(g0 / sqrt(g0 * g0 + g1 * g1 + g2 * g2 + g3 * g3), 1)) AS l FROM v)"], "y, x", {"vegetation": "(1 - l) * pow((g0 - abs(g3)) / (g0 + abs(g3)), 2 * l)"}, "w", digits=6)
+ORACLE_SQL["compact_h_alpha"] = sql([QUAD, C2, C2M, "e AS (SELECT *, (c11 + c22 + sqrt((c11 - c22) ** 2 + 4 * (c12_re ** 2 + c12_im ** 2))) / 2 AS l1, (c11 + c22 - sqrt((c11 - c22) ** 2 + 4 * (c12_re ** 2 + c12_im ** 2))) / 2 AS l2 FROM cm)", "p AS (SELECT *, l1 / (l1 + l2) AS p, degrees(acos(least(sqrt(greatest((l1 - c22) / (l1 - l2), 0)), 1))) AS a FROM e)"], "y, x", {"entropy": "-(p * log2(p) + (1 - p) * log2(1 - p))", "anisotropy": "2 * p - 1", "alpha": "p * a + (1 - p) * (90 - a)", "lambda1": "l1", "lambda2": "l2"}, "p", digits=5)
+ORACLE_SQL["polarimetric_change"] = f"WITH {QUAD}, {C2}, {C2M}, f AS (SELECT *, 1 + x % 3 AS k FROM cm), d AS (SELECT *, c11 * c22 - c12_re ** 2 - c12_im ** 2 AS da, k * k * c11 * c22 - c12_re ** 2 - c12_im ** 2 AS db, (1 + k) ** 2 / 4.0 * c11 * c22 - c12_re ** 2 - c12_im ** 2 AS dm FROM f), t AS (SELECT y, x, greatest(-10 * (ln(greatest(da, 1e-15)) + ln(greatest(db, 1e-15)) - 2 * ln(greatest(dm, 1e-15))), 0) AS t FROM d) SELECT y, x, round(t, 5) + 0.0 AS statistic, round(1 - exp(-t / 2) * (1 + t / 2), 5) + 0.0 AS probability, 1 - exp(-t / 2) * (1 + t / 2) >= 0.99 AS changed FROM t"
+ORACLE_SQL["cameron"] = sql([QUAD, K3, "c AS (SELECT *, atan2(2 * (bi * ci + bq * cq), bi ** 2 + bq ** 2 - ci ** 2 - cq ** 2) / 2 AS chi FROM k3)", "s AS (SELECT *, ai ** 2 + aq ** 2 AS pa, (bi * cos(chi) + ci * sin(chi)) ** 2 + (bq * cos(chi) + cq * sin(chi)) ** 2 AS ps, ai ** 2 + aq ** 2 + bi ** 2 + bq ** 2 + ci ** 2 + cq ** 2 AS p FROM c)"], "y, x", {"tau": "acos(least(CASE WHEN p > 0 THEN sqrt(pa + ps) / sqrt(p) ELSE 0 END, 1))", "psi": "-chi / 2"}, "s", digits=4)
+
+
 # --- geometry ---------------------------------------------------------------------------
 
 SENSOR = geometry.Sensor(0.0, 0.0148, 761_577.0, 31.0)
