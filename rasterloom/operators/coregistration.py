@@ -135,6 +135,24 @@ def sinc_resample(places: DataFrame, image: DataFrame) -> DataFrame:
     return places.join(out, ["y", "x"], "left").select(*places.columns, *[F.when(~F.col("_m"), F.col(c)).alias(c) for c in ("i", "q")])
 
 
+def polynomial(coefficients: list[float], y: Column, x: Column) -> Column:
+    """A polynomial of y and x by rising degree: 1, y, x, y², yx, x², ..."""
+    terms, k, degree = [], 0, 0
+    while k < len(coefficients):
+        for j in range(degree + 1):
+            if k < len(coefficients):
+                terms.append(float(coefficients[k]) * F.pow(y, F.lit(float(degree - j))) * F.pow(x, F.lit(float(j))))
+                k += 1
+        degree += 1
+    return sum(terms[1:], terms[0])
+
+
+def warp(df: DataFrame, line: list[float], sample: list[float]) -> DataFrame:
+    """A complex secondary image on the reference's grid: the pixel (y, x) takes it at the polynomials' line and sample, by sinc; null where taps are missing."""
+    y, x = F.col("y").cast("double"), F.col("x").cast("double")
+    return sinc_resample(df.select("y", "x").withColumns({"line": polynomial(line, y, x), "sample": polynomial(sample, y, x)}), df).select("y", "x", "i", "q")
+
+
 def back_geocode(grid: DataFrame, secondary: DataFrame, reference_orbit: DataFrame, secondary_orbit: DataFrame, ref: Sensor, sec: Sensor, rate: float = 0.0, doppler: float = 0.0, centre: float = 0.0) -> DataFrame:
     """A secondary burst on the reference's pixels: (y, x, i, q, dy, dx), with the offsets that were applied.
 

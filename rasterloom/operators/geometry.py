@@ -113,15 +113,22 @@ def locate(cells: DataFrame, orbit: Orbit, sensor: Sensor) -> DataFrame:
 
 
 def resample(places: DataFrame, image: DataFrame, band: str = "v", method: str = "bilinear") -> DataFrame:
-    """Value of the image (y, x, band) at line and sample of each place (keyed by its own y, x); outside it null."""
+    """Value of the image (y, x, band) at line and sample of each place (keyed by its own y, x); outside it null.
+
+    method: nearest, bilinear, or cubic (sixteen pixels, parameter -0.5).
+    """
     ly, lx = F.floor("line"), F.floor("sample")
     ty, tx = F.col("line") - ly, F.col("sample") - lx
     if method == "nearest":
         taps = [((F.floor(F.col("line") + 0.5)), F.floor(F.col("sample") + 0.5), F.lit(1.0))]
+    elif method == "cubic":
+        near, far = (lambda s: (1.5 * s - 2.5) * s * s + 1), (lambda s: ((-0.5 * s + 2.5) * s - 4) * s + 2)
+        along = lambda t: [far(1 + t), near(t), near(1 - t), far(2 - t)]
+        taps = [(ly + i - 1, lx + j - 1, a * b) for i, a in enumerate(along(ty)) for j, b in enumerate(along(tx))]
     else:
         taps = [(ly + i, lx + j, (ty if i else 1 - ty) * (tx if j else 1 - tx)) for i in (0, 1) for j in (0, 1)]
     tap = F.explode(F.array(*[F.struct(a.cast("long").alias("sy"), b.cast("long").alias("sx"), w.alias("w")) for a, b, w in taps]))
-    wanted = places.where("line is not null").select("y", "x", tap.alias("t")).select("y", "x", "t.*").where("w > 0")
+    wanted = places.where("line is not null").select("y", "x", tap.alias("t")).select("y", "x", "t.*").where("w <> 0")
     source = image.select(F.col("y").alias("sy"), F.col("x").alias("sx"), F.col(band).alias("_v"))
     met = wanted.join(source, ["sy", "sx"], "left").groupBy("y", "x").agg(F.sum(F.col("_v") * F.col("w")).alias("_s"), F.max(F.col("_v").isNull()).alias("_m"))
     return places.join(met, ["y", "x"], "left").select(*places.columns, F.when(~F.col("_m"), F.col("_s")).alias(band))

@@ -1127,6 +1127,16 @@ def _(spark, d):
     return rounded(coregistration.azimuth_shift(views.scene_cplx(spark, d), 1.0), 5)
 
 
+@query("warp_resampling", sql([CPLX], "a.y, a.x", {"i": "b.i", "q": "b.q"}, "cplx a LEFT JOIN cplx b ON b.y = a.y + 2 AND b.x = a.x - 1", digits=5))
+def _(spark, d):
+    return rounded(coregistration.warp(views.scene_cplx(spark, d), [2.0, 1.0], [-1.0, 0.0, 1.0]), 5)
+
+
+@query("cubic_terrain_correction")
+def _(spark, d):
+    return rounded(geometry.terrain_correction(terrain(spark, d), views.scene(spark, d), orbit(spark), SENSOR, "cubic").select("y", "x", "line", "sample", "v"), 3)
+
+
 @query("block_shifts")
 def _(spark, d):
     z = views.scene_cplx(spark, d)

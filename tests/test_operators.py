@@ -565,3 +565,20 @@ def test_polarimetric_calibration_takes_off_planted_distortion(spark):
     assert c[3, 3].real / c[0, 0].real == pytest.approx(1, abs=0.02) and abs(np.angle(c[0, 3])) < 0.05 and abs(np.angle(before[0, 3])) > 0.5
     for i, j in ((0, 1), (0, 2), (3, 1), (3, 2)):
         assert abs(c[i, j]) < 0.25 * abs(before[i, j]) + 0.005
+
+
+def test_warp_by_polynomials(spark):
+    df, _ = complex_scene(spark)
+    _, want = complex_scene(spark, shift=(0.3, -0.6))
+    got = {(r["y"], r["x"]): r for r in coregistration.warp(df, [0.3, 1.0], [-0.6, 0.0, 1.0]).collect()}
+    errors = [abs(complex(got[y, x]["i"], got[y, x]["q"]) - want[y, x]) for y in range(8, 56) for x in range(8, 56)]
+    assert np.mean(errors) < 0.05 * np.abs(want).mean() and got[63, 10]["i"] is None
+    y, x = F.lit(2.0), F.lit(3.0)
+    assert spark.range(1).select(coregistration.polynomial([1, 10, 100, 1000, 10_000, 100_000], y, x)).first()[0] == 1 + 20 + 300 + 4000 + 60_000 + 900_000
+
+
+def test_cubic_resampling_is_exact_for_quadratics(spark):
+    image = spark.createDataFrame([(y, x, 2.0 + y * y - 0.5 * x * x + 0.1 * y * x) for y in range(9) for x in range(9)], "y long, x long, v double")
+    places = spark.createDataFrame([(0, k, y, x) for k, (y, x) in enumerate([(3.25, 4.5), (4.0, 4.0), (2.75, 5.9), (0.5, 4.0)])], "y long, x long, line double, sample double")
+    got = [r["v"] for r in geometry.resample(places, image, method="cubic").orderBy("x").collect()]
+    assert got[:3] == pytest.approx([2 + y * y - 0.5 * x * x + 0.1 * y * x for y, x in ((3.25, 4.5), (4.0, 4.0), (2.75, 5.9))]) and got[3] is None
