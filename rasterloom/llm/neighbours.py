@@ -6,7 +6,8 @@ together with their vectors, and neighbours of neighbours that are nearer replac
 farthest. As in NN-descent, a node that very many point to is met by a sample of these, drawn
 anew each round by a hash; all edges stay in the graph. A query starts at the sample nodes of
 its own leaves and expands the nearest unexpanded nodes of its beam, for all queries at once,
-until nothing is left to expand. What is found is ranked by exact distances in double precision.
+until nothing is left to expand. Graph and search compare vectors in single precision; what is
+found is ranked by exact distances in double precision.
 """
 
 from __future__ import annotations
@@ -42,6 +43,17 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(F.size("vec") == (size["n"] if size else 0))
 
 
+def lowered(x: np.ndarray, scale: float) -> list[bytes]:
+    """Rows as single-precision bytes in units of scale: what the graph and the search compare."""
+    with np.errstate(over="ignore"):
+        return [r.tobytes() for r in (x / scale).astype(np.float32)]
+
+
+def raised(rows: list[bytes]) -> np.ndarray:
+    """Rows of lowered() as a matrix."""
+    return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1).astype(float) if rows else np.empty((0, 0))
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     rows = column.to_pylist()
     return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1) if rows else np.empty((0, 0))
@@ -66,7 +78,7 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
     def out(held: dict[bytes, list[int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([sorted(set(x))[: RESULTS + 1] for x in held.values()], pa.list_(pa.int64())), pa.array(list(held), pa.binary())], ["ids", "vec"])
 
-    met = vectors.mapInArrow(gather, "ids array<long>, vec binary").groupBy("vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, RESULTS + 1).alias("ids"))
+    met = vectors.mapInArrow(common.lean(gather), "ids array<long>, vec binary").groupBy("vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, RESULTS + 1).alias("ids"))
     return met.select(F.col("ids")[0].alias("node"), "ids", "vec")
 
 
@@ -191,16 +203,16 @@ def first_edges(nodes: DataFrame, trees: Trees) -> DataFrame:
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             if batch.num_rows:
-                x = matrix(batch.column("vec"))
+                x = raised(batch.column("low").to_pylist())
                 leaves = (shared.value.places(x) << 8) + np.arange(TREES)[:, None]
                 along = x @ np.random.default_rng(5).standard_normal((x.shape[1], TREES))
                 take = pa.array(np.tile(np.arange(batch.num_rows), TREES))
-                yield pa.RecordBatch.from_arrays([pa.array(leaves.ravel()), pa.array(along.T.ravel()), batch.column("node").take(take), batch.column("vec").take(take)], ["leaf", "along", "node", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaves.ravel()), pa.array(along.T.ravel()), batch.column("node").take(take), batch.column("low").take(take)], ["leaf", "along", "node", "low"])
 
     def within(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(11)
-        for ids, vectors in groups(it, "leaf", ["node", "vec"], LARGEST):
-            ids, x = np.array(ids), np.frombuffer(b"".join(vectors), np.float64).reshape(len(ids), -1)
+        for ids, vectors in groups(it, "leaf", ["node", "low"], LARGEST):
+            ids, x = np.array(ids), raised(vectors)
             todo = [np.arange(len(ids))]
             us, vs, ds = [], [], []
             while todo:
@@ -214,8 +226,8 @@ def first_edges(nodes: DataFrame, trees: Trees) -> DataFrame:
                 us.append(u), vs.append(v), ds.append(d)
             yield edge_batch(np.concatenate(us), np.concatenate(vs), np.concatenate(ds))
 
-    placed = nodes.select("node", "vec").mapInArrow(place, "leaf long, along double, node long, vec binary")
-    return placed.repartitionByRange(common.partitions(nodes.sparkSession), "leaf", "along").sortWithinPartitions("leaf", "along", "node").mapInArrow(within, EDGES)
+    placed = nodes.select("node", "low").mapInArrow(common.lean(place), "leaf long, along double, node long, low binary")
+    return placed.repartitionByRange(common.partitions(nodes.sparkSession), "leaf", "along").sortWithinPartitions("leaf", "along", "node").mapInArrow(common.lean(within), EDGES)
 
 
 def best_edges(edges: DataFrame) -> DataFrame:
@@ -238,7 +250,7 @@ def best_edges(edges: DataFrame) -> DataFrame:
         for a in range(0, int(ok.sum()), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[ok][a : a + 100_000]) for x in (u, v, d, fresh)], ["u", "v", "d", "fresh"])
 
-    return edges.repartition(common.partitions(edges.sparkSession), "u").mapInArrow(keep, EDGES)
+    return edges.repartition(common.partitions(edges.sparkSession), "u").mapInArrow(common.lean(keep), EDGES)
 
 
 def descend(nodes: DataFrame, edges: DataFrame, turn: int) -> DataFrame:
@@ -252,7 +264,7 @@ def descend(nodes: DataFrame, edges: DataFrame, turn: int) -> DataFrame:
     back = edges.select(F.col("v").alias("c"), F.col("u").alias("m"), "d", "fresh").join(hubs, "c", "left")
     back = back.where(F.col("n").isNull() | (F.pmod(F.xxhash64("c", "m", F.lit(turn)), F.col("n")) < REVERSE)).drop("n")
     far = edges.groupBy("u").agg(F.max("d").alias("far"), F.count("*").alias("n")).select(F.col("u").alias("m"), F.when(F.col("n") >= K, F.col("far")).otherwise(float("inf")).alias("far"))
-    known = nodes.select(F.col("node").alias("m"), "vec").join(far, "m", "left")
+    known = nodes.select(F.col("node").alias("m"), "low").join(far, "m", "left")
     met = ahead.union(back).join(known, "m")
 
     def within(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,14 +273,14 @@ def descend(nodes: DataFrame, edges: DataFrame, turn: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             return edge_batch(*nearest(*(np.concatenate(x) for x in (us, vs, ds)), K))
 
-        for m, d, fresh, vectors, far_ in groups(it, "c", ["m", "d", "fresh", "vec", "far"]):
+        for m, d, fresh, vectors, far_ in groups(it, "c", ["m", "d", "fresh", "low", "far"]):
             order = np.argsort(d, kind="stable")
             ids, first = np.unique(np.array(m)[order], return_index=True)
             pick = order[np.sort(first)]
             ids = np.array(m)[pick]
             if len(ids) < 2:
                 continue
-            x = np.frombuffer(b"".join(vectors[i] for i in pick), np.float64).reshape(len(ids), -1)
+            x = raised([vectors[i] for i in pick])
             new = np.array(fresh)[pick]
             limit = np.array([np.inf if far_[i] is None else far_[i] for i in pick])
             dist = distances(x, x)
@@ -281,14 +293,14 @@ def descend(nodes: DataFrame, edges: DataFrame, turn: int) -> DataFrame:
         if us:
             yield out()
 
-    return met.repartition(common.partitions(nodes.sparkSession), "c").sortWithinPartitions("c").mapInArrow(within, EDGES)
+    return met.repartition(common.partitions(nodes.sparkSession), "c").sortWithinPartitions("c").mapInArrow(common.lean(within), EDGES)
 
 
 class Graph:
-    """Nodes, edges (node, near) in both directions, and where queries enter."""
+    """Nodes, edges (node, near) in both directions, where queries enter, and the unit of their low vectors."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, entries: Entries):
-        self.nodes, self.edges, self.entries = nodes, edges, entries
+    def __init__(self, nodes: DataFrame, edges: DataFrame, entries: Entries, scale: float):
+        self.nodes, self.edges, self.entries, self.scale = nodes, edges, entries, scale
 
 
 def build(vectors: DataFrame) -> Graph:
@@ -298,14 +310,27 @@ def build(vectors: DataFrame) -> Graph:
     components take no part, nor rows with a null vec_id. Equal vectors are one node, and the
     same vec_id with different vectors is several. Other columns are ignored.
     """
-    nodes = common.materialize(nodes_of(usable(vectors)), "nodes")
+    exact = common.materialize(nodes_of(usable(vectors)), "exact")
+
+    def largest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([float(np.abs(matrix(batch.column("vec"))).max())])], ["most"])
+
+    scale = exact.select("vec").mapInArrow(common.lean(largest), "most double").agg(F.max("most")).first()[0] or 1.0
+
+    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lowered(matrix(batch.column("vec")), scale), pa.binary())], ["node", "ids", "vec", "low"])
+
+    nodes = common.materialize(exact.mapInArrow(common.lean(add), "node long, ids array<long>, vec binary, low binary"), "nodes")
     total = nodes.count()
-    got = nodes.orderBy(F.xxhash64("vec"), "node").limit(SAMPLE).select("node", "vec").toArrow()
-    ids, sample = got.column("node").to_numpy(), matrix(got.column("vec"))
+    got = nodes.orderBy(F.xxhash64("vec"), "node").limit(SAMPLE).select("node", "low").toArrow()
+    ids, sample = got.column("node").to_numpy(), raised(got.column("low").to_pylist())
     trees = Trees(sample, total)
     entries = Entries(trees, ids, sample)
     if total == 0:
-        return Graph(nodes, nodes.select("node", F.col("node").alias("near")), entries)
+        return Graph(nodes, nodes.select("node", F.col("node").alias("near")), entries, scale)
     edges = common.materialize(best_edges(first_edges(nodes, trees)), "edges")
     for turn in range(ROUNDS):
         edges = common.materialize(best_edges(edges.withColumn("fresh", F.lit(False)).union(descend(nodes, edges, turn))), "edges")
@@ -313,7 +338,7 @@ def build(vectors: DataFrame) -> Graph:
             break
     # both directions, so that a node that is near to few is found too
     both = edges.select(F.col("u").alias("node"), F.col("v").alias("near")).union(edges.select("v", "u")).distinct()
-    return Graph(nodes, common.materialize(both, "graph"), entries)
+    return Graph(nodes, common.materialize(both, "graph"), entries, scale)
 
 
 BEAMS = "query long, qvec binary, found array<long>, dist array<double>, done array<boolean>"
@@ -327,7 +352,7 @@ def search(graph: Graph, queries: DataFrame, k: int = RESULTS) -> DataFrame:
     one. Fewer candidates than k: all of them.
     """
     spark = queries.sparkSession
-    n = common.partitions(spark)
+    n, scale = common.partitions(spark), graph.scale
     entries = spark.sparkContext.broadcast(graph.entries)  # SAMPLE vectors at most
     asked = usable(queries).select(F.col("vec_id").alias("query"), "vec").dropDuplicates(["query"])
 
@@ -341,7 +366,8 @@ def search(graph: Graph, queries: DataFrame, k: int = RESULTS) -> DataFrame:
             if q.shape[1] != start.sample.shape[1]:
                 continue
             out = []
-            for row, near in zip(q, start.near(q), strict=True):
+            low = raised(lowered(q, scale))
+            for row, near in zip(low, start.near(low), strict=True):
                 d = distances(row[None], start.sample[near])[0]
                 out.append((start.ids[near].tolist(), d.tolist(), [False] * len(near)))
             f, d, e = zip(*out, strict=True)
@@ -353,14 +379,14 @@ def search(graph: Graph, queries: DataFrame, k: int = RESULTS) -> DataFrame:
     def advance(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a query: its beam (node null), and the neighbours of the nodes it expands, with their vectors."""
         out = []
-        for query, qvec, found, dist, done, node, vec in groups(it, "query", ["query", "qvec", "found", "dist", "done", "node", "vec"]):
+        for query, qvec, found, dist, done, node, low in groups(it, "query", ["query", "qvec", "found", "dist", "done", "node", "low"]):
             b = next(i for i, x in enumerate(qvec) if x is not None)
             have, ds, es = found[b], dist[b], [True] * len(done[b])
             fresh = {v: i for i, v in enumerate(node) if v is not None}
             fresh = [(v, i) for v, i in sorted(fresh.items()) if v not in set(have)]
             if fresh:
-                x = np.frombuffer(b"".join(vec[i] for _, i in fresh), np.float64).reshape(len(fresh), -1)
-                d = distances(np.frombuffer(qvec[b], np.float64)[None], x)[0].tolist()
+                q = raised(lowered(np.frombuffer(qvec[b], np.float64)[None], scale))
+                d = distances(q, raised([low[i] for _, i in fresh]))[0].tolist()
                 have, ds, es = have + [v for v, _ in fresh], ds + d, es + [False] * len(fresh)
             order = np.lexsort((have, ds))[:BEAM].tolist()
             out.append((query[b], qvec[b], [have[i] for i in order], [ds[i] for i in order], [es[i] for i in order]))
@@ -368,7 +394,7 @@ def search(graph: Graph, queries: DataFrame, k: int = RESULTS) -> DataFrame:
             q, v, f, d, e = zip(*out, strict=True)
             yield beam_batch(pa.array(q, pa.int64()), v, f, d, e)
 
-    beams = common.materialize(asked.mapInArrow(enter, BEAMS), "beams")
+    beams = common.materialize(asked.mapInArrow(common.lean(enter), BEAMS), "beams")
     while True:
         open_ = beams.select("query", F.explode(F.arrays_zip("found", "done")).alias("x")).where("not x.done").select("query", F.col("x.found").alias("node"))
         if open_.isEmpty():
@@ -376,12 +402,12 @@ def search(graph: Graph, queries: DataFrame, k: int = RESULTS) -> DataFrame:
         near = open_.join(graph.edges, "node").select("query", F.col("near").alias("node")).distinct()
         known = beams.select("query", "found")
         near = near.join(known, "query").where(~F.array_contains("found", F.col("node"))).select("query", "node")
-        near = near.join(graph.nodes.select("node", "vec"), "node")
+        near = near.join(graph.nodes.select("node", "low"), "node")
         null = lambda t: F.lit(None).cast(t)
-        rows = beams.select("*", null("long").alias("node"), null("binary").alias("vec")).unionByName(
-            near.select("query", null("binary").alias("qvec"), null("array<long>").alias("found"), null("array<double>").alias("dist"), null("array<boolean>").alias("done"), "node", "vec")
+        rows = beams.select("*", null("long").alias("node"), null("binary").alias("low")).unionByName(
+            near.select("query", null("binary").alias("qvec"), null("array<long>").alias("found"), null("array<double>").alias("dist"), null("array<boolean>").alias("done"), "node", "low")
         )
-        beams = common.materialize(rows.repartition(n, "query").sortWithinPartitions("query").mapInArrow(advance, BEAMS), "beams")
+        beams = common.materialize(rows.repartition(n, "query").sortWithinPartitions("query").mapInArrow(common.lean(advance), BEAMS), "beams")
 
     def rank(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
@@ -394,8 +420,8 @@ def search(graph: Graph, queries: DataFrame, k: int = RESULTS) -> DataFrame:
         columns = zip(*out, strict=True) if out else [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int64(), pa.float64()], strict=True)], ["query_id", "rank", "vec_id", "score"])
 
-    last = beams.select("query", "qvec", F.explode("found").alias("node")).join(graph.nodes, "node").select("query", "qvec", "ids", "vec")
-    return last.repartition(n, "query").sortWithinPartitions("query").mapInArrow(rank, "query_id long, rank int, vec_id long, score double")
+    last = beams.select("query", "qvec", F.explode("found").alias("node")).join(graph.nodes.select("node", "ids", "vec"), "node").select("query", "qvec", "ids", "vec")
+    return last.repartition(n, "query").sortWithinPartitions("query").mapInArrow(common.lean(rank), "query_id long, rank int, vec_id long, score double")
 
 
 def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
