@@ -41,25 +41,47 @@ def scratch(spark: SparkSession, tag: str) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    prepare(spark)
     path = scratch(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    find_package(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def find_package(spark: SparkSession) -> None:
-    """Python workers on machines that have this folder import the package from it, wherever they run."""
+#: Bounds what one batch takes in the executor and in its worker, where rows are long texts.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Python workers on machines that have this folder import the package from it, wherever they run; batches are of SLICE_BYTES unless the session says otherwise."""
     env, own = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if own not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [own, env.get("PYTHONPATH")]))
+    if BATCH_BYTES not in dict(spark.conf.getAll):
+        spark.conf.set(BATCH_BYTES, str(SLICE_BYTES))
+
 
+#: Bytes of input for each task that gathers from all of it, and such tasks at most.
+GATHERED_BYTES, GATHERING = 64 << 20, 20_000
+#: The planner's size of a source that does not know it is beyond this.
+UNKNOWN = 1 << 60
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+def partitions(spark: SparkSession, df: DataFrame | None = None) -> int:
+    """Shuffle partitions as set, or more where the tables that df reads are large: tasks that hold what they gather stay small.
+
+    A source that does not know its size counts nothing.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    if df is None:
+        return n
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return max(n, min(GATHERING, sum(s for s in sizes if s < UNKNOWN) // GATHERED_BYTES))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -81,13 +103,13 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
-def batches(it: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Re-slice record batches so that column holds about SLICE_BYTES of text at once."""
+def batches(it: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Re-slice record batches so that column holds about `most` bytes of text at once; a longer text is alone."""
     for batch in it:
         if batch.num_rows == 0:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        cut = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES)) + 1
+        cut = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // most)) + 1
         for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)

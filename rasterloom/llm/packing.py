@@ -27,7 +27,9 @@ from . import common
 
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids one Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
+#: Bytes of text that are tokenised at once.
+AT_ONCE = 2 << 20
 #: Plans of up to so many rows are broadcast, larger ones joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -115,7 +117,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFra
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, counts, tokenizer = TaskContext.get().partitionId(), 0, {}, WordTokenizer(path)
-        for batch in common.batches(it, "text"):
+        for batch in common.batches(it, "text", AT_ONCE):
             rows: list[tuple] = []
             ids, offsets = tokenizer(batch.column("text"))
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
