@@ -238,7 +238,7 @@ def dedup(docs: DataFrame, near: int = NEAR_WORDS) -> DataFrame:
     empty table stays empty. Only `text` changes.
     """
     spark = docs.sparkSession
-    keys = even_keys(spark, common.partitions(spark))
+    keys = even_keys(spark, common.partitions(spark, docs))
     text = F.col("text").cast("string")
     th = F.xxhash64(F.coalesce(text, F.lit("")))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), th.alias("th"), text.alias("text"))

@@ -485,7 +485,7 @@ def sized(table: DataFrame) -> DataFrame:
 def classes_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """What similar() returns, text_hash and component: one number for each group of linked rows, null without words."""
     spark = docs.sparkSession
-    keys = even_keys(spark, common.partitions(spark))
+    keys = even_keys(spark, common.partitions(spark, docs))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash(docs).alias("th"))
     first = common.materialize(product(texts, common_shingles(texts, n, keys), n, percent, keys), "grams")
     members = first.where(f"kind = {DOC}").select("doc_id", F.col("a").alias("v"), "n", F.col("pos").alias("text_hash"))

@@ -72,6 +72,18 @@ def test_join_equals_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_tasks_follow_the_size_of_what_is_read(spark, monkeypatch, tmp_path):
+    rows = [(k, prose(np.random.default_rng(k % 7), 30)) for k in range(40)]
+    documents(spark, rows).coalesce(1).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    assert common.partitions(spark) == common.partitions(spark, df) == common.partitions(spark, documents(spark, rows)) == 8
+    monkeypatch.setattr(common, "GATHERED_BYTES", 100)
+    assert 8 < common.partitions(spark, df) < 200 and common.partitions(spark, documents(spark, rows)) == 8
+    monkeypatch.setattr(common, "GATHERING", 13)
+    assert common.partitions(spark, df) == 13
+    assert {(r["doc_id"], r["component_id"]) for r in ngram_join.similar(df).collect()} == {(k, k % 7) for k in range(40)}
+
+
 def test_large_group_of_near_copies_is_one_class(spark):
     rng = np.random.default_rng(5)
     rows = list(enumerate(near_copies(rng, prose(rng, 120), 400, 2) + [prose(rng, 120) for _ in range(50)]))
