@@ -343,9 +343,10 @@ query("wind_field")(lambda spark, d: rounded(detection.wind_field(views.scene(sp
 # --- interferometry ---------------------------------------------------------------------
 
 
-@query("interferogram", sql([PAIR], "y, x", {"i": "i1 * i2 + q1 * q2", "q": "q1 * i2 - i1 * q2", "phase": "atan2(q1 * i2 - i1 * q2, i1 * i2 + q1 * q2)"}, "pair", "WHERE abs(q1 * i2 - i1 * q2) > 1e-9"))
+@query("interferogram", sql([PAIR], "y, x", {"i": "i1 * i2 + q1 * q2", "q": "q1 * i2 - i1 * q2", "phase": "atan2(round(q1 * i2 - i1 * q2, 9) + 0.0, i1 * i2 + q1 * q2)"}, "pair"))
 def _(spark, d):
-    return rounded(insar.interferogram(views.pair(spark, d)).where("abs(q) > 1e-9"))
+    """An imaginary part of nothing has no sign, on both sides."""
+    return rounded(insar.interferogram(views.pair(spark, d)).withColumn("phase", F.atan2(F.round("q", 9) + F.lit(0.0), "i")))
 
 
 @query("interferogram_flattened", sql([PAIR, "f AS (SELECT *, 0.01 + 0.02 * y + 0.03 * x AS p FROM pair)", "g AS (SELECT *, i2 * cos(p) - q2 * sin(p) AS u, i2 * sin(p) + q2 * cos(p) AS w FROM f)"], "y, x", {"i": "i1 * u + q1 * w", "q": "q1 * u - i1 * w"}, "g"))
@@ -971,9 +972,9 @@ def _(spark, d):
     return rounded(polarimetry.averaged(c2(spark, d), 2, "c", 3))
 
 
-@query("stokes", sql([QUAD, C2, STOKES], "y, x", {"g0": "g0", "g1": "g1", "g2": "g2", "g3": "g3", "m": "pol / g0", "linear": "sqrt(g1 ** 2 + g2 ** 2) / g0", "cpr": "(g0 - g3) / (g0 + g3)", "lpr": "(g0 - g1) / (g0 + g1)", "delta": "atan2(g3, g2)", "chi": "CASE WHEN pol > 0 THEN asin(greatest(-1, least(1, -g3 / pol))) / 2 ELSE 0 END", "psi": "atan2(g2, g1) / 2"}, "st WHERE abs(g3) > 1e-9"))
+@query("stokes", sql([QUAD, C2, STOKES], "y, x", {"g0": "g0", "g1": "g1", "g2": "g2", "g3": "g3", "m": "pol / g0", "linear": "sqrt(g1 ** 2 + g2 ** 2) / g0", "cpr": "(g0 - g3) / (g0 + g3)", "lpr": "(g0 - g1) / (g0 + g1)", "delta": "atan2(round(g3, 9) + 0.0, g2)", "chi": "CASE WHEN pol > 0 THEN asin(greatest(-1, least(1, -g3 / pol))) / 2 ELSE 0 END", "psi": "atan2(g2, g1) / 2"}, "st"))
 def _(spark, d):
-    return rounded(polarimetry.stokes(c2(spark, d)).where("abs(g3) > 1e-9"))
+    return rounded(polarimetry.stokes(c2(spark, d)).withColumn("delta", F.atan2(F.round("g3", 9) + F.lit(0.0), "g2")))
 
 
 @query("compact_m_delta", sql([QUAD, C2, STOKES], "y, x", {"a": "sqrt(greatest(pol * (1 - sin(atan2(g3, g2))) / 2, 0))", "b": "sqrt(greatest(pol * (1 + sin(atan2(g3, g2))) / 2, 0))", "random": "sqrt(greatest((1 - pol / g0) * g0, 0))"}, "st", digits=4))
@@ -1188,9 +1189,9 @@ def _(spark, d):
     return insar.cross_resample(views.scene(spark, d), [1.3, 0.99, 0.0], [-2.2, 0.0, 1.01])
 
 
-@query("unwrapping_export", sql([CPLX, PHASES], "cplx.y, cplx.x", {"phase": "atan2(q, i)", "coherence": "coherence"}, "cplx JOIN ph ON cplx.y = ph.y AND cplx.x = ph.x WHERE abs(q) > 1e-9"))
+@query("unwrapping_export", sql([CPLX, PHASES], "cplx.y, cplx.x", {"phase": "atan2(round(q, 9) + 0.0, i)", "coherence": "coherence"}, "cplx JOIN ph ON cplx.y = ph.y AND cplx.x = ph.x"))
 def _(spark, d):
-    return rounded(insar.unwrapping_export(views.scene_cplx(spark, d).where("abs(q) > 1e-9"), phases(spark, d)))
+    return rounded(insar.unwrapping_export(views.scene_cplx(spark, d).withColumn("q", F.round("q", 9) + F.lit(0.0)), phases(spark, d)))
 
 
 @query("unwrapping_import", sql([PHASES], "y, x, user_turns AS turns", {"wrapped": "phase", "unwrapped": "phase + 2 * pi() * user_turns"}, "(SELECT *, CAST(x % 5 - 2 AS BIGINT) AS user_turns FROM ph)"))
