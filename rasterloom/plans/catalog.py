@@ -972,9 +972,9 @@ def _(spark, d):
     return rounded(polarimetry.averaged(c2(spark, d), 2, "c", 3))
 
 
-@query("stokes", sql([QUAD, C2, STOKES], "y, x", {"g0": "g0", "g1": "g1", "g2": "g2", "g3": "g3", "m": "pol / g0", "linear": "sqrt(g1 ** 2 + g2 ** 2) / g0", "cpr": "(g0 - g3) / (g0 + g3)", "lpr": "(g0 - g1) / (g0 + g1)", "delta": "atan2(round(g3, 9) + 0.0, g2)", "chi": "CASE WHEN pol > 0 THEN asin(greatest(-1, least(1, -g3 / pol))) / 2 ELSE 0 END", "psi": "atan2(g2, g1) / 2"}, "st"))
+@query("stokes", sql([QUAD, C2, STOKES], "y, x", {"g0": "g0", "g1": "g1", "g2": "g2", "g3": "g3", "m": "pol / g0", "linear": "sqrt(g1 ** 2 + g2 ** 2) / g0", "cpr": "(g0 - g3) / (g0 + g3)", "lpr": "(g0 - g1) / (g0 + g1)", "delta": "atan2(round(g3, 9) + 0.0, round(g2, 9) + 0.0)", "chi": "CASE WHEN pol > 0 THEN asin(greatest(-1, least(1, -g3 / pol))) / 2 ELSE 0 END", "psi": "atan2(round(g2, 9) + 0.0, g1) / 2"}, "st"))
 def _(spark, d):
-    return rounded(polarimetry.stokes(c2(spark, d)).withColumn("delta", F.atan2(F.round("g3", 9) + F.lit(0.0), "g2")))
+    return rounded(polarimetry.stokes(c2(spark, d)).withColumn("delta", F.atan2(F.round("g3", 9) + F.lit(0.0), F.round("g2", 9) + F.lit(0.0))).withColumn("psi", F.atan2(F.round("g2", 9) + F.lit(0.0), "g1") / 2))
 
 
 @query("compact_m_delta", sql([QUAD, C2, STOKES], "y, x", {"a": "sqrt(greatest(pol * (1 - sin(atan2(g3, g2))) / 2, 0))", "b": "sqrt(greatest(pol * (1 + sin(atan2(g3, g2))) / 2, 0))", "random": "sqrt(greatest((1 - pol / g0) * g0, 0))"}, "st", digits=4))
