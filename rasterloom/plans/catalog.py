@@ -1037,12 +1037,12 @@ def _(spark, d):
 
 query("cameron")(lambda spark, d: rounded(polarimetry.cameron(views.quad(spark, d)), 4))
 
-DPX = "dp AS (SELECT event_id // 100 AS y, event_id % 100 AS x, value AS g0, user_id / 1600.0 AS rbi, (event_id % 97) / 97.0 AS rsi, (event_id % 89) / 89.0 AS dop FROM events)"
+DPX = "dp AS (SELECT event_id // 100 AS y, event_id % 100 AS x, value AS g0, user_id / 1601.0 AS rbi, (event_id % 97) / 97.0 AS rsi, (event_id % 89) / 89.0 AS dop FROM events)"
 
 
 def dp(spark, d):
     e = views.read(spark, d, "events")
-    return e.select(F.expr("event_id div 100").alias("y"), (F.col("event_id") % 100).alias("x"), F.col("value").alias("g0"), (F.col("user_id") / 1600.0).alias("rbi"), (F.col("event_id") % 97 / 97.0).alias("rsi"), (F.col("event_id") % 89 / 89.0).alias("dop"))
+    return e.select(F.expr("event_id div 100").alias("y"), (F.col("event_id") % 100).alias("x"), F.col("value").alias("g0"), (F.col("user_id") / 1601.0).alias("rbi"), (F.col("event_id") % 97 / 97.0).alias("rsi"), (F.col("event_id") % 89 / 89.0).alias("dop"))
 
 
 @query("dual_pol_decomposition", sql([DPX, "a AS (SELECT *, atan2(rbi, 1 - rbi) + atan2(1 - rsi, rsi) AS an FROM dp)"], "y, x", {"surface": "dop * g0 / 2 * (1 + cos(an))", "double": "dop * g0 / 2 * (1 - cos(an))", "rest": "(1 - dop) * g0"}, "a"))
