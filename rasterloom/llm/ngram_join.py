@@ -143,7 +143,9 @@ class Blocks:
         if target is None:
             target = (entries["h"] % np.uint64(len(self.keys))).astype(np.int64)
         order = np.argsort(target, kind="stable")
-        entries, target = entries[order], target[order]
+        entries = entries[order]
+        target = target[order]
+        del order
         cuts = np.flatnonzero(np.diff(target)) + 1
         starts = np.concatenate([[0], cuts])
         ends = np.concatenate([cuts, [len(entries)]])
@@ -259,7 +261,8 @@ def common_shingles(docs: DataFrame, n: int, keys: list[int]) -> tuple[np.ndarra
             held = blocks.take()
             target, q = columns_of(held["h"], len(keys))
             out = np.empty(len(q), TAGGED)
-            out["q"], out["t"] = q, held["t"]
+            out["q"], out["t"], target = q, held["t"], target.astype(np.int32)
+            del held, q  # a mapper's peak is here
             yield from blocks.send(out, target, packed)
             fresh.seen.clear()
 
@@ -302,7 +305,7 @@ def product(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], n: int, perce
         known, counts = table.value
         maybe = np.zeros(1 << 22, bool)
         maybe[known & (len(maybe) - 1)] = True
-        blocks, targets, fresh, turn = Blocks(keys, ENTRY), Blocks(keys, np.dtype(np.int64)), Fresh(), 0
+        blocks, targets, fresh, turn = Blocks(keys, ENTRY, HELD // 2), Blocks(keys, np.dtype(np.int32)), Fresh(), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             yield from blocks.send(blocks.take(), targets.take())
@@ -333,7 +336,7 @@ def product(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], n: int, perce
             entries = np.empty(int(take.sum()), ENTRY)
             entries["q"], entries["p"] = q[take], place[take]
             entries["v"], entries["n"] = np.repeat(nodes, sizes)[take], np.repeat(sizes, sizes)[take]
-            targets.add(target[take])
+            targets.add(target[take].astype(np.int32))
             full = blocks.add(entries)
             few = np.add.reduceat(rare, start)
             dense = []
