@@ -118,6 +118,31 @@ def test_shingles_shared_by_unlike_documents(spark, monkeypatch, small, salted,
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("ids", [1_000_000, 0])
+def test_ids_of_candidates_are_no_relation_in_the_driver(spark, monkeypatch, ids):
+    """They go out as packed numbers, or are joined by a shuffle; null is an id too, and links are the same."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", ids)
+    hinted, hint = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: hinted.append(df.columns) or hint(df))
+    rng = np.random.default_rng(14)
+    base, other = prose(rng, 60), prose(rng, 60)
+    rows = [(-5, base), (3, base + " end"), (None, other), (9, other + " end"), (4, prose(rng, 30)), (9, None), (None, "")]
+    got = sorted((r["component_id"] or 0) for r in ngram_join.similar(documents(spark, rows)).collect())
+    assert got == [-5, -5, 0, 4, 9, 9, 9] and ["rep"] not in hinted
+
+
+def test_leaders_of_many_columns_are_not_broadcast(spark, monkeypatch):
+    """A row with LEADERS leaders counts as so many rows."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 8 * ngram_join.LEADERS)
+    hinted, hint = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: hinted.append(df.columns) or hint(df))
+    entries = spark.range(3).selectExpr("id h", "id + 10 v")
+    for count in (8, 9):
+        table = spark.range(count).selectExpr("id h", "array(id) ls")
+        assert sorted(r["h"] for r in ngram_join.beside(entries, table, width=ngram_join.LEADERS).collect()) == [0, 1, 2]
+    assert hinted == [["h", "ls"]]
+
+
 def test_accumulated_counts_keep_every_pair_that_reaches_the_similarity(spark):
     """The product of all columns that are not common, against the counts themselves."""
     rng = np.random.default_rng(2)
