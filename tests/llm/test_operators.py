@@ -143,6 +143,15 @@ def test_leaders_of_many_columns_are_not_broadcast(spark, monkeypatch):
     assert hinted == [["h", "ls"]]
 
 
+def test_kept_rows_count_by_their_width_before_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 7)
+    hinted, hint = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: hinted.append(df.columns) or hint(df))
+    rows = [(k, f"{'abcdef'[k // 2]} b c d e f") for k in range(12)]
+    assert sorted(r["doc_id"] for r in ngram_join.one_of_each(documents(spark, rows)).collect()) == [0, 2, 4, 6, 8, 10]
+    assert ["component", "kept"] not in hinted
+
+
 def test_accumulated_counts_keep_every_pair_that_reaches_the_similarity(spark):
     """The product of all columns that are not common, against the counts themselves."""
     rng = np.random.default_rng(2)
