@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -592,3 +593,28 @@ def test_blocks_round_trip():
     e["t"] = rng.integers(0, 256, 5000)
     got = ngram_join.unpacked(ngram_join.packed(e))
     assert sorted(got.tolist()) == sorted(e.tolist()) and (np.diff(got["q"].astype(np.int64)) >= 0).all()
+
+
+def test_a_mapper_that_counts_shingles_stays_small():
+    """Peak of numpy's memory over 5 million shingles in batches of 4 MB."""
+    rng, made = np.random.default_rng(15), []
+
+    class Caught(Exception):
+        pass
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            made.append(run)
+            raise Caught
+
+    with pytest.raises(Caught):
+        ngram_join.common_shingles(Docs(), 5, list(range(12)))
+    words = np.array(WORDS)
+    texts = [" ".join(words[rng.integers(0, len(words), 50_000)].tolist()) for _ in range(100)]
+    step = 16
+    batches = [pa.RecordBatch.from_pydict({"text": texts[k : k + step]}) for k in range(0, len(texts), step)]
+    tracemalloc.start()
+    sent = sum(sum(len(ngram_join.unpacked(x)) for x in b.column("block").to_pylist()) for b in made[0](iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent > 4_900_000 and peak < 100e6
