@@ -9,7 +9,6 @@ are counted on Arrow batches, which hold no string for each word.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +106,7 @@ class RuleEnsemble:
 
     def column(self) -> Column:
         terms = [F.when(trees.rule_column(r), float(w)).otherwise(0.0) for r, w in zip(self.rules, self.weights, strict=True)]
-        return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, terms, F.lit(float(self.intercept)))))
+        return 1 / (1 + F.exp(-trees.total([F.lit(float(self.intercept)), *terms])))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_ROWS) -> RuleEnsemble:

@@ -119,7 +119,15 @@ def holds(rule: tuple[Condition, ...], x: np.ndarray, names: list[str]) -> np.nd
 
 
 def rule_column(rule: tuple[Condition, ...]) -> Column:
-    return reduce(lambda a, b: a & b, [(F.col(n) <= F.lit(t)) if low else (F.col(n) > F.lit(t)) for n, low, t in rule])
+    """Parsed from text: a call to the driver's JVM for a rule, not for each of its parts."""
+    return F.expr(" AND ".join(f"`{n}` {'<=' if low else '>'} {float(t)!r}D" for n, low, t in rule))
+
+
+def total(terms: list[Column]) -> Column:
+    """The sum as a balanced tree: the planner orders the operands of every sum, which in a chain takes the square of its length."""
+    while len(terms) > 1:
+        terms = [reduce(lambda a, b: a + b, terms[i : i + 2]) for i in range(0, len(terms), 2)]
+    return terms[0]
 
 
 def tree_column(node: Node, names: list[str]) -> Column:
