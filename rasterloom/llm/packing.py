@@ -12,6 +12,7 @@ no group of pieces ever meets in one task.
 from __future__ import annotations
 
 import bisect
+import itertools
 import os
 import zlib
 from collections.abc import Iterable, Iterator
@@ -28,6 +29,8 @@ from . import common
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids one Python worker remembers; beyond it the memory starts anew.
 REMEMBERED = 400_000
+#: Words that the tokenizer gets as one line.
+JOINED = 300
 #: Bytes of text that are tokenised at once.
 AT_ONCE = 2 << 20
 #: Plans of up to so many rows are broadcast, larger ones joined by a shuffle.
@@ -81,17 +84,21 @@ class WordTokenizer:
         self.index.update(zip(parts, range(n, n + len(parts)), strict=True))
 
     def known(self, parts: pa.Array, joined: bool) -> np.ndarray:
-        """The place of each part; fresh ones are encoded, joined ones in a single call that word ends split."""
+        """The place of each part; fresh ones are encoded, joined ones many at once, and word ends split their ids. Every part is looked up once."""
         coded = parts.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        fresh = [x for x in names if x not in self.index]
+        names = coded.dictionary.to_numpy(zero_copy_only=False)
+        places = np.fromiter(map(self.index.get, names, itertools.repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(places < 0)
+        fresh = names[new].tolist()
+        places[new] = np.arange(len(self.index), len(self.index) + len(new))  # where store() puts them
         if fresh and joined:
-            ids = np.array(self.encode.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, np.uint32)
+            lines = [" ".join(fresh[k : k + JOINED]) for k in range(0, len(fresh), JOINED)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.encode.encode_batch_fast(lines, add_special_tokens=False)])
             self.store(fresh, ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
         elif fresh:
             each = [e.ids for e in self.encode.encode_batch_fast(fresh, add_special_tokens=False)]
             self.store(fresh, np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each]))
-        return np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+        return places[coded.indices.to_numpy()]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, offset of each text)."""

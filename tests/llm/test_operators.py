@@ -254,6 +254,37 @@ def test_packing_of_nothing(spark):
     assert packing.pack(documents(spark, [(1, "x")]).limit(0)).count() == 0
 
 
+def test_each_word_of_a_slice_is_looked_up_once():
+    """Looking words up is much of what packing costs; ids over many lines of words are the tokenizer's own."""
+    from tokenizers import Tokenizer
+
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *key):
+            self.looked += 1
+            return super().get(*key)
+
+        def __contains__(self, key):
+            self.looked += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            self.looked += 1
+            return super().__getitem__(key)
+
+    rng = np.random.default_rng(31)
+    words = sorted({"".join(rng.choice(list("abcdefghijklé"), int(n))) for n in rng.integers(1, 12, 3 * packing.JOINED)})
+    texts = [" ".join(words), None, "", *(" ".join(rng.choice([*words, "new" + str(k), words[k].upper() + ",", "(x)"], 50)) for k in range(40))]
+    tokenizer, whole = packing.WordTokenizer(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    tokenizer.index = Counted(tokenizer.index)
+    for part in (texts[:20], texts):
+        tokenizer.index.looked = 0
+        ids, offsets = tokenizer(pa.array(part, pa.string()))
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(offsets.tolist())] == [whole.encode(t or "", add_special_tokens=False).ids for t in part]
+        assert 0 < tokenizer.index.looked < 1.1 * len(words) + 100
+
+
 def test_plan_covers_every_rank():
     rng = np.random.default_rng(7)
     histogram = {int(k): int(v) for k, v in zip(rng.integers(1, 101, 40), rng.integers(1, 500, 40), strict=True)}
