@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def divided(a: Column, b: Column) -> Column:
+    """a / b of doubles as IEEE has it: by 0 infinite, 0 / 0 NaN; no error."""
+    return F.when(b != 0, a / F.when(b != 0, b)).otherwise(a * F.pow(b, F.lit(-1.0)))
+
+
+def atan2(y: Column, x: Column) -> Column:
+    """Angle as IEEE has it: Spark's own takes a negative zero for a positive one, which turns the angle by up to a half turn."""
+    below = lambda c: (c < 0) | ((c == 0) & (F.pow(c, F.lit(-1.0)) < 0))
+    flat = F.when(below(x), math.pi).otherwise(0.0)
+    return F.when((y == 0) & ~F.isnan(x), F.when(below(y), -flat).otherwise(flat)).otherwise(F.atan2(y, x))
+
+
 @dataclass(frozen=True)
 class Cx:
     re: Column
@@ -43,4 +56,4 @@ class Cx:
         return F.sqrt(self.power())
 
     def arg(self) -> Column:
-        return F.atan2(self.im, self.re)
+        return atan2(self.im, self.re)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cx import Cx
+from ..functions.cx import Cx, atan2, divided
 from ..functions.quantiles import quantiles
 from ..functions.windows import box_sums
 from ..plans.graph import written
@@ -284,10 +284,10 @@ def parameters(t3: DataFrame) -> DataFrame:
 
 
 def channel_parameters(c3: DataFrame) -> DataFrame:
-    """Indices and ratios of the channels: rfdi, csi, vsi, bmi, ratios, coherence and phase of co-polarisation."""
+    """Indices and ratios of the channels: rfdi, csi, vsi, bmi, ratios, coherence and phase of co-polarisation; over an empty channel infinite or NaN."""
     hh, hv, vv = F.col("c11"), F.col("c22") / 2, F.col("c33")
     bmi = (hh + vv) / 2
-    return c3.select("y", "x", (2 * (hh + vv + 2 * hv)).alias("span"), ((hh - hv) / (hh + hv)).alias("rfdi"), (vv / (hh + vv)).alias("csi"), (hv / (hv + bmi)).alias("vsi"), bmi.alias("bmi"), (hh / vv).alias("hhvv_ratio"), (hv / hh).alias("hvhh_ratio"), (F.hypot("c13_re", "c13_im") / F.sqrt(hh * vv)).alias("coherence"), F.atan2("c13_im", "c13_re").alias("phase"))
+    return c3.select("y", "x", (2 * (hh + vv + 2 * hv)).alias("span"), divided(hh - hv, hh + hv).alias("rfdi"), divided(vv, hh + vv).alias("csi"), divided(hv, hv + bmi).alias("vsi"), bmi.alias("bmi"), divided(hh, vv).alias("hhvv_ratio"), divided(hv, hh).alias("hvhh_ratio"), divided(F.hypot("c13_re", "c13_im"), F.sqrt(hh * vv)).alias("coherence"), atan2(F.col("c13_im"), F.col("c13_re")).alias("phase"))
 
 
 def faraday(df: DataFrame, size: int) -> DataFrame:
