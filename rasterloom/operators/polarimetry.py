@@ -332,23 +332,24 @@ def stokes(c2: DataFrame, hand: str = "right") -> DataFrame:
     sign = 1 if hand == "right" else -1
     out = c2.select("y", "x", (F.col("c11") + F.col("c22")).alias("g0"), (F.col("c11") - F.col("c22")).alias("g1"), (2 * F.col("c12_re")).alias("g2"), (sign * 2 * F.col("c12_im")).alias("g3"))
     pol = F.sqrt(F.col("g1") ** 2 + F.col("g2") ** 2 + F.col("g3") ** 2)
-    m = pol / F.col("g0")
-    return out.select("*", m.alias("m"), (F.sqrt(F.col("g1") ** 2 + F.col("g2") ** 2) / F.col("g0")).alias("linear"), ((F.col("g0") - F.col("g3")) / (F.col("g0") + F.col("g3"))).alias("cpr"), ((F.col("g0") - F.col("g1")) / (F.col("g0") + F.col("g1"))).alias("lpr"), F.atan2("g3", "g2").alias("delta"), F.when(pol > 0, 0.5 * F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.col("g3") / pol)))).otherwise(0.0).alias("chi"), (0.5 * F.atan2("g2", "g1")).alias("psi"))
+    m = divided(pol, F.col("g0"))
+    return out.select("*", m.alias("m"), divided(F.sqrt(F.col("g1") ** 2 + F.col("g2") ** 2), F.col("g0")).alias("linear"), divided(F.col("g0") - F.col("g3"), F.col("g0") + F.col("g3")).alias("cpr"), divided(F.col("g0") - F.col("g1"), F.col("g0") + F.col("g1")).alias("lpr"), atan2(F.col("g3"), F.col("g2")).alias("delta"), F.when(pol > 0, 0.5 * F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), divided(-F.col("g3"), pol))))).otherwise(0.0).alias("chi"), (0.5 * atan2(F.col("g2"), F.col("g1"))).alias("psi"))
 
 
 def compact(c2: DataFrame, kind: str) -> DataFrame:
     """Compact-polarimetry decompositions m_chi, m_delta, m_alpha."""
     s = stokes(c2)
-    mg = F.col("m") * F.col("g0")
+    g0 = F.col("g0")
+    mg = F.when(g0 != 0, F.col("m") * g0).otherwise(0.0)
     part = {
         "m_chi": (mg * (1 - F.sin(2 * F.col("chi"))) / 2, mg * (1 + F.sin(2 * F.col("chi"))) / 2),
         "m_delta": (mg * (1 - F.sin("delta")) / 2, mg * (1 + F.sin("delta")) / 2),
     }
-    alpha = 0.5 * F.atan2(F.sqrt(F.col("g1") ** 2 + F.col("g2") ** 2), F.col("g3"))
+    alpha = 0.5 * atan2(F.sqrt(F.col("g1") ** 2 + F.col("g2") ** 2), F.col("g3"))
     part["m_alpha"] = (mg * F.cos(alpha) ** 2, mg * F.sin(alpha) ** 2)
     a, b = part[kind]
     root = lambda c: F.sqrt(F.greatest(c, F.lit(0.0)))
-    return s.select("y", "x", root(a).alias("a"), root(b).alias("b"), root((1 - F.col("m")) * F.col("g0")).alias("random"))
+    return s.select("y", "x", root(a).alias("a"), root(b).alias("b"), root((1 - F.col("m")) * g0 if kind == "m_delta" else g0 - mg).alias("random"))
 
 
 def mf3cc(c2: DataFrame) -> DataFrame:
@@ -356,8 +357,8 @@ def mf3cc(c2: DataFrame) -> DataFrame:
     s = stokes(c2)
     m, g0 = F.col("m"), F.col("g0")
     sc, oc = (g0 - F.col("g3")) / 2, (g0 + F.col("g3")) / 2
-    theta = F.atan(m * g0 * (oc - sc) / (oc * sc + m * m * g0 * g0))
-    return s.select("y", "x", (m * g0 / 2 * (1 + F.sin(2 * theta))).alias("surface"), (m * g0 / 2 * (1 - F.sin(2 * theta))).alias("double"), (g0 * (1 - m)).alias("volume"))
+    theta = F.atan(divided(m * g0 * (oc - sc), oc * sc + m * m * g0 * g0))
+    return s.select("y", "x", (m * g0 / 2 * (1 + F.sin(2 * theta))).alias("surface"), (m * g0 / 2 * (1 - F.sin(2 * theta))).alias("double"), F.when(g0 != 0, g0 * (1 - m)).otherwise(g0).alias("volume"))
 
 
 def simulate_compact(df: DataFrame) -> DataFrame:
@@ -381,7 +382,7 @@ def radar_vegetation(c2: DataFrame) -> DataFrame:
     e = eigen2(c2)
     span = F.col("c11") + F.col("c22")
     det = F.col("c11") * F.col("c22") - F.col("c12_re") ** 2 - F.col("c12_im") ** 2
-    m = F.sqrt(F.greatest(1 - 4 * det / (span * span), F.lit(0.0)))
+    m = F.sqrt(F.greatest(1 - divided(4 * det, span * span), F.lit(0.0)))
     return e.select("y", "x", F.when(span > 0, 1 - m * F.col("lambda1") / span).alias("rvi"))
 
 
@@ -426,9 +427,9 @@ def compact_vegetation(c2: DataFrame) -> DataFrame:
     s = stokes(c2)
     sc, oc = (F.col("g0") - F.col("g3")) / 2, (F.col("g0") + F.col("g3")) / 2
     norm = F.sqrt(F.col("g0") ** 2 + F.col("g1") ** 2 + F.col("g2") ** 2 + F.col("g3") ** 2)
-    gd = 2 / math.pi * F.acos(F.least(F.col("g0") / norm, F.lit(1.0)))
+    gd = 2 / math.pi * F.acos(F.least(divided(F.col("g0"), norm), F.lit(1.0)))
     lam = 1.5 * gd
-    return s.select("y", "x", ((1 - lam) * F.pow(F.least(sc, oc) / F.greatest(sc, oc), 2 * lam)).alias("vegetation"))
+    return s.select("y", "x", ((1 - lam) * F.pow(divided(F.least(sc, oc), F.greatest(sc, oc)), 2 * lam)).alias("vegetation"))
 
 
 def change_test(first: DataFrame, second: DataFrame, looks: float, n: int = 2, threshold: float = 0.99) -> DataFrame:
