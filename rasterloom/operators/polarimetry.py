@@ -121,8 +121,9 @@ def generalized_freeman_durden(t3: DataFrame) -> DataFrame:
 
 
 def van_zyl(c3: DataFrame) -> DataFrame:
-    zeta = F.col("c33") / F.col("c11")
-    rho2 = (F.col("c13_re") ** 2 + F.col("c13_im") ** 2) / (F.col("c11") * F.col("c11"))
+    """Powers from the eigenvalues of C3; without a first channel there are none (NaN)."""
+    zeta = divided(F.col("c33"), F.col("c11"))
+    rho2 = divided(F.col("c13_re") ** 2 + F.col("c13_im") ** 2, F.col("c11") * F.col("c11"))
     root = F.sqrt((zeta - 1) * (zeta - 1) + 4 * rho2)
     l1, l2 = 0.5 * F.col("c11") * (zeta + 1 + root), 0.5 * F.col("c11") * (zeta + 1 - root)
     return c3.select("y", "x", F.greatest(l1, l2).alias("surface"), F.least(l1, l2).alias("double"), F.col("c22").alias("volume"))
@@ -132,7 +133,7 @@ def huynen(t3: DataFrame) -> DataFrame:
     a0 = F.col("t11") / 2
     c, d, h, g = F.col("t12_re"), F.col("t12_im"), F.col("t13_re"), F.col("t13_im")
     two = 2 * a0
-    return t3.select("y", "x", two.alias("a0_2"), ((c * c + d * d + h * h + g * g) / (2 * two)).alias("b0"), ((c * c + d * d - h * h - g * g) / (2 * two)).alias("b"), ((c * h + d * g) / two).alias("e"), ((c * g - d * h) / two).alias("f"))
+    return t3.select("y", "x", two.alias("a0_2"), divided(c * c + d * d + h * h + g * g, 2 * two).alias("b0"), divided(c * c + d * d - h * h - g * g, 2 * two).alias("b"), divided(c * h + d * g, two).alias("e"), divided(c * g - d * h, two).alias("f"))
 
 
 def krogager(df: DataFrame) -> DataFrame:
