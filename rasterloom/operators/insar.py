@@ -467,6 +467,8 @@ def phase_linking(stack: DataFrame, epochs: int, size: int = 7, least: int = 8,
         ordered = np.sort(np.abs(z), -1)
         ty, tx = int(pdf.ty.iloc[0]), int(pdf.tx.iloc[0])
         own = pdf[(pdf.y // tile == ty) & (pdf.x // tile == tx)][["y", "x"]].drop_duplicates()
+        if not len(own):  # beyond the scene's last line or column there is only the halo
+            return pd.DataFrame({"y": [], "x": [], "phase": pd.Series(dtype=object), "temporal_coherence": [], "alike": []})
         at, to = own.y.to_numpy() - y0, own.x.to_numpy() - x0
         mine, height, width = ordered[at, to], *z.shape[:2]
         count, power = np.zeros(len(own), int), np.zeros((len(own), epochs))
