@@ -532,7 +532,7 @@ def cross_resample(df: DataFrame, line: Sequence[float], sample: Sequence[float]
 
 def unwrapping_export(df: DataFrame, coherence_: DataFrame) -> DataFrame:
     """What an external unwrapper needs: wrapped phase and coherence per pixel of one grid."""
-    return df.select("y", "x", F.atan2("q", "i").alias("phase")).join(coherence_.select("y", "x", "coherence"), ["y", "x"])
+    return df.select("y", "x", Cx.of("i", "q").arg().alias("phase")).join(coherence_.select("y", "x", "coherence"), ["y", "x"])
 
 
 def unwrapping_import(wrapped: DataFrame, unwrapped: DataFrame) -> DataFrame:

@@ -297,7 +297,7 @@ def faraday(df: DataFrame, size: int) -> DataFrame:
     cross, total = hv - vh, hh + vv
     z01, z10 = Cx(cross.re - total.im, cross.im + total.re), Cx(-cross.re - total.im, -cross.im + total.re)
     z = z01 * z10.conj()
-    s = box_sums(df, {"re": z.re, "im": z.im}, size).withColumn("omega", -0.25 * F.atan2("im", "re"))
+    s = box_sums(df, {"re": z.re, "im": z.im}, size).withColumn("omega", -0.25 * atan2(F.col("im"), F.col("re")))
     c, n = F.cos("omega"), F.sin("omega")
     turn = {
         "hh": hh * (c * c) + (vh - hv) * (n * c) - vv * (n * n),
@@ -567,7 +567,7 @@ def dual_pol_powers(df: DataFrame, factorised: bool = False) -> DataFrame:
         ps = F.when(rsi > rbi, g0 * rsi).otherwise(g0 * (1 - rbi) * rsi)
         pd_ = F.when(rsi > rbi, g0 * (1 - rsi) * rbi).otherwise(g0 * rbi)
         return df.select("y", "x", ps.alias("surface"), pd_.alias("double"), (g0 - ps - pd_).alias("rest"))
-    angle = F.atan2(rbi, 1 - rbi) + F.atan2(1 - rsi, rsi)
+    angle = atan2(rbi, 1 - rbi) + atan2(1 - rsi, rsi)
     half = F.col("dop") * g0 / 2
     return df.select("y", "x", (half * (1 + F.cos(angle))).alias("surface"), (half * (1 - F.cos(angle))).alias("double"), ((1 - F.col("dop")) * g0).alias("rest"))
 
@@ -578,7 +578,7 @@ def cameron(df: DataFrame) -> DataFrame:
     r = math.sqrt(0.5)
     a, b, c = (hh + vv) * r, (hh - vv) * r, (hv + vh) * r
     re = (b * c.conj()).re * 2
-    chi = 0.5 * F.atan2(re, b.power() - c.power())
+    chi = 0.5 * atan2(re, b.power() - c.power())
     sym = b * F.cos(chi) + c * F.sin(chi)
     size = F.sqrt(a.power() + b.power() + c.power())
     share = F.when(size > 0, F.sqrt(a.power() + sym.power()) / size).otherwise(0.0)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cx import Cx
+from ..functions.cx import Cx, atan2
 from .polarimetry import EPS, _eigen, db, elements, over, stokes
 
 # Kennaugh matrices of the trihedral, cylinder, narrow dihedral and dihedral, as diagonals and the (1, 2) element.
@@ -55,7 +55,7 @@ def model_based(c2: DataFrame, sign: int = 1) -> DataFrame:
     decibel = lambda p: F.when(p > 0, 10 * F.log10(F.when(p > 0, p)))
     alpha = F.when(F.abs(cosine) <= 1, F.degrees(0.5 * F.acos(cosine)))
     rho = over(F.hypot("c12_re", "c12_im"), F.sqrt(F.col("c11") * F.col("c22")))
-    return out.select("y", "x", decibel(ms).alias("surface"), decibel(mv).alias("volume"), (decibel(ms) - decibel(mv)).alias("ratio"), alpha.alias("alpha"), F.degrees(F.atan2("_s3", "_s2")).alias("delta"), rho.alias("rho"), F.col("_s0").alias("span"))
+    return out.select("y", "x", decibel(ms).alias("surface"), decibel(mv).alias("volume"), (decibel(ms) - decibel(mv)).alias("ratio"), alpha.alias("alpha"), F.degrees(atan2(F.col("_s3"), F.col("_s2"))).alias("delta"), rho.alias("rho"), F.col("_s0").alias("span"))
 
 
 def random_volume(c2: DataFrame, hand: str = "right") -> DataFrame:
@@ -63,10 +63,10 @@ def random_volume(c2: DataFrame, hand: str = "right") -> DataFrame:
     s = stokes(c2, hand)
     g1, g2, g3, g0, m = (F.col(k) for k in ("g1", "g2", "g3", "g0", "m"))
     sign = 1 if hand == "right" else -1
-    alpha = 0.5 * F.atan2(F.hypot(g1, g2), g3)
+    alpha = 0.5 * atan2(F.hypot(g1, g2), g3)
     s = s.select("*", alpha.alias("_alpha"))
     cosine = F.cos(2 * F.col("_alpha"))
-    return s.select("y", "x", F.col("_alpha").alias("alpha"), (0.5 * g0 * (1 - m)).alias("mv"), (2 * g0 * m).alias("ms"), F.atan2(sign * g2, g1).alias("phi"), (m * g0 * (1 - cosine) / 2).alias("double"), ((1 - m) * g0).alias("volume"), (m * g0 * (1 + cosine) / 2).alias("surface"))
+    return s.select("y", "x", F.col("_alpha").alias("alpha"), (0.5 * g0 * (1 - m)).alias("mv"), (2 * g0 * m).alias("ms"), atan2(sign * g2, g1).alias("phi"), (m * g0 * (1 - cosine) / 2).alias("double"), ((1 - m) * g0).alias("volume"), (m * g0 * (1 + cosine) / 2).alias("surface"))
 
 
 def distortion(covariance: np.ndarray, rounds: int = 4) -> np.ndarray:

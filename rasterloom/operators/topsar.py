@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cx import Cx
+from ..functions.cx import Cx, atan2
 
 
 def split(df: DataFrame, swath: str, first: int, last: int) -> DataFrame:
@@ -64,7 +64,7 @@ def spectral_diversity(blocks: DataFrame, separation: float, azimuth_interval: f
     blocks: overlap, i, q (double difference), coherence.
     """
     w = F.col("coherence")
-    phase = F.atan2(F.sum(F.col("q") * w), F.sum(F.col("i") * w))
+    phase = atan2(F.sum(F.col("q") * w), F.sum(F.col("i") * w))
     return blocks.groupBy("overlap").agg((phase / (2 * math.pi * separation * azimuth_interval)).alias("shift"), F.avg("coherence").alias("coherence"))
 
 
