@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cx import atan2
 from ..operators import calibration, coregistration, detection, filters, geometry, insar, matrix_filters, missions, polarimetry, polarimetry_models, raster, soil, topsar
 from ..sources import formats, orbits, products, sinks, tiff, views
 from ..streaming import events as streams
@@ -346,7 +347,7 @@ query("wind_field")(lambda spark, d: rounded(detection.wind_field(views.scene(sp
 @query("interferogram", sql([PAIR], "y, x", {"i": "i1 * i2 + q1 * q2", "q": "q1 * i2 - i1 * q2", "phase": "atan2(round(q1 * i2 - i1 * q2, 9) + 0.0, i1 * i2 + q1 * q2)"}, "pair"))
 def _(spark, d):
     """An imaginary part of nothing has no sign, on both sides."""
-    return rounded(insar.interferogram(views.pair(spark, d)).withColumn("phase", F.atan2(F.round("q", 9) + F.lit(0.0), "i")))
+    return rounded(insar.interferogram(views.pair(spark, d)).withColumn("phase", atan2(F.round("q", 9) + F.lit(0.0), F.col("i"))))
 
 
 @query("interferogram_flattened", sql([PAIR, "f AS (SELECT *, 0.01 + 0.02 * y + 0.03 * x AS p FROM pair)", "g AS (SELECT *, i2 * cos(p) - q2 * sin(p) AS u, i2 * sin(p) + q2 * cos(p) AS w FROM f)"], "y, x", {"i": "i1 * u + q1 * w", "q": "q1 * u - i1 * w"}, "g"))
@@ -974,7 +975,7 @@ def _(spark, d):
 
 @query("stokes", sql([QUAD, C2, STOKES], "y, x", {"g0": "g0", "g1": "g1", "g2": "g2", "g3": "g3", "m": "pol / g0", "linear": "sqrt(g1 ** 2 + g2 ** 2) / g0", "cpr": "(g0 - g3) / (g0 + g3)", "lpr": "(g0 - g1) / (g0 + g1)", "delta": "atan2(round(g3, 9) + 0.0, round(g2, 9) + 0.0)", "chi": "CASE WHEN pol > 0 THEN asin(greatest(-1, least(1, -g3 / pol))) / 2 ELSE 0 END", "psi": "atan2(round(g2, 9) + 0.0, g1) / 2"}, "st"))
 def _(spark, d):
-    return rounded(polarimetry.stokes(c2(spark, d)).withColumn("delta", F.atan2(F.round("g3", 9) + F.lit(0.0), F.round("g2", 9) + F.lit(0.0))).withColumn("psi", F.atan2(F.round("g2", 9) + F.lit(0.0), "g1") / 2))
+    return rounded(polarimetry.stokes(c2(spark, d)).withColumn("delta", atan2(F.round("g3", 9) + F.lit(0.0), F.round("g2", 9) + F.lit(0.0))).withColumn("psi", atan2(F.round("g2", 9) + F.lit(0.0), F.col("g1")) / 2))
 
 
 @query("compact_m_delta", sql([QUAD, C2, STOKES], "y, x", {"a": "sqrt(greatest(pol * (1 - sin(atan2(g3, g2))) / 2, 0))", "b": "sqrt(greatest(pol * (1 + sin(atan2(g3, g2))) / 2, 0))", "random": "sqrt(greatest((1 - pol / g0) * g0, 0))"}, "st", digits=4))
