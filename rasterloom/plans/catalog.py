@@ -697,7 +697,7 @@ def _(spark, d):
 def _(spark, d):
     """Size of the file: the header and four bytes for each pixel."""
     files = sinks.netcdf(views.scene(spark, d).select("y", "x", "v"), ["v"], "scene")
-    return rounded(files.select(F.length("content").cast("double").alias("bytes")), 0)
+    return rounded(files.groupBy("name").agg(F.sum(F.length("content")).cast("double").alias("bytes")).select("bytes"), 0)
 
 
 @query("orbit_polynomials", sql(["t AS (SELECT DISTINCT event_id // 100 * 0.013 AS t FROM events)"], "", {"t": "t", "x": "7000 + 3 * t - 0.1 * t * t", "y": "t ** 3 * 0.01", "z": "5 - t", "vx": "3 - 0.2 * t", "vy": "0.03 * t * t", "vz": "-1"}, "t", digits=5))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,25 +30,68 @@ def header(text: str) -> dict[str, str]:
     return out
 
 
-def read_bsq(spark: SparkSession, path: str, meta: dict[str, str], names: list[str] | None = None) -> DataFrame:
-    """Pixels (file, y, x, bands) of binary files under path, all with the header meta.
+#: Pixels of the strips in which scenes are written and read.
+STRIP = 1 << 18
+
+
+def strip_lines(samples: int) -> int:
+    return max(1, STRIP // max(samples, 1))
+
+
+@contextmanager
+def opened(path: str) -> Iterator[Callable[[int, int], bytes]]:
+    """take(offset, size) of a file in a store that Arrow reaches."""
+    store, place = pafs.FileSystem.from_uri(path)
+    with store.open_input_file(place) as f:
+        yield lambda at, n: f.read_at(min(n, max(f.size() - at, 0)), at)
+
+
+def reached(files: DataFrame) -> bool:
+    """Whether Arrow reaches the store of these files, so that tasks can read parts of them; else a file is a record of Spark's source."""
+    one = files.select("path").first()
+    try:
+        return one is not None and pafs.FileSystem.from_uri(one["path"])[0].get_file_info([pafs.FileSystem.from_uri(one["path"])[1]])[0].is_file
+    except (pa.ArrowException, OSError):
+        return False
 
-    A file is one record of the source; files hold tiles or strips, so no record is larger than a task can hold.
-    """
+
+def read_strips(spark: SparkSession, path: str, lines: int, samples: int, schema: str, decode: Callable[[Callable[[int, int], bytes], int, int], dict]) -> DataFrame:
+    """Pixels (file, y, x and what the schema adds) of equal files, by strips: decode(take, first, count) gives the columns of those lines."""
+    step = strip_lines(samples)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for name, own, content in zip(pdf["path"], pdf["first"], pdf["content"], strict=True):
+                for first in range(0, lines, step) if content is not None else (own,):
+                    count = min(step, lines - first)
+                    if content is not None:
+                        values = decode(lambda at, n, c=content: c[at : at + n], first, count)
+                    else:
+                        with opened(name) as take:
+                            values = decode(take, first, count)
+                    yy, xx = np.mgrid[first : first + count, :samples]
+                    yield pd.DataFrame({"file": name, "y": yy.ravel(), "x": xx.ravel(), **values})
+
+    files = spark.read.format("binaryFile").load(path)
+    if lines and reached(files):
+        tasks = min(-(-lines // step), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        parts = files.select("path", F.explode(F.sequence(F.lit(0), F.lit(lines - 1), F.lit(step))).alias("first"), F.lit(None).cast("binary").alias("content")).repartition(tasks)
+    else:
+        parts = files.select("path", F.lit(0).alias("first"), "content")
+    return parts.mapInPandas(run, f"file string, y long, x long, {schema}")
+
+
+def read_bsq(spark: SparkSession, path: str, meta: dict[str, str], names: list[str] | None = None) -> DataFrame:
+    """Pixels (file, y, x, bands) of binary files under path, all with the header meta."""
     lines, samples, bands = (int(meta[k]) for k in ("lines", "samples", "bands"))
     kind = np.dtype(TYPES[meta.get("data type", "4")]).newbyteorder(">" if meta.get("byte order", "0") == "1" else "<")
     names = names or [f"band{k + 1}" for k in range(bands)]
-    skip = int(meta.get("header offset", "0"))
+    skip, line = int(meta.get("header offset", "0")), samples * kind.itemsize
 
-    def decode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                a = np.frombuffer(content, kind, offset=skip).reshape(bands, lines, samples).astype(float)
-                yy, xx = np.mgrid[:lines, :samples]
-                yield pd.DataFrame({"file": name, "y": yy.ravel(), "x": xx.ravel(), **{n: a[k].ravel() for k, n in enumerate(names)}})
+    def decode(take: Callable[[int, int], bytes], first: int, count: int) -> dict:
+        return {n: np.frombuffer(take(skip + (k * lines + first) * line, count * line), kind).astype(float) for k, n in enumerate(names)}
 
-    schema = "file string, y long, x long, " + ", ".join(f"{n} double" for n in names)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, schema)
+    return read_strips(spark, path, lines, samples, ", ".join(f"{n} double" for n in names), decode)
 
 
 def encode_bsq(df: DataFrame, bands: list[str], tile: int = 256) -> DataFrame:

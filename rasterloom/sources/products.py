@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from . import formats
 from .orbits import days
 
 # Where each mission's XML has what; the first element of a path that is there counts.
@@ -202,12 +203,10 @@ def read_gamma(spark: SparkSession, path: str, par: str) -> DataFrame:
     dtype = {"FCOMPLEX": ">f4", "SCOMPLEX": ">i2", "FLOAT": ">f4"}[kind]
     names = ["i", "q"] if "COMPLEX" in kind else ["v"]
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                a = np.frombuffer(content, dtype).reshape(lines, samples, len(names)).astype(float)
-                yy, xx = np.mgrid[:lines, :samples]
-                yield pd.DataFrame({"file": name, "y": yy.ravel(), "x": xx.ravel(), **{n: a[..., k].ravel() for k, n in enumerate(names)}})
+    def decode(take, first: int, count: int) -> dict:
+        line = samples * len(names) * np.dtype(dtype).itemsize
+        a = np.frombuffer(take(first * line, count * line), dtype).reshape(-1, len(names)).astype(float)
+        return {n: a[:, k] for k, n in enumerate(names)}
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, y long, x long, " + ", ".join(f"{n} double" for n in names))
 

@@ -1,11 +1,12 @@
-"""Products as files: rows (name, content), one for each file, and their writing to any store that Arrow reaches.
+"""Products as files: rows (name, part, content), the parts of a file in order, and their writing to any store that Arrow reaches.
 
-A band is one record, so that a band of up to 2 GB is written; larger scenes are written by tiles.
+A part holds a strip of lines of a band, so that no task holds a whole scene.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -14,9 +15,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.graph import written
 from . import tiff
+from .formats import strip_lines
 
-FILES = "name string, content binary"
+FILES = "name string, part long, content binary"
+#: Bytes copied at once where parts become a file.
+COPIED = 8 << 20
 
 
 def save(files: DataFrame, folder: str) -> int:
@@ -25,20 +30,45 @@ def save(files: DataFrame, folder: str) -> int:
     def put(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = pafs.FileSystem.from_uri(folder)
         for pdf in it:
+            places = []
             for name, content in zip(pdf["name"], pdf["content"], strict=True):
                 folder_, _, own = f"{root}/{name}".rpartition("/")
                 store.create_dir(folder_, recursive=True)
-                part = f"{folder_}/_{own}.part{np.random.default_rng().integers(2**62)}"
-                with store.open_output_stream(part) as out:
+                places.append(f"{folder_}/_{own}.part{uuid.uuid4().hex}")
+                with store.open_output_stream(places[-1]) as out:
                     out.write(content)
-                store.move(part, f"{folder_}/{own}")
-            yield pd.DataFrame({"n": [len(pdf)]})
+            yield pdf[["name", "part"]].assign(place=places)
 
-    return files.mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    def join(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = pafs.FileSystem.from_uri(folder)
+        for pdf in it:
+            for name, places in zip(pdf["name"], pdf["places"], strict=True):
+                folder_, _, own = f"{root}/{name}".rpartition("/")
+                whole = f"{folder_}/_{own}.part{uuid.uuid4().hex}"
+                with store.open_output_stream(whole) as out:
+                    for place in places:
+                        with store.open_input_stream(place) as part:
+                            while data := part.read(COPIED):
+                                out.write(data)
+                store.move(whole, f"{folder_}/{own}")
+            yield pdf[["name"]]
+
+    spark, parts = files.sparkSession, {}
+    for row in files.mapInPandas(put, "name string, part long, place string").collect():  # places only
+        parts.setdefault(row["name"], []).append((row["part"], row["place"]))
+    if not parts:
+        return 0
+    rows = [(name, [place for _, place in sorted(own)]) for name, own in sorted(parts.items())]
+    made = spark.createDataFrame(rows, "name string, places array<string>").repartition(min(len(rows), 64)).mapInPandas(join, "name string").collect()
+    store, _ = pafs.FileSystem.from_uri(folder)
+    for _, places in rows:
+        for place in places:
+            store.delete_file(place)
+    return len(made)
 
 
 def texts(like: DataFrame, parts: Mapping[str, str]) -> DataFrame:
-    return like.sparkSession.createDataFrame([(k, v.encode()) for k, v in parts.items()], FILES)
+    return like.sparkSession.createDataFrame([(k, 0, v.encode()) for k, v in parts.items()], FILES)
 
 
 def size(df: DataFrame) -> tuple[int, int]:
@@ -47,17 +77,30 @@ def size(df: DataFrame) -> tuple[int, int]:
     return (0, 0) if r["y"] is None else (r["y"] + 1, r["x"] + 1)
 
 
-def assembled(df: DataFrame, bands: Sequence[str], lines: int, samples: int, encode) -> DataFrame:
-    """One file per band: encode(band, grid) is its (name, bytes); absent pixels are NaN."""
-    long = df.select("y", "x", F.explode(F.map_from_arrays(F.array(*[F.lit(b) for b in bands]), F.array(*[F.col(b).cast("double") for b in bands]))).alias("band", "v"))
+def striped(df: DataFrame, columns: Sequence[str], lines: int, samples: int, encode) -> DataFrame:
+    """Parts (name, part, content) of each strip: encode(strip, grid) gives them of the strip's (column, line, sample), absent pixels NaN."""
+    step = strip_lines(samples)
+    own = df.select("y", "x", *[F.col(c).cast("double").alias(c) for c in columns]).withColumn("strip", F.floor(F.col("y") / step))
+    # a strip without pixels is there too
+    every = df.sparkSession.range(-(-lines // step)).select(*[F.lit(None).cast(t).alias(c) for c, t in own.dtypes[:-1]], F.col("id").alias("strip"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.full((lines, samples), np.nan)
-        a[pdf.y, pdf.x] = pdf.v
-        name, content = encode(pdf.band.iloc[0], a)
-        return pd.DataFrame({"name": [name], "content": [content]})
+        strip, pdf = int(pdf.strip.iloc[0]), pdf[pdf.y.notna()]
+        a = np.full((len(columns), min(step, lines - strip * step), samples), np.nan)
+        a[:, pdf.y.to_numpy(int) - strip * step, pdf.x.to_numpy(int)] = pdf[list(columns)].to_numpy(float).T
+        return pd.DataFrame(encode(strip, a), columns=["name", "part", "content"])
+
+    return own.unionByName(every).groupBy("strip").applyInPandas(pack, FILES)
 
-    return long.groupBy("band").applyInPandas(pack, FILES)
+
+def assembled(df: DataFrame, bands: Sequence[str], lines: int, samples: int, encode) -> DataFrame:
+    """One file per band: encode(band, grid) is its name and the bytes of the lines of a strip; absent pixels are NaN."""
+
+    def parts(strip: int, a: np.ndarray) -> list[tuple]:
+        made = [encode(band, own) for band, own in zip(bands, a, strict=True)]
+        return [(name, strip, content) for name, content in made]
+
+    return striped(df, bands, lines, samples, parts)
 
 
 def raw(suffix: str, order: str):
@@ -66,15 +109,8 @@ def raw(suffix: str, order: str):
 
 
 def complex_raw(df: DataFrame, name: str, lines: int, samples: int, order: str) -> DataFrame:
-    """Pairs of floats of the columns i and q."""
-    both = df.groupBy().applyInPandas(lambda pdf: pd.DataFrame({"name": [name], "content": [_pairs(pdf, lines, samples, order)]}), FILES)
-    return both
-
-
-def _pairs(pdf: pd.DataFrame, lines: int, samples: int, order: str) -> bytes:
-    a = np.zeros((lines, samples, 2), f"{order}f4")
-    a[pdf.y, pdf.x, 0], a[pdf.y, pdf.x, 1] = pdf.i, pdf.q
-    return a.tobytes()
+    """Pairs of floats of the columns i and q; absent pixels are 0."""
+    return striped(df, ["i", "q"], lines, samples, lambda strip, a: [(name, strip, np.where(np.isnan(a), 0, a).transpose(1, 2, 0).astype(f"{order}f4").tobytes())])
 
 
 def envi_header(lines: int, samples: int, bands: Sequence[str], big: bool = False) -> str:
@@ -176,7 +212,10 @@ def pyrate(df: DataFrame, pairs: Sequence[tuple[str, str]], wavelength: float, g
     lines, samples = size(df)
     scale, corner = (geo["x_step"], geo["y_step"], 0.0), (geo["x_first"], geo["y_first"])
     bands = [f"{k}_{a}_{b}" for a, b in pairs for k in ("unw", "coh")]
-    files = assembled(df, bands, lines, samples, lambda band, a: (f"{band}.tif", tiff.encode(a[None], scale, corner)))
+    files = None
+    for band in bands:
+        one = tiffs(df, [band], f"{band}.tif", lines, samples, scale, corner)
+        files = one if files is None else files.union(one)
     own = {}
     for a, b in pairs:
         own[f"unw_{a}_{b}.tif.rsc"] = settings({"WIDTH": samples, "FILE_LENGTH": lines, "X_FIRST": geo["x_first"], "X_STEP": geo["x_step"], "Y_FIRST": geo["y_first"], "Y_STEP": -abs(geo["y_step"]), "WAVELENGTH": wavelength, "DATE12": f"{a[2:]}-{b[2:]}", "INCIDENCE": incidence})
@@ -188,16 +227,22 @@ def pyrate(df: DataFrame, pairs: Sequence[tuple[str, str]], wavelength: float, g
     return files.union(texts(df, own))
 
 
+def tiffs(df: DataFrame, bands: Sequence[str], name: str, lines: int, samples: int, scale: tuple[float, float, float] | None, corner: tuple[float, float] | None) -> DataFrame:
+    """The parts of a TIFF: deflated strips, and before them the header with their places."""
+    count = -(-lines // strip_lines(samples))
+    packed = lambda strip, a: [(name, 1 + k * count + strip, tiff.packed(b)) for k, b in enumerate(a)]
+    strips = written(striped(df, bands, lines, samples, packed), "tiff")
+    sizes = [r["n"] for r in strips.select("part", F.length("content").alias("n")).orderBy("part").collect()]
+    if not sizes:
+        return strips
+    head = tiff.head(len(bands), lines, samples, strip_lines(samples), sizes, scale, corner)
+    return strips.union(df.sparkSession.createDataFrame([(name, 0, head)], FILES))
+
+
 def geotiff(df: DataFrame, bands: Sequence[str], name: str, meta: Mapping[str, object] | None = None, scale: tuple[float, float, float] | None = None, corner: tuple[float, float] | None = None) -> DataFrame:
     """One TIFF of all bands, and the product's metadata as XML beside it."""
     lines, samples = size(df)
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.full((len(bands), lines, samples), np.nan)
-        a[:, pdf.y, pdf.x] = pdf[list(bands)].to_numpy(float).T
-        return pd.DataFrame({"name": [f"{name}.tif"], "content": [tiff.encode(a, scale, corner)]})
-
-    files = df.select("y", "x", *bands).groupBy().applyInPandas(pack, FILES)
+    files = tiffs(df, bands, f"{name}.tif", lines, samples, scale, corner)
     if meta is None:
         return files
     escape = lambda v: str(v).replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")
@@ -205,9 +250,8 @@ def geotiff(df: DataFrame, bands: Sequence[str], name: str, meta: Mapping[str, o
     return files.union(texts(df, {f"{name}.xml": f'<?xml version="1.0" encoding="UTF-8"?>\n<product name="{escape(name)}" lines="{lines}" samples="{samples}">\n{body}</product>\n'}))
 
 
-def netcdf_bytes(bands: Mapping[str, np.ndarray], meta: Mapping[str, object]) -> bytes:
-    """A classic netCDF file (64-bit offsets): dimensions y and x, a float variable for each band, text attributes."""
-    lines, samples = next(iter(bands.values())).shape
+def netcdf_head(bands: Sequence[str], lines: int, samples: int, meta: Mapping[str, object]) -> bytes:
+    """What stands before the values of a classic netCDF file (64-bit offsets): dimensions y and x, a float variable for each band, text attributes."""
     pad = lambda b: b + b"\0" * (-len(b) % 4)
     named = lambda s: struct.pack(">I", len(s.encode())) + pad(s.encode())
     attributes = b"".join(named(k) + struct.pack(">II", 2, len(str(v).encode())) + pad(str(v).encode()) for k, v in meta.items())
@@ -217,19 +261,13 @@ def netcdf_bytes(bands: Mapping[str, np.ndarray], meta: Mapping[str, object]) ->
     each = 4 * lines * samples
     entry = lambda n, at: named(n) + struct.pack(">III", 2, 0, 1) + struct.pack(">IIII", 0, 0, 5, min(each, 2**32 - 1)) + struct.pack(">Q", at)
     start = len(head) + sum(len(entry(n, 0)) for n in bands)
-    head += b"".join(entry(n, start + k * each) for k, n in enumerate(bands))
-    return head + b"".join(a.astype(">f4").tobytes() for a in bands.values())
+    return head + b"".join(entry(n, start + k * each) for k, n in enumerate(bands))
 
 
 def netcdf(df: DataFrame, bands: Sequence[str], name: str, meta: Mapping[str, object] | None = None) -> DataFrame:
     """One netCDF file of all bands."""
     lines, samples = size(df)
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = {}
-        for b in bands:
-            out[b] = np.full((lines, samples), np.nan)
-            out[b][pdf.y, pdf.x] = pdf[b]
-        return pd.DataFrame({"name": [f"{name}.nc"], "content": [netcdf_bytes(out, meta or {})]})
-
-    return df.select("y", "x", *bands).groupBy().applyInPandas(pack, FILES)
+    count = -(-lines // strip_lines(samples))
+    head = netcdf_head(bands, lines, samples, meta or {})
+    values = lambda strip, a: [(f"{name}.nc", k * count + strip, (b"" if k or strip else head) + b.astype(">f4").tobytes()) for k, b in enumerate(a)]
+    return striped(df, bands, lines, samples, values)
