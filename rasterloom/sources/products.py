@@ -208,7 +208,7 @@ def read_gamma(spark: SparkSession, path: str, par: str) -> DataFrame:
         a = np.frombuffer(take(first * line, count * line), dtype).reshape(-1, len(names)).astype(float)
         return {n: a[:, k] for k, n in enumerate(names)}
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, y long, x long, " + ", ".join(f"{n} double" for n in names))
+    return formats.read_strips(spark, path, lines, samples, ", ".join(f"{n} double" for n in names), decode)
 
 
 def read_polsarpro(spark: SparkSession, folder: str, elements: list[str]) -> DataFrame:
@@ -217,6 +217,28 @@ def read_polsarpro(spark: SparkSession, folder: str, elements: list[str]) -> Dat
     lines, samples = (int(config[config.index(k) + 1]) for k in ("Nrow", "Ncol"))
     names = {e[0].upper() + e[1:].replace("_re", "_real").replace("_im", "_imag"): e for e in elements}
 
+    files = spark.read.format("binaryFile").load(f"{folder}/*.bin")
+    paths = {names[own]: p["path"] for p in files.select("path").collect() if (own := p["path"].rpartition("/")[2].removesuffix(".bin")) in names}
+    if lines and paths and formats.reached(files):
+        # all elements of a strip at once: nothing has to meet again
+        step = formats.strip_lines(samples)
+
+        def strips(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                for k in pdf["id"]:
+                    count = min(step, lines - k * step)
+                    yy, xx = np.mgrid[k * step : k * step + count, :samples]
+                    out = {"y": yy.ravel(), "x": xx.ravel()}
+                    for e in elements:
+                        out[e] = np.full(count * samples, np.nan)
+                        if e in paths:
+                            with formats.opened(paths[e]) as take:
+                                out[e] = np.frombuffer(take(4 * k * step * samples, 4 * count * samples), "<f4").astype(float)
+                    yield pd.DataFrame(out)
+
+        count = -(-lines // step)
+        return spark.range(0, count, 1, min(count, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInPandas(strips, "y long, x long, " + ", ".join(f"{e} double" for e in elements))
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
@@ -226,7 +248,7 @@ def read_polsarpro(spark: SparkSession, folder: str, elements: list[str]) -> Dat
                     yy, xx = np.mgrid[:lines, :samples]
                     yield pd.DataFrame({"y": yy.ravel(), "x": xx.ravel(), "element": own, "v": a.ravel()})
 
-    long = spark.read.format("binaryFile").load(f"{folder}/*.bin").select("path", "content").mapInPandas(run, "y long, x long, element string, v double")
+    long = files.select("path", "content").mapInPandas(run, "y long, x long, element string, v double")
     return long.groupBy("y", "x").pivot("element", elements).max("v")
 
 
