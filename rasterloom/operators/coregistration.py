@@ -19,6 +19,8 @@ from .topsar import deramp
 
 #: Samples on either side of a place that a sinc interpolation takes.
 TAPS = 4
+#: Lines and samples of the blocks in which places meet an image.
+BLOCK = 128
 
 
 def fractional_shift(df: DataFrame, shift: float, axis: str = "x") -> DataFrame:
@@ -109,30 +111,43 @@ def azimuth_spectrum(df: DataFrame, prf: float) -> DataFrame:
 def sinc_resample(places: DataFrame, image: DataFrame) -> DataFrame:
     """Complex value at line and sample of each place (its own y, x): 2 * TAPS windowed sinc weights along both axes; null where a tap is missing.
 
-    Places keep their columns. Weights sum to one, so that a constant stays.
+    Places keep their columns. Weights sum to one, so that a constant stays. Places meet the image by blocks
+    of its pixels, each grown by the taps, so that a place is one row all along.
     """
+    columns = places.columns
+    near = range(1 - TAPS, TAPS + 1)
 
-    def weights(at: Column) -> list[Column]:
-        t = at - F.floor(at)
-        raw = []
-        for k in range(1 - TAPS, TAPS + 1):
-            d = t - k
-            sinc = F.when(F.abs(d) < 1e-12, 1.0).otherwise(F.sin(math.pi * d) / F.when(F.abs(d) >= 1e-12, math.pi * d))
-            raw.append(sinc * (0.5 + 0.5 * F.cos(math.pi * d / TAPS)))
+    def weights(t: np.ndarray) -> list[np.ndarray]:
+        d = [t - k for k in near]
+        raw = [np.where(np.abs(x) < 1e-12, 1.0, np.sin(np.pi * x) / np.where(np.abs(x) < 1e-12, 1.0, np.pi * x)) * (0.5 + 0.5 * np.cos(np.pi * x / TAPS)) for x in d]
         total = sum(raw[1:], raw[0])
         return [w / total for w in raw]
 
-    def taps(at: str, name: str) -> Column:
-        return F.explode(F.array(*[F.struct((F.floor(at) + k).cast("long").alias(f"s{name}"), w.alias(f"w{name}")) for k, w in zip(range(1 - TAPS, TAPS + 1), weights(F.col(at)), strict=True)]))
-
-    wanted = places.where("line is not null and sample is not null").select("y", "x", "line", "sample")
-    wanted = wanted.select("*", taps("line", "y").alias("ty")).select("y", "x", "sample", "ty.*").select("*", taps("sample", "x").alias("tx")).select("y", "x", "sy", "wy", "tx.*")
-    source = image.select(F.col("y").alias("sy"), F.col("x").alias("sx"), "i", "q")
-    weight = F.col("wy") * F.col("wx")
-    # a weight of nothing needs no sample
-    met = wanted.where(F.abs(weight) > 1e-9).join(source, ["sy", "sx"], "left")
-    out = met.groupBy("y", "x").agg(F.sum(F.col("i") * weight).alias("i"), F.sum(F.col("q") * weight).alias("q"), F.max(F.col("i").isNull()).alias("_m"))
-    return places.join(out, ["y", "x"], "left").select(*places.columns, *[F.when(~F.col("_m"), F.col(c)).alias(c) for c in ("i", "q")])
+    def run(key: tuple, own: pd.DataFrame, pixels: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = (int(k) * BLOCK - TAPS for k in key)
+        z = np.full((BLOCK + 2 * TAPS + 1, BLOCK + 2 * TAPS + 1), np.nan, complex)
+        z[pixels["_y"].to_numpy() - y0, pixels["_x"].to_numpy() - x0] = pixels["_i"].to_numpy(float) + 1j * pixels["_q"].to_numpy(float)
+        line, sample = (own[c].to_numpy(float) for c in ("line", "sample"))
+        some = np.flatnonzero(~np.isnan(line) & ~np.isnan(sample))
+        at, to = (np.floor(c[some]) for c in (line, sample))
+        wy, wx = weights(line[some] - at), weights(sample[some] - to)
+        at, to = at.astype(np.int64) - y0, to.astype(np.int64) - x0
+        made = np.zeros(len(some), complex)
+        for dy, v in zip(near, wy, strict=True):
+            for dx, w in zip(near, wx, strict=True):
+                weight = v * w
+                # a weight of nothing needs no sample
+                made += np.where(np.abs(weight) > 1e-9, z[at + dy, to + dx] * weight, 0)
+        i, q = np.full(len(own), np.nan), np.full(len(own), np.nan)
+        i[some], q[some] = made.real, made.imag
+        return own[columns].assign(i=i, q=q)
+
+    block = lambda at, other: F.floor(F.coalesce(F.when(~F.isnan(at), F.col(at)), F.col(other)) / BLOCK)
+    grown = lambda c: F.explode(F.sequence(F.floor((F.col(c) - TAPS) / BLOCK), F.floor((F.col(c) + TAPS) / BLOCK)))
+    asked = places.withColumns({"_by": block("line", "y"), "_bx": block("sample", "x")})
+    source = image.select(F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("i").alias("_i"), F.col("q").alias("_q")).withColumn("_by", grown("_y")).withColumn("_bx", grown("_x"))
+    schema = ", ".join(f"{c} {t}" for c, t in places.dtypes) + ", i double, q double"
+    return asked.groupBy("_by", "_bx").cogroup(source.groupBy("_by", "_bx")).applyInPandas(run, schema)
 
 
 def polynomial(coefficients: list[float], y: Column, x: Column) -> Column:
