@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.windows import box_sums, moments
-from ..plans.graph import connected
+from ..plans.graph import connected, written
 from .raster import convolve, tiles
 
 EPS = 1e-15
@@ -156,6 +156,7 @@ def forest_classes(df: DataFrame, bands: Sequence[str], seed_low: float, seed_hi
 
     Each round is one aggregate per class; it ends when every class keeps its threshold per cent of pixels.
     """
+    df = written(df.select("y", "x", *bands), "bands")  # read in every round
     ratio = F.col(bands[0])
     ends = df.agg(F.min(ratio).alias("a"), F.max(ratio).alias("b")).first()
     inside = ratio.between(seed_low, seed_high)
