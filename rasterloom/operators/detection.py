@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from statistics import NormalDist
 
 import numpy as np
@@ -214,8 +214,17 @@ def cmod5(speed: np.ndarray, cosine: float, theta: float) -> np.ndarray:
 def wind_speed(df: DataFrame, theta: float, cosine: float = 1.0, sigma: str = "v", model: Mapping[float, float] | None = None) -> DataFrame:
     """Speed, 0.1 to 20 m/s, whose modelled backscatter is nearest, for one geometry; model maps speed to backscatter instead."""
     table = model or dict(zip(SPEEDS.tolist(), cmod5(SPEEDS, cosine, theta).tolist(), strict=True))
-    best = F.array(*[F.struct(F.abs(F.col(sigma) - float(table[s])).alias("d"), F.lit(float(s)).alias("s")) for s in sorted(table)])
-    return df.select("y", "x", F.array_min(best)["s"].alias("speed"))
+    speeds = np.array(sorted(table), float)
+    modelled = np.array([table[s] for s in sorted(table)], float)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            found = pdf.v.to_numpy(float)
+            # of equally near speeds the smallest; pixels at once so few that their distances stay in the cache
+            best = [np.abs(found[k : k + 512, None] - modelled).argmin(1) for k in range(0, len(found), 512)]
+            yield pd.DataFrame({"y": pdf.y, "x": pdf.x, "speed": speeds[np.concatenate(best)] if best else []})
+
+    return df.select("y", "x", F.col(sigma).alias("v")).mapInPandas(run, "y long, x long, speed double")
 
 
 def wind_direction(image: np.ndarray, size_km: float) -> tuple[float, float, float]:
