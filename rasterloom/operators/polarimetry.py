@@ -407,13 +407,14 @@ def clipped(df: DataFrame, value: Column) -> Column:
 
 def builtup_index(c2: DataFrame) -> DataFrame:
     """Root mean square of the polarised Stokes parameters, each clipped to its 5th and 95th percentiles and scaled by the latter."""
-    s = stokes(c2)
+    s = written(stokes(c2).select("y", "x", "g1", "g2", "g3"), "stokes")  # read in every pass of the percentiles
     part = [clipped(s, F.col(g)) for g in ("g1", "g2", "g3")]
     return s.select("y", "x", F.sqrt(sum((p * p for p in part), F.lit(0.0)) / 3).alias("builtup"))
 
 
 def surface_index(c2: DataFrame, nesz: float = -100.0) -> DataFrame:
     """(1 - entropy) times what the first Stokes parameter, clipped and scaled, leaves; without the entropy where c11 is not above nesz (dB)."""
+    c2 = written(c2, "surface")  # read in every pass of the percentiles
     e = eigen2(c2)
     span = F.col("lambda1") + F.col("lambda2")
     p1, p2 = (F.greatest(over(F.col(f"lambda{k}"), span), F.lit(EPS)) for k in (1, 2))
