@@ -158,38 +158,47 @@ def lee_sigma(df: DataFrame, looks: float = 1.0, sigma: float = 0.9, size: int =
 
 def idan(df: DataFrame, looks: float = 1.0, most: int = 50, band: str = "v") -> DataFrame:
     """Intensity-driven adaptive neighbourhood: grow a region of like pixels about each pixel, then average it."""
-    near, far = 2 / 3 / np.sqrt(looks), 2 / np.sqrt(looks)
+    near, far = float(2 / 3 / np.sqrt(looks)), float(2 / np.sqrt(looks))
 
     def kernel(a: np.ndarray) -> np.ndarray:
         out = np.full_like(a, np.nan)
         seeds = _windows(a, 3)
         with np.errstate(all="ignore"):
             seed = np.nanmedian(seeds, (-2, -1))
-        height, width = a.shape
-        for y in range(height):
-            for x in range(width):
-                s = seed[y, x]
-                if np.isnan(a[y, x]) or not s:
-                    out[y, x] = a[y, x]
+        # plain numbers in a list with a border of NaN: the growth looks at single pixels
+        height, width = a.shape[0] + 2, a.shape[1] + 2
+        flat = np.pad(a, 1, constant_values=np.nan).ravel().tolist()
+        around = (-width - 1, -width, -width + 1, -1, 1, width - 1, width, width + 1)
+        mean_of = lambda values: float(np.add.reduce(np.array(values)) / len(values))
+        for y in range(a.shape[0]):
+            for x, s in enumerate(seed[y].tolist()):
+                at = (y + 1) * width + x + 1
+                if flat[at] != flat[at] or not s:
+                    out[y, x] = flat[at]
                     continue
-                inside, edge, seen, front = [a[y, x]], [], {(y, x)}, [(y, x)]
+                inside, edge, seen, front = [flat[at]], [], {at}, [at]
                 while front and len(inside) < most:
                     grown = []
-                    for cy, cx in front:
-                        for py, px in ((cy + i, cx + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
-                            if (py, px) in seen or not (0 <= py < height and 0 <= px < width) or np.isnan(a[py, px]):
+                    for c in front:
+                        for step in around:
+                            p = c + step
+                            if p in seen:
                                 continue
-                            seen.add((py, px))
-                            off = abs(a[py, px] - s) / s
+                            v = flat[p]
+                            if v != v:
+                                continue
+                            seen.add(p)
+                            off = abs(v - s) / s
                             if off <= near and len(inside) < most:
-                                inside.append(a[py, px])
-                                grown.append((py, px))
+                                inside.append(v)
+                                grown.append(p)
                             elif off <= far:
-                                edge.append(a[py, px])
+                                edge.append(v)
                     front = grown
-                mean = np.mean(inside)
-                inside += [v for v in edge if abs(v - mean) / mean <= far / 3]
-                out[y, x] = np.mean(inside)
+                mean = mean_of(inside)
+                if mean:
+                    inside += [v for v in edge if abs(v - mean) / mean <= far / 3]
+                out[y, x] = mean_of(inside)
         return out
 
     return tiled(df, kernel, 8, band, tile=64)
