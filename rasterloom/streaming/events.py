@@ -13,22 +13,32 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..plans.graph import shared_dir
 
 
+#: Blocks along each axis that share a state.
+SHARED = 64
+
+
 def whole_blocks(pixels: DataFrame, looks: int) -> DataFrame:
-    """Mean of every block of looks x looks pixels (y, x, v) of a stream, once its last pixel is there; only unfinished blocks are kept."""
+    """Mean of every block of looks x looks pixels (y, x, v) of a stream, once its last pixel is there; only unfinished blocks are kept.
+
+    SHARED x SHARED blocks have one state, the sums and counts of those unfinished, and are added up together.
+    """
 
     def add(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, n = state.get if state.exists else (0.0, 0)
-        for pdf in parts:
-            total, n = total + float(pdf.v.sum()), n + len(pdf)
-        if n < looks * looks:
-            state.update((total, n))
-            return
-        if state.exists:
+        sums = [pd.DataFrame(dict(zip(("y", "x", "v", "n"), state.get, strict=True)))] if state.exists else []
+        sums += [pdf.groupby(["y", "x"], sort=False).agg(v=("v", "sum"), n=("v", "size")).reset_index() for pdf in parts]
+        total = pd.concat(sums).groupby(["y", "x"], sort=False)[["v", "n"]].sum().reset_index()
+        whole = total.n >= looks * looks
+        rest = total[~whole]
+        if len(rest):
+            state.update(tuple(rest[c].tolist() for c in ("y", "x", "v", "n")))
+        elif state.exists:
             state.remove()
-        yield pd.DataFrame({"y": [key[0]], "x": [key[1]], "v": [total / n]})
+        done = total[whole]
+        yield pd.DataFrame({"y": done.y, "x": done.x, "v": done.v / done.n})
 
     blocks = pixels.select(F.expr(f"y div {looks}").alias("y"), F.expr(f"x div {looks}").alias("x"), "v")
-    return blocks.groupBy("y", "x").applyInPandasWithState(add, "y long, x long, v double", "total double, n long", "append", GroupStateTimeout.NoTimeout)
+    shared = blocks.withColumns({f"_{c}": F.expr(f"{c} div {SHARED}") for c in ("y", "x")}).groupBy("_y", "_x")
+    return shared.applyInPandasWithState(add, "y long, x long, v double", "y array<long>, x array<long>, v array<double>, n array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def multilook(spark: SparkSession, sf_dir: str, looks: int = 2, digits: int = 7) -> DataFrame:
